@@ -207,39 +207,36 @@ def scan(
     return joined.select(*out)
 
 
-def step_lookup(
-    queries: DataFrame,
-    steps: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    step_at: str,
-    value: str,
-    name: str,
-    *,
-    left: bool = False,
-    default: float | None = 1.0,
+def read_steps(
+    points: DataFrame, steps: DataFrame, keys: Sequence[str], step_at: str, value: str, *, left: bool = False
 ) -> DataFrame:
-    """Value of a step function at each query point (just before it when ``left``).
+    """Step value at each distinct (``keys``, ``at``) of ``points`` (just before it when ``left``).
 
-    The distinct (key, point) pairs are merged into the ordered steps and
-    carried forward, so neither side is broadcast and equal points are looked
-    up once.
+    The points are merged into the ordered steps and the last value carried
+    forward, so neither side is broadcast. Null before the first step.
     """
     keys = list(keys)
-    points = queries.select(*keys, F.col(at).cast("double").alias("_at")).distinct()
-    rank = {"step": 1, "query": 0 if left else 2}
-    merged = points.select(*keys, "_at", F.lit(rank["query"]).alias("_side"), F.lit(None).cast("double").alias("_v")).unionByName(
-        steps.select(*keys, F.col(step_at).cast("double").alias("_at"), F.lit(rank["step"]).alias("_side"),
-                     F.col(value).cast("double").alias("_v"))
-    )
-    splits = plan_splits(merged, keys, "_at")
-    looked = (
-        scan(merged, keys, ["_at", "_side"], [Scan("_value", F.col("_v"), "last")], splits)
-        .where(F.col("_side") == rank["query"])
-        .select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("_at").alias("_q_at"), "_value")
-    )
-    on = _null_safe(keys, "_q_") & (F.col(at).cast("double").eqNullSafe(F.col("_q_at")))
-    result = F.col("_value") if default is None else F.coalesce("_value", F.lit(default))
-    return queries.join(looked, on, "left").withColumn(name, result).drop(
-        "_value", "_q_at", *[f"_q_{k}" for k in keys]
-    )
+    step_side, point_side = 1, 0 if left else 2
+    merged = points.select(
+        *keys, F.col("at").cast("double").alias("at"), F.lit(point_side).alias("_side"),
+        F.lit(None).cast("double").alias("_v"),
+    ).distinct().unionByName(steps.select(
+        *keys, F.col(step_at).cast("double").alias("at"), F.lit(step_side).alias("_side"),
+        F.col(value).cast("double").alias("_v")))
+    splits = plan_splits(merged, keys, "at")
+    carried = scan(merged, keys, ["at", "_side"], [Scan("value", F.col("_v"), "last")], splits)
+    return carried.where(F.col("_side") == point_side).select(*keys, "at", "value")
+
+
+def step_lookup(
+    queries: DataFrame, steps: DataFrame, keys: Sequence[str], at: str, step_at: str, value: str, name: str,
+    *, left: bool = False, default: float = 1.0,
+) -> DataFrame:
+    """Add the step function's value at each row's time; equal times are read once."""
+    keys = list(keys)
+    points = queries.select(*keys, F.col(at).cast("double").alias("at"))
+    read = read_steps(points, steps, keys, step_at, value, left=left).select(
+        *[F.col(k).alias(f"_q_{k}") for k in keys], F.col("at").alias("_q_at"), F.col("value").alias("_q_value"))
+    on = _null_safe(keys, "_q_") & F.col(at).cast("double").eqNullSafe(F.col("_q_at"))
+    out = queries.join(read, on, "left").withColumn(name, F.coalesce("_q_value", F.lit(default)))
+    return out.drop("_q_value", "_q_at", *[f"_q_{k}" for k in keys])
