@@ -6,11 +6,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_1_p(statistic: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution with one degree of freedom."""
     value = statistic.to_numpy(float)
@@ -29,7 +30,7 @@ def _osa(a: str, b: str) -> int:
     return current[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """Edit distance with adjacent swaps (each substring edited once)."""
     return pd.Series([None if a is None or b is None else _osa(a, b) for a, b in zip(left, right)], dtype="Int32")

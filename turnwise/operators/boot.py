@@ -120,6 +120,7 @@ def curve_bands(cohort: DataFrame, by: Sequence[str], grid: DataFrame, *, n_boot
         return pd.DataFrame({**{c: head[c] for c in by}, CHUNK: head[CHUNK], "day": days, "s": list(read)})[names]
 
     group = [*by, CHUNK]
+    side = side.toDF(*side.columns)  # fresh column ids: both sides come from the same rows
     partial = rows.groupBy(*group).cogroup(side.groupBy(*group)).applyInPandas(
         factors, f"{keys}, {CHUNK} int, day double, s array<double>")
     # one product per draw over the ranges, then the two percentiles over draws

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.operators.scans import Scan, plan_splits, scan
+from turnwise.operators.store import missing_count
 from turnwise.schema import CORE_COUNTS, NUMERIC_COUNTS, TOMBSTONE
 
 GAP_TARGET_MIN = 45.0
@@ -55,7 +56,7 @@ def run_counts(runs: DataFrame) -> DataFrame:
 
 def missing_share(runs: DataFrame) -> DataFrame:
     """Median and largest per-run missing share; runs with nothing in scope are skipped."""
-    missing = F.size(F.coalesce("missing_ids", F.array().cast("array<string>")))
+    missing = missing_count(runs)
     share = F.try_divide(missing, F.col("n_observed") + missing)
     return runs.select("term_id", share.alias("_s")).groupBy("term_id").agg(
         F.round(F.percentile("_s", 0.5), 4).alias("median_missing_share"),

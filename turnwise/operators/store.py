@@ -138,14 +138,32 @@ def section_identity(rows: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- panel rebuild
 
 
-def rebuild_panel(rows: DataFrame, runs: DataFrame, start: dt.date | None = None,
-                  end: dt.date | None = None) -> DataFrame:
+def run_marks(runs: DataFrame) -> DataFrame:
+    """The id lists of the run table as rows: ``run_started_at, kind, section_id, declared, missing``."""
+    part = lambda c, declared: runs.select(
+        *RUN_KEYS, F.explode(c).alias("section_id"), F.lit(declared).alias("declared"), F.lit(not declared).alias("missing"))
+    return part("observed_ids", True).unionByName(part("missing_ids", False))
+
+
+def missing_count(runs: DataFrame) -> Column:
+    return F.col("n_missing") if "n_missing" in runs.columns else F.size(
+        F.coalesce("missing_ids", F.array().cast("array<string>")))
+
+
+def rebuild_panel(rows: DataFrame, runs: DataFrame, marks: DataFrame | None = None,
+                  start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """Every (section, run) from the section's first appearance on, values carried forward.
 
     ``rows`` are snapshot rows with ``run_started_at`` and ``kind``; ``runs`` is
-    the run table. Rows before ``start`` feed the carried state but are not
-    returned, so the date filter stays above the window.
+    the run table; ``marks`` its id lists as rows (taken from its arrays when
+    absent, with ``lists`` telling which runs declare their ids). Rows before
+    ``start`` feed the carried state but are not returned, so the date filter
+    stays above the window.
     """
+    if marks is None:
+        marks = run_marks(runs)
+    if "lists" not in runs.columns:
+        runs = runs.withColumn("lists", F.col("observed_ids").isNotNull())
     if end is not None:
         rows = rows.where(F.to_date("run_started_at") <= F.lit(end))
         runs = runs.where(F.to_date("run_started_at") <= F.lit(end))
@@ -159,10 +177,9 @@ def rebuild_panel(rows: DataFrame, runs: DataFrame, start: dt.date | None = None
     full = scan(joined, ["section_id"], list(RUN_KEYS), [Scan("_state", F.col("_held"), "last")], splits)
     if start is not None:
         full = full.where(F.to_date("run_started_at") >= F.lit(start))
-    ids = lambda c, flag: runs.select(
-        *RUN_KEYS, F.explode(c).alias("section_id")).distinct().withColumn(flag, F.lit(True))
     keys = ["section_id", *RUN_KEYS]
-    full = full.join(ids("observed_ids", "_declared"), keys, "left").join(ids("missing_ids", "_missing"), keys, "left")
+    marked = marks.groupBy(*keys).agg(F.max("declared").alias("_declared"), F.max("missing").alias("_missing"))
+    full = full.join(marked, keys, "left")
     return full.select(
         "section_id", "run_started_at", "_state.*", observed_flag().alias("observed"),
         "source", "scope", "kind", "term_id",
@@ -176,7 +193,7 @@ def run_grid(held: DataFrame, runs: DataFrame) -> DataFrame:
     days = first.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").select(
         "section_id", "_first",
         F.explode(F.sequence(F.to_date("_first.run_started_at"), F.col("_last"))).alias("_day"))
-    listed = runs.select(*RUN_KEYS, "source", "scope", "term_id", F.col("observed_ids").isNotNull().alias("_lists"),
+    listed = runs.select(*RUN_KEYS, "source", "scope", "term_id", F.col("lists").alias("_lists"),
                          F.to_date("run_started_at").alias("_day"))
     return days.join(listed, "_day").where(F.struct(*RUN_KEYS) >= F.col("_first")).drop("_day", "_first")
 
@@ -202,8 +219,8 @@ def with_identity(panel: DataFrame, identity: DataFrame) -> DataFrame:
 
 def run_gates(runs: DataFrame, max_missing_share: float = 0.5) -> DataFrame:
     """Per run: missing share, whether it may be written, whether it may tombstone."""
-    total = F.col("n_observed") + F.size(F.coalesce("missing_ids", F.array().cast("array<string>")))
-    missing = F.size(F.coalesce("missing_ids", F.array().cast("array<string>")))
+    missing = missing_count(runs)
+    total = F.col("n_observed") + missing
     share = F.when(total > 0, missing / total).otherwise(F.lit(0.0))
     return runs.withColumns({
         "missing_share": F.round(share, 4),
@@ -239,7 +256,7 @@ def effective_term(rows: DataFrame, derived: str) -> DataFrame:
 
 
 def last_run_status(runs: DataFrame) -> DataFrame:
-    missing = F.size(F.coalesce("missing_ids", F.array().cast("array<string>")))
+    missing = missing_count(runs)
     row = F.struct("run_started_at", "source", "kind", "scope", "shard", "n_observed", "n_written",
                    missing.alias("n_missing"),
                    F.round(F.coalesce(F.try_divide(missing, F.col("n_observed") + missing), F.lit(0.0)), 4)
