@@ -1,4 +1,12 @@
-"""Resampling sections with replacement, n of n, as deterministic draws."""
+"""Resampling sections with replacement, n of n, without moving the draws.
+
+The sections of a group are numbered; numbers fall into blocks of fixed size.
+Draw ``b`` splits its n picks over the blocks by one multinomial and picks
+within a block by uniform integers, both from generators seeded by (seed,
+group, draw, block). Any task can therefore compute how often its own sections
+are picked in every draw from their numbers alone, and the result is exactly a
+draw of n sections out of n.
+"""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -11,115 +19,140 @@ from pyspark.sql import functions as F
 from turnwise.operators.scans import CHUNK, Scan, plan_splits, scan, with_chunk
 
 N_BOOT = 200
+BLOCK = 100_000
 
 
-def draw_lists(sections: DataFrame, by: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """``draws``: the draw numbers that picked each section of a group, with repeats.
-
-    Sections are numbered by a spread-out hash; draw ``b`` picks the number
-    ``hash(seed, b, j) mod n`` for ``j`` in 1..n, where each section emits the
-    picks of its own ``j``. Every list has ``n_boot`` entries on average.
-    """
+def picks(numbers: np.ndarray, n: int, draw: int, seed: int, group: int, block: int = BLOCK) -> np.ndarray:
+    """How often draw ``draw`` picks each of the given section numbers (0-based) of ``n``."""
+    sizes = np.full(-(-n // block), block, np.int64)
+    sizes[-1] = n - block * (len(sizes) - 1)
+    key = (seed & 0xFFFFFFFF, group & 0xFFFFFFFFFFFFFFFF, draw)
+    if len(sizes) == 1:
+        shares = np.array([n])
+    else:
+        shares = np.random.default_rng((*key, 0)).multinomial(n, sizes / n)
+    out = np.zeros(len(numbers), np.int64)
+    home = numbers // block
+    for b in np.unique(home):
+        chosen = np.random.default_rng((*key, 1 + int(b))).integers(0, sizes[b], shares[b])
+        mine = home == b
+        out[mine] = np.bincount(chosen, minlength=sizes[b])[numbers[mine] - b * block]
+    return out
+
+
+def number_sections(rows: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
+    """``number`` (0-based, in a seeded order) and the group's ``sections``."""
     by = list(by)
-    keyed = sections.select(*by, "section_id").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "section_id"))
-    splits = plan_splits(keyed, by, "_h")
-    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    numbered = scan(keyed, by, ["_h", "section_id"], [Scan("_j", F.lit(1), "sum")], splits).join(sizes, by)
-    picks = numbered.select(
-        *by, "_size", F.col("_j").alias("_from"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b")
-    ).select(*by, "_b", (F.pmod(F.xxhash64(F.lit(seed), "_b", "_from"), F.col("_size")) + 1).alias("_j"))
-    lists = picks.groupBy(*by, "_j").agg(F.collect_list(F.col("_b").cast("smallint")).alias("draws"))
-    return numbered.join(lists, [*by, "_j"], "left").select(
-        *by, "section_id", F.col("_size").alias("sections"),
-        F.coalesce("draws", F.array().cast("array<smallint>")).alias("draws"))
+    keyed = rows.select(*by, "section_id").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "section_id"))
+    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("sections"))
+    numbered = scan(keyed, by, ["_h", "section_id"], [Scan("_j", F.lit(1), "sum")], plan_splits(keyed, by, "_h"))
+    return numbered.join(sizes, by).select(*by, "section_id", (F.col("_j") - 1).cast("long").alias("number"), "sections")
+
+
+def _types(df: DataFrame, by: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
 
 def bootstrap_gain(scored: DataFrame, by: Sequence[str], base: str, model: str, *, n_boot: int = N_BOOT,
-                   seed: int = 0) -> DataFrame:
+                   seed: int = 0, block: int = BLOCK) -> DataFrame:
     """95 % interval of ``brier(base) - brier(model)`` over section resamples.
 
-    ``scored`` has ``section_id, y, w`` and the two predictions. Rows shrink to
-    sums per section first, so the draws multiply sections, not rows.
+    Rows shrink to sums per section first; each task then weighs one block of
+    sections in every draw, and only sums per draw are combined.
     """
     by = list(by)
-    known = scored.where(F.col("w") > 0)
-    sq = lambda p: F.sum(F.col("w") * (F.col("y") - F.col(p)) * (F.col("y") - F.col(p)))
-    sums = known.groupBy(*by, "section_id").agg(sq(base).alias("_sb"), sq(model).alias("_sm"), F.sum("w").alias("_sw"))
-    everyone = scored.select(*by, "section_id").distinct().join(sums, [*by, "section_id"], "left").fillna(0.0)
-    drawn = everyone.join(draw_lists(everyone, by, n_boot, seed), [*by, "section_id"])
-    per_draw = drawn.where("sections >= 2").select(*by, F.explode("draws").alias("_b"), "_sb", "_sm", "_sw") \
-        .groupBy(*by, "_b").agg(F.sum("_sb").alias("_sb"), F.sum("_sm").alias("_sm"), F.sum("_sw").alias("_sw"))
+    known = F.col("w") > 0
+    sq = lambda p: F.sum(F.when(known, F.col("w") * (F.col("y") - F.col(p)) * (F.col("y") - F.col(p))).otherwise(0.0))
+    sums = scored.groupBy(*by, "section_id").agg(
+        sq(base).alias("_sb"), sq(model).alias("_sm"), F.sum(F.when(known, F.col("w")).otherwise(0.0)).alias("_sw"))
+    rows = sums.join(number_sections(scored, by, seed), [*by, "section_id"]).where("sections >= 2").select(
+        *by, F.xxhash64(*by).alias("_group"), (F.col("number") / block).cast("int").alias("_block"),
+        "number", "sections", "_sb", "_sm", "_sw")
+
+    def weigh(frame: pd.DataFrame) -> pd.DataFrame:
+        head = frame.iloc[0]
+        numbers, values = frame["number"].to_numpy(np.int64), frame[["_sb", "_sm", "_sw"]].to_numpy(float)
+        out = np.stack([picks(numbers, int(head["sections"]), b, seed, int(head["_group"]), block) @ values
+                        for b in range(n_boot)])
+        return pd.DataFrame({**{c: head[c] for c in by}, "_b": np.arange(n_boot), "_sb": out[:, 0], "_sm": out[:, 1],
+                             "_sw": out[:, 2]})
+
+    parts = rows.groupBy(*by, "_block").applyInPandas(
+        weigh, f"{_types(scored, by)}, _b int, _sb double, _sm double, _sw double")
+    draws = parts.groupBy(*by, "_b").agg(F.sum("_sb").alias("_sb"), F.sum("_sm").alias("_sm"), F.sum("_sw").alias("_sw"))
     gain = F.try_divide(F.col("_sb") - F.col("_sm"), F.col("_sw"))
     band = F.percentile("_g", [0.025, 0.975])
-    return per_draw.select(*by, gain.alias("_g")).groupBy(*by).agg(
+    return draws.select(*by, gain.alias("_g")).groupBy(*by).agg(
         band[0].alias("gain_ci_low"), band[1].alias("gain_ci_high"))
 
 
-def curve_bands(cohort: DataFrame, by: Sequence[str], grid: DataFrame, *, n_boot: int = N_BOOT,
-                seed: int = 0) -> DataFrame:
+def section_counts(cohort: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows ``n`` and events ``d`` per group, section and time ``t``: what curves and bands need."""
+    return cohort.groupBy(*by, "section_id", F.col("duration_days").alias("t")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event").alias("d"))
+
+
+def curve_bands(counts: DataFrame, by: Sequence[str], grid: DataFrame, *, n_boot: int = N_BOOT,
+                seed: int = 0, block: int = BLOCK) -> DataFrame:
     """2.5 and 97.5 percentiles of the clearing curve at each grid ``day``.
 
-    ``grid`` has ``by`` and ``day``. Counts per (group, time, section) meet the
-    section's draws; each task turns one time range of one group into counts
-    per draw with a matrix product. Ranges combine through their total numbers
-    at risk and the product of their survival factors, so a group of any size
-    is split over tasks. Groups with one section have no band.
+    ``counts`` comes from ``section_counts`` (written, since it is read three
+    times); ``grid`` has ``by`` and ``day``. A task holds one time range of one group and turns it into survival
+    factors per draw. Ranges combine through the numbers at risk after them and
+    the product of their factors, so a group of any size is spread over tasks.
+    Groups with one section have no band.
     """
     by = list(by)
-    counts = cohort.groupBy(*by, F.col("duration_days").alias("t"), "section_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("event").alias("d"))
     splits = plan_splits(counts, by, "t")
-    # one row per section and range: its draws travel once, not once per time
-    rows = with_chunk(counts, splits).groupBy(*by, CHUNK, "section_id").agg(
-        F.collect_list("t").alias("t"), F.collect_list("n").alias("n"), F.collect_list("d").alias("d"))
-    lists = draw_lists(cohort, by, n_boot, seed).where("sections >= 2").drop("sections")
-    rows = rows.join(lists, [*by, "section_id"]).select(*by, CHUNK, "t", "n", "d", "draws")
+    numbered = number_sections(counts, by, seed).where("sections >= 2")
+    rows = with_chunk(counts, splits).join(numbered, [*by, "section_id"]).select(
+        *by, CHUNK, F.xxhash64(*by).alias("_group"), "number", "sections", "t", "n", "d")
     wanted = grid.groupBy(*by).agg(F.array_sort(F.collect_set("day")).alias("days"))
-    keys = ", ".join(f"{c} {cohort.schema[c].dataType.simpleString()}" for c in by)
+    keys = _types(counts, by)
+    group = [*by, CHUNK]
 
-    if splits.hot:
-        totals = rows.select(*by, CHUNK, F.explode("draws").alias("_b"), F.aggregate(
-            "n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-        totals = totals.groupBy(*by, CHUNK, "_b").agg(F.sum("n").alias("n"))
-        totals = scan(totals, [*by, "_b"], [CHUNK], [Scan("_later", F.col("n"), "sum", inclusive=False, reverse=True)])
-        later = totals.groupBy(*by, CHUNK).agg(F.map_from_entries(F.collect_list(
-            F.struct(F.col("_b").cast("int"), F.coalesce("_later", F.lit(0)).cast("double")))).alias("later"))
-        side = later.join(wanted, by)
-    else:
-        side = wanted.withColumn(CHUNK, F.lit(0)).withColumn("later", F.lit(None).cast("map<int,double>"))
+    def weights(frame: pd.DataFrame):
+        """Per draw: the pick count of each row's section."""
+        numbers, where = np.unique(frame["number"].to_numpy(np.int64), return_inverse=True)
+        n, key = int(frame["sections"].iat[0]), int(frame["_group"].iat[0])
+        for b in range(n_boot):
+            yield b, picks(numbers, n, b, seed, key, block)[where].astype(float)
+
+    def totals(frame: pd.DataFrame) -> pd.DataFrame:
+        n = frame["n"].to_numpy(float)
+        return pd.DataFrame({**{c: frame[c].iat[0] for c in group}, "_b": np.arange(n_boot),
+                             "n": [float(w @ n) for _, w in weights(frame)]})
 
     def factors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, CHUNK, "day", "s"]
+        names = [*group, "day", "s"]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame(columns=names)
         head = right.iloc[0]
         days = np.asarray(head["days"], float)
-        n_sections = len(left)
-        lengths = left["t"].map(len).to_numpy()
-        who = np.repeat(np.arange(n_sections), lengths)
-        flat = lambda c, kind: np.concatenate([np.asarray(v, kind) for v in left[c]])
-        t, slot = np.unique(flat("t", float), return_inverse=True)
-        n, d = flat("n", float), flat("d", float)
-        drawn = flat("draws", np.int64)
-        drawn_who = np.repeat(np.arange(n_sections), left["draws"].map(len).to_numpy())
-        order = np.argsort(drawn, kind="stable")
-        drawn_who, edges = drawn_who[order], np.searchsorted(drawn[order], np.arange(n_boot + 1))
+        t, slot = np.unique(left["t"].to_numpy(float), return_inverse=True)
+        n, d = left["n"].to_numpy(float), left["d"].to_numpy(float)
         after = np.zeros(n_boot)
         if head["later"] is not None:
             for b, value in dict(head["later"]).items():
                 after[int(b)] = value
         upto = np.searchsorted(t, days, side="right") - 1
         read = np.ones((len(days), n_boot))
-        for b in range(n_boot):
-            weight = np.bincount(drawn_who[edges[b]:edges[b + 1]], minlength=n_sections)[who]
+        for b, weight in weights(left):
             at_t = np.bincount(slot, weight * n, minlength=len(t))
-            risk = np.cumsum(at_t[::-1])[::-1] + after[b]
             gone = np.bincount(slot, weight * d, minlength=len(t))
+            risk = np.cumsum(at_t[::-1])[::-1] + after[b]
             surv = np.cumprod(np.where(risk > 0, 1.0 - gone / np.where(risk > 0, risk, 1.0), 1.0))
             read[upto >= 0, b] = surv[upto[upto >= 0]]
-        return pd.DataFrame({**{c: head[c] for c in by}, CHUNK: head[CHUNK], "day": days, "s": list(read)})[names]
+        return pd.DataFrame({**{c: head[c] for c in group}, "day": days, "s": list(read)})[names]
 
-    group = [*by, CHUNK]
+    if splits.hot:
+        risk = rows.groupBy(*group).applyInPandas(totals, f"{keys}, {CHUNK} int, _b int, n double")
+        risk = scan(risk, [*by, "_b"], [CHUNK], [Scan("_later", F.col("n"), "sum", inclusive=False, reverse=True)])
+        later = risk.groupBy(*group).agg(F.map_from_entries(F.collect_list(
+            F.struct("_b", F.coalesce("_later", F.lit(0.0))))).alias("later"))
+        side = later.join(wanted, by)
+    else:
+        side = wanted.withColumn(CHUNK, F.lit(0)).withColumn("later", F.lit(None).cast("map<int,double>"))
     side = side.toDF(*side.columns)  # fresh column ids: both sides come from the same rows
     partial = rows.groupBy(*group).cogroup(side.groupBy(*group)).applyInPandas(
         factors, f"{keys}, {CHUNK} int, day double, s array<double>")

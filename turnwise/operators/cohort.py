@@ -26,7 +26,7 @@ from turnwise.functions.scalars import (
 )
 from turnwise.operators.scans import CHUNK, Scan, Splits, plan_splits, scan, with_chunk
 from turnwise.schema import POSITIONS, SCENARIOS
-from turnwise.session import materialize
+from turnwise.session import lookup_side, materialize
 
 GROUP = "_group"
 _EVENTS = ("section_id", CHUNK, "t0_us", "t1_us", "admits", "wl_drops", "waitlist0", "censored")
@@ -362,7 +362,8 @@ def build_cohort(
         days_to_instruction(F.col("join_time"), calendar).alias("days_to_instruction"),
         "reserved", "scenario",
     )
-    return pool_small_groups(rows, min_sections_per_group)
+    # the walk is the expensive part: written once, then read for the group sizes and the result
+    return pool_small_groups(materialize(rows), min_sections_per_group)
 
 
 def pool_small_groups(cohort: DataFrame, min_sections: int = 30, other: str = "OTHER") -> DataFrame:
@@ -370,5 +371,5 @@ def pool_small_groups(cohort: DataFrame, min_sections: int = 30, other: str = "O
     sizes = cohort.where(F.col("dept_group").isNotNull()).groupBy("scenario", "dept_group").agg(
         F.count_distinct("section_id").alias("_sections"))
     small = sizes.where(F.col("_sections") < min_sections).select("scenario", "dept_group", F.lit(other).alias("_pool"))
-    out = cohort.join(small, ["scenario", "dept_group"], "left")
+    out = cohort.join(lookup_side(small), ["scenario", "dept_group"], "left")
     return out.withColumn("dept_group", F.coalesce("_pool", "dept_group")).select(*cohort.columns)

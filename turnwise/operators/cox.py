@@ -18,7 +18,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.special import chi2_1_p
@@ -37,8 +38,16 @@ _EXACT_TIES = 4096
 
 @dataclass
 class Design:
-    rows: DataFrame  # stratum, t, event, section_id, x
-    names: list[str]
+    """Compact rows: ``stratum, t, event, section_id``, one column per numeric covariate
+    and one code per categorical family (0 is the reference or an unused level)."""
+
+    rows: DataFrame
+    numeric: list[str]
+    families: dict[str, list[str]]
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.numeric, *[f"{f}={v}" for f, levels in self.families.items() for v in levels]]
 
 
 @dataclass
@@ -71,48 +80,54 @@ class CoxFit:
 # -------------------------------------------------------------------- design matrix
 
 
-def levels_of(cohort: DataFrame, references: dict[str, str] = REFERENCES) -> list[tuple[str, str]]:
-    """(column, level) pairs with an indicator: all seen values but the reference."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in references])
-    seen = cohort.select(F.explode(pairs).alias("p")).select("p.c", "p.v").where("v IS NOT NULL").distinct()
-    found = {(r["c"], r["v"]) for r in seen.collect()}  # category names only
-    return [(c, v) for c in references for (k, v) in sorted(found) if k == c and v != references[c]]
+def _numeric(name: str) -> Column:
+    value = F.col(name)
+    return value.cast("int").cast("double") if name == "reserved" else value.cast("double")
 
 
-def design_columns(cohort: DataFrame, levels: Sequence[tuple[str, str]]) -> dict[str, F.Column]:
-    out = {c: F.col(c).cast("double") if c != "reserved" else F.col(c).cast("int").cast("double") for c in NUMERIC}
-    for column, value in levels:
-        out[f"{column}={value}"] = F.coalesce(F.col(column) == value, F.lit(False)).cast("int").cast("double")
+def _usable(names: Sequence[str] = NUMERIC) -> Column:
+    out = F.col("duration_days").isNotNull()
+    for name in names:
+        value = _numeric(name)
+        out = out & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     return out
 
 
-def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS,
-                  levels: Sequence[tuple[str, str]] | None = None, keep: Sequence[str] | None = None,
-                  strata: Sequence[str] = (), extra: Sequence[str] = ()) -> Design:
-    """Rows with every covariate known; constant columns are dropped.
+def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS, strata: Sequence[str] = ()) -> Design:
+    """Rows with every numeric covariate known, durations rounded up to the resolution;
+    constant columns and levels are left out. ``strata`` families become strata.
 
-    ``keep`` fixes the column list (prediction); ``strata`` names categorical
-    families used as strata instead of covariates.
+    The rows are written once, spread evenly, and every pass reads them back.
     """
-    levels = list(levels) if levels is not None else levels_of(cohort)
-    columns = {k: v for k, v in design_columns(cohort, levels).items() if k.split("=")[0] not in strata}
-    usable = F.lit(True)
-    for c in NUMERIC:
-        value = columns.get(c, F.lit(0.0))
-        usable = usable & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    families = [f for f in REFERENCES if f not in strata]
+    ref = lambda f: F.col(f).isNull() | (F.col(f) == REFERENCES[f])
     time = F.ceil(F.col("duration_days") / F.lit(resolution)) * F.lit(resolution)
     stratum = F.lit("") if not strata else F.concat_ws("|", *[
-        F.when(F.col(s).isNull() | (F.col(s) == REFERENCES.get(s)), F.lit(f"{s}=ref"))
-        .otherwise(F.concat(F.lit(f"{s}="), F.col(s).cast("string"))) for s in strata])
-    base = cohort.where(usable & F.col("duration_days").isNotNull())
-    if keep is None:
-        spread = base.agg(*[F.min(v).alias(f"lo{i}") for i, v in enumerate(columns.values())],
-                          *[F.max(v).alias(f"hi{i}") for i, v in enumerate(columns.values())]).first()
-        keep = [c for i, c in enumerate(columns) if spread[f"lo{i}"] is not None and spread[f"lo{i}"] < spread[f"hi{i}"]]
-    x = F.array(*[columns.get(c, F.lit(0.0)) for c in keep])
-    rows = base.select(stratum.alias("stratum"), time.alias("t"), F.col("event").cast("int").alias("event"),
-                       F.col("section_id").cast("string").alias("section_id"), x.alias("x"), *extra)
-    return Design(rows, list(keep))
+        F.when(ref(f), F.lit(f"{f}=ref")).otherwise(F.concat(F.lit(f"{f}="), F.col(f))) for f in strata])
+    base = cohort.where(_usable()).select(
+        stratum.alias("stratum"), time.alias("t"), F.col("event").cast("int").alias("event"),
+        F.col("section_id").cast("string").alias("section_id"), *[_numeric(c).alias(c) for c in NUMERIC],
+        *[F.when(~ref(f), F.col(f)).alias(f) for f in families])
+    parts = int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    base = materialize(base.repartition(parts, F.xxhash64("section_id", "t", *NUMERIC)))
+    spread = base.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in NUMERIC],
+                      *[F.max(c).alias(f"hi_{c}") for c in NUMERIC]).first()
+    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in families]) if families else F.array()
+    # category names and counts only
+    seen = base.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("f", "v").count().collect() if families else []
+    levels = {f: sorted(r["v"] for r in seen if r["f"] == f and r["count"] < spread["n"]) for f in families}
+    numeric = [c for c in NUMERIC if spread[f"lo_{c}"] is not None and spread[f"lo_{c}"] < spread[f"hi_{c}"]]
+    return Design(_coded(base, levels).select("stratum", "t", "event", "section_id", *numeric, *[f"_{f}" for f in levels]),
+                  numeric, levels)
+
+
+def _coded(rows: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """Add ``_family``: the 1-based number of the row's level, 0 for any other."""
+    codes = {}
+    for family, levels in families.items():
+        place = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(family)) if levels else F.lit(0)
+        codes[f"_{family}"] = F.coalesce(place, F.lit(0)).cast("int")
+    return rows.withColumns(codes) if codes else rows
 
 
 def sample_rows(cohort: DataFrame, max_rows: int, seed: int, keys: Sequence[str]) -> DataFrame:
@@ -123,41 +138,109 @@ def sample_rows(cohort: DataFrame, max_rows: int, seed: int, keys: Sequence[str]
 # ----------------------------------------------------------------------------- fit
 
 
-def _matrix(frame: pd.DataFrame) -> np.ndarray:
-    return np.stack(frame["x"].to_numpy()) if len(frame) else np.empty((0, 0))
+class _Batch:
+    """Columns of one Arrow batch and the sparse sums over them."""
+
+    def __init__(self, batch: pa.RecordBatch, numeric: Sequence[str], families: dict[str, list[str]], center: np.ndarray):
+        get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        self.stratum, self.t, self.died = get("stratum"), get("t"), get("event").astype(float)
+        self.section = batch.column("section_id")
+        self.x = np.column_stack([get(c) for c in numeric]) - center[:len(numeric)] if numeric else np.empty((batch.num_rows, 0))
+        self.codes = [get(f"_{f}") for f in families]
+        self.sizes = [len(v) for v in families.values()]
+
+    def linear(self, beta: np.ndarray) -> np.ndarray:
+        k = self.x.shape[1]
+        out = self.x @ beta[:k]
+        for codes, size in zip(self.codes, self.sizes):
+            out = out + np.append(0.0, beta[k:k + size])[codes]
+            k += size
+        return out
+
+    def sums_by(self, slot: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
+        """Weighted covariate sums per slot, without spelling out the indicators."""
+        parts = [np.bincount(slot, weight * self.x[:, j], minlength=n)[:, None] for j in range(self.x.shape[1])]
+        for codes, size in zip(self.codes, self.sizes):
+            cells = np.bincount(slot * (size + 1) + codes, weight, minlength=n * (size + 1))
+            parts.append(cells.reshape(n, size + 1)[:, 1:])
+        return np.concatenate(parts, axis=1)
+
+    def products(self, weight: np.ndarray) -> np.ndarray:
+        """Sum of weight * x x'."""
+        blocks = [[(self.x * weight[:, None]).T @ self.x]]
+        for codes, size in zip(self.codes, self.sizes):
+            blocks[0].append(np.stack([np.bincount(codes, weight * self.x[:, j], minlength=size + 1)[1:]
+                                       for j in range(self.x.shape[1])]) if self.x.shape[1] else np.empty((0, size)))
+        for i, (a, na) in enumerate(zip(self.codes, self.sizes)):
+            row = [blocks[0][1 + i].T]
+            for c, nc in zip(self.codes, self.sizes):
+                row.append(np.bincount(a * (nc + 1) + c, weight, minlength=(na + 1) * (nc + 1)).reshape(na + 1, nc + 1)[1:, 1:])
+            blocks.append(row)
+        return np.block(blocks)
+
+    def dense(self) -> np.ndarray:
+        parts = [self.x]
+        for codes, size in zip(self.codes, self.sizes):
+            parts.append(np.eye(size + 1)[codes][:, 1:])
+        return np.concatenate(parts, axis=1)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def _merge_lists(pieces: DataFrame, keys: Sequence[str], types: str) -> DataFrame:
+    """Add up list columns ``v`` per key: rows of a key meet in one task and are summed there."""
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
+                held[key] = held[key] + values[i] if key in held else values[i].copy()
+        if held:
+            columns = [pa.array([key[j] for key in held], type=batch.schema.field(k).type) for j, k in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(np.stack(list(held.values())))], [*keys, "v"])
+
+    return pieces.repartition(n, *keys).mapInArrow(add, f"{types}, v array<double>")
 
 
 def _time_sums(design: Design, beta: np.ndarray, center: np.ndarray) -> pd.DataFrame:
-    """Per (stratum, time): rows, events, risk weight and covariate sums."""
-    d = len(beta)
+    """Per (stratum, time): rows, events, risk weights and covariate sums.
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            if not len(frame):
-                continue
-            x = _matrix(frame) - center
-            weight = np.exp(x @ beta)
-            died = frame["event"].to_numpy(float)
-            code, index = np.unique(list(zip(frame["stratum"], frame["t"])), axis=0, return_inverse=True) \
-                if frame["stratum"].nunique() > 1 else (None, None)
-            if code is None:
-                t, index = np.unique(frame["t"].to_numpy(float), return_inverse=True)
-                stratum = np.repeat(frame["stratum"].iat[0], len(t))
-            else:
-                stratum, t = code[:, 0], code[:, 1].astype(float)
-            parts = np.column_stack([np.ones(len(x)), died, weight, weight * died,
-                                     x * weight[:, None], x * (weight * died)[:, None], x * died[:, None]])
-            sums = np.zeros((len(t), parts.shape[1]))
-            np.add.at(sums, index, parts)
-            yield pd.DataFrame({"stratum": stratum, "t": t, "sums": list(sums)})
-
-    width = 4 + 3 * d
-    pieces = design.rows.mapInPandas(partial, "stratum string, t double, sums array<double>")
-    merged = pieces.groupBy("stratum", "t").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
-    table = merged.select("stratum", "t", F.array(*[f"s{i}" for i in range(width)]).alias("sums")).toPandas()
+    A task sends one row per time it holds, so what moves is tasks x times.
+    """
+    d, numeric, families = len(beta), design.numeric, design.families
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            b = _Batch(batch, numeric, families, center)
+            weight = np.exp(b.linear(beta))
+            names, group = np.unique(b.stratum, return_inverse=True) if (b.stratum != b.stratum[0]).any() else (
+                b.stratum[:1], np.zeros(len(b.t), np.int64))
+            t, at = np.unique(b.t, return_inverse=True)
+            slot, n = group * len(t) + at, len(names) * len(t)
+            count = lambda w: np.bincount(slot, w, minlength=n)[:, None]
+            sums = np.concatenate([
+                count(np.ones(len(slot))), count(b.died), count(weight), count(weight * b.died),
+                b.sums_by(slot, n, weight), b.sums_by(slot, n, weight * b.died), b.sums_by(slot, n, b.died)], axis=1)
+            for i in np.flatnonzero(sums[:, 0] > 0):
+                key = (names[i // len(t)], t[i % len(t)])
+                held[key] = held[key] + sums[i] if key in held else sums[i]
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.float64()),
+                 _lists(np.stack(list(held.values())))], ["stratum", "t", "v"])
+
+    pieces = design.rows.mapInArrow(partial, "stratum string, t double, v array<double>")
+    table = _merge_lists(pieces, ["stratum", "t"], "stratum string, t double").toPandas()
     if len(table) > MAX_TIMES:
         raise ValueError(f"{len(table)} distinct times; use a coarser time resolution")
-    return table.sort_values(["stratum", "t"], ignore_index=True)
+    return table.rename(columns={"v": "sums"}).sort_values(["stratum", "t"], ignore_index=True)
 
 
 def _tie_sums(deaths: np.ndarray, s0: np.ndarray, d0: np.ndarray, power: int, degree: int) -> np.ndarray:
@@ -207,27 +290,47 @@ def _hazards(table: pd.DataFrame, d: int) -> dict[str, np.ndarray]:
             "breslow": breslow, "blocks": blocks}
 
 
+def _lookup(table: pd.DataFrame, *columns: np.ndarray):
+    """Per stratum: its times and the given columns at them."""
+    return {s: (g["t"].to_numpy(), *[c[g.index] for c in columns]) for s, g in table.groupby("stratum")}
+
+
+def _find(lookup: dict, stratum: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """The looked-up columns for each row of a batch."""
+    first = lookup[stratum[0]]
+    if (stratum == stratum[0]).all():
+        at = np.searchsorted(first[0], t)
+        return [c[at] for c in first[1:]]
+    out = [np.empty((len(t), *c.shape[1:])) for c in first[1:]]
+    for name in np.unique(stratum):
+        mine = stratum == name
+        at = np.searchsorted(lookup[name][0], t[mine])
+        for o, c in zip(out, lookup[name][1:]):
+            o[mine] = c[at]
+    return out
+
+
 def _weighted_products(design: Design, table: pd.DataFrame, hazards: dict, beta: np.ndarray,
                        center: np.ndarray) -> np.ndarray:
     """Sum over rows of weight * x x' with weights from the cumulative hazards."""
-    d = len(beta)
-    lookup = {s: (g["t"].to_numpy(), hazards["total"][g.index], hazards["own"][g.index])
-              for s, g in table.groupby("stratum")}
+    d, numeric, families = len(beta), design.numeric, design.families
+    lookup = _lookup(table, hazards["total"], hazards["own"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
-        for frame in batches:
-            for stratum, part in frame.groupby("stratum"):
-                t, hazard, own = lookup[stratum]
-                at = np.searchsorted(t, part["t"].to_numpy(float))
-                x = _matrix(part) - center
-                weight = np.exp(x @ beta) * (hazard[at] - part["event"].to_numpy(float) * own[at])
-                total += (x * weight[:, None]).T @ x
-        yield pd.DataFrame({"i": np.arange(d), "row": list(total)})
+        for batch in batches:
+            b = _Batch(batch, numeric, families, center)
+            hazard, own = _find(lookup, b.stratum, b.t)
+            total += b.products(np.exp(b.linear(beta)) * (hazard - b.died * own))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), _lists(total)], ["i", "v"])
+
+    return _square(design.rows.mapInArrow(partial, "i int, v array<double>"))
 
-    pieces = design.rows.mapInPandas(partial, "i int, row array<double>")
-    merged = pieces.groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(d)]).toPandas()
-    return merged.sort_values("i")[[f"c{j}" for j in range(d)]].to_numpy(float)
+
+def _square(pieces: DataFrame) -> np.ndarray:
+    """The summed d x d matrix of row pieces."""
+    merged = _merge_lists(pieces, ["i"], "i int").toPandas().sort_values("i")
+    return np.stack(merged["v"].to_numpy())
 
 
 def _likelihood(hazards: dict, beta: np.ndarray) -> float:
@@ -255,17 +358,9 @@ def fit(cohort: DataFrame, *, strata: Sequence[str] = (), penalizer: float = PEN
     d = len(design.names)
     if d == 0:
         raise ValueError("no covariate varies in this cohort")
-    design = Design(materialize(design.rows), design.names)
-    at = [F.col("x")[i] for i in range(d)]
-    stats = design.rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"),
-                            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(at)],
-                            *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(at)]).first()
-    n, events = int(stats["n"]), int(stats["e"] or 0)
+    n, events, mean, scale = _moments(design)
     if events == 0:
         raise ValueError("no events to fit")
-    mean = np.array([stats[f"m{i}"] for i in range(d)], float)
-    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(d)], float)
-    scale[scale == 0] = 1.0
     ridge = n * penalizer * scale**2
     beta, best = np.zeros(d), -np.inf
     step = np.zeros(d)
@@ -293,6 +388,25 @@ def fit(cohort: DataFrame, *, strata: Sequence[str] = (), penalizer: float = PEN
                   list(strata), design, table)
 
 
+def _moments(design: Design) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Rows, events, centres (numeric means, 0 for indicators) and spreads of the columns."""
+    stats = design.rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), *[F.avg(c).alias(f"m_{c}") for c in design.numeric],
+        *[F.stddev_samp(c).alias(f"s_{c}") for c in design.numeric]).first()
+    n = int(stats["n"])
+    pairs = [F.struct(F.lit(f).alias("f"), F.col(f"_{f}").alias("code")) for f in design.families]
+    counts = {(r["f"], r["code"]): r["count"] for r in design.rows.select(F.inline(F.array(*pairs)))
+              .groupBy("f", "code").count().collect()} if pairs else {}  # one row per level
+    mean = [stats[f"m_{c}"] for c in design.numeric]
+    scale = [stats[f"s_{c}"] or 1.0 for c in design.numeric]
+    for f, levels in design.families.items():
+        for i in range(len(levels)):
+            p = counts.get((f, i + 1), 0) / n
+            mean.append(0.0)
+            scale.append(float(np.sqrt(p * (1 - p) * n / max(n - 1, 1))) or 1.0)
+    return n, int(stats["e"] or 0), np.array(mean, float), np.array(scale, float)
+
+
 def _derivatives(design: Design, table: pd.DataFrame, hazards: dict, beta: np.ndarray,
                  center: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s1, d1 = hazards["risk1"], hazards["d1"]
@@ -313,35 +427,32 @@ def _robust_meat(design: Design, table: pd.DataFrame, hazards: dict, beta: np.nd
     shift = hazards["step"][:, None] * mean
     for block in hazards["blocks"]:
         shift[block] = np.cumsum(shift[block], axis=0)
-    lookup = {s: (g["t"].to_numpy(), hazards["breslow"][g.index], shift[g.index], mean[g.index])
-              for s, g in table.groupby("stratum")}
-
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for stratum, part in frame.groupby("stratum"):
-                t, hazard, moved, xbar = lookup[stratum]
-                at = np.searchsorted(t, part["t"].to_numpy(float))
-                x, died = _matrix(part) - center, part["event"].to_numpy(float)
-                weight = np.exp(x @ beta)
-                score = died[:, None] * (x - xbar[at]) - weight[:, None] * (x * hazard[at][:, None] - moved[at])
-                section, index = np.unique(part["section_id"].to_numpy(), return_inverse=True)
-                sums = np.zeros((len(section), d))
-                np.add.at(sums, index, score)
-                yield pd.DataFrame({"section_id": section, "score": list(sums)})
-
-    pieces = design.rows.mapInPandas(scores, "section_id string, score array<double>")
+    lookup = _lookup(table, hazards["breslow"], shift, mean)
+    numeric, families = design.numeric, design.families
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Batch(batch, numeric, families, center)
+            hazard, moved, xbar = _find(lookup, b.stratum, b.t)
+            x, weight = b.dense(), np.exp(b.linear(beta))
+            score = b.died[:, None] * (x - xbar) - weight[:, None] * (x * hazard[:, None] - moved)
+            index, section = pd.factorize(b.section.to_numpy(zero_copy_only=False))
+            order = np.argsort(index, kind="stable")
+            edges = np.searchsorted(index[order], np.arange(len(section)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(section, pa.string()), _lists(np.add.reduceat(score[order], edges, axis=0))], ["section_id", "score"])
+
+    pieces = design.rows.mapInArrow(scores, "section_id string, score array<double>")
     per_section = pieces.groupBy("section_id").agg(*[F.sum(F.col("score")[i]).alias(f"u{i}") for i in range(d)])
 
-    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
-        for frame in batches:
-            u = frame[[f"u{i}" for i in range(d)]].to_numpy(float)
+        for batch in batches:
+            u = np.column_stack([batch.column(f"u{i}").to_numpy(zero_copy_only=False) for i in range(d)])
             total += u.T @ u
-        yield pd.DataFrame({"i": np.arange(d), "row": list(total)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), _lists(total)], ["i", "v"])
 
-    merged = per_section.mapInPandas(outer, "i int, row array<double>").groupBy("i").agg(
-        *[F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(d)]).toPandas()
-    return merged.sort_values("i")[[f"c{j}" for j in range(d)]].to_numpy(float)
+    return _square(per_section.mapInArrow(outer, "i int, v array<double>"))
 
 
 # ------------------------------------------------------------------ test and refit
@@ -412,16 +523,20 @@ def predict(test: DataFrame, fitted: CoxFit, horizon: str, fallback: str, name:
     if depts is not None:
         rows = rows.withColumn("_dept", F.col("dept_group")).withColumn(
             "dept_group", F.when(F.col("subject").isin(*depts), F.col("subject")).otherwise("OTHER"))
-    levels = [tuple(n.split("=", 1)) for n in fitted.names if "=" in n]
-    columns = design_columns(rows, levels)
-    known = F.lit(True)
-    for c in NUMERIC:
-        known = known & columns[c].isNotNull() & ~F.isnan(columns[c]) & (F.abs(columns[c]) < F.lit(float("inf")))
     linear = F.lit(0.0)
-    for c, b, m in zip(fitted.names, fitted.beta, fitted.means):
-        linear = linear + (columns[c] - F.lit(float(m))) * F.lit(float(b))
-    rows = rows.withColumns({"_linear": linear, "_known": known, "_h": F.greatest(F.col(horizon), F.lit(0.0)),
-                             "_stratum": F.lit("")})
+    for name, beta, mean in zip(fitted.names, fitted.beta, fitted.means):
+        if "=" not in name:
+            linear = linear + (_numeric(name) - F.lit(float(mean))) * F.lit(float(beta))
+    families: dict[str, list[float]] = {}
+    for name, beta in zip(fitted.names, fitted.beta):
+        if "=" in name:
+            families.setdefault(name.split("=", 1)[0], []).append(float(beta))
+    codes = {f: [n.split("=", 1)[1] for n in fitted.names if n.startswith(f"{f}=")] for f in families}
+    rows = _coded(rows, codes)
+    for f, effects in families.items():
+        linear = linear + F.element_at(F.array(F.lit(0.0), *[F.lit(e) for e in effects]), F.col(f"_{f}") + 1)
+    rows = rows.withColumns({"_linear": linear, "_known": _usable(), "_h": F.greatest(F.col(horizon), F.lit(0.0)),
+                             "_stratum": F.lit("")}).drop(*[f"_{f}" for f in families])
     steps = spark.createDataFrame(
         fitted.baseline.rename(columns={"stratum": "_stratum"})[["_stratum", "t", "survival"]],
         "_stratum string, t double, survival double")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.session import materialize
+from turnwise.session import lookup_side, materialize
 
 CHUNK_ROWS_CONF = "spark.turnwise.chunkRows"
 DEFAULT_CHUNK_ROWS = 2_000_000
@@ -217,10 +217,11 @@ def read_steps(
     """
     keys = list(keys)
     step_side, point_side = 1, 0 if left else 2
+    # written once: finding the points may be costly and they are read twice
+    points = materialize(points.select(*keys, F.col("at").cast("double").alias("at")).distinct())
     merged = points.select(
-        *keys, F.col("at").cast("double").alias("at"), F.lit(point_side).alias("_side"),
-        F.lit(None).cast("double").alias("_v"),
-    ).distinct().unionByName(steps.select(
+        *keys, "at", F.lit(point_side).alias("_side"), F.lit(None).cast("double").alias("_v"),
+    ).unionByName(steps.select(
         *keys, F.col(step_at).cast("double").alias("at"), F.lit(step_side).alias("_side"),
         F.col(value).cast("double").alias("_v")))
     splits = plan_splits(merged, keys, "at")
@@ -238,5 +239,5 @@ def step_lookup(
     read = read_steps(points, steps, keys, step_at, value, left=left).select(
         *[F.col(k).alias(f"_q_{k}") for k in keys], F.col("at").alias("_q_at"), F.col("value").alias("_q_value"))
     on = _null_safe(keys, "_q_") & F.col(at).cast("double").eqNullSafe(F.col("_q_at"))
-    out = queries.join(read, on, "left").withColumn(name, F.coalesce("_q_value", F.lit(default)))
+    out = queries.join(lookup_side(read), on, "left").withColumn(name, F.coalesce("_q_value", F.lit(default)))
     return out.drop("_q_value", "_q_at", *[f"_q_{k}" for k in keys])

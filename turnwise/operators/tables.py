@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.scalars import curve_at
 from turnwise.operators import km
-from turnwise.operators.boot import N_BOOT, curve_bands
+from turnwise.operators.boot import N_BOOT, curve_bands, section_counts
 from turnwise.operators.scans import step_lookup
+
 from turnwise.schema import BUCKET_ORDER, CURVE_DAYS, HORIZONS, LEVEL_ORDER, PHASE_ORDER
+from turnwise.session import lookup_side, materialize
 
 MIN_N = 30
 CELL = ["kind", "key", "bucket"]
@@ -38,22 +40,24 @@ def curve_points(cells: DataFrame, min_n: int = MIN_N, *, n_boot: int = N_BOOT,
 
     The grid is the fixed days inside the cell's follow-up plus its end.
     """
-    sizes = cells.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"),
-        F.count_distinct("section_id").alias("sections"), F.max("duration_days").alias("_reach"))
-    sizes = sizes.where(F.col("n") >= min_n)
-    cells = cells.join(sizes.select(*CELL), CELL, "left_semi")
-    points = km.curves(km.event_table(cells, CELL), CELL)
+    counts = materialize(section_counts(cells, CELL))  # sizes, curves and bands all read it
+    sizes = counts.groupBy(*CELL).agg(
+        F.sum("n").alias("n"), F.sum("d").alias("events"),
+        F.count_distinct("section_id").alias("sections"), F.max("t").alias("_reach"))
+    sizes = lookup_side(sizes.where(F.col("n") >= min_n))
+    counts = counts.join(sizes.select(*CELL), CELL, "left_semi")
+    events = materialize(counts.groupBy(*CELL, "t").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
+    points = km.curves(events, CELL)
     median = km.medians(points, CELL).select(*CELL, "median_days")
     fixed = F.filter(F.array(*[F.lit(float(d)) for d in CURVE_DAYS]), lambda d: d <= F.col("_reach"))
     grid = F.when(F.size(fixed) == 0, F.array(F.round("_reach", 2))).when(
         F.try_element_at(fixed, F.lit(-1)) < F.col("_reach"), F.concat(fixed, F.array(F.round("_reach", 2)))
     ).otherwise(fixed)
-    asked = sizes.join(median, CELL).select(
+    asked = lookup_side(median.join(sizes, CELL)).select(
         *CELL, "n", "events", "sections", F.col("_reach").alias("reach"), "median_days", F.explode(grid).alias("day"))
     read = step_lookup(asked, points, CELL, "day", "t", "survival", "_s")
     if n_boot > 0:
-        bands = curve_bands(cells, CELL, asked.select(*CELL, "day"), n_boot=n_boot, seed=seed)
+        bands = curve_bands(counts, CELL, asked.select(*CELL, "day"), n_boot=n_boot, seed=seed)
         read = read.join(bands, [*CELL, "day"], "left")
     else:
         read = read.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})

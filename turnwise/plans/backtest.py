@@ -18,7 +18,7 @@ from turnwise.functions.scalars import horizon_days
 from turnwise.operators import cox, km
 from turnwise.operators.boot import bootstrap_gain
 from turnwise.operators.scans import Scan, plan_splits, read_steps, scan, step_lookup
-from turnwise.session import materialize
+from turnwise.session import checked_broadcast, lookup_side, materialize
 
 # Predictors, gates, weight floor.
 PREDICTORS = ("bucket", "dept", "course", "site", "cox")
@@ -72,11 +72,10 @@ def grouped_folds(cohort: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame
 
 @dataclass
 class Curves:
-    """Fitted curves of all folds and the lookups the predictors need."""
+    """Fitted curves of all folds and the cells they belong to."""
 
-    points: DataFrame  # fold, kind, key, bucket, t, survival
-    cells: DataFrame  # fold, kind, key, bucket, n, lead
-    depts: DataFrame  # fold, dept_group
+    points: DataFrame  # cell, t, survival
+    cells: DataFrame  # fold, kind, key, bucket, n, lead, cell (null below the row minimum)
 
 
 def _expand(rows: DataFrame, folds: Sequence[int] | None) -> DataFrame:
@@ -107,77 +106,66 @@ def fit_curves(train: DataFrame, *, min_n: int = 30, folds: Sequence[int] | None
     rows = rows.select("fold", "c.*", F.col("duration_days").alias("t"), "event", "days_to_instruction")
     rows = rows.where(F.col("key").isNotNull() & F.col("bucket").isNotNull())
     events = rows.groupBy(*CURVE, "t").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("d"))
-    events = _expand(events, folds).groupBy(*CURVE, "t").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    if folds is not None:
+        events = _expand(events, folds).groupBy(*CURVE, "t").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     events = materialize(events)
     lead = rows.where("kind IN ('bucket', 'course')").groupBy(*CURVE, "days_to_instruction").agg(
         F.count(F.lit(1)).alias("_m"))
-    lead = _expand(lead, folds).groupBy(*CURVE, "days_to_instruction").agg(F.sum("_m").alias("_m"))
+    if folds is not None:
+        lead = _expand(lead, folds).groupBy(*CURVE, "days_to_instruction").agg(F.sum("_m").alias("_m"))
     lead = lead.groupBy(*CURVE).agg(F.percentile("days_to_instruction", F.lit(0.5), F.col("_m")).alias("lead"))
-    sizes = events.groupBy(*CURVE).agg(F.sum("n").alias("n"), F.sum("d").alias("events")).join(lead, CURVE, "left")
+    sizes = events.groupBy(*CURVE).agg(F.sum("n").alias("n")).join(lead, CURVE, "left")
     enough = F.col("kind").isin("all", "bucket") | (F.col("n") >= min_n)
-    fitted = events.join(sizes.where(enough).select(*CURVE), CURVE, "left_semi")
-    points = km.curves(fitted, CURVE)
-    cells_out = materialize(sizes.withColumn("fitted", enough))
-    depts = cells_out.where("kind = 'dept'").select("fold", F.col("key").alias("dept_group")).distinct()
-    return Curves(points.select(*CURVE, "t", "survival"), cells_out, depts)
-
-
-def _cell(cells: DataFrame, kind: str, only_fitted: bool = True) -> DataFrame:
-    rows = cells.where(F.col("kind") == kind)
-    return rows.where("fitted") if only_fitted else rows
+    # written before use, so the numbers stay what they are
+    cells = materialize(sizes.withColumn("cell", F.when(enough, F.monotonically_increasing_id())))
+    named = checked_broadcast(cells.where("cell IS NOT NULL").select(*CURVE, "cell"))
+    fitted = events.join(named, CURVE).groupBy("cell", "t").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return Curves(km.curves(fitted, ["cell"]).select("cell", "t", "survival"), cells)
 
 
 def predict_curves(test: DataFrame, curves: Curves) -> DataFrame:
     """Add p_bucket, p_dept, p_course, course_level, p_site and site_fallback.
 
-    ``test`` has ``fold`` and ``h``. The distinct (curve, time) pairs of all four
-    predictors are read in one ordered pass.
+    ``test`` has ``fold`` and ``h``. Each row finds the cells of its ladder
+    (course, department, bucket, all); the distinct (cell, time) pairs of all
+    four predictors are then read in one ordered pass.
     """
-    key = lambda kind, name: _cell(curves.cells, kind).select(
-        "fold", F.col("key").alias(f"_{name}_key"), F.col("bucket").alias("position_bucket"), F.lit(True).alias(f"_{name}"))
-    subjects = curves.depts.select("fold", F.col("dept_group").alias("subject"), F.lit(True).alias("_known"))
-    rows = test.join(subjects, ["fold", "subject"], "left")
-    rows = rows.withColumn("_dept_key", F.when(F.col("_known"), F.col("subject")).otherwise("OTHER"))
-    rows = rows.join(key("dept", "dept"), ["fold", "_dept_key", "position_bucket"], "left")
-    rows = rows.withColumn("_course_key", F.col("course_key"))
-    rows = rows.join(key("course", "course"), ["fold", "_course_key", "position_bucket"], "left")
-    rows = rows.join(key("bucket", "bucket").drop("_bucket_key"), ["fold", "position_bucket"], "left")
-    lead = lambda kind, name: _cell(curves.cells, kind, False).select(
-        "fold", F.col("key").alias("_lead_key"), F.col("bucket").alias("position_bucket"), F.col("lead").alias(name),
-        F.lit(True).alias(f"{name}_known"))
-    rows = rows.withColumn("_lead_key", F.col("course_key"))
-    rows = rows.join(lead("course", "_course_lead"), ["fold", "_lead_key", "position_bucket"], "left")
-    rows = rows.join(lead("bucket", "_bucket_lead").drop("_lead_key"), ["fold", "position_bucket"], "left")
-    typical = _cell(curves.cells, "bucket").groupBy("fold").agg(F.percentile("lead", 0.5).alias("_any_lead"))
-    rows = rows.join(typical, "fold", "left")
-
-    spot = lambda kind, k, b: F.struct(F.lit(kind).alias("kind"), k.alias("key"), b.alias("bucket"))
-    none, place = F.lit(""), F.col("position_bucket")
-    bucket = F.when(F.col("_bucket"), spot("bucket", none, place)).otherwise(spot("all", none, none))
-    dept = F.when(F.col("_dept"), spot("dept", F.col("_dept_key"), place)).otherwise(bucket)
-    course = F.when(F.col("_course"), spot("course", F.col("_course_key"), place)).otherwise(dept)
-    has_lead = F.coalesce("_course_lead_known", F.lit(False))
-    site_at = F.when(has_lead, F.col("_course_lead")).otherwise(F.coalesce("_bucket_lead", "_any_lead", F.lit(0.0)))
+    cells = checked_broadcast(curves.cells)
+    hint = F.broadcast if cells is not curves.cells else (lambda df: df)
+    of = lambda kind: curves.cells.where(F.col("kind") == kind)
+    place = F.col("bucket").alias("position_bucket")
+    depts = hint(of("dept").select("fold", F.col("key").alias("subject"), F.lit(True).alias("_known")).distinct())
+    dept = hint(of("dept").select("fold", F.col("key").alias("_dept"), place, F.col("cell").alias("_c_dept")))
+    course = hint(of("course").select("fold", F.col("key").alias("course_key"), place, F.col("cell").alias("_c_course"),
+                                      F.col("lead").alias("_course_lead"), F.lit(True).alias("_has_lead")))
+    bucket = hint(of("bucket").select("fold", place, F.col("cell").alias("_c_bucket"), F.col("lead").alias("_bucket_lead")))
+    every = hint(of("all").select("fold", F.col("cell").alias("_c_all")).join(
+        of("bucket").groupBy("fold").agg(F.percentile("lead", 0.5).alias("_any_lead")), "fold", "left"))
+    rows = test.join(depts, ["fold", "subject"], "left")
+    rows = rows.withColumn("_dept", F.when(F.col("_known"), F.col("subject")).otherwise("OTHER"))
+    rows = rows.join(dept, ["fold", "_dept", "position_bucket"], "left")
+    rows = rows.join(course, ["fold", "course_key", "position_bucket"], "left")
+    rows = rows.join(bucket, ["fold", "position_bucket"], "left").join(every, "fold", "left")
+    rows = rows.withColumn("_bucket", F.coalesce("_c_bucket", "_c_all"))
+    rows = rows.withColumn("_by_dept", F.coalesce("_c_dept", "_bucket"))
+    rows = rows.withColumn("_by_course", F.coalesce("_c_course", "_by_dept"))
+    lead = F.coalesce("_course_lead", "_bucket_lead", "_any_lead", F.lit(0.0))
     rows = rows.withColumns({
-        "_at_bucket": bucket, "_at_dept": dept, "_at_course": course,
-        "_at_site": F.when(has_lead, course).otherwise(bucket),
-        "_h": F.greatest("h", F.lit(0.0)), "_h_site": F.greatest(site_at, F.lit(0.0)),
-        "site_fallback": ~has_lead,
+        "_by_site": F.when(F.col("_has_lead"), F.col("_by_course")).otherwise(F.col("_bucket")),
+        "_at": F.greatest("h", F.lit(0.0)), "_at_site": F.greatest(lead, F.lit(0.0)),
+        "site_fallback": F.col("_has_lead").isNull(),
+        "course_level": F.when(F.col("_c_course").isNotNull(), "course").when(F.col("_c_dept").isNotNull(), "dept")
+        .when(F.col("_c_bucket").isNotNull(), "bucket").otherwise("all"),
     })
-    times = {"bucket": "_h", "dept": "_h", "course": "_h", "site": "_h_site"}
-    asked = rows.select("fold", F.explode(F.array_distinct(F.array(*[
-        F.struct(F.col(f"_at_{p}").alias("c"), F.col(h).alias("at")) for p, h in times.items()]))).alias("q"))
-    asked = asked.select("fold", "q.c.*", "q.at").distinct()
-    read = materialize(read_steps(asked, curves.points, CURVE, "t", "survival"))
-    for p, h in times.items():
-        side = read.select(F.col("fold"), F.struct("kind", "key", "bucket").alias(f"_at_{p}"), F.col("at").alias(h),
-                           F.col("value").alias(f"_s_{p}"))
-        rows = rows.join(side, ["fold", f"_at_{p}", h], "left")
-    share = lambda p: F.lit(1.0) - F.coalesce(f"_s_{p}", F.lit(1.0))
-    keep = [c for c in test.columns]
+    reads = {"_bucket": "_at", "_by_dept": "_at", "_by_course": "_at", "_by_site": "_at_site"}
+    asked = rows.select(F.inline(F.array(*[F.struct(F.col(c).alias("cell"), F.col(h).alias("at")) for c, h in reads.items()])))
+    read = lookup_side(read_steps(asked, curves.points, ["cell"], "t", "survival"))
+    for c, h in reads.items():
+        side = read.select(F.col("cell").alias(c), F.col("at").alias(h), (F.lit(1.0) - F.coalesce("value", F.lit(1.0))).alias(f"p{c}"))
+        rows = rows.join(side, [c, h], "left")
     return rows.select(
-        *keep, share("bucket").alias("p_bucket"), share("dept").alias("p_dept"), share("course").alias("p_course"),
-        F.col("_at_course.kind").alias("course_level"), F.round(share("site"), 2).alias("p_site"), "site_fallback")
+        *test.columns, F.col("p_bucket"), F.col("p_by_dept").alias("p_dept"), F.col("p_by_course").alias("p_course"),
+        "course_level", F.round("p_by_site", 2).alias("p_site"), "site_fallback")
 
 
 def observability(test: DataFrame) -> Column:

@@ -233,7 +233,7 @@ def bootstrap_gain(spark, d):
 def bootstrap_band(spark, d):
     c = cohort(spark, d).withColumnRenamed("position_bucket", "bucket")
     grid = c.select("bucket").distinct().select("bucket", F.explode(F.array(*[F.lit(float(x)) for x in (7, 14, 28)])).alias("day"))
-    return boot.curve_bands(c, ["bucket"], grid)
+    return boot.curve_bands(boot.section_counts(c, ["bucket"]), ["bucket"], grid)
 
 
 @query("backtest_scores")

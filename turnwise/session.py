@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,3 +48,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later plans read the written rows instead of recomputing them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(table: DataFrame) -> DataFrame:
+    """Broadcast a written table only when its row count is within ``BROADCAST_ROWS``."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def lookup_side(df: DataFrame) -> DataFrame:
+    """A lookup table for a join: written once, counted, broadcast when small; a larger
+    one is joined by shuffle."""
+    return checked_broadcast(materialize(df))
