@@ -524,13 +524,12 @@ def predict(test: DataFrame, fitted: CoxFit, horizon: str, fallback: str, name:
         rows = rows.withColumn("_dept", F.col("dept_group")).withColumn(
             "dept_group", F.when(F.col("subject").isin(*depts), F.col("subject")).otherwise("OTHER"))
     linear = F.lit(0.0)
-    for name, beta, mean in zip(fitted.names, fitted.beta, fitted.means):
-        if "=" not in name:
-            linear = linear + (_numeric(name) - F.lit(float(mean))) * F.lit(float(beta))
     families: dict[str, list[float]] = {}
-    for name, beta in zip(fitted.names, fitted.beta):
-        if "=" in name:
-            families.setdefault(name.split("=", 1)[0], []).append(float(beta))
+    for column, beta, mean in zip(fitted.names, fitted.beta, fitted.means):
+        if "=" in column:
+            families.setdefault(column.split("=", 1)[0], []).append(float(beta))
+        else:
+            linear = linear + (_numeric(column) - F.lit(float(mean))) * F.lit(float(beta))
     codes = {f: [n.split("=", 1)[1] for n in fitted.names if n.startswith(f"{f}=")] for f in families}
     rows = _coded(rows, codes)
     for f, effects in families.items():
