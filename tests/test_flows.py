@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnwise.operators import flows as fl
 from turnwise.schema import FLOW_COLUMNS, FLOW_NAMES
@@ -87,6 +88,10 @@ def test_outages(spark):
     assert censored(log((minute(40), None, "outage", None))) == [False, True, True]
     assert censored(log((minute(30), minute(31), "outage", None))) == [True, True, False]  # touching the start counts
     assert all(r["censored"] for r in fl.interval_flows(p, max_interval_min=29).collect())
+    many = log((minute(40), minute(50), "outage", "2268"), (minute(75), None, "source_switch", None), (minute(80), None, "outage", "2272"))
+    rows = fl.interval_flows(p).drop("censored").withColumn("term_id", F.lit("2268"))
+    by_day = fl.attach_outages(rows, many, inline_limit=0).orderBy("t0").collect()
+    assert [r["_outage"] for r in by_day] == [r["_outage"] for r in fl.attach_outages(rows, many).orderBy("t0").collect()]
 
 
 def test_summary_and_totals(spark):

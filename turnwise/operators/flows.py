@@ -35,31 +35,35 @@ def overlaps(t0: Column, t1: Column, term: Column, outage: Column) -> Column:
     return same_term & F.when(moment, (t0 <= start) & (start <= t1)).otherwise(span)
 
 
-def attach_outages(intervals: DataFrame, outages: DataFrame) -> DataFrame:
+INLINE_OUTAGES = 1_000
+
+
+def attach_outages(intervals: DataFrame, outages: DataFrame, inline_limit: int = INLINE_OUTAGES) -> DataFrame:
     """Add ``_outage``: whether any logged outage touches [t0, t1].
 
-    Outages are cut into the UTC days they cover and matched on the day, so a
-    long log is an ordinary equi-join; an open end is closed at the last t1.
+    A log of at most ``inline_limit`` rows (the usual, hand-kept case) travels as
+    one array next to the intervals and moves nothing. A longer one is cut into
+    the UTC days it covers and matched by day.
     """
+    listed = F.struct("start", "end", "kind", "term_id")
+    if outages.count() <= inline_limit:
+        log = outages.agg(F.collect_list(listed).alias("_log")).withColumn("_one", F.lit(1))
+        rows = intervals.withColumn("_one", F.lit(1)).join(F.broadcast(log), "_one").drop("_one")  # one row
+        hit = F.exists("_log", lambda o: overlaps(F.col("t0"), F.col("t1"), F.col("term_id"), o))
+        return rows.withColumn("_outage", F.coalesce(hit, F.lit(False))).drop("_log")
     last = intervals.agg(F.max("t1").alias("_last")).withColumn("_one", F.lit(1))
-    day = lambda c: F.to_date(c)
-    spans = (
-        outages.select(F.struct("start", "end", "kind", "term_id").alias("_o"), F.lit(1).alias("_one"))
-        .join(F.broadcast(last), "_one")  # one row
-        .withColumn("_stop", F.when(F.col("_o.end").isNull() & (F.col("_o.kind") != "outage"), F.col("_o.start"))
-                    .otherwise(F.greatest(F.coalesce("_o.end", "_last"), F.col("_o.start"))))
-        .withColumn("_day", F.explode(F.sequence(day(F.col("_o.start")), day(F.col("_stop")))))
-        .select("_o", "_day")
-    )
-    keyed = intervals.withColumn("_days", F.sequence(day(F.col("t0")), day(F.col("t1"))))
-    pairs = keyed.select("section_id", "t0", "t1", "term_id", F.explode("_days").alias("_day"))
+    stop = F.when(F.col("_o.end").isNull() & (F.col("_o.kind") != "outage"), F.col("_o.start")).otherwise(
+        F.greatest(F.coalesce("_o.end", "_last"), F.col("_o.start")))  # an open end is closed at the last t1
+    spans = outages.select(listed.alias("_o"), F.lit(1).alias("_one")).join(F.broadcast(last), "_one").select(
+        "_o", F.explode(F.sequence(F.to_date("_o.start"), F.to_date(stop))).alias("_day"))
+    pairs = intervals.select("section_id", "t0", "t1", "term_id", F.explode(
+        F.sequence(F.to_date("t0"), F.to_date("t1"))).alias("_day"))
     hit = (
         pairs.join(spans, "_day")
         .where(overlaps(F.col("t0"), F.col("t1"), F.col("term_id"), F.col("_o")))
         .select("section_id", "t0").distinct().withColumn("_outage", F.lit(True))
     )
-    return keyed.drop("_days").join(hit, ["section_id", "t0"], "left").withColumn(
-        "_outage", F.coalesce("_outage", F.lit(False)))
+    return intervals.join(hit, ["section_id", "t0"], "left").withColumn("_outage", F.coalesce("_outage", F.lit(False)))
 
 
 def interval_flows(
