@@ -54,11 +54,18 @@ def chunk_rows(df: DataFrame) -> int:
 
 
 def _surely_small(df: DataFrame) -> bool:
-    """True when the optimizer's own size bound says no key can be large."""
+    """True when all tables under the plan together are too small to hold a hot key.
+
+    The sizes of the plan's leaves are added up; a join's own estimate multiplies
+    them. Getting this wrong costs time, not rows: the plain window spills.
+    """
     if df.sparkSession.conf.get(CHUNK_ROWS_CONF, None) is not None:
         return False
     try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        size = 0
+        while leaves.hasNext():
+            size += int(leaves.next().stats().sizeInBytes().toString())
     except Exception:  # noqa: BLE001 - a remote session has no JVM handle; count instead
         return False
     return 0 < size < SMALL_BYTES

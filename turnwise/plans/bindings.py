@@ -20,18 +20,15 @@ COHORT_START_US = 1_773_964_800_000_000  # 2026-03-20 00:00 UTC
 HALF_HOUR_US = 1_800_000_000
 
 
-FACTS = ("lineitem", "orders", "events")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as stored. A fact table in fewer pieces than there are cores (one small
-    file) is dealt out first; a table of many files is left as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in FACTS:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when they come in fewer pieces than there are cores (one small file);
+    a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def us(column: str, name: str | None = None):
@@ -163,9 +160,11 @@ def row_id():
 PLACES = (1, 3, 7, 12, 18, 30, 50)
 
 
-def cohort_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cohort_from_lineitem(spark: SparkSession, sf_dir: str, dealt_out: bool = False) -> DataFrame:
     """Joiners: a line is a joiner, its part the section, brand and part group the course."""
     line = table(spark, sf_dir, "lineitem")
+    if dealt_out:
+        line = spread(line)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     rows = line.join(part, "l_partkey")
     place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), F.col("l_linenumber"))

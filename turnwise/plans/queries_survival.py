@@ -127,7 +127,7 @@ _PRED_OUT = """SELECT row_id, round(p_bucket,6) AS p_bucket, round(p_dept,6) AS
 
 
 def _predictions(spark, d, split: str):
-    c = cohort(spark, d)
+    c = b.cohort_from_lineitem(spark, d, dealt_out=True)
     if split == "temporal":
         train, test = bt.temporal_split(c, SPLIT_AT)
         return bt.predict_split(train.withColumn("fold", F.lit(0)), test.withColumn("fold", F.lit(0)), b.CALENDAR, WHICH)[0]
@@ -238,7 +238,7 @@ def bootstrap_band(spark, d):
 
 @query("backtest_scores")
 def backtest_scores(spark, d):
-    run = bt.run_backtest(cohort(spark, d), b.CALENDAR, split="temporal", which=WHICH, split_at=SPLIT_AT)
+    run = bt.run_backtest(b.cohort_from_lineitem(spark, d, dealt_out=True), b.CALENDAR, split="temporal", which=WHICH, split_at=SPLIT_AT)
     return run.tables["metrics"]
 
 
