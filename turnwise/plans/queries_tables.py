@@ -418,3 +418,29 @@ def nearest_courses(spark, d):
 def suggest_courses(spark, d):
     return rs.suggest_courses(b.table(spark, d, "part").select(F.substring("p_name", 1, 5).alias("query")),
                               name_index(spark, d), name_vocabulary(spark, d))
+
+
+# ---------------------------------------------------------------------- course rankings
+
+_JOINED = f"""{_CELLS}, jn AS (SELECT course_key, count(*) AS joins FROM cohort GROUP BY 1),
+ ix AS (SELECT r.course_key, any_value(r.dept) AS subject, any_value(joins) AS joins, coalesce(bool_or(own AND bucket='6-15'), false) AS stands, bool_or(own) AS any_own,
+   coalesce(bool_or(bucket='6-15' AND coalesce(pooled,'')<>'all'), false) AS fit FROM resolved r JOIN jn USING (course_key) GROUP BY 1)"""
+
+
+def ranked_index(spark, d):
+    """The index with the number of joiners standing in for reconstructed joins."""
+    pool = pools(spark, d)
+    joins = cohort(spark, d).groupBy("course_key").agg(F.count(F.lit(1)).alias("joins"))
+    return tb.index_rows(cells(spark, d, pool), pool, joins)
+
+
+@query("top_courses", f"WITH {_JOINED} SELECT course_key, joins FROM ix ORDER BY CASE WHEN stands THEN 0 WHEN any_own THEN 1 ELSE 2 END, joins DESC, course_key LIMIT 10")
+def top_courses(spark, d):
+    return tb.top_courses(ranked_index(spark, d), 10).select("course_key", "joins")
+
+
+@query("related_courses", f"""WITH {_JOINED} SELECT * FROM (SELECT a.course_key, row_number() OVER (PARTITION BY a.course_key ORDER BY z.joins DESC, z.course_key) AS rank, z.course_key AS related,
+  z.joins AS related_joins FROM ix a JOIN ix z ON z.subject=a.subject AND z.course_key<>a.course_key AND z.fit) WHERE rank<=5""")
+def related_courses(spark, d):
+    out = tb.related_courses(materialize(ranked_index(spark, d)))
+    return out.select("course_key", F.col("rank").cast("long").alias("rank"), "related", "related_joins")
