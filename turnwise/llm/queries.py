@@ -1,5 +1,5 @@
 """Imports every module of this subpackage that registers queries."""
 from __future__ import annotations
 
-from turnwise.llm import chat, curriculum, quality_model, rules, shards, tokens, toxicity  # noqa: F401
+from turnwise.llm import chat, curriculum, ngram_join, quality_model, rules, shards, tokens, toxicity  # noqa: F401
 from turnwise.llm.registry import ORACLE, QUERIES  # noqa: F401
