@@ -87,6 +87,12 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
             .withColumn("containment", F.col("n_found") / F.col("n_item_shingles")))
 
 
+def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item; rows without doc_id stay unless a row without doc_id holds one."""
+    found = stored(contained_items(docs, items).select(F.col("doc_id").alias("_found_in")).distinct())
+    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("_found_in")), "left_anti")
+
+
 _SQL = """
 WITH i AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -41,6 +41,8 @@ WIDTH = 5
 CHUNK, CHUNK_SHINGLES = 1000, 2_000_000
 #: Document frequencies are told apart up to here; it only orders shingles, and bounds what a task holds of one.
 FREQUENT = 1 << 20
+#: Ids up to which the rows to drop are broadcast.
+BROADCAST_ROWS = 200_000
 _ROWS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -406,6 +408,26 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row whose doc_id is the smallest stays.
+
+    Rows of an equal doc_id and text are one row here; rows without doc_id stay. Ids are what is joined, never texts,
+    except for doc_ids that occur more than once.
+    """
+    found = stored(ngram_components(docs))
+    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1") \
+        .select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return left
+    here = F.col("doc_id") == F.col("_again")
+    repeated = left.join(again, here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, here, "left_anti").unionByName(repeated)
+
+
 _SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -244,14 +244,18 @@ def train_span_classifier(proposed: DataFrame) -> dict[str, float]:
 
 
 def decided_spans(proposed: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """doc_id and the spans that stay: base ones and those the classifier accepts; each has its score."""
+    """doc_id and the spans that stay: base ones and those the classifier accepts; each has its score.
+
+    A match of a base pattern that fails its rule (a checksum, a range, a number of digits) is never added: it only
+    teaches the classifier what such spans look like.
+    """
     def scored(s: Column) -> Column:
         total = F.aggregate(F.concat(F.array(s["kind"]), s["traits"]), F.lit(0.0),
                             lambda a, t: a + _lookup(weights, t, 0.0))
         return F.struct(s["kind"].alias("kind"), s["base"].alias("base"), s["start"].alias("start"),
                         s["stop"].alias("stop"), (1 / (1 + F.exp(-total))).alias("score"))
 
-    kept = F.filter(F.transform("spans", scored), lambda s: s["base"] | (s["score"] >= 0.5))
+    kept = F.filter(F.transform("spans", scored), lambda s: s["base"] | (~s["kind"].isin(*BASE_KINDS) & (s["score"] >= 0.5)))
     return proposed.select("doc_id", F.when(F.size("spans") > 0, kept).alias("spans"))
 
 
