@@ -71,16 +71,10 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
                   lambda hs: F.concat(*[_runs(hs, w, lambda r: F.xxhash64(r)) for w in widths]))
     spread = docs.select("doc_id", F.explode(digests).alias("digest"))
     found = stored(spread.join(_small(keys.select("digest", "item")), "digest").select("doc_id", "item").distinct())
-    pairs = found.join(_small(known), "item").select(
-        F.col("doc_id").alias("_found_in"), "item_id", "item", "n", "shingles")
     flat = F.concat(F.lit(" "), F.array_join(words_of(lower_ascii(F.col("text"))), " "), F.lit(" "))
     held = let(flat, lambda t: F.size(F.filter("shingles", lambda s: F.contains(t, F.concat(F.lit(" "), s, F.lit(" "))))))
-    if found.count() <= BROADCAST_ROWS:
-        # Broadcast pairs of ids only; the items' shingles join afterwards.
-        hits = docs.join(F.broadcast(found.withColumnRenamed("doc_id", "_found_in")),
-                         F.col("doc_id").eqNullSafe(F.col("_found_in"))).join(_small(known), "item")
-    else:
-        hits = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_found_in")))
+    where = found.withColumnRenamed("doc_id", "_found_in")
+    hits = docs.join(_small(where), F.col("doc_id").eqNullSafe(F.col("_found_in"))).join(_small(known), "item")
     return (hits.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item_shingles"),
                         held.cast("long").alias("n_found"))
             .filter("5 * n_found >= 4 * n_item_shingles").distinct()

@@ -112,6 +112,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000,
         .filter(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
     held = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label") \
         .mapInArrow(_fit_batches, "effect binary, bias double").first()
+    if held is None:  # nothing was labelled
+        return fit([], np.zeros(0, np.int64))
     return SubwordModel(np.frombuffer(held["effect"], np.float32), held["bias"])
 
 

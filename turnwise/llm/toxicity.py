@@ -135,6 +135,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000
         .filter(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
     packed = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label") \
         .mapInArrow(_fit_batches, "model binary").first()
+    if packed is None:  # nothing was labelled
+        return fit([], np.zeros(0, np.int64))
     with np.load(io.BytesIO(packed["model"])) as held:
         return FactorizationMachine(float(held["bias"]), held["bucket"], held["weight"], held["factors"])
 
