@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.scalars import normalise_course, parse_stamp, shard_of, subject_slug, term_id_of, verdict
 from turnwise.operators import activity as ac
+from turnwise.operators import flows as fl
 from turnwise.operators import history as hi
 from turnwise.operators import quality as qu
 from turnwise.operators import resolve as rs
@@ -280,7 +281,68 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
     flows = sorted(run(inc.flow_stream, "s_flows"), key=lambda r: r["t0"])
     assert [(r["admits"], r["wl_joins"], r["rule"]) for r in flows] == [(0, 0, "none"), (2, 0, "admit"), (0, 3, "join")]
+    assert [(f["admits"], f["rule"]) for f in sorted(fl.interval_flows(spark.createDataFrame(items, schema)).collect(),
+                                                     key=lambda r: r["t0"])] == [(f["admits"], f["rule"]) for f in flows]
     delta = run(inc.delta_stream, "s_delta")
     assert sorted((r["enrolled_count"], r["waitlist_count"]) for r in delta) == [(100, 5), (102, 3), (102, 6)]
     gaps = run(lambda s: inc.gap_alerts(s, 20.0), "s_gaps")
     assert sorted(r["gap_min"] for r in gaps if not r["silent"]) == [30.0, 30.0, 30.0]
+
+
+def test_flow_stream_is_cut_at_the_tombstone_and_knows_outages(spark, tmp_path):
+    schema = ("section_id string, term_id string, run_started_at timestamp, enrolled_count int, enroll_capacity int, waitlist_count int, "
+              "waitlist_capacity int, reserved_count int, open_reserved int, status string, section_status string, observed boolean")
+    items = [(s, t, T0 + dt.timedelta(minutes=30 * i), 100 + i % 3, 100, (i * 7) % 5, 20, None, None, "O",
+              "GONE" if (s, t, i) in {("1", "2268", 5), ("2", "2272", 2)} else None, i % 4 != 1)
+             for s in "123" for t in ("2268", "2272") for i in range(9)]
+    log = spark.createDataFrame([(T0 + dt.timedelta(minutes=70), T0 + dt.timedelta(minutes=95), "outage", "2268")],
+                                "start timestamp, end timestamp, kind string, term_id string")
+    from turnwise.streaming import incremental as inc
+
+    source = tmp_path / "in"
+    for cut in (range(0, 4), range(4, 6), range(6, 9)):
+        part = [r for r in items if int((r[2] - T0).total_seconds()) // 1800 in cut]
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = inc.flow_stream(stream, outages=log).writeStream.format("memory").queryName("s_cut").outputMode("append") \
+        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = fl.interval_flows(spark.createDataFrame(items, schema), outages=log)
+    key = lambda r: tuple(r[c] for c in ("section_id", "term_id", "t0", "t1", "admits", "wl_joins", "wl_drops", "rule", "censored"))
+    assert sorted(map(key, spark.table("s_cut").collect())) == sorted(map(key, batch.collect()))
+    assert any(r["censored"] for r in batch.collect())
+
+
+def test_run_kinds_of_late_runs_keep_all_columns(spark):
+    from turnwise.streaming import incremental as inc
+
+    schema = "term_id string, run_started_at timestamp, source string, n_observed int"
+    at = lambda h: dt.datetime(2026, 11, 1, h)
+    written = spark.createDataFrame([("2268", at(6), "baseline"), ("2268", at(8), "delta")],
+                                    "term_id string, run_started_at timestamp, decided string")
+    new = spark.createDataFrame([("2268", at(5), "site", 3), ("2268", at(8), "site", 4), ("2272", at(9), "feed", 5), ("2272", at(10), "feed", 6)], schema)
+    got = {(r["term_id"], r["run_started_at"].hour): (r["decided"], r["source"], r["n_observed"]) for r in inc.decide_kinds(new, written).collect()}
+    assert got == {("2268", 5): ("delta", "site", 3), ("2272", 9): ("baseline", "feed", 5), ("2272", 10): ("delta", "feed", 6)}
+
+
+def test_later_baselines_do_not_count(spark):
+    runs = [("2268", dt.datetime(2026, 11, 1, h), s, k) for h, s, k in
+            ((0, "feed", "baseline"), (1, "feed", "delta"), (5, "site", "baseline"), (6, "site", "delta"), (7, "feed", "delta"))]
+    out = st.source_mismatches(spark.createDataFrame(runs, "term_id string, run_started_at timestamp, source string, kind string"))
+    assert [(r["run_started_at"].hour, r["baseline_source"]) for r in out.collect()] == [(7, "site")]
+
+
+def test_terms_never_mix(spark):
+    items, runs = [], []
+    for term, hours in (("2268", (0, 2)), ("2272", (1, 3))):
+        for h in hours:
+            at = T0 + dt.timedelta(hours=h)
+            runs.append((at, term, "site", "delta", "full", "", "", [], 1, 1, None, True))
+            items.append((*snap(0, "s1", w=h, at=at, term_id=term), at, "delta"))
+    from turnwise.schema import RUNS
+
+    schema = SNAPSHOT.__class__(list(SNAPSHOT.fields)).add("run_started_at", "timestamp").add("kind", "string")
+    out = st.rebuild_panel(spark.createDataFrame(items, schema), spark.createDataFrame(runs, RUNS))
+    assert sorted((r["term_id"], r["waitlist_count"]) for r in out.collect()) == [("2268", 0), ("2268", 2), ("2272", 1), ("2272", 3)]
+    flows = fl.interval_flows(out)
+    assert sorted((r["term_id"], r["interval_min"]) for r in flows.collect()) == [("2268", 120.0), ("2272", 120.0)]

@@ -150,3 +150,11 @@ def test_scenarios_are_ordered(spark):
     out = co.walk_positions(flows(spark, _random_rows(6, 80)), scenarios=SCENARIOS, positions=(2, 5), join_every_min=30)
     wide = out.groupBy("join_time", "position").pivot("scenario", list(SCENARIOS)).agg(F.first("duration_min"))
     assert wide.where("optimistic > central OR central > pessimistic").count() == 0
+
+
+def test_thinning_of_very_many_sections_in_one_group():
+    n, year = 400_000, 365 * 86_400_000_000
+    block = np.repeat(np.arange(n), 2)
+    times = np.tile(np.array([0, year]), n) + np.repeat(np.arange(n) % 1000, 2)
+    kept = co.keep_spaced(block, np.arange(2, 2 * n + 1, 2), times, 240 * 60_000_000)
+    assert kept.all()

@@ -62,7 +62,7 @@ def test_every_rule(spark):
 
 def test_columns_expansion_and_full(spark):
     row = pair(spark, dict(e=95, w=3, open=5), dict(e=95, w=3, c=120))
-    assert tuple(row.asDict()) == FLOW_COLUMNS
+    assert tuple(row.asDict()) == (*FLOW_COLUMNS, "term_id")
     assert row["full0"] and row["expansion"] and row["interval_min"] == 30.0
     assert not pair(spark, dict(e=95, w=3, open=0), dict(e=95, w=3))["full0"]
 

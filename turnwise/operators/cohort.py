@@ -64,19 +64,20 @@ def keep_spaced(block: np.ndarray, ends: np.ndarray, t_us: np.ndarray, gap_us: i
     if len(t_us) == 0:
         return kept
     starts = np.append(0, ends[:-1])
-    span = int(t_us.max() - t_us.min()) + gap_us + 1
-    base = t_us.min()
-    key = block * span + (t_us - base)
+    # Times as ranks among the distinct ones: block x rank stays below the square of the rows, whatever the years.
+    times, rank = np.unique(t_us, return_inverse=True)
+    span = len(times) + 1
+    key = block * span + rank
     current, live = starts.copy(), np.arange(len(ends))
     if last_us is not None:
         known = ~np.isnan(last_us)
-        wanted = np.where(known, last_us + gap_us - base, 0)
-        current = np.searchsorted(key, live * span + np.clip(wanted, 0, span - 1).astype(np.int64))
+        wanted = np.where(known, np.where(known, last_us, 0).astype(np.int64) + gap_us, times[0])
+        current = np.searchsorted(key, live * span + np.searchsorted(times, wanted))
     ok = current < ends[live]
     current, live = current[ok], live[ok]
     while len(live):
         kept[current] = True
-        current = np.searchsorted(key, key[current] + gap_us)
+        current = np.searchsorted(key, live * span + np.searchsorted(times, t_us[current] + gap_us))
         ok = current < ends[live]
         current, live = current[ok], live[ok]
     return kept
@@ -248,7 +249,7 @@ def walk_positions(
     only_joinable: bool = True,
     splits: Splits | None = None,
 ) -> DataFrame:
-    """One row per joiner and scenario: join time, place, duration and event.
+    """One row per joiner and scenario of one term's flows: join time, place, duration and event.
 
     ``join_every_min`` None starts a joiner at every interval.
     """

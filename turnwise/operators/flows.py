@@ -10,20 +10,23 @@ from turnwise.schema import CORE_COUNTS, FLOW_COLUMNS, FLOW_NAMES, TOMBSTONE
 
 
 def observed_series(panel: DataFrame) -> DataFrame:
-    """Observed rows with complete counts, cut at each section's first tombstone."""
+    """Observed rows with complete counts, cut at each section's first tombstone in its term."""
     gone = panel.where(F.col("section_status") == TOMBSTONE)
-    first_gone = gone.groupBy("section_id").agg(F.min("run_started_at").alias("_gone_at"))
+    term = F.col("term_id") if "term_id" in panel.columns else F.lit(None).cast("string")
+    first_gone = gone.groupBy(F.col("section_id").alias("_gone_id"), term.alias("_gone_term")).agg(
+        F.min("run_started_at").alias("_gone_at"))
+    same = (F.col("section_id") == F.col("_gone_id")) & term.eqNullSafe(F.col("_gone_term"))
     return (
         panel.where(F.coalesce(F.col("observed"), F.lit(False)))
         .dropna(subset=list(CORE_COUNTS))
-        .join(first_gone, "section_id", "left")
+        .join(first_gone, same, "left")
         .where(F.col("_gone_at").isNull() | (F.col("run_started_at") < F.col("_gone_at")))
-        .drop("_gone_at")
+        .drop("_gone_at", "_gone_id", "_gone_term")
     )
 
 
-def overlaps(t0: Column, t1: Column, term: Column, outage: Column) -> Column:
-    """Whether [t0, t1] is affected by an outage struct (start, end, kind, term_id).
+def overlaps(t0: Column, t1: Column, term: Column, outage: Column | dict[str, Column]) -> Column:
+    """Whether [t0, t1] is affected by an outage (start, end, kind, term_id), a struct or a mapping of columns.
 
     A row without a term applies to every term. An open ``outage`` lasts for
     ever; other kinds without an end are moments; with an end it is [start, end).
@@ -52,18 +55,23 @@ def attach_outages(intervals: DataFrame, outages: DataFrame, inline_limit: int =
         hit = F.exists("_log", lambda o: overlaps(F.col("t0"), F.col("t1"), F.col("term_id"), o))
         return rows.withColumn("_outage", F.coalesce(hit, F.lit(False))).drop("_log")
     last = intervals.agg(F.max("t1").alias("_last")).withColumn("_one", F.lit(1))
-    stop = F.when(F.col("_o.end").isNull() & (F.col("_o.kind") != "outage"), F.col("_o.start")).otherwise(
-        F.greatest(F.coalesce("_o.end", "_last"), F.col("_o.start")))  # an open end is closed at the last t1
-    spans = outages.select(listed.alias("_o"), F.lit(1).alias("_one")).join(F.broadcast(last), "_one").select(
-        "_o", F.explode(F.sequence(F.to_date("_o.start"), F.to_date(stop))).alias("_day"))
+    stop = F.when(F.col("_end").isNull() & (F.col("_kind") != "outage"), F.col("_start")).otherwise(
+        F.greatest(F.coalesce("_end", "_last"), F.col("_start")))  # an open end is closed at the last t1
+    spans = outages.select(*[F.col(c).alias(f"_{c.split('_')[0]}") for c in ("start", "end", "kind", "term_id")],
+                           F.lit(1).alias("_one")).join(F.broadcast(last), "_one")
+    spans = spans.select("_start", "_end", "_kind", "_term", F.explode(
+        F.sequence(F.to_date("_start"), F.to_date(stop))).alias("_day"))
     pairs = intervals.select("section_id", "t0", "t1", "term_id", F.explode(
         F.sequence(F.to_date("t0"), F.to_date("t1"))).alias("_day"))
+    span = {"start": F.col("_start"), "end": F.col("_end"), "kind": F.col("_kind"), "term_id": F.col("_term")}
     hit = (
         pairs.join(spans, "_day")
-        .where(overlaps(F.col("t0"), F.col("t1"), F.col("term_id"), F.col("_o")))
-        .select("section_id", "t0").distinct().withColumn("_outage", F.lit(True))
+        .where(overlaps(F.col("t0"), F.col("t1"), F.col("term_id"), span))
+        .select(F.col("section_id").alias("_s"), F.col("t0").alias("_t"), F.col("term_id").alias("_of"))
+        .distinct().withColumn("_outage", F.lit(True))
     )
-    return intervals.join(hit, ["section_id", "t0"], "left").withColumn("_outage", F.coalesce("_outage", F.lit(False)))
+    same = (F.col("section_id") == F.col("_s")) & (F.col("t0") == F.col("_t")) & F.col("term_id").eqNullSafe(F.col("_of"))
+    return intervals.join(hit, same, "left").drop("_s", "_t", "_of").withColumn("_outage", F.coalesce("_outage", F.lit(False)))
 
 
 def interval_flows(
@@ -73,21 +81,21 @@ def interval_flows(
     max_interval_min: float | None = None,
     splits: Splits | None = None,
 ) -> DataFrame:
-    """One row per section and pair of consecutive observed runs."""
+    """One row per section of a term and pair of its consecutive observed runs."""
     if "term_id" not in panel.columns:
         panel = panel.withColumn("term_id", F.lit(None).cast("string"))
     series = observed_series(panel)
     if splits is None:
-        splits = plan_splits(panel, ["section_id"], "run_started_at")
+        splits = plan_splits(panel, ["term_id", "section_id"], "run_started_at")
     following = F.struct("run_started_at", *CORE_COUNTS)
-    pairs = scan(series, ["section_id"], ["run_started_at"], [Scan("_next", following, "next")], splits)
+    pairs = scan(series, ["term_id", "section_id"], ["run_started_at"], [Scan("_next", following, "next")], splits)
     pairs = pairs.where(F.col("_next").isNotNull())
     return flows_of_pairs(pairs, outages=outages, max_interval_min=max_interval_min)
 
 
 def flows_of_pairs(pairs: DataFrame, *, outages: DataFrame | None = None,
-                   max_interval_min: float | None = None) -> DataFrame:
-    """Flows of rows that carry the next observation in the struct ``_next``."""
+                   max_interval_min: float | None = None, inline_limit: int = INLINE_OUTAGES) -> DataFrame:
+    """Flows of rows that carry the next observation in the struct ``_next``, with their term as last column."""
     change = lambda c: F.col(f"_next.{c}").cast("long") - F.col(c).cast("long")
     rows = pairs.select(
         "section_id", "term_id",
@@ -106,11 +114,11 @@ def flows_of_pairs(pairs: DataFrame, *, outages: DataFrame | None = None,
                      F.col("full0"), F.col("open_reserved0"))
     rows = rows.withColumns(parts).withColumn("expansion", F.col("d_capacity") > 0)
     if outages is not None:
-        rows = attach_outages(rows, outages)
+        rows = attach_outages(rows, outages, inline_limit)
     else:
         rows = rows.withColumn("_outage", F.lit(False))
     too_long = F.lit(False) if max_interval_min is None else F.col("interval_min") > F.lit(float(max_interval_min))
-    return rows.withColumn("censored", F.col("_outage") | too_long).select(*FLOW_COLUMNS)
+    return rows.withColumn("censored", F.col("_outage") | too_long).select(*FLOW_COLUMNS, "term_id")
 
 
 def flow_summary(flows: DataFrame) -> DataFrame:

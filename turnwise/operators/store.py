@@ -4,16 +4,22 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators.scans import Scan, chunk_rows, plan_splits, scan
 from turnwise.schema import COUNT_FIELDS, IDENTITY_FIELDS, SNAPSHOT, TOMBSTONE
+from turnwise.session import checked_broadcast
 
 LOOKBACK_DAYS = 7
 RUN_KEYS = ("run_started_at", "kind")  # a baseline sorts before a delta of the same time
 
 
+def term_keys(df: DataFrame) -> list[str]:
+    """What names a section: its id within its term; an id alone where the rows have no term."""
+    return [c for c in ("term_id", "section_id") if c in df.columns]
+
+
 def snapshot_fields(df: DataFrame) -> list[str]:
     return [f.name for f in SNAPSHOT.fields if f.name in df.columns]
 
@@ -128,10 +134,10 @@ def baseline_with_tombstones(previous: DataFrame, observed: DataFrame, universe:
 
 
 def section_identity(rows: DataFrame) -> DataFrame:
-    """Latest non-null attributes of each section and when it was first and last seen."""
+    """Latest non-null attributes of each term's section and when it was first and last seen."""
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("fetched_at"))).alias(c)
               for c in IDENTITY_FIELDS if c in rows.columns]
-    return rows.groupBy("section_id").agg(
+    return rows.groupBy(*term_keys(rows)).agg(
         *latest, F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
 
 
@@ -139,9 +145,9 @@ def section_identity(rows: DataFrame) -> DataFrame:
 
 
 def run_marks(runs: DataFrame) -> DataFrame:
-    """The id lists of the run table as rows: ``run_started_at, kind, section_id, declared, missing``."""
+    """The id lists of the run table as rows: ``term_id, run_started_at, kind, section_id, declared, missing``."""
     part = lambda c, declared: runs.select(
-        *RUN_KEYS, F.explode(c).alias("section_id"), F.lit(declared).alias("declared"), F.lit(not declared).alias("missing"))
+        "term_id", *RUN_KEYS, F.explode(c).alias("section_id"), F.lit(declared).alias("declared"), F.lit(not declared).alias("missing"))
     return part("observed_ids", True).unionByName(part("missing_ids", False))
 
 
@@ -152,8 +158,9 @@ def missing_count(runs: DataFrame) -> Column:
 
 def rebuild_panel(rows: DataFrame, runs: DataFrame, marks: DataFrame | None = None,
                   start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
-    """Every (section, run) from the section's first appearance on, values carried forward.
+    """Every (section, run) of a term from the section's first appearance on, values carried forward.
 
+    Terms never mix: a section that exists in two terms is two sections, and a run reads its own term only.
     ``rows`` are snapshot rows with ``run_started_at`` and ``kind``; ``runs`` is
     the run table; ``marks`` its id lists as rows (taken from its arrays when
     absent, with ``lists`` telling which runs declare their ids). Rows before
@@ -168,16 +175,17 @@ def rebuild_panel(rows: DataFrame, runs: DataFrame, marks: DataFrame | None = No
         rows = rows.where(F.to_date("run_started_at") <= F.lit(end))
         runs = runs.where(F.to_date("run_started_at") <= F.lit(end))
     values = F.struct(*COUNT_FIELDS)
-    held = rows.select("section_id", *RUN_KEYS, values.alias("_held"))
+    ids = ["term_id", "section_id"]
+    held = rows.select(*ids, *RUN_KEYS, values.alias("_held"))
     grid = run_grid(held, runs)
     splits = None
     if runs.count() > chunk_rows(runs):  # a section has at most one row per run
-        splits = plan_splits(grid, ["section_id"], "run_started_at")
-    joined = grid.join(held, ["section_id", *RUN_KEYS], "left")
-    full = scan(joined, ["section_id"], list(RUN_KEYS), [Scan("_state", F.col("_held"), "last")], splits)
+        splits = plan_splits(grid, ids, "run_started_at")
+    joined = grid.join(held, [*ids, *RUN_KEYS], "left")
+    full = scan(joined, ids, list(RUN_KEYS), [Scan("_state", F.col("_held"), "last")], splits)
     if start is not None:
         full = full.where(F.to_date("run_started_at") >= F.lit(start))
-    keys = ["section_id", *RUN_KEYS]
+    keys = [*ids, *RUN_KEYS]
     marked = marks.groupBy(*keys).agg(F.max("declared").alias("_declared"), F.max("missing").alias("_missing"))
     full = full.join(marked, keys, "left")
     return full.select(
@@ -187,15 +195,19 @@ def rebuild_panel(rows: DataFrame, runs: DataFrame, marks: DataFrame | None = No
 
 
 def run_grid(held: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs at or after each section's first row, matched day by day."""
-    first = held.groupBy("section_id").agg(F.min(F.struct(*RUN_KEYS)).alias("_first"))
+    """A term's runs at or after each of its sections' first row, matched day by day.
+
+    The grid is the result's own size. The runs travel to the sections when their number was checked to be small, so
+    the sections of a day need not meet in one task.
+    """
+    first = held.groupBy("term_id", "section_id").agg(F.min(F.struct(*RUN_KEYS)).alias("_first"))
     last = runs.agg(F.max(F.to_date("run_started_at")).alias("_last")).withColumn("_one", F.lit(1))
     days = first.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").select(
-        "section_id", "_first",
+        "term_id", "section_id", "_first",
         F.explode(F.sequence(F.to_date("_first.run_started_at"), F.col("_last"))).alias("_day"))
     listed = runs.select(*RUN_KEYS, "source", "scope", "term_id", F.col("lists").alias("_lists"),
                          F.to_date("run_started_at").alias("_day"))
-    return days.join(listed, "_day").where(F.struct(*RUN_KEYS) >= F.col("_first")).drop("_day", "_first")
+    return days.join(checked_broadcast(listed), ["term_id", "_day"]).where(F.struct(*RUN_KEYS) >= F.col("_first")).drop("_day", "_first")
 
 
 def observed_flag() -> Column:
@@ -211,7 +223,8 @@ def observed_flag() -> Column:
 
 
 def with_identity(panel: DataFrame, identity: DataFrame) -> DataFrame:
-    return panel.join(identity.drop("first_seen", "last_seen"), "section_id", "left")
+    return panel.join(identity.drop("first_seen", "last_seen"),
+                      [c for c in term_keys(panel) if c in identity.columns], "left")
 
 
 # ------------------------------------------------------------------------ run gates
@@ -240,12 +253,15 @@ def run_kinds(runs: DataFrame) -> DataFrame:
 
 
 def source_mismatches(runs: DataFrame) -> DataFrame:
-    """Deltas whose day's latest earlier baseline came from another source."""
-    base = runs.where(F.col("kind") == "baseline").groupBy(
-        "term_id", F.to_date("run_started_at").alias("date")).agg(
-        F.max_by("source", "run_started_at").alias("baseline_source"))
-    deltas = runs.where(F.col("kind") == "delta").withColumn("date", F.to_date("run_started_at"))
-    return deltas.join(base, ["term_id", "date"]).where(F.col("source") != F.col("baseline_source")).select(
+    """Deltas whose day's latest baseline before them came from another source; later baselines don't count.
+
+    A term's day holds as many runs as were started on it, so the window stays small.
+    """
+    dated = runs.withColumn("date", F.to_date("run_started_at"))
+    before = Window.partitionBy("term_id", "date").orderBy(*RUN_KEYS).rowsBetween(Window.unboundedPreceding, 0)
+    base = F.last(F.when(F.col("kind") == "baseline", F.col("source")), ignorenulls=True).over(before)
+    return dated.withColumn("baseline_source", base).where(
+        (F.col("kind") == "delta") & (F.col("source") != F.col("baseline_source"))).select(
         "term_id", "date", "run_started_at", "source", "baseline_source")
 
 

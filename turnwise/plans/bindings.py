@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.scalars import course_level, days_to_instruction, phase_at, position_bucket
@@ -50,14 +50,14 @@ def _counts() -> dict:
     }
 
 
-def panel_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation of a section (the user) per event."""
+def panel_from_events(spark: SparkSession, sf_dir: str, term: Column | None = None) -> DataFrame:
+    """One observation of a section (the user) per event, of one term or of those that ``term`` says."""
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("section_id"), F.col("ts").cast("timestamp").alias("run_started_at"),
         *[c.alias(k) for k, c in _counts().items()],
         (F.col("event_type") != "error").alias("observed"),
         F.lit("site").alias("source"), F.lit("full").alias("scope"), F.lit("delta").alias("kind"),
-        F.lit("2268").alias("term_id"),
+        (F.lit("2268") if term is None else term).alias("term_id"),
     )
 
 
@@ -124,7 +124,8 @@ def run_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_user = e.groupBy("user_id", "run_no", "run_started_at", "kind", "scope").agg(
         F.max(F.col("event_type") != "error").alias("read"))
     lists = (F.col("scope") == "priority") & (F.col("run_no") % 2 == 0)
-    rows = per_user.select(F.col("user_id").cast("string").alias("section_id"), "run_started_at", "kind",
+    rows = per_user.select(F.lit("2268").alias("term_id"), F.col("user_id").cast("string").alias("section_id"),
+                           "run_started_at", "kind",
                            (lists & F.col("read")).alias("declared"), (~F.col("read")).alias("missing"))
     return rows.where(F.col("declared") | F.col("missing"))
 

@@ -88,16 +88,29 @@ _OUTAGE_SQL = ", ".join("(" + ", ".join(
     for a, e, k, t in OUTAGES)
 
 
-@query("outage_censoring", f"""WITH {s.FLOWS}, o(a, z, kind, term) AS (VALUES {_OUTAGE_SQL})
+_OUTAGE_ANSWER = f"""WITH {s.FLOWS}, o(a, z, kind, term) AS (VALUES {_OUTAGE_SQL})
  SELECT section_id, epoch_us(t0) AS t0, EXISTS (SELECT 1 FROM o WHERE (term IS NULL OR term='2268') AND
-   CASE WHEN z IS NULL AND kind<>'outage' THEN t0<=a AND a<=t1 ELSE t1>=a AND (z IS NULL OR t0<z) END) AS censored FROM flows""")
-def outage_censoring(spark, d):
+   CASE WHEN z IS NULL AND kind<>'outage' THEN t0<=a AND a<=t1 ELSE t1>=a AND (z IS NULL OR t0<z) END) AS censored FROM flows"""
+
+
+def _outage_log(spark):
     log = spark.createDataFrame(OUTAGES, "start string, end string, kind string, term_id string")
-    log = log.withColumns({"start": F.col("start").cast("timestamp"), "end": F.col("end").cast("timestamp")})
-    out = fl.interval_flows(b.panel_from_events(spark, d), outages=log)
+    return log.withColumns({"start": F.col("start").cast("timestamp"), "end": F.col("end").cast("timestamp")})
+
+
+@query("outage_censoring", _OUTAGE_ANSWER)
+def outage_censoring(spark, d):
+    out = fl.interval_flows(b.panel_from_events(spark, d), outages=_outage_log(spark))
     return out.select("section_id", b.us("t0"), "censored")
 
 
+@query("outage_censoring_by_day", _OUTAGE_ANSWER)
+def outage_censoring_by_day(spark, d):
+    rows = fl.interval_flows(b.panel_from_events(spark, d)).drop("censored")
+    out = fl.attach_outages(rows, _outage_log(spark), inline_limit=0)
+    return out.select("section_id", b.us("t0"), F.col("_outage").alias("censored"))
+
+
 @query("tombstone_cutoff", f"WITH {s.PANEL}, {s.GONE}, {s.SERIES} SELECT section_id, count(*) AS observed, epoch_us(max(ts)) AS last_at FROM series GROUP BY 1")
 def tombstone_cutoff(spark, d):
     rows = fl.observed_series(b.panel_from_events(spark, d))
@@ -189,6 +202,41 @@ def panel_rebuild(spark, d):
                                     F.col("open_reserved").cast("long").alias("open_reserved"), "observed")
 
 
+# The same events as two terms: odd runs are of one, the others of the other; most sections are in both.
+_TERM = "CASE WHEN run_no%2=1 THEN '2272' ELSE '2268' END"
+_TERMS = f"""{s.RUN_ROWS}, tsr AS (SELECT *, {_TERM} AS term FROM srows), tr AS (SELECT *, {_TERM} AS term FROM runs),
+ firsts AS (SELECT section_id, term, min(run_at) AS f FROM tsr GROUP BY ALL),
+ filled AS (SELECT x.section_id, r.*, sr.event_id AS held, last_value(sr.event_id IGNORE NULLS) OVER (PARTITION BY r.term, x.section_id ORDER BY r.run_at) AS event_id
+   FROM firsts x JOIN tr r ON r.term=x.term AND r.run_at>=x.f LEFT JOIN tsr sr ON sr.section_id=x.section_id AND sr.run_no=r.run_no),
+ marks AS (SELECT CAST(user_id AS VARCHAR) AS section_id, run_no, rd=1 AS rd_ok FROM peruser),
+ tpanel AS (SELECT f.section_id, f.term, f.run_at, {s._COUNTS.replace('event_id', 'f.event_id')},
+   ((CASE WHEN lists THEN coalesce(m.rd_ok,false) WHEN scope='priority' THEN held IS NOT NULL ELSE true END) AND coalesce(m.rd_ok,true))
+     OR f.event_id%397=0 AS observed FROM filled f LEFT JOIN marks m ON m.section_id=f.section_id AND m.run_no=f.run_no)"""
+
+
+def _two_terms(spark, d):
+    term = F.when(F.floor(F.unix_micros("run_started_at") / b.HALF_HOUR_US) % 2 == 1, "2272").otherwise("2268")
+    parts = (b.snapshot_rows(spark, d), b.run_table(spark, d), b.run_marks(spark, d))
+    return st.rebuild_panel(*[p.withColumn("term_id", term) for p in parts])
+
+
+@query("panel_rebuild_terms", f"WITH {_TERMS} SELECT term AS term_id, section_id, epoch_us(run_at) AS run_started_at, e AS enrolled_count, w AS waitlist_count, observed FROM tpanel")
+def panel_rebuild_terms(spark, d):
+    return _two_terms(spark, d).select("term_id", "section_id", b.us("run_started_at"), F.col("enrolled_count").cast("long").alias("enrolled_count"),
+                                       F.col("waitlist_count").cast("long").alias("waitlist_count"), "observed")
+
+
+@query("interval_flows_terms", f"""WITH {s.PANEL}, terms AS (SELECT *, CASE WHEN event_id%2=1 THEN '2272' ELSE '2268' END AS term FROM panel),
+ tgone AS (SELECT section_id, term, min(ts) AS gone_at FROM terms WHERE gs='GONE' GROUP BY ALL),
+ ts1 AS (SELECT p.* REPLACE (p.section_id||'/'||p.term AS section_id) FROM terms p LEFT JOIN tgone USING (section_id, term) WHERE observed AND (gone_at IS NULL OR ts<gone_at)),
+ {s.flow_ctes('ts1')} SELECT split_part(section_id,'/',2) AS term_id, split_part(section_id,'/',1) AS section_id, epoch_us(t0) AS t0, epoch_us(t1) AS t1,
+  d_enrolled, d_waitlist, admits, wl_joins, wl_drops, rule FROM flows0""")
+def interval_flows_terms(spark, d):
+    term = F.when(F.col("event_id") % 2 == 1, "2272").otherwise("2268")
+    rows = fl.interval_flows(b.panel_from_events(spark, d, term))
+    return rows.select("term_id", "section_id", b.us("t0"), b.us("t1"), "d_enrolled", "d_waitlist", "admits", "wl_joins", "wl_drops", "rule")
+
+
 @query("panel_warm_up", f"""WITH {_REBUILD} SELECT section_id, count(*) AS runs, CAST(sum(CAST(observed AS INT)) AS BIGINT) AS observed,
   CAST(sum(e) AS BIGINT) AS enrolled FROM panel2 WHERE CAST(run_at AS DATE)>=DATE '2024-01-20' GROUP BY 1""")
 def panel_warm_up(spark, d):
@@ -276,8 +324,9 @@ def run_kinds(spark, d):
     return st.run_kinds(b.run_table(spark, d)).select(b.us("run_started_at"), "decided")
 
 
-@query("source_mismatches", f"""WITH {s.RUN_ROWS}, base AS (SELECT CAST(run_at AS DATE) AS day, arg_max(source, run_at) AS bs FROM runs WHERE kind='baseline' GROUP BY 1)
- SELECT epoch_us(run_at) AS run_started_at, source, bs AS baseline_source FROM runs JOIN base ON CAST(run_at AS DATE)=day WHERE kind='delta' AND source<>bs""")
+@query("source_mismatches", f"""WITH {s.RUN_ROWS}, base AS (SELECT *, last_value(CASE WHEN kind='baseline' THEN source END IGNORE NULLS)
+   OVER (PARTITION BY CAST(run_at AS DATE) ORDER BY run_at, kind) AS bs FROM runs)
+ SELECT epoch_us(run_at) AS run_started_at, source, bs AS baseline_source FROM base WHERE kind='delta' AND source<>bs""")
 def source_mismatches(spark, d):
     return st.source_mismatches(b.run_table(spark, d)).select(b.us("run_started_at"), "source", "baseline_source")
 

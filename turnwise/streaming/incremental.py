@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnwise.operators.flows import flows_of_pairs
 from turnwise.operators.store import live_view, run_kinds
-from turnwise.schema import CORE_COUNTS, COUNT_FIELDS
+from turnwise.schema import CORE_COUNTS, COUNT_FIELDS, TOMBSTONE
 
 _OBSERVED = ("run_us long, enrolled_count int, enroll_capacity int, waitlist_count int, waitlist_capacity int, "
              "reserved_count int, open_reserved int")
@@ -24,32 +25,52 @@ _ROW = ("run_us long, enrolled_count int, enroll_capacity int, waitlist_count in
 _ROW_NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
 
-def _plain(value):
-    return None if value is None or pd.isna(value) else value.item() if hasattr(value, "item") else value
-
-
-def _rows(frames: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
+def _sorted(frames: Iterator[pd.DataFrame], last_us: int | None) -> pd.DataFrame | None:
+    """A key's new rows in order, without those at or before the state's time; None if nothing is left."""
     frames = [f for f in frames if len(f)]
     if not frames:
-        return []
-    frame = pd.concat(frames, ignore_index=True).sort_values("run_us", kind="stable")
-    return [tuple(_plain(v) for v in row) for row in frame[names].itertuples(index=False, name=None)]
+        return None
+    frame = pd.concat(frames, ignore_index=True).sort_values("run_us", kind="stable", ignore_index=True)
+    if last_us is not None:
+        frame = frame[frame["run_us"] > last_us].reset_index(drop=True)
+    return frame if len(frame) else None
+
+
+def _state_of(frame: pd.DataFrame, names: list[str]) -> tuple:
+    """The last row as plain integers and texts."""
+    values = [frame[c].iloc[-1] for c in names]  # by column: a row of a frame would turn its integers into floats
+    return tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in values)
+
+
+def _after(frame: pd.DataFrame, state: tuple | None, names: list[str]) -> pd.DataFrame:
+    """The rows with the state's row, if there is one, before them."""
+    if state is None:
+        return frame[names]
+    before = pd.DataFrame([state], columns=names).astype(object)
+    return pd.concat([before, frame[names].astype(object)], ignore_index=True)
+
+
+def delta_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """New state and the rows whose counts differ from the row before them (null-safe)."""
+    rows = _after(frame, state, _ROW_NAMES)
+    counts = rows[_ROW_NAMES[1:]].astype(object)
+    was = counts.shift()
+    same = ((counts == was) | (counts.isna() & was.isna())).all(axis=1).to_numpy(dtype=bool, copy=True)
+    same[0] = state is not None  # the state's own row was sent before; a first row is new
+    return _state_of(rows, _ROW_NAMES), rows[~same]
 
 
 def delta_stream(rows: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Rows whose counts differ from the section's previous row (null-safe)."""
     def step(key, frames, state: GroupState):
-        last = state.get if state.exists else None
-        out = []
-        for row in _rows(frames, _ROW_NAMES):
-            if last is not None and row[0] <= last[0]:
-                continue
-            if last is None or row[1:] != tuple(last)[1:]:
-                out.append((key[0], *row))
-            last = row
-        if last is not None:
-            state.update(tuple(last))
-        yield pd.DataFrame(out, columns=["section_id", *_ROW_NAMES])
+        last = tuple(state.get) if state.exists else None
+        frame = _sorted(frames, last[0] if last else None)
+        if frame is None:
+            yield pd.DataFrame([], columns=["section_id", *_ROW_NAMES])
+            return
+        after, out = delta_step(last, frame)
+        state.update(after)
+        yield out.assign(section_id=key[0])[["section_id", *_ROW_NAMES]]
 
     keyed = rows.withWatermark("run_started_at", watermark).select(
         "section_id", F.unix_micros("run_started_at").alias("run_us"), *COUNT_FIELDS)
@@ -58,38 +79,64 @@ def delta_stream(rows: DataFrame, watermark: str = "2 hours") -> DataFrame:
     return out.select("section_id", F.timestamp_micros("run_us").alias("run_started_at"), *COUNT_FIELDS)
 
 
-def flow_stream(panel: DataFrame, watermark: str = "2 hours", max_interval_min: float | None = None) -> DataFrame:
-    """Interval flows as observations arrive.
+_NEXT = [f"next_{c}" for c in _OBS_NAMES[:5]]
+
 
-    The state holds a section's last observed counts; the pairs it emits are
-    classified by the same column rules as the batch form.
+def flow_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+    """New state and the pairs of consecutive observed rows; nothing follows a section's first tombstone.
+
+    The state is the last observed row and whether the section is gone. ``frame`` also has ``seen`` and ``gone``.
+    """
+    if state is not None and state[-1]:
+        return state, pd.DataFrame([], columns=[*_OBS_NAMES, *_NEXT])
+    gone = frame["gone"].to_numpy(dtype=bool)
+    ends = bool(gone.any())
+    if ends:
+        frame = frame[frame["run_us"] < frame["run_us"].iloc[int(gone.argmax())]]
+    frame = frame[frame["seen"].astype(bool)]
+    known = None if state is None or state[0] is None else state[:-1]
+    rows = _after(frame, known, _OBS_NAMES).reset_index(drop=True)
+    pairs = rows.iloc[:-1].reset_index(drop=True)
+    for name, source in zip(_NEXT, _OBS_NAMES):
+        pairs[name] = rows[source].iloc[1:].to_numpy()
+    last = _state_of(rows, _OBS_NAMES) if len(rows) else (None,) * len(_OBS_NAMES)
+    return (*last, ends), pairs
+
+
+def flow_stream(panel: DataFrame, watermark: str = "2 hours", max_interval_min: float | None = None,
+                outages: DataFrame | None = None) -> DataFrame:
+    """Interval flows as observations arrive, cut at the first tombstone like the batch form.
+
+    The state holds a section's last observed counts; the pairs it emits are classified by the same column rules as
+    the batch form. ``outages`` is the log as a batch table; it travels whole with each batch.
     """
-    later = [f"next_{c}" for c in _OBS_NAMES[:5]]
     schema = f"section_id string, term_id string, {_OBSERVED}, " + ", ".join(
-        f"{n} {'long' if n == 'next_run_us' else 'int'}" for n in later)
+        f"{n} {'long' if n == 'next_run_us' else 'int'}" for n in _NEXT)
+    empty = pd.DataFrame([], columns=["section_id", "term_id", *_OBS_NAMES, *_NEXT])
 
     def step(key, frames, state: GroupState):
         last = tuple(state.get) if state.exists else None
-        out = []
-        for row in _rows(frames, _OBS_NAMES):
-            if last is not None and row[0] <= last[0]:
-                continue
-            if last is not None:
-                out.append((key[0], key[1], *last, *row[:5]))
-            last = row
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["section_id", "term_id", *_OBS_NAMES, *later])
-
-    seen = panel.where(F.coalesce("observed", F.lit(False))).dropna(subset=list(CORE_COUNTS))
-    keyed = seen.withWatermark("run_started_at", watermark).select(
-        "section_id", "term_id", F.unix_micros("run_started_at").alias("run_us"), *_OBS_NAMES[1:])
+        frame = _sorted(frames, last[0] if last else None)
+        if frame is None:
+            yield empty
+            return
+        after, pairs = flow_step(last, frame)
+        state.update(after)
+        yield pairs.assign(section_id=key[0], term_id=key[1])[list(empty.columns)]
+
+    gone = F.coalesce(F.col("section_status") == TOMBSTONE, F.lit(False))
+    seen = F.coalesce("observed", F.lit(False))
+    for c in CORE_COUNTS:
+        seen = seen & F.col(c).isNotNull()
+    keyed = panel.where(seen | gone).withWatermark("run_started_at", watermark).select(
+        "section_id", "term_id", F.unix_micros("run_started_at").alias("run_us"), *_OBS_NAMES[1:],
+        seen.alias("seen"), gone.alias("gone"))
     pairs = keyed.groupBy("section_id", "term_id").applyInPandasWithState(
-        step, schema, _OBSERVED, "append", GroupStateTimeout.NoTimeout)
+        step, schema, f"{_OBSERVED}, gone boolean", "append", GroupStateTimeout.NoTimeout)
     pairs = pairs.withColumn("run_started_at", F.timestamp_micros("run_us")).withColumn("_next", F.struct(
         F.timestamp_micros("next_run_us").alias("run_started_at"),
         *[F.col(f"next_{c}").alias(c) for c in _OBS_NAMES[1:5]]))
-    return flows_of_pairs(pairs, max_interval_min=max_interval_min)
+    return flows_of_pairs(pairs, max_interval_min=max_interval_min, outages=outages, inline_limit=2**31)
 
 
 def gap_alerts(runs: DataFrame, limit_min: float = 90.0, watermark: str = "0 seconds") -> DataFrame:
@@ -105,10 +152,13 @@ def gap_alerts(runs: DataFrame, limit_min: float = 90.0, watermark: str = "0 sec
             out.append((key[0], last, None, True))
             state.update((last,))
         else:
-            for (at,) in _rows(frames, ["run_us"]):
-                if last is not None and at - last > limit_us:
-                    out.append((key[0], last, at, False))
-                last = at if last is None else max(last, at)
+            frame = _sorted(frames, last)
+            if frame is not None:
+                at = frame["run_us"].to_numpy("int64")
+                before = np.append(at[0] if last is None else last, at[:-1])
+                late = at - before > limit_us
+                out += [(key[0], int(a), int(b), False) for a, b in zip(before[late], at[late])]
+                last = int(at[-1])
             if last is not None:
                 state.update((last,))
                 state.setTimeoutTimestamp(max((last + limit_us) // 1000, state.getCurrentWatermarkMs() + 1))
@@ -132,13 +182,22 @@ def write_live(state_stream: DataFrame, out_dir: str, checkpoint: str, read_stat
     return state_stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
 
 
+def decide_kinds(new: DataFrame, written: DataFrame) -> DataFrame:
+    """``new`` with ``date`` and ``decided``: a day that has a baseline already gets deltas only, also for a run that
+    arrives late and started earlier; else the day's first new run is its baseline. Runs written before are left out."""
+    keys = ["term_id", "run_started_at"]
+    fresh = new.join(written.select(*keys), keys, "left_anti")
+    has = written.where(F.col("decided") == "baseline").select("term_id", F.to_date("run_started_at").alias("date"),
+                                                               F.lit(True).alias("_has")).distinct()
+    kinds = run_kinds(fresh.select(*keys))
+    return fresh.join(kinds, keys).join(has, ["term_id", "date"], "left").withColumn(
+        "decided", F.when(F.col("_has"), "delta").otherwise(F.col("decided"))).drop("_has")
+
+
 def write_runs(run_stream: DataFrame, out_dir: str, checkpoint: str, read_written):
-    """Tag each arriving run as the day's baseline or a delta, given the runs already
-    written (``read_written()``), and append it."""
+    """Append each arriving run with all its columns, tagged as the day's baseline or a delta given the runs already
+    written (``read_written()``: ``term_id, run_started_at, decided``)."""
     def decide(batch: DataFrame, _epoch: int) -> None:
-        known = read_written().select("term_id", "run_started_at")
-        new = batch.select("term_id", "run_started_at").join(known, ["term_id", "run_started_at"], "left_anti")
-        tagged = run_kinds(known.unionByName(new)).join(new, ["term_id", "run_started_at"], "left_semi")
-        tagged.write.mode("append").parquet(out_dir)
+        decide_kinds(batch, read_written()).write.mode("append").parquet(out_dir)
 
     return run_stream.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
