@@ -5,35 +5,43 @@ are bounded by its length, not by its rows. Each Newton step makes two passes:
 
 1. sums per (stratum, time) of the risk weights and weighted covariates, reduced
    map-side over rows spread by hash (a tied time is never one task);
-2. with the cumulative hazards those sums give, the weighted covariate products,
-   reduced to one d x d matrix.
+2. with the cumulative hazards those sums give, joined to the rows, the weighted
+   covariate products, reduced to one d x d matrix.
 
-The driver holds times x covariates and d x d numbers. Ties follow Efron in the
-likelihood; residuals use the tie-free (Breslow) form on the same sums.
+The per-time tables stay in Spark: a task turns the times of one stratum into
+hazards, and the driver holds d x d numbers only. Ties follow Efron in the
+likelihood, exactly for any number of ties; residuals use the tie-free (Breslow)
+form on the same sums.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.functions.special import chi2_1_p
+from turnwise.functions.special import chi2_1_p, digamma, trigamma
 from turnwise.operators.scans import step_lookup
-from turnwise.session import materialize
+from turnwise.session import checked_broadcast, materialize
 
-# Covariates, reference levels, time resolution, penalty, test size.
+# Covariates, reference levels, time resolution, penalty.
 NUMERIC = ("log_position", "wl_ratio", "days_to_instruction", "reserved")
 REFERENCES = {"level": "lower", "dept_group": "OTHER", "phase": "phase1"}
 TIME_RESOLUTION_DAYS = 0.01
 PENALIZER = 0.01
-PH_TEST_ROWS = 50_000
-MAX_TIMES = 500_000
-_EXACT_TIES = 4096
+#: Sums of up to so many tied terms are added one by one, longer ones in closed form; both are exact to rounding.
+_TERM_BY_TERM = 4096
+#: (stratum, time) sums that a task holds before it sends them on.
+_HELD_KEYS = 20_000
+
+
+class NoFit(ValueError):
+    """The cohort has nothing to fit: no event, or no covariate that varies."""
 
 
 @dataclass
@@ -56,7 +64,7 @@ class CoxFit:
     beta: np.ndarray
     variance: np.ndarray  # inverse of the penalised information
     robust: np.ndarray  # clustered by section
-    baseline: pd.DataFrame  # stratum, t, survival
+    baseline: DataFrame  # stratum, t, survival
     log_likelihood: float
     iterations: int
     n: int
@@ -64,7 +72,8 @@ class CoxFit:
     means: np.ndarray
     strata: list[str] = field(default_factory=list)
     design: Design | None = None
-    times: pd.DataFrame | None = None
+    times: DataFrame | None = None  # per (stratum, time): see ``_study_table``
+    converged: bool = True
 
     def summary(self, spark) -> DataFrame:
         """Coefficients with clustered errors, ratios and p-values."""
@@ -208,12 +217,17 @@ def _merge_lists(pieces: DataFrame, keys: Sequence[str], types: str) -> DataFram
     return pieces.repartition(n, *keys).mapInArrow(add, f"{types}, v array<double>")
 
 
-def _time_sums(design: Design, beta: np.ndarray, center: np.ndarray) -> pd.DataFrame:
-    """Per (stratum, time): rows, events, risk weights and covariate sums.
+def _time_sums(design: Design, beta: np.ndarray, center: np.ndarray) -> DataFrame:
+    """Per (stratum, time), as list ``v``: rows, events, risk weights and covariate sums.
 
     A task sends one row per time it holds, so what moves is tasks x times.
     """
-    d, numeric, families = len(beta), design.numeric, design.families
+    numeric, families = design.numeric, design.families
+
+    def packed(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.float64()),
+             _lists(np.stack(list(held.values())))], ["stratum", "t", "v"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -223,108 +237,159 @@ def _time_sums(design: Design, beta: np.ndarray, center: np.ndarray) -> pd.DataF
             names, group = np.unique(b.stratum, return_inverse=True) if (b.stratum != b.stratum[0]).any() else (
                 b.stratum[:1], np.zeros(len(b.t), np.int64))
             t, at = np.unique(b.t, return_inverse=True)
-            slot, n = group * len(t) + at, len(names) * len(t)
+            used, slot = np.unique(group * len(t) + at, return_inverse=True)
+            n = len(used)
             count = lambda w: np.bincount(slot, w, minlength=n)[:, None]
             sums = np.concatenate([
                 count(np.ones(len(slot))), count(b.died), count(weight), count(weight * b.died),
                 b.sums_by(slot, n, weight), b.sums_by(slot, n, weight * b.died), b.sums_by(slot, n, b.died)], axis=1)
-            for i in np.flatnonzero(sums[:, 0] > 0):
-                key = (names[i // len(t)], t[i % len(t)])
+            for i, place in enumerate(used):
+                key = (names[place // len(t)], t[place % len(t)])
                 held[key] = held[key] + sums[i] if key in held else sums[i]
+            if len(held) > _HELD_KEYS:
+                yield packed(held)
+                held = {}
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.float64()),
-                 _lists(np.stack(list(held.values())))], ["stratum", "t", "v"])
+            yield packed(held)
 
     pieces = design.rows.mapInArrow(partial, "stratum string, t double, v array<double>")
-    table = _merge_lists(pieces, ["stratum", "t"], "stratum string, t double").toPandas()
-    if len(table) > MAX_TIMES:
-        raise ValueError(f"{len(table)} distinct times; use a coarser time resolution")
-    return table.rename(columns={"v": "sums"}).sort_values(["stratum", "t"], ignore_index=True)
+    return materialize(_merge_lists(pieces, ["stratum", "t"], "stratum string, t double"))
 
 
-def _tie_sums(deaths: np.ndarray, s0: np.ndarray, d0: np.ndarray, power: int, degree: int) -> np.ndarray:
-    """Sum over l < m of (l/m)^degree / (s0 - l/m d0)^power, per time with m events.
+def _quadrature(f, slope, m: int) -> float:
+    """Sum of f(l / m) over l < m for a smooth f and large m (Euler and Maclaurin)."""
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+    return float(m * (weights / 2 * f((nodes + 1) / 2)).sum() + (f(0.0) - f(1.0)) / 2 + (slope(1.0) - slope(0.0)) / (12 * m))
+
 
-    Exact up to a few thousand ties; beyond that Euler-Maclaurin, whose error is
-    below rounding at that size.
+def _tie_sum(m: int, s0: float, d0: float, power: int, degree: int) -> float:
+    """Sum over l < m of (l/m)^degree / (s0 - l/m d0)^power, exact to rounding for any m.
+
+    With a = m s0 / d0 the terms are powers of 1 / (a - l), so their sums are differences of the digamma and trigamma
+    functions. Those lose digits where the dying are few among those at risk; there the terms change so little that
+    quadrature with its end corrections is exact.
     """
+    if m <= _TERM_BY_TERM:
+        u = np.arange(m) / m
+        return float((u**degree / (s0 - u * d0) ** power).sum())
+    if d0 <= s0 / 2:
+        f = lambda u: u**degree / (s0 - u * d0) ** power
+        slope = lambda u: ((degree * u ** (degree - 1) if degree else 0.0) / (s0 - u * d0) ** power
+                           + u**degree * power * d0 / (s0 - u * d0) ** (power + 1))
+        return _quadrature(f, slope, m)
+    a = max(m * s0 / d0, float(m))  # all at risk may die: rounding must not push it below
+    first = digamma(a + 1) - digamma(a - m + 1)
+    if power == 1:
+        return m / d0 * first if degree == 0 else (a * first - m) / d0
+    second = trigamma(a - m + 1) - trigamma(a + 1)
+    return {0: m * m * second, 1: m * (a * second - first), 2: a * a * second - 2 * a * first + m}[degree] / d0**2
+
+
+def _tie_log(m: int, s0: float, d0: float) -> float:
+    """Sum over l < m of log(s0 - l/m d0)."""
+    if m <= _TERM_BY_TERM:
+        return float(np.log(s0 - np.arange(m) / m * d0).sum())
+    if d0 <= s0 / 2:
+        return _quadrature(lambda u: np.log(s0 - u * d0), lambda u: -d0 / (s0 - u * d0), m)
+    a = max(m * s0 / d0, float(m))
+    return m * math.log(d0 / m) + math.lgamma(a + 1) - math.lgamma(a - m + 1)
+
+
+def _tie_sums(deaths: np.ndarray, s0: np.ndarray, d0: np.ndarray, power: int, degree: int) -> np.ndarray:
+    """``_tie_sum`` per time."""
     out = np.zeros(len(deaths))
     for i in np.flatnonzero(deaths > 0):
-        m = int(deaths[i])
-        f = lambda u: u**degree / (s0[i] - u * d0[i]) ** power
-        if m <= _EXACT_TIES:
-            out[i] = f(np.arange(m) / m).sum()
-            continue
-        nodes, weights = np.polynomial.legendre.leggauss(64)
-        u = (nodes + 1) / 2
-        integral = (weights / 2 * f(u)).sum()
-        slope = lambda v: (degree * v ** max(degree - 1, 0) * (1 if degree else 0)
-                           / (s0[i] - v * d0[i]) ** power
-                           + v**degree * power * d0[i] / (s0[i] - v * d0[i]) ** (power + 1))
-        out[i] = m * integral + (f(0.0) - f(1.0)) / 2 + (slope(1.0) - slope(0.0)) / (12 * m)
+        out[i] = _tie_sum(int(deaths[i]), float(s0[i]), float(d0[i]), power, degree)
     return out
 
 
-def _hazards(table: pd.DataFrame, d: int) -> dict[str, np.ndarray]:
-    """Risk sums and cumulative hazards per time, within strata."""
-    sums = np.stack(table["sums"].to_numpy())
+def _hazards(sums: np.ndarray, d: int) -> dict[str, np.ndarray]:
+    """Risk sums and cumulative hazards at the ascending times of one stratum."""
     out = {"n": sums[:, 0], "deaths": sums[:, 1], "d0": sums[:, 3], "s1": sums[:, 4:4 + d],
            "d1": sums[:, 4 + d:4 + 2 * d], "e1": sums[:, 4 + 2 * d:4 + 3 * d]}
-    s0, s1 = np.zeros(len(table)), np.zeros((len(table), d))
-    own, first = np.zeros(len(table)), np.zeros(len(table))
-    codes = table["stratum"].to_numpy()
-    bounds = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
-    blocks = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
-    for block in blocks:
-        s0[block] = np.cumsum(sums[block, 2][::-1])[::-1]
-        s1[block] = np.cumsum(out["s1"][block][::-1], axis=0)[::-1]
+    s0 = np.cumsum(sums[::-1, 2])[::-1]
+    s1 = np.cumsum(out["s1"][::-1], axis=0)[::-1]
+    # where all at risk die the two sums are the same numbers in another order
+    s0 = np.where(out["deaths"] == np.cumsum(out["n"][::-1])[::-1], np.maximum(s0, out["d0"]), s0)
     first = _tie_sums(out["deaths"], s0, out["d0"], 1, 0)
     own = _tie_sums(out["deaths"], s0, out["d0"], 1, 1)
-    total, breslow = np.zeros(len(table)), np.zeros(len(table))
     step = np.where(s0 > 0, out["deaths"] / np.where(s0 > 0, s0, 1.0), 0.0)
-    for block in blocks:
-        total[block] = np.cumsum(first[block])
-        breslow[block] = np.cumsum(step[block])
-    return {**out, "s0": s0, "risk1": s1, "first": first, "own": own, "total": total, "step": step,
-            "breslow": breslow, "blocks": blocks}
-
-
-def _lookup(table: pd.DataFrame, *columns: np.ndarray):
-    """Per stratum: its times and the given columns at them."""
-    return {s: (g["t"].to_numpy(), *[c[g.index] for c in columns]) for s, g in table.groupby("stratum")}
-
-
-def _find(lookup: dict, stratum: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-    """The looked-up columns for each row of a batch."""
-    first = lookup[stratum[0]]
-    if (stratum == stratum[0]).all():
-        at = np.searchsorted(first[0], t)
-        return [c[at] for c in first[1:]]
-    out = [np.empty((len(t), *c.shape[1:])) for c in first[1:]]
-    for name in np.unique(stratum):
-        mine = stratum == name
-        at = np.searchsorted(lookup[name][0], t[mine])
-        for o, c in zip(out, lookup[name][1:]):
-            o[mine] = c[at]
+    mean = s1 / np.where(s0 > 0, s0, 1.0)[:, None]
+    return {**out, "s0": s0, "risk1": s1, "first": first, "own": own, "total": np.cumsum(first), "step": step,
+            "breslow": np.cumsum(step), "mean": mean}
+
+
+def _per_stratum(table: DataFrame, d: int, build, schema: str) -> DataFrame:
+    """``build(stratum, times, hazards)`` of every stratum. A task holds one stratum's times: at most the study's
+    length over the time resolution."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t", ignore_index=True)
+        return build(frame["stratum"].iloc[0], frame["t"].to_numpy(), _hazards(np.stack(frame["v"].to_numpy()), d))
+
+    return table.groupBy("stratum").applyInPandas(run, schema)
+
+
+def _newton_table(table: DataFrame, beta: np.ndarray) -> DataFrame:
+    """Per (stratum, time) the hazards ``total`` and ``own``; a stratum's first row also has, as list ``pieces``, its
+    log-likelihood, gradient and the second part of the information."""
+    d = len(beta)
+
+    def build(stratum: str, t: np.ndarray, h: dict) -> pd.DataFrame:
+        logs = sum(_tie_log(int(h["deaths"][i]), float(h["s0"][i]), float(h["d0"][i]))
+                   for i in np.flatnonzero(h["deaths"] > 0))
+        s1, d1 = h["risk1"], h["d1"]
+        gradient = h["e1"].sum(axis=0) - (h["first"][:, None] * s1 - h["own"][:, None] * d1).sum(axis=0)
+        # sum over ties of mean mean', expanded in powers of the tie fraction
+        q = [_tie_sums(h["deaths"], h["s0"], h["d0"], 2, k) for k in (0, 1, 2)]
+        cross = (s1 * q[1][:, None]).T @ d1
+        second = (s1 * q[0][:, None]).T @ s1 - cross - cross.T + (d1 * q[2][:, None]).T @ d1
+        pieces = np.concatenate([[float((h["e1"] @ beta).sum()) - logs], gradient, second.ravel()])
+        return pd.DataFrame({"stratum": stratum, "t": t, "total": h["total"], "own": h["own"],
+                             "pieces": [pieces, *[None] * (len(t) - 1)]})
+
+    return materialize(_per_stratum(table, d, build, "stratum string, t double, total double, own double, pieces array<double>"))
+
+
+def _study_table(table: DataFrame, d: int) -> DataFrame:
+    """Per (stratum, time), for errors, test and prediction: deaths, breslow hazard, and lists ``e1`` (covariate sums of
+    the dying), ``mean`` (of those at risk) and ``shift`` (cumulated hazard steps times means)."""
+    def build(stratum: str, t: np.ndarray, h: dict) -> pd.DataFrame:
+        shift = np.cumsum(h["step"][:, None] * h["mean"], axis=0)
+        return pd.DataFrame({"stratum": stratum, "t": t, "deaths": h["deaths"], "breslow": h["breslow"],
+                             "e1": list(h["e1"]), "mean": list(h["mean"]), "shift": list(shift)})
+
+    return materialize(_per_stratum(table, d, build, "stratum string, t double, deaths double, breslow double, "
+                                                     "e1 array<double>, mean array<double>, shift array<double>"))
+
+
+def _summed(lists: DataFrame, column: str) -> np.ndarray:
+    """Elementwise sum of a list column; as many rows come back as the lists are long."""
+    rows = lists.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["i"]] = r["x"]
     return out
 
 
-def _weighted_products(design: Design, table: pd.DataFrame, hazards: dict, beta: np.ndarray,
-                       center: np.ndarray) -> np.ndarray:
+def _with_times(design: Design, times: DataFrame, row_bytes: int) -> DataFrame:
+    """The design's rows with their time's columns; the per-time table is broadcast when counted small enough."""
+    return design.rows.join(checked_broadcast(times, row_bytes), ["stratum", "t"])
+
+
+def _weighted_products(design: Design, newton: DataFrame, beta: np.ndarray, center: np.ndarray) -> np.ndarray:
     """Sum over rows of weight * x x' with weights from the cumulative hazards."""
     d, numeric, families = len(beta), design.numeric, design.families
-    lookup = _lookup(table, hazards["total"], hazards["own"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
             b = _Batch(batch, numeric, families, center)
-            hazard, own = _find(lookup, b.stratum, b.t)
+            hazard, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("total", "own"))
             total += b.products(np.exp(b.linear(beta)) * (hazard - b.died * own))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), _lists(total)], ["i", "v"])
 
-    return _square(design.rows.mapInArrow(partial, "i int, v array<double>"))
+    rows = _with_times(design, newton.drop("pieces"), 64)
+    return _square(rows.mapInArrow(partial, "i int, v array<double>"))
 
 
 def _square(pieces: DataFrame) -> np.ndarray:
@@ -333,59 +398,70 @@ def _square(pieces: DataFrame) -> np.ndarray:
     return np.stack(merged["v"].to_numpy())
 
 
-def _likelihood(hazards: dict, beta: np.ndarray) -> float:
-    linear = float((hazards["e1"] @ beta).sum())
-    logs = 0.0
-    for i in np.flatnonzero(hazards["deaths"] > 0):
-        m = int(hazards["deaths"][i])
-        f = lambda u: np.log(hazards["s0"][i] - u * hazards["d0"][i])
-        if m <= _EXACT_TIES:
-            logs += f(np.arange(m) / m).sum()
-        else:
-            nodes, weights = np.polynomial.legendre.leggauss(64)
-            logs += m * (weights / 2 * f((nodes + 1) / 2)).sum() + (f(0.0) - f(1.0)) / 2
-    return linear - logs
+def _score(design: Design, beta: np.ndarray, center: np.ndarray, with_information: bool = True):
+    """Per-time sums, per-time hazards, log-likelihood and gradient at ``beta``, and a function for the information."""
+    d = len(beta)
+    table = _time_sums(design, beta, center)
+    newton = _newton_table(table, beta)
+    pieces = _summed(newton.where("pieces IS NOT NULL"), "pieces")
+    second = pieces[1 + d:].reshape(d, d)
+    return table, float(pieces[0]), pieces[1:1 + d], lambda: _weighted_products(design, newton, beta, center) - second
+
+
+def score_at(cohort: DataFrame, beta: dict[str, float]) -> DataFrame:
+    """Log-likelihood, gradient and information's diagonal at given coefficients, without penalty, one row per covariate."""
+    design = design_matrix(cohort)
+    center = _moments(design)[2]
+    values = np.array([beta.get(n, 0.0) for n in design.names])
+    _, value, gradient, information = _score(design, values, center)
+    rows = [(n, float(g), float(i), value) for n, g, i in zip(design.names, gradient, np.diag(information()))]
+    return cohort.sparkSession.createDataFrame(rows, "covariate string, gradient double, information double, log_likelihood double")
 
 
 def fit(cohort: DataFrame, *, strata: Sequence[str] = (), penalizer: float = PENALIZER,
         max_rows: int | None = None, seed: int = 0, tolerance: float = 1e-7, max_steps: int = 30,
         robust: bool = True, keys: Sequence[str] = ("section_id", "join_time", "position")) -> CoxFit:
     """Ridge-penalised partial likelihood: penalty ``n * penalizer / 2 * |beta|^2`` on
-    standardised covariates. Step halving keeps the likelihood rising."""
+    standardised covariates. Step halving keeps the likelihood rising; ``converged``
+    is false when the steps ran out before they became small."""
     if max_rows is not None:
         cohort = sample_rows(cohort, max_rows, seed, keys)
     design = design_matrix(cohort, strata=strata)
     d = len(design.names)
     if d == 0:
-        raise ValueError("no covariate varies in this cohort")
+        raise NoFit("no covariate varies in this cohort")
     n, events, mean, scale = _moments(design)
     if events == 0:
-        raise ValueError("no events to fit")
+        raise NoFit("no events to fit")
     ridge = n * penalizer * scale**2
     beta, best = np.zeros(d), -np.inf
     step = np.zeros(d)
+    converged = False
     for iteration in range(1, max_steps + 1):
-        table = _time_sums(design, beta, mean)
-        hazards = _hazards(table, d)
-        value = _likelihood(hazards, beta) - 0.5 * float(ridge @ beta**2)
+        table, value, gradient, information = _score(design, beta, mean)
+        value -= 0.5 * float(ridge @ beta**2)
         if value < best - 1e-9 * abs(best) and np.abs(step).max() > 1e-12:
             step = step / 2
             beta = beta - step
             continue
         gain, best = value - best, value
-        gradient, information = _derivatives(design, table, hazards, beta, mean)
-        gradient, information = gradient - ridge * beta, information + np.diag(ridge)
-        step = np.linalg.solve(information, gradient)
+        information = information() + np.diag(ridge)
+        gradient = gradient - ridge * beta
+        at, step = beta, np.linalg.solve(information, gradient)
         if float(gradient @ step) / 2 < tolerance * max(abs(best), 1.0) * 1e-3 or gain == 0.0:
+            converged = True
             break
         beta = beta + step
+    if not converged:  # the last accepted point, whose information is at hand
+        beta = at
+        table = _time_sums(design, beta, mean)
     variance = np.linalg.inv(information)
-    meat = _robust_meat(design, table, hazards, beta, mean) if robust else None
+    study = _study_table(table, d)
+    meat = _robust_meat(design, study, beta, mean) if robust else None
     cover = variance @ meat @ variance if robust else variance
-    survival = np.exp(-hazards["breslow"])
-    baseline = table[["stratum", "t"]].assign(survival=survival)
+    baseline = study.select("stratum", "t", F.exp(-F.col("breslow")).alias("survival"))
     return CoxFit(design.names, beta, variance, cover, baseline, best, iteration, n, events, mean,
-                  list(strata), design, table)
+                  list(strata), design, study, converged)
 
 
 def _moments(design: Design) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -407,33 +483,16 @@ def _moments(design: Design) -> tuple[int, int, np.ndarray, np.ndarray]:
     return n, int(stats["e"] or 0), np.array(mean, float), np.array(scale, float)
 
 
-def _derivatives(design: Design, table: pd.DataFrame, hazards: dict, beta: np.ndarray,
-                 center: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s1, d1 = hazards["risk1"], hazards["d1"]
-    gradient = hazards["e1"].sum(axis=0) - (hazards["first"][:, None] * s1 - hazards["own"][:, None] * d1).sum(axis=0)
-    outer = _weighted_products(design, table, hazards, beta, center)
-    # second part: sum over ties of mean mean', expanded in powers of the tie fraction
-    q = [_tie_sums(hazards["deaths"], hazards["s0"], hazards["d0"], 2, k) for k in (0, 1, 2)]
-    cross = (s1 * q[1][:, None]).T @ d1
-    second = (s1 * q[0][:, None]).T @ s1 - cross - cross.T + (d1 * q[2][:, None]).T @ d1
-    return gradient, outer - second
-
-
-def _robust_meat(design: Design, table: pd.DataFrame, hazards: dict, beta: np.ndarray,
-                 center: np.ndarray) -> np.ndarray:
+def _robust_meat(design: Design, study: DataFrame, beta: np.ndarray, center: np.ndarray) -> np.ndarray:
     """Sum over sections of their score sums' outer products."""
     d = len(beta)
-    mean = np.where(hazards["s0"][:, None] > 0, hazards["risk1"] / np.where(hazards["s0"] > 0, hazards["s0"], 1.0)[:, None], 0.0)
-    shift = hazards["step"][:, None] * mean
-    for block in hazards["blocks"]:
-        shift[block] = np.cumsum(shift[block], axis=0)
-    lookup = _lookup(table, hazards["breslow"], shift, mean)
     numeric, families = design.numeric, design.families
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _Batch(batch, numeric, families, center)
-            hazard, moved, xbar = _find(lookup, b.stratum, b.t)
+            hazard = batch.column("breslow").to_numpy(zero_copy_only=False)
+            moved, xbar = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) for c in ("shift", "mean"))
             x, weight = b.dense(), np.exp(b.linear(beta))
             score = b.died[:, None] * (x - xbar) - weight[:, None] * (x * hazard[:, None] - moved)
             index, section = pd.factorize(b.section.to_numpy(zero_copy_only=False))
@@ -442,7 +501,8 @@ def _robust_meat(design: Design, table: pd.DataFrame, hazards: dict, beta: np.nd
             yield pa.RecordBatch.from_arrays(
                 [pa.array(section, pa.string()), _lists(np.add.reduceat(score[order], edges, axis=0))], ["section_id", "score"])
 
-    pieces = design.rows.mapInArrow(scores, "section_id string, score array<double>")
+    rows = _with_times(design, study.select("stratum", "t", "breslow", "shift", "mean"), 16 * d + 64)
+    pieces = rows.mapInArrow(scores, "section_id string, score array<double>")
     per_section = pieces.groupBy("section_id").agg(*[F.sum(F.col("score")[i]).alias(f"u{i}") for i in range(d)])
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,45 +521,33 @@ def _robust_meat(design: Design, table: pd.DataFrame, hazards: dict, beta: np.nd
 def ph_table(fitted: CoxFit, spark, *, alpha: float = 0.05) -> DataFrame:
     """Score test of each covariate's residuals against the rank of the event time.
 
-    Everything it needs is in the per-time sums: event covariates minus the
-    risk-set mean, weighted by the average rank of the events at that time.
+    Everything it needs is in the per-time sums of the full fit: event covariates minus the
+    risk-set mean, weighted by the average rank of the events at that time. The mean of average
+    ranks over N events is (N + 1) / 2.
     """
-    d = len(fitted.names)
-    hazards = _hazards(fitted.times, d)
-    deaths = hazards["deaths"]
-    mean = hazards["risk1"] / np.where(hazards["s0"] > 0, hazards["s0"], 1.0)[:, None]
-    residual = hazards["e1"] - deaths[:, None] * mean
-    order = np.argsort(fitted.times["t"].to_numpy(), kind="stable")
-    t, ordered = fitted.times["t"].to_numpy()[order], deaths[order]
-    same, slot = np.unique(t, return_inverse=True)
-    per_time = np.bincount(slot, ordered)
-    rank = np.zeros(len(t))
-    rank[order] = (np.cumsum(per_time) - per_time + (per_time + 1) / 2)[slot]
-    total = deaths.sum()
-    centred = rank - (rank * deaths).sum() / total
-    scaled = residual @ fitted.variance * total
-    top = (centred[:, None] * scaled).sum(axis=0) ** 2
-    bottom = total * np.diag(fitted.variance) * (deaths * centred**2).sum()
-    rows = [(n, float(s), int(fitted.n)) for n, s in zip(fitted.names, top / bottom)]
-    out = spark.createDataFrame(rows, "covariate string, statistic double, rows_tested long")
+    total = float(fitted.events)
+    # one row per distinct time: the study's length over the resolution at most
+    ranks = fitted.times.groupBy("t").agg(F.sum("deaths").alias("_d")).select("t", (
+        F.sum("_d").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_d")
+        + (F.col("_d") + 1) / 2 - (total + 1) / 2).alias("_rank"))
+    rows = fitted.times.join(checked_broadcast(ranks), "t")
+    weighted = F.zip_with("e1", "mean", lambda e, m: F.col("_rank") * (e - F.col("deaths") * m))
+    spread = F.array(F.col("deaths") * F.col("_rank") * F.col("_rank"))
+    sums = _summed(rows.select(F.concat(spread, weighted).alias("v")), "v")
+    top = (sums[1:] @ fitted.variance * total) ** 2
+    bottom = total * np.diag(fitted.variance) * sums[0]
+    out = spark.createDataFrame([(n, float(s), int(fitted.n)) for n, s in zip(fitted.names, top / bottom)],
+                                "covariate string, statistic double, rows_tested long")
     return out.withColumn("p", chi2_1_p("statistic")).withColumn("violates", F.col("p") < alpha)
 
 
-def check_ph(cohort: DataFrame, fitted: CoxFit, *, alpha: float = 0.05, max_rows: int = PH_TEST_ROWS,
-             seed: int = 0) -> DataFrame:
-    """The residual test, on a plain refit of a seeded subsample above ``max_rows``."""
-    if fitted.n > max_rows:
-        fitted = fit(cohort, strata=fitted.strata, max_rows=max_rows, seed=seed, robust=False)
-    return ph_table(fitted, cohort.sparkSession, alpha=alpha)
-
-
 def fit_with_check(cohort: DataFrame, *, alpha: float = 0.05, max_rows: int | None = None):
     """Fit, test, and refit with the violating categorical families as strata.
 
     Returns (first fit, test table, stratified refit or None).
     """
     first = fit(cohort, max_rows=max_rows)
-    table = check_ph(cohort, first, alpha=alpha)
+    table = ph_table(first, cohort.sparkSession, alpha=alpha)
     bad = {r["covariate"].split("=")[0] for r in table.where("violates").collect()}  # one row per covariate
     families = sorted(bad & set(REFERENCES))
     return first, table, fit(cohort, strata=families, max_rows=max_rows) if families else None
@@ -518,7 +566,6 @@ def predict(test: DataFrame, fitted: CoxFit, horizon: str, fallback: str, name:
             depts: Sequence[str] | None = None) -> DataFrame:
     """Clearing chance ``1 - S0(h)^exp(x beta)``; rows with a missing covariate take
     ``fallback`` and are flagged. Departments unknown to the fit count as OTHER."""
-    spark = test.sparkSession
     rows = test
     if depts is not None:
         rows = rows.withColumn("_dept", F.col("dept_group")).withColumn(
@@ -536,9 +583,7 @@ def predict(test: DataFrame, fitted: CoxFit, horizon: str, fallback: str, name:
         linear = linear + F.element_at(F.array(F.lit(0.0), *[F.lit(e) for e in effects]), F.col(f"_{f}") + 1)
     rows = rows.withColumns({"_linear": linear, "_known": _usable(), "_h": F.greatest(F.col(horizon), F.lit(0.0)),
                              "_stratum": F.lit("")}).drop(*[f"_{f}" for f in families])
-    steps = spark.createDataFrame(
-        fitted.baseline.rename(columns={"stratum": "_stratum"})[["_stratum", "t", "survival"]],
-        "_stratum string, t double, survival double")
+    steps = fitted.baseline.select(F.col("stratum").alias("_stratum"), "t", "survival")
     rows = step_lookup(rows, steps, ["_stratum"], "_h", "t", "survival", "_s0")
     out = rows.withColumns({
         name: F.when(F.col("_known"), F.lit(1.0) - F.pow(F.col("_s0"), F.exp("_linear"))).otherwise(F.col(fallback)),

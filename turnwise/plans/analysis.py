@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def run_analysis(panel: DataFrame, identity: DataFrame, calendar, out_dir: str,
             out["cox_headline"] = cox.headline_effects(out["cox"])
             if refit is not None:
                 out["cox_stratified"] = refit.summary(spark)
-        except (ValueError, ArithmeticError) as problem:
+        except (cox.NoFit, np.linalg.LinAlgError) as problem:
             result.notes.append(f"no hazards fit: {problem}")
         result.backtest = bt.run_backtest(central, calendar, split="temporal", which="days:14", n_boot=n_boot,
                                           cox_max_rows=cox_max_rows)

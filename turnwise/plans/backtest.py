@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -386,7 +387,9 @@ def add_cox(train: DataFrame, pred: DataFrame, folds: Sequence[int], grouped: bo
         try:
             fitted = cox.fit(own, max_rows=max_rows, seed=seed, robust=False)
             part = cox.predict(part, fitted, "horizon_days", "p_bucket", depts=depts)
-        except (ValueError, ArithmeticError) as problem:
+            if not fitted.converged:
+                notes.append(f"the hazards fit of fold {fold} had not converged after {fitted.iterations} steps")
+        except (cox.NoFit, np.linalg.LinAlgError) as problem:
             notes.append(f"no proportional-hazards fit for fold {fold}: {problem}")
             part = part.withColumns({"p_cox": F.col("p_bucket"), "cox_fallback": F.lit(True)})
         out = part if out is None else out.unionByName(part)

@@ -245,6 +245,28 @@ def backtest_scores(spark, d):
 # ------------------------------------------------------------------------------ hazards
 
 
+_BETA = {"log_position": 0.2, "wl_ratio": -1.5, "days_to_instruction": 0.001, "reserved": 0.1}
+_COX_VALUES = ", ".join(f"{{'n': '{n}', 'v': CAST({v} AS DOUBLE), 'b': CAST({_BETA[n]} AS DOUBLE)}}" for n, v in (
+    ("log_position", "ln(position)"), ("wl_ratio", "wl_ratio"), ("days_to_instruction", "dti"),
+    ("reserved", "CASE WHEN l_linestatus='F' THEN 1 ELSE 0 END")))
+
+
+@query("cox_score_at", f"""WITH {s.COHORT},
+ x AS (SELECT row_id, ceil(dur/CAST(0.01 AS DOUBLE))*CAST(0.01 AS DOUBLE) AS t, event, unnest([{_COX_VALUES}]) AS c FROM cohort),
+ h AS (SELECT row_id, exp(sum(c.v*c.b)) AS h FROM x GROUP BY 1),
+ g AS (SELECT c.n AS covariate, any_value(c.b) AS b, t, CAST(sum(event) AS BIGINT) AS m, sum(h) AS w, sum(h*event) AS d0, sum(h*c.v) AS w1,
+   sum(h*event*c.v) AS d1, sum(event*c.v) AS e1, sum(h*c.v*c.v) AS w2, sum(h*event*c.v*c.v) AS d2 FROM x JOIN h USING (row_id) GROUP BY ALL),
+ r AS (SELECT *, sum(w) OVER o AS s0, sum(w1) OVER o AS s1, sum(w2) OVER o AS s2 FROM g WINDOW o AS (PARTITION BY covariate ORDER BY t DESC)),
+ l AS (SELECT covariate, s0-u*d0 AS z, s1-u*d1 AS y, s2-u*d2 AS q FROM (SELECT *, unnest(generate_series(0, m-1))/CAST(m AS DOUBLE) AS u FROM r WHERE m>0)),
+ e AS (SELECT covariate, sum(e1) AS e1, sum(e1*b) AS eb FROM r GROUP BY 1),
+ i AS (SELECT covariate, sum(y/z) AS yz, sum(q/z-(y/z)*(y/z)) AS info, sum(ln(z)) AS logs FROM l GROUP BY 1)
+ SELECT covariate, round(e1-yz, 3) AS gradient, round(info, 3) AS information, round((SELECT sum(eb) FROM e)-logs, 3) AS log_likelihood FROM e JOIN i USING (covariate)""")
+def cox_score_at(spark, d):
+    plain = cohort(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("level", "dept_group", "phase")})
+    out = cox.score_at(plain, _BETA)
+    return out.select("covariate", *[F.round(c, 3).alias(c) for c in ("gradient", "information", "log_likelihood")])
+
+
 @query("cox_fit")
 def cox_fit(spark, d):
     return cox.fit(cohort(spark, d)).summary(spark)

@@ -51,11 +51,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(table: DataFrame) -> DataFrame:
-    """Broadcast a written table only when its row count is within ``BROADCAST_ROWS``."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def checked_broadcast(table: DataFrame, row_bytes: int = 256) -> DataFrame:
+    """Broadcast a table only when its counted rows, of about ``row_bytes`` each, are within the limits."""
+    most = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def lookup_side(df: DataFrame) -> DataFrame:
