@@ -89,6 +89,12 @@ def term_id_of(name: Column) -> Column:
     return F.concat(F.lit("2"), F.substring(year, 3, 2), code)
 
 
+def seeded_order(seed: int, key: Column) -> Column:
+    """A shuffled order that any engine can repeat: 60 bits of the MD5 of seed and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def shard_of(key: Column, n_shards: int) -> Column:
     """SHA-1 of the key as one large integer, modulo the shard count."""
     if n_shards <= 0:
@@ -135,7 +141,7 @@ def curve_at(curve: Column, horizon: Column) -> Column:
 
 
 def verdict(p: Column, low: Column, high: Column, pooled: Column) -> Column:
-    """Words for a share with its band; thresholds are fixed values."""
+    """Words for a share with its band. The thresholds and the words, which readers' files hold."""
     likely, even, wide = 0.75, 0.40, 0.30
     unsure = F.coalesce(pooled == "all", F.lit(False)) | low.isNull() | high.isNull() | (high - low > wide)
     return (
@@ -147,7 +153,7 @@ def verdict(p: Column, low: Column, high: Column, pooled: Column) -> Column:
 
 
 def frequency(p: Column) -> Column:
-    """A share in twentieths, in words (halves round up)."""
+    """A share in twentieths, in words (halves round up). The words, which readers' files hold."""
     k = F.floor(p * 20 + 0.5)
     return (
         F.when(k == 0, "Almost no one").when(k == 20, "Almost everyone")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.scalars import normalise_course, shard_of
+from turnwise.functions.scalars import normalise_course, seeded_order, shard_of
 from turnwise.operators.scans import Scan, plan_splits, scan
 from turnwise.schema import SELF_STUDY
 
@@ -181,7 +181,7 @@ def nested_sample(sections: DataFrame, key: str, *, seed: int = 0, limit: int |
     The order depends on the key alone, never on counts.
     """
     rows = sections.where(~F.coalesce(F.col("component"), F.lit("")).isin(*exclude_components))
-    rows = rows.dropDuplicates([key]).withColumn("_h", F.xxhash64(F.lit(seed), key))
+    rows = rows.dropDuplicates([key]).withColumn("_h", seeded_order(seed, F.col(key)))
     ordered = rows.orderBy("_h", key)
     return (ordered.limit(limit) if limit is not None else ordered).drop("_h")
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.functions.scalars import seeded_order
 from turnwise.operators.scans import CHUNK, Scan, plan_splits, scan, with_chunk
 
 N_BOOT = 200
@@ -43,7 +44,7 @@ def picks(numbers: np.ndarray, n: int, draw: int, seed: int, group: int, block:
 def number_sections(rows: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
     """``number`` (0-based, in a seeded order) and the group's ``sections``."""
     by = list(by)
-    keyed = rows.select(*by, "section_id").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "section_id"))
+    keyed = rows.select(*by, "section_id").distinct().withColumn("_h", seeded_order(seed, F.col("section_id")))
     sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("sections"))
     numbered = scan(keyed, by, ["_h", "section_id"], [Scan("_j", F.lit(1), "sum")], plan_splits(keyed, by, "_h"))
     return numbered.join(sizes, by).select(*by, "section_id", (F.col("_j") - 1).cast("long").alias("number"), "sections")
@@ -61,7 +62,8 @@ def bootstrap_gain(scored: DataFrame, by: Sequence[str], base: str, model: str,
     sections in every draw, and only sums per draw are combined.
     """
     by = list(by)
-    known = F.col("w") > 0
+    # a row without an answer or one of the predictions counts in neither sum
+    known = (F.col("w") > 0) & F.col("y").isNotNull() & F.col(base).isNotNull() & F.col(model).isNotNull()
     sq = lambda p: F.sum(F.when(known, F.col("w") * (F.col("y") - F.col(p)) * (F.col("y") - F.col(p))).otherwise(0.0))
     sums = scored.groupBy(*by, "section_id").agg(
         sq(base).alias("_sb"), sq(model).alias("_sm"), F.sum(F.when(known, F.col("w")).otherwise(0.0)).alias("_sw"))

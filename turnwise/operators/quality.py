@@ -65,19 +65,16 @@ def missing_share(runs: DataFrame) -> DataFrame:
 
 def breaches(report: DataFrame, shares: DataFrame, *, gap_min: float | None = None,
              runs_lt: int | None = None, missing_share_gt: float | None = None) -> DataFrame:
-    """One message per breached threshold of a term's overall report."""
+    """One row per breached threshold of a term's overall report: the figure's name, its value and the limit."""
     rows = report.where(F.col("scope") == "all").join(shares, "term_id", "left")
-    tests = []
-    if gap_min is not None:
-        tests.append(F.when(F.col("largest_gap_min") > gap_min, F.format_string(
-            f"largest gap %.1f min exceeds {gap_min:g} min", "largest_gap_min")))
-    if runs_lt is not None:
-        tests.append(F.when(F.col("n_runs") < runs_lt, F.format_string(
-            f"only %d runs, fewer than {runs_lt}", "n_runs")))
-    if missing_share_gt is not None:
-        tests.append(F.when(F.col("median_missing_share") > missing_share_gt, F.format_string(
-            f"median missing share %.3f exceeds {missing_share_gt:g}", "median_missing_share")))
-    return rows.select("term_id", F.explode(F.array_compact(F.array(*tests))).alias("breach"))
+    found = []
+    for name, limit, over in (("largest_gap_min", gap_min, True), ("n_runs", runs_lt, False),
+                              ("median_missing_share", missing_share_gt, True)):
+        if limit is not None:
+            value = F.col(name).cast("double")
+            found.append(F.when(value > limit if over else value < limit, F.struct(
+                F.lit(name).alias("breach"), value.alias("value"), F.lit(float(limit)).alias("limit"))))
+    return rows.select("term_id", F.inline(F.array_compact(F.array(*found))))
 
 
 # ---------------------------------------------------------------------- panel profile
@@ -137,12 +134,11 @@ def impossible_states(panel: DataFrame) -> DataFrame:
     e, c, w, wc = (F.col(x) for x in CORE_COUNTS)
     waiting_open = (w > 0) & (e < c)
     checks = {
-        "enrolled above capacity": e > c,
-        "waitlist above waitlist capacity": w > wc,
-        "negative count": (e < 0) | (c < 0) | (w < 0) | (wc < 0),
-        "waitlist while seats open (no reserved info)": waiting_open & F.col("open_reserved").isNull(),
-        "waitlist while unreserved seats open":
-            (w > 0) & (e < c - F.coalesce("open_reserved", F.lit(0))),
+        "enrolled_over_capacity": e > c,
+        "queue_over_capacity": w > wc,
+        "negative": (e < 0) | (c < 0) | (w < 0) | (wc < 0),
+        "queue_beside_seats": waiting_open & F.col("open_reserved").isNull(),
+        "queue_beside_free_seats": (w > 0) & (e < c - F.coalesce("open_reserved", F.lit(0))),
     }
     flags = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(v, F.lit(False)).alias("hit"))
                       for k, v in checks.items()])

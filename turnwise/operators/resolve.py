@@ -18,26 +18,30 @@ from turnwise.functions.special import osa_distance
 LAYERS = ("exact", "alias", "name", "nickname", "filler", "split", "bare", "fuzzy", "title", "miss")
 FILLER = ("CLASS", "COURSE", "LEC", "LECTURE", "DIS", "DISCUSSION", "LAB", "SPRING", "FALL", "SUMMER")
 STOP_WORDS = ("THE", "AND", "OF", "TO", "IN", "A", "AN", "FOR", "WITH", "ON")
+# Fixed values, patterns: what parts a typed text, what a squashed one lacks, a year, a lone suffix, subject with
+# number, and a subject's cross-listing letter.
+_PARTING, _LOOSE, _YEAR, _SUFFIX = "[^A-Z0-9&]+", r"[\s&]+", r"\d{4}", r"(\d)\s+([A-Z])$"
 _PAIR = r"^([A-Z&][A-Z&\s]*?)\s*(\d+[A-Z]*)$"
+_CROSS = r"^(.*?)\s?([CHNRW])$"
 
 
 def normalise(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Z0-9&]+", " "))
+    return F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), _PARTING, " "))
 
 
 def squash(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s&]+", "")
+    return F.regexp_replace(text, _LOOSE, "")
 
 
 def strip_filler(text: Column, words: Sequence[str] = FILLER) -> Column:
     """Drop filler words and four-digit years. Institution words are passed in by the caller."""
-    pattern = r"^(" + "|".join(words) + r"|\d{4})$"
+    pattern = r"^(" + "|".join([*words, _YEAR]) + r")$"
     return F.array_join(F.filter(F.split(text, " "), lambda w: ~w.rlike(pattern)), " ")
 
 
 def split_suffix(text: Column) -> Column:
     """A lone last letter belongs to the number before it: ``61 A`` is ``61A``."""
-    return F.regexp_replace(text, r"(\d)\s+([A-Z])$", "$1$2")
+    return F.regexp_replace(text, _SUFFIX, "$1$2")
 
 
 def layer_rank(layer: Column) -> Column:
@@ -81,8 +85,7 @@ def _readings(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(subject code, number, layer) readings of each variant in matching order."""
     subject, number = F.regexp_extract("text", _PAIR, 1), F.regexp_extract("text", _PAIR, 2)
     rows = rows.withColumns({"_s": F.trim(subject), "_n": number}).where("_n <> ''")
-    cross = r"^(.*?)\s?([CHNRW])$"
-    rows = rows.withColumns({"_cs": F.trim(F.regexp_extract("_s", cross, 1)), "_cn": F.regexp_extract("_s", cross, 2)})
+    rows = rows.withColumns({"_cs": F.trim(F.regexp_extract("_s", _CROSS, 1)), "_cn": F.regexp_extract("_s", _CROSS, 2)})
 
     def spellings(s: Column, lead: Column, base: int) -> list[Column]:
         tight = squash(s)

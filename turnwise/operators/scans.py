@@ -19,8 +19,6 @@ from turnwise.session import lookup_side, materialize
 
 CHUNK_ROWS_CONF = "spark.turnwise.chunkRows"
 DEFAULT_CHUNK_ROWS = 2_000_000
-SMALL_BYTES = 32 * 1024 * 1024
-MAX_CHUNKS = 4096
 CHUNK = "_chunk"
 
 
@@ -53,40 +51,19 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_ROWS_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
-def _surely_small(df: DataFrame) -> bool:
-    """True when all tables under the plan together are too small to hold a hot key.
-
-    The sizes of the plan's leaves are added up; a join's own estimate multiplies
-    them. Getting this wrong costs time, not rows: the plain window spills.
-    """
-    if df.sparkSession.conf.get(CHUNK_ROWS_CONF, None) is not None:
-        return False
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        size = 0
-        while leaves.hasNext():
-            size += int(leaves.next().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - a remote session has no JVM handle; count instead
-        return False
-    return 0 < size < SMALL_BYTES
-
-
 def plan_splits(df: DataFrame, keys: Sequence[str], order: str) -> Splits:
     """Find hot keys of ``df`` and cut each into ranges of ``order``.
 
-    One narrow count job, skipped for inputs the optimizer knows to be small.
-    The cut points are approximate quantiles of the hot keys alone: at most
-    ``MAX_CHUNKS`` values per key and at most rows / chunk size keys.
+    One narrow count job. The cut points are approximate quantiles of the hot keys
+    alone: rows / chunk size values per key, and as many keys at most.
     """
     keys = tuple(keys)
-    if _surely_small(df):
-        return Splits(keys, order)
     target = chunk_rows(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     most = counts.agg(F.max("_rows")).first()[0] or 0
     if most <= target:
         return Splits(keys, order)
-    chunks = min(MAX_CHUNKS, math.ceil(most / target))
+    chunks = math.ceil(most / target)
     hot = counts.where(F.col("_rows") > F.lit(target)).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
     fractions = [i / chunks for i in range(1, chunks)]
     narrow = df.select(*keys, order)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.rules import days_between
-from turnwise.functions.scalars import horizon_days
+from turnwise.functions.scalars import horizon_days, seeded_order
 from turnwise.operators import cox, km
 from turnwise.operators.boot import bootstrap_gain
 from turnwise.operators.scans import Scan, plan_splits, read_steps, scan, step_lookup
@@ -61,7 +61,7 @@ def grouped_folds(cohort: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame
     """Add ``fold``: courses in a seeded order dealt out in turn, so fold sizes differ
     by at most one course and a course is never in two folds."""
     courses = cohort.select(F.coalesce("course_key", F.lit("")).alias("_course")).distinct().withColumns(
-        {"_all": F.lit(1), "_h": F.xxhash64(F.lit(seed), "_course")})
+        {"_all": F.lit(1), "_h": seeded_order(seed, F.col("_course"))})
     dealt = scan(courses, ["_all"], ["_h", "_course"], [Scan("_n", F.lit(1), "sum")],
                  plan_splits(courses, ["_all"], "_h"))
     dealt = dealt.select("_course", F.pmod(F.col("_n") - 1, F.lit(folds)).cast("int").alias("fold"))

@@ -390,9 +390,9 @@ def missing_share(spark, d):
 
 
 @query("cadence_breaches", f"""WITH {_CADENCE}, a AS (SELECT * FROM report, shares WHERE scope='all')
- SELECT term_id, printf('largest gap %.1f min exceeds 90 min', largest_gap_min) AS breach FROM a WHERE largest_gap_min>90
- UNION ALL SELECT term_id, printf('only %d runs, fewer than 400', n_runs) FROM a WHERE n_runs<400
- UNION ALL SELECT term_id, printf('median missing share %.3f exceeds 0.1', median_missing_share) FROM a WHERE median_missing_share>0.1""")
+ SELECT term_id, 'largest_gap_min' AS breach, CAST(largest_gap_min AS DOUBLE) AS value, CAST(90 AS DOUBLE) AS "limit" FROM a WHERE largest_gap_min>90
+ UNION ALL SELECT term_id, 'n_runs', CAST(n_runs AS DOUBLE), CAST(400 AS DOUBLE) FROM a WHERE n_runs<400
+ UNION ALL SELECT term_id, 'median_missing_share', CAST(median_missing_share AS DOUBLE), CAST(0.1 AS DOUBLE) FROM a WHERE median_missing_share>0.1""")
 def cadence_breaches(spark, d):
     return qu.breaches(_cadence(spark, d), qu.missing_share(b.run_table(spark, d)), gap_min=90, runs_lt=400, missing_share_gt=0.1)
 
@@ -427,9 +427,9 @@ def observation_histogram(spark, d):
     return qu.observation_histogram(b.panel_from_events(spark, d))
 
 
-@query("impossible_states", f"""WITH {s.PANEL}, k AS (SELECT section_id, unnest([{{'k':'enrolled above capacity','h':e>c}}, {{'k':'waitlist above waitlist capacity','h':w>wc}},
-   {{'k':'negative count','h':e<0 OR c<0 OR w<0 OR wc<0}}, {{'k':'waitlist while seats open (no reserved info)','h':w>0 AND e<c AND opn IS NULL}},
-   {{'k':'waitlist while unreserved seats open','h':w>0 AND e<c-coalesce(opn,0)}}]) AS x FROM panel WHERE observed)
+@query("impossible_states", f"""WITH {s.PANEL}, k AS (SELECT section_id, unnest([{{'k':'enrolled_over_capacity','h':e>c}}, {{'k':'queue_over_capacity','h':w>wc}},
+   {{'k':'negative','h':e<0 OR c<0 OR w<0 OR wc<0}}, {{'k':'queue_beside_seats','h':w>0 AND e<c AND opn IS NULL}},
+   {{'k':'queue_beside_free_seats','h':w>0 AND e<c-coalesce(opn,0)}}]) AS x FROM panel WHERE observed)
  SELECT x.k AS kind, CAST(sum(CAST(x.h AS INT)) AS BIGINT) AS rows, count(DISTINCT CASE WHEN x.h THEN section_id END) AS sections FROM k GROUP BY 1""")
 def impossible_states(spark, d):
     return qu.impossible_states(b.panel_from_events(spark, d))

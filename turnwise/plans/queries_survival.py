@@ -217,7 +217,9 @@ def calibration(spark, d):
     return out.select("predictor", "decile", "n", r6("weight"), r6("predicted"), r6("observed"))
 
 
-@query("grouped_folds")
+@query("grouped_folds", f"""WITH {s.COHORT}, c AS (SELECT course_key, (row_number() OVER (ORDER BY CAST('0x'||substr(md5('0:'||course_key),1,15) AS BIGINT), course_key)-1)%5 AS fold
+   FROM (SELECT DISTINCT course_key FROM cohort))
+ SELECT CAST(fold AS INT) AS fold, count(DISTINCT course_key) AS courses, count(*) AS rows FROM cohort JOIN c USING (course_key) GROUP BY 1""")
 def grouped_folds(spark, d):
     folded = bt.grouped_folds(cohort(spark, d), 5)
     return folded.groupBy("fold").agg(F.count_distinct("course_key").alias("courses"), F.count(F.lit(1)).alias("rows"))

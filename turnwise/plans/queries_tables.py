@@ -13,7 +13,7 @@ from turnwise.plans import bindings as b
 from turnwise.plans import sql as s
 from turnwise.plans.queries_flows import flows
 from turnwise.plans.registry import query
-from turnwise.schema import CURVE_DAYS
+from turnwise.schema import CURVE_DAYS, SELF_STUDY
 from turnwise.session import materialize
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -236,9 +236,12 @@ def joins_by_course(spark, d):
     return tb.joins_by_course(b.identity_from_events(spark, d), flows(spark, d))
 
 
-@query("stable_shards", """SELECT p_partkey, CAST((CAST('0x'||substr(sha1('/content/'||p_partkey),1,10) AS BIGINT)%12*(CAST(1099511627776 AS BIGINT)%12)%12*(CAST(1099511627776 AS BIGINT)%12)%12*(CAST(1099511627776 AS BIGINT)%12)%12
+_SHARD = """CAST((CAST('0x'||substr(sha1('/content/'||p_partkey),1,10) AS BIGINT)%12*(CAST(1099511627776 AS BIGINT)%12)%12*(CAST(1099511627776 AS BIGINT)%12)%12*(CAST(1099511627776 AS BIGINT)%12)%12
   +CAST('0x'||substr(sha1('/content/'||p_partkey),11,10) AS BIGINT)%12*(CAST(1099511627776 AS BIGINT)%12)%12*(CAST(1099511627776 AS BIGINT)%12)%12
-  +CAST('0x'||substr(sha1('/content/'||p_partkey),21,10) AS BIGINT)%12*(CAST(1099511627776 AS BIGINT)%12)%12+CAST('0x'||substr(sha1('/content/'||p_partkey),31,10) AS BIGINT)%12)%12 AS INT) AS shard FROM part""")
+  +CAST('0x'||substr(sha1('/content/'||p_partkey),21,10) AS BIGINT)%12*(CAST(1099511627776 AS BIGINT)%12)%12+CAST('0x'||substr(sha1('/content/'||p_partkey),31,10) AS BIGINT)%12)%12 AS INT)"""
+
+
+@query("stable_shards", f"SELECT p_partkey, {_SHARD} AS shard FROM part")
 def stable_shards(spark, d):
     key = F.concat(F.lit("/content/"), F.col("p_partkey").cast("string"))
     return b.table(spark, d, "part").select("p_partkey", shard_of(key, 12).alias("shard"))
@@ -257,7 +260,11 @@ def _part_catalog(spark, d):
     return catalog(spark, d).withColumn("course_key", F.replace("course_key", F.lit("#"), F.lit("n")))
 
 
-@query("shard_sizes")
+@query("shard_sizes", f"""WITH {_CAT}, c2 AS (SELECT upper(replace(course_key,'#','n')) AS k, {_SHARD} AS sh FROM cat WHERE p_partkey%10<>3),
+ m AS (SELECT *, k LIKE 'BRANDN3 %' OR k LIKE 'BRANDN1 1%' OR k='BRANDN2 25' AS hit FROM c2),
+ z AS (SELECT CASE WHEN count(*)<12 THEN 0 ELSE min(n) END AS lo, coalesce(max(n),0) AS hi FROM (SELECT count(*) AS n FROM m WHERE NOT hit GROUP BY sh))
+ SELECT count(*) AS live, count(*) FILTER (hit) AS matched, count(DISTINCT k) FILTER (hit) AS courses,
+  count(*) FILTER (hit)+any_value(lo) AS selection_min, count(*) FILTER (hit)+any_value(hi) AS selection_max FROM m, z""")
 def shard_sizes(spark, d):
     return ac.shard_sizes(_part_catalog(spark, d), _part_patterns(spark))
 
@@ -282,7 +289,8 @@ def catalog_merge(spark, d):
     return ac.merge_catalog(known, fresh).select("url_path", "title", "node_id", "added")
 
 
-@query("nested_sample")
+@query("nested_sample", f"""WITH {_CAT} SELECT '/content/'||p_partkey AS url_path, course_key FROM cat WHERE coalesce(component,'') NOT IN ({', '.join(f"'{c}'" for c in SELF_STUDY)})
+  ORDER BY CAST('0x'||substr(md5('0:/content/'||p_partkey),1,15) AS BIGINT), url_path LIMIT 100""")
 def nested_sample(spark, d):
     return ac.nested_sample(catalog(spark, d), "url_path", limit=100).select("url_path", "course_key")
 

@@ -4,36 +4,33 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _fields(spec: str) -> T.StructType:
-    """``name:type`` pairs, a trailing ``?`` marks a nullable column."""
-    out = T.StructType()
-    for item in spec.split():
-        name, kind = item.split(":")
-        out.add(name, kind.rstrip("?").replace("int", "integer"), nullable=kind.endswith("?"))
-    return out
-
-
-SNAPSHOT = _fields(
-    "fetched_at:timestamp term_id:string section_id:string course_key:string subject:string "
-    "catalog_number:string class_number:string section_number:string component:string "
-    "is_primary:boolean? session_id:string enrolled_count:int enroll_capacity:int "
-    "waitlist_count:int waitlist_capacity:int reserved_count:int? open_reserved:int? "
-    "status:string section_status:string? source:string"
+# The columns of a snapshot row, in order.
+SNAPSHOT = (
+    T.StructType()
+    .add("fetched_at", "timestamp", False).add("term_id", "string", False).add("section_id", "string", False)
+    .add("course_key", "string", False).add("subject", "string", False).add("catalog_number", "string", False)
+    .add("class_number", "string", False).add("section_number", "string", False).add("component", "string", False)
+    .add("is_primary", "boolean").add("session_id", "string", False).add("enrolled_count", "integer", False)
+    .add("enroll_capacity", "integer", False).add("waitlist_count", "integer", False)
+    .add("waitlist_capacity", "integer", False).add("reserved_count", "integer").add("open_reserved", "integer")
+    .add("status", "string", False).add("section_status", "string").add("source", "string", False)
 )
 
-# A change in any of these makes a section worth writing again.
+# A change in any of these makes a section worth writing again.
 COUNT_FIELDS = (
     "enrolled_count", "enroll_capacity", "waitlist_count", "waitlist_capacity",
     "reserved_count", "open_reserved", "status", "section_status",
 )
 CORE_COUNTS = COUNT_FIELDS[:4]
 NUMERIC_COUNTS = COUNT_FIELDS[:6]
+# The attributes of a section.
 IDENTITY_FIELDS = (
     "course_key", "subject", "catalog_number", "class_number", "section_number",
     "component", "is_primary", "session_id",
 )
 TOMBSTONE = "GONE"
 
+# The columns of the run table, in order.
 RUNS = (
     T.StructType()
     .add("run_started_at", "timestamp", False).add("term_id", "string", False)

@@ -60,6 +60,7 @@ def key_dates(spark: SparkSession, calendar: Calendar, today: dt.datetime) -> Da
 
     from turnwise.functions.rules import days_between
 
+    # Keys and labels.
     labels = [
         ("phase1_start", "Phase 1 opens"), ("phase2_start", "Phase 2 opens"),
         ("adjustment_start", "Adjustment period"), ("instruction_start", "First day of class"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.scalars import term_id_of
 
 _REQUIRED = ("enrolled_count", "enroll_capacity", "waitlist_count", "waitlist_capacity")
+# The page title's and link's form.
 TITLE = r"^\s*(\d{4})\s+(Spring|Summer|Fall)\s+(\S+)\s+(\S+)\s+(\S+)\s+([A-Za-z]{2,4})\s+(\S+)\s*$"
 CONTENT_PATH = r"(/content/.*)$"
 

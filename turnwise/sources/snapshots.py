@@ -6,6 +6,7 @@ import io
 import json
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def read_rows(spark: SparkSession, root: str, start: dt.date | None = None, end:
     schema = SNAPSHOT
     for name, kind in (("run_started_at", "timestamp"), ("kind", "string"), ("date", "date")):
         schema = schema.__class__(list(schema.fields)).add(name, kind)
-    rows = spark.read.schema(schema).parquet(f"{root}/rows")
+    rows = spark.read.schema(schema).parquet(f"{root}/rows").select(*schema.fieldNames())
     if start is not None:
         rows = rows.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -31,10 +32,12 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def append_run(root: str, rows: DataFrame, run: DataFrame) -> int:
-    """Append one run's rows and its metadata row; an existing run is refused.
+    """Write one run's rows and append its metadata row; an existing run is refused.
 
     ``run`` is one row of the run table without ``n_written``, which is stamped here.
-    Rows are written before the run row, so a run that is listed is complete.
+    The rows go to a partition of their own, which a repeated attempt overwrites, and
+    what is counted is what was written. The run row comes last: a run that is listed
+    is complete, and rows of a run that was cut off are never doubled.
     """
     spark = rows.sparkSession
     key = run.select("run_started_at", "term_id", "kind").first()
@@ -42,17 +45,18 @@ def append_run(root: str, rows: DataFrame, run: DataFrame) -> int:
         taken = read_runs(spark, root).join(run.select("run_started_at", "term_id", "kind"),
                                             ["run_started_at", "term_id", "kind"], "left_semi")
         exists = not taken.isEmpty()
-    except Exception as problem:  # noqa: BLE001 - the first run finds no folder yet
-        if "PATH_NOT_FOUND" not in str(problem):
+    except AnalysisException as problem:  # the first run finds no folder yet
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         exists = False
     if exists:
         raise FileExistsError(f"run {key['run_started_at']} ({key['kind']}) of term {key['term_id']} is already written")
     stamped = rows.select(*SNAPSHOT.fieldNames()).withColumns({
-        "run_started_at": F.lit(key["run_started_at"]).cast("timestamp"), "kind": F.lit(key["kind"]),
-        "date": F.lit(key["run_started_at"].date())})
-    stamped.write.mode("append").partitionBy("date").parquet(f"{root}/rows")
-    written = rows.count()
+        "run_started_at": F.lit(key["run_started_at"]).cast("timestamp"), "kind": F.lit(key["kind"])})
+    name = f"{key['term_id']}-{key['run_started_at']:%Y%m%dT%H%M%S%f}-{key['kind']}"
+    place = f"{root}/rows/date={key['run_started_at'].date()}/run={name}"
+    stamped.write.mode("overwrite").parquet(place)
+    written = spark.read.schema(stamped.schema).parquet(place).count()
     full = run.withColumn("n_written", F.lit(written)).select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields])
     full.write.mode("append").parquet(f"{root}/runs")
     return written
