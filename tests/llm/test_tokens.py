@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -9,11 +10,15 @@ from turnwise.llm.tokens import batches_by_bytes, safe_pieces, token_counts  # n
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def whole(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = whole.__dict__.setdefault("t", Tokenizer.from_file(VOCABULARY))
-    return len(tokenizer.encode(text or "", add_special_tokens=False))
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def whole(text):
+    return len(tokenizer().encode(text or "", add_special_tokens=False))
 
 
 def test_pieces_never_change_the_count():

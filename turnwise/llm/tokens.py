@@ -38,15 +38,16 @@ def safe_pieces(text: str, most: int = PIECE_BYTES) -> list[str]:
 
 
 def batches_by_bytes(pieces: list[tuple[int, str]], most: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """Runs of (row, piece) of about ``most`` characters each."""
+    """Runs of (row, piece) of about ``most`` bytes each."""
     held: list[tuple[int, str]] = []
     size = 0
     for row, piece in pieces:
-        if held and size + len(piece) > most:
+        own = len(piece.encode())
+        if held and size + own > most:
             yield held
             held, size = [], 0
         held.append((row, piece))
-        size += len(piece)
+        size += own
     if held:
         yield held
 
