@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, on storage every executor reaches; removed when it exits."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    if not configured:
+        ensure_checkpoint_dir(spark)
+        configured = spark.sparkContext.getCheckpointDir()
+    folder = f"{configured.rstrip('/')}/turnwise-{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+_SCRATCH: set[str] = set()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later plans read the written rows instead of recomputing them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as Parquet and read them back: later plans read what they need of them instead of recomputing."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 200_000
