@@ -107,7 +107,8 @@ def test_frequent_shingles_pass_in_bounded_memory(monkeypatch):
     for size in (1, 2, 3, 7, 50):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i:i + size])], ["shingle", "k", "n"])
                    for i in range(0, len(rows), size)]
-        out = sorted(row for b in ngram_join._shared(iter(batches)) for row in zip(*[c.to_pylist() for c in b.columns]))
+        out = sorted(row for b in ngram_join._shared(iter(batches)) for k, n, t in zip(*[c.to_pylist() for c in b.columns])
+                     for row in [(t & (1 << 48) - 1, k, n, t >> 48)])
         assert out == sorted([(2, k, 9, 5) for k in range(17)] + [(3, 1, 3, 2), (3, 2, 3, 2)]), size
 
 

@@ -1,7 +1,10 @@
 """N-gram Jaccard join by prefix trees.
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more. The join is exact on
-64-bit shingle digests and returns each document's connected component.
+48-bit shingle digests and returns each document's connected component.
+
+Digests are that short because nearly all that moves is one of them per shingle: sets of n and m shingles are told apart
+wrongly with a chance of n m / 2^48, about one in a billion for ordinary documents.
 
 1. Equal word sequences form one class; a class takes part once.
 2. A shuffle by shingle finds the shingles that several classes share, with their document frequency. An overlap holds
@@ -40,11 +43,13 @@ WIDTH = 5
 #: Classes and shingles of a chunk; a task holds two chunks.
 CHUNK, CHUNK_SHINGLES = 1000, 2_000_000
 #: Document frequencies are told apart up to here; it only orders shingles, and bounds what a task holds of one.
-FREQUENT = 1 << 20
+FREQUENT = (1 << 15) - 1
+DIGEST_BITS = 48
 #: Ids up to which the rows to drop are broadcast.
 BROADCAST_ROWS = 200_000
 _ROWS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.uint64((1 << DIGEST_BITS) - 1)
 
 
 def shingles(text: bytes | None) -> tuple[np.ndarray, bytes]:
@@ -52,7 +57,8 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, bytes]:
     words = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space splits
     sequence = b" ".join(words)
     if len(words) < WIDTH:
-        return np.array([xxhash.xxh3_64_intdigest(sequence, seed=1 + len(words))] if words else [], np.uint64), sequence
+        whole = [xxhash.xxh3_64_intdigest(sequence, seed=1 + len(words))] if words else []
+        return np.array(whole, np.uint64) & _MASK, sequence
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     last = len(words) - WIDTH + 1
     gram = hashed[:last].copy()
@@ -60,7 +66,7 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, bytes]:
         gram ^= gram >> np.uint64(31)
         gram *= _MULTIPLIER
         gram += hashed[k:last + k]
-    return np.unique(gram), sequence
+    return np.unique(gram & _MASK), sequence
 
 
 def _class_key(sequence: bytes, seed: int) -> tuple[int, int]:
@@ -117,14 +123,15 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (shingle, k, n), those whose shingle has two or more classes, with their number up to FREQUENT.
+    """Of rows sorted by (shingle, k, n), those whose shingle has two or more classes, as (k, n, token). A token is the
+    number of classes, up to FREQUENT, above the digest: tokens in ascending order are in the global order.
 
     The rows of the last shingle wait for the next batch. Once FREQUENT of them wait, they and all that follow are
     frequent, and none needs to wait longer.
     """
     def packed(shingle, k, n, df) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, k, n, df.astype(np.int64))],
-                                          names=["shingle", "k", "n", "df"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, n, df.astype(np.int64) << DIGEST_BITS | shingle)],
+                                          names=["k", "n", "token"])
 
     wait = [np.zeros(0, np.int64)] * 3
     sent = None  # the shingle and last class of which rows were sent as frequent
@@ -162,7 +169,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (k, n, shingle) sorted by (k, n, df, shingle): the classes whose prefix holds a shared shingle."""
+    """Of rows (k, n, token) sorted by all three: the classes whose prefix holds a shared shingle."""
     def packed(k, n, shingle) -> pa.RecordBatch | None:
         start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
         count = np.diff(np.r_[start, len(k)])
@@ -392,9 +399,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     classes = keyed.filter("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("id"))
     shared = (docs.select("text").mapInArrow(_entries(seed), "shingle long, k long, n long")
               .repartition("shingle").sortWithinPartitions("shingle", "k", "n")
-              .mapInArrow(_shared, "shingle long, k long, n long, df long"))
-    able = stored(shared.repartition("k", "n").sortWithinPartitions("k", "n", "df", "shingle")
-                  .select("k", "n", "shingle")
+              .mapInArrow(_shared, "k long, n long, token long"))
+    able = stored(shared.repartition("k", "n").sortWithinPartitions("k", "n", "token")
                   .mapInArrow(_candidates, "k long, n long, prefix long, shingles array<long>"))
     able = stored(able.join(classes.filter("id is not null"), ["k", "n"]).drop("k"))
     prefixes = able.select("id", F.explode(F.expr("slice(shingles, 1, int(prefix))")).alias("shingle"))
