@@ -18,7 +18,3 @@ def documents(spark):
 @pytest.fixture(scope="session")
 def no_documents(documents):
     return documents.limit(0)
-
-
-def prose(rng, words: int, vocabulary: int = 4000) -> list[str]:
-    return [f"w{rng.randrange(vocabulary)}" for _ in range(words)]

@@ -1,6 +1,6 @@
 import random
 
-from conftest import prose
+from made_texts import prose
 
 from turnwise.llm.decontamination import contained_items, without_items
 

@@ -2,7 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from conftest import prose
+from made_texts import prose
 
 from turnwise.llm import ngram_join
 from turnwise.llm.components import components

@@ -1,6 +1,6 @@
 import random
 
-from conftest import prose
+from made_texts import prose
 
 import corpus_pipeline
 from turnwise.llm.common import stored

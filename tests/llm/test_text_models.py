@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import prose
+from made_texts import prose
 from pyspark.sql import functions as F
 
 from turnwise.llm import quality_model, toxicity
