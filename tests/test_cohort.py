@@ -158,3 +158,18 @@ def test_thinning_of_very_many_sections_in_one_group():
     times = np.tile(np.array([0, year]), n) + np.repeat(np.arange(n) % 1000, 2)
     kept = co.keep_spaced(block, np.arange(2, 2 * n + 1, 2), times, 240 * 60_000_000)
     assert kept.all()
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_censoring_horizon(spark, hot):
+    start = dt.datetime(2026, 4, 1)
+    at = lambda m: start + dt.timedelta(minutes=m)
+    flows = spark.createDataFrame([("1", at(30 * i), at(30 * i + 30), i == 2) for i in range(4)]
+                                  + [("2", at(30 * i), at(30 * i + 30), False) for i in range(9)],
+                                  "section_id string, t0 timestamp, t1 timestamp, censored boolean")
+    joins = spark.createDataFrame([("1", at(0)), ("1", at(60)), ("1", at(300)), ("2", at(31))], "section_id string, join_time timestamp")
+    if hot:
+        spark.conf.set("spark.turnwise.chunkRows", "2")
+    got = {(r["section_id"], r["join_time"]): r["horizon_min"] for r in co.censoring_horizon(flows, joins).collect()}
+    spark.conf.unset("spark.turnwise.chunkRows")
+    assert got == {("1", at(0)): 60.0, ("1", at(60)): 0.0, ("1", at(300)): None, ("2", at(31)): 239.0}

@@ -301,6 +301,31 @@ def follow_up(rows: DataFrame, splits: Splits, n_groups: int) -> DataFrame:
     return rows.withColumn("follow_us", F.coalesce("_cut", "_end")).drop("_cut", "_end", "t0")
 
 
+def censoring_horizon(flows: DataFrame, joins: DataFrame, splits: Splits | None = None) -> DataFrame:
+    """Minutes from each (``section_id, join_time``) to the end of what is observed for a joiner who didn't clear.
+
+    That is the end of the last interval before the first censored one at or after the join, or the censored interval's
+    start if it comes first; null when no interval starts at or after the join.
+    """
+    keys = ["section_id"]
+    splits = splits or plan_splits(flows, keys, "t0")
+    rows = flows.select("section_id", "t0", "t1", F.coalesce("censored", F.lit(False)).alias("censored"))
+    rows = scan(rows, keys, ["t0"], [Scan("_before", F.struct("t1"), "prev")], splits)
+    cut = F.when(F.col("censored"), F.struct("t0", F.coalesce("_before.t1", "t0").alias("end")))
+    rows = scan(rows, keys, ["t0"], [Scan("_cut", cut, "last", reverse=True),
+                                     Scan("_end", F.col("t1"), "max", reverse=True)], splits)
+    horizon = F.when(F.col("censored"), F.col("t0")).otherwise(F.coalesce("_cut.end", "_end"))
+    merged = rows.select("section_id", F.col("t0").alias("at"), F.lit(1).alias("_side"), horizon.alias("_horizon")).unionByName(
+        joins.select("section_id", F.col("join_time").alias("at"), F.lit(0).alias("_side"),
+                     F.lit(None).cast("timestamp").alias("_horizon")))
+    # the next interval at or after the join tells the horizon
+    ahead = scan(merged, keys, ["at", "_side"], [Scan("_next", F.col("_horizon"), "last", reverse=True)],
+                 Splits(("section_id",), "at", splits.bounds, splits.chunks) if splits.hot else None)
+    minutes = (F.unix_micros("_next") - F.unix_micros("at")) / F.lit(60_000_000.0)
+    return ahead.where("_side = 0").select("section_id", F.col("at").alias("join_time"),
+                                           F.greatest(minutes, F.when(minutes.isNotNull(), F.lit(0.0))).alias("horizon_min"))
+
+
 def _continue(rows: DataFrame, walked: DataFrame, n: int) -> DataFrame:
     """Carry joiners that outlived their range into the next one until none waits."""
     last = rows.groupBy("section_id").agg(F.max(CHUNK).alias("_last"))

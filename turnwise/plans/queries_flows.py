@@ -486,6 +486,20 @@ def thin_joins(spark, d):
     return co.thin_joins(flows(spark, d)).select("section_id", b.us("t0"), "kept")
 
 
+@query("censoring_horizon", f"""WITH {s.FLOWS}, r AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY t0) AS rn FROM flows),
+ c AS (SELECT *, min(CASE WHEN censored THEN rn END) OVER (PARTITION BY section_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cut,
+   max(t1) OVER (PARTITION BY section_id) AS last_t FROM r),
+ h AS (SELECT c.section_id, c.t0, CASE WHEN c.censored THEN c.t0 WHEN c.cut IS NULL THEN c.last_t ELSE p.t1 END AS ends
+   FROM c LEFT JOIN r p ON p.section_id=c.section_id AND p.rn=c.cut-1),
+ j AS (SELECT section_id, t0+INTERVAL 10 MINUTE AS jt FROM flows)
+ SELECT j.section_id, epoch_us(jt) AS join_time, CASE WHEN h.ends IS NOT NULL THEN CAST(round(greatest((epoch_us(h.ends)-epoch_us(jt))/60000000.0, 0)*1000000) AS BIGINT) END AS horizon_us
+ FROM j ASOF LEFT JOIN h ON h.section_id=j.section_id AND h.t0>=j.jt""")
+def censoring_horizon(spark, d):
+    rows = flows(spark, d)
+    joins = rows.select("section_id", (F.col("t0") + F.expr("INTERVAL 10 MINUTES")).alias("join_time"))
+    return co.censoring_horizon(rows, joins).select("section_id", b.us("join_time"), micros("horizon_min", 1_000_000, "horizon_us"))
+
+
 def _walk_sql(scenario: str, positions=POSITIONS, thin: bool = True) -> str:
     places = ", ".join(f"({p})" for p in positions)
     step = {"optimistic": "f.admits+f.wl_drops", "pessimistic": "f.admits",
