@@ -24,7 +24,7 @@ from turnwise.functions.rules import days_between
 from turnwise.functions.scalars import (
     course_level, days_to_instruction, joinable, phase_at, position_bucket, waitlist_ratio,
 )
-from turnwise.operators.scans import CHUNK, Scan, Splits, plan_splits, scan, with_chunk
+from turnwise.operators.scans import CHUNK, Scan, Splits, chunk_rows, plan_splits, scan, with_chunk
 from turnwise.schema import POSITIONS, SCENARIOS
 from turnwise.session import lookup_side, materialize
 
@@ -36,8 +36,10 @@ _STATE = "section_id string, _chunk int, join_us long, position int, scenario st
 _WALKED = _STATE + ", end_us long, event int, open boolean"
 
 
-def _groups(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _groups(df: DataFrame, splits: Splits) -> int:
+    """Groups to walk in: enough for all cores, and so many that one holds about a quarter of a chunk's rows."""
+    return max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
+               -(-4 * splits.rows // chunk_rows(df)))
 
 
 def _with_group(df: DataFrame, n: int) -> DataFrame:
@@ -194,7 +196,7 @@ def thin_joins(flows: DataFrame, every_min: float = 240, splits: Splits | None =
     rows = with_chunk(flows.select("section_id", "t0"), splits)
     rows = rows.withColumn("t0_us", F.unix_micros("t0")).drop("t0")
     schema = "section_id string, t0_us long"
-    n = _groups(flows)
+    n = _groups(flows, splits)
 
     def first(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["section_id", CHUNK, "t0_us"], ignore_index=True)
@@ -257,7 +259,7 @@ def walk_positions(
         if name not in SCENARIOS:
             raise ValueError(f"unknown scenario {name!r}; expected one of {SCENARIOS}")
     splits = splits or plan_splits(flows, ["section_id"], "t0")
-    n = _groups(flows)
+    n = _groups(flows, splits)
     can_join = joinable(F.col("waitlist0"), F.col("full0"), F.col("enrolled0"), F.col("capacity0"))
     gap_us = None if join_every_min is None else int(round(join_every_min * 60_000_000))
     if join_every_min is None:

@@ -24,12 +24,13 @@ CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class Splits:
-    """Cut points per hot key; ``bounds`` is None when no key is hot."""
+    """Cut points per hot key; ``bounds`` is None when no key is hot. ``rows`` is the number of rows counted for them."""
 
     keys: tuple[str, ...]
     order: str
     bounds: DataFrame | None = None
     chunks: int = 1
+    rows: int = 0
 
     @property
     def hot(self) -> bool:
@@ -60,9 +61,10 @@ def plan_splits(df: DataFrame, keys: Sequence[str], order: str) -> Splits:
     keys = tuple(keys)
     target = chunk_rows(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    most = counts.agg(F.max("_rows")).first()[0] or 0
+    found = counts.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
+    most, total = found["most"] or 0, found["all"] or 0
     if most <= target:
-        return Splits(keys, order)
+        return Splits(keys, order, rows=total)
     chunks = math.ceil(most / target)
     hot = counts.where(F.col("_rows") > F.lit(target)).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
     fractions = [i / chunks for i in range(1, chunks)]
@@ -73,7 +75,7 @@ def plan_splits(df: DataFrame, keys: Sequence[str], order: str) -> Splits:
         .agg(F.array_sort(F.array_distinct(
             F.percentile_approx(order, fractions, max(10_000, 20 * chunks)))).alias("_bounds"))
     )
-    return Splits(keys, order, materialize(bounds), chunks)
+    return Splits(keys, order, materialize(bounds), chunks, total)
 
 
 def _null_safe(keys: Sequence[str], prefix: str = "_h_") -> Column:
