@@ -62,12 +62,10 @@ def _time_of(words: Column, target: Column, start: Column, end: Column) -> Colum
     return 2 * need / (start + F.sqrt(F.greatest(start * start + 2 * (end - start) * need, F.lit(0.0))))
 
 
-def curriculum(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
+def _planned(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
                most: int = 2, schedules: tuple[tuple[float, float], ...] = SCHEDULES,
                keep: Column | None = None) -> DataFrame:
-    """One row per document, range-sorted by training time.
-
-    doc_id, source, size, source_size, target, taken (words over all passes), first_time and last_time (training time
+    """One row per document, in no order: doc_id, source, size, source_size, target, taken (words over all passes), first_time and last_time (training time
     at which its first and its last pass begin; null if it is never taken), times (of all passes), passes (takes of at
     least half its words), and ``keep`` as column _doc.
     """
@@ -104,9 +102,13 @@ def curriculum(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] =
              .withColumn("last_time", F.get("times", F.size("times") - 1)))
     kept = [] if keep is None else ["_doc"]
     return timed.select("doc_id", "source", "size", "source_size", "target", "taken", "passes",
-                        "first_time", "last_time", "times", *kept).repartitionByRange(
-        F.col("first_time").asc_nulls_last(), "doc_id").sortWithinPartitions(
-        F.col("first_time").asc_nulls_last(), "doc_id")
+                        "first_time", "last_time", "times", *kept)
+
+
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """The plan of ``docs``, see ``_planned``, range-sorted by the time at which training first reaches a document."""
+    order = [F.col("first_time").asc_nulls_last(), F.col("doc_id")]
+    return _planned(docs, **options).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -114,7 +116,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words carry none and leave. All columns of ``docs`` stay; ``docs`` may hold any others.
     """
-    plan = curriculum(docs, keep=F.struct(*docs.columns), **options)
+    plan = _planned(docs, keep=F.struct(*docs.columns), **options)  # whole documents are range-sorted once, below
     copies = plan.select("_doc", F.explode(F.slice("times", 1, F.col("passes"))).alias("_time"))
     return copies.repartitionByRange("_time", "_doc.doc_id").sortWithinPartitions("_time", "_doc.doc_id") \
         .select("_doc.*")
