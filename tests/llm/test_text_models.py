@@ -26,6 +26,18 @@ def test_machine_learns_a_pair_that_weights_alone_cannot():
     assert right >= 0.98 * len(docs)
 
 
+def test_fit_learns_a_pair_of_words_that_are_neutral_alone():
+    rng = random.Random(1)
+    docs, y = [], []
+    for i in range(1600):
+        a, b = i % 2, (i // 2) % 2
+        docs.append(toxicity.term_buckets(" ".join(prose(rng, 12, 300) + ["insult"] * a + ["group"] * b)))
+        y.append(int(a == b))
+    model = toxicity.fit(docs[:800], np.array(y[:800]))
+    right = sum((model.score(d) >= 0.5) == k for d, k in zip(docs[800:], y[800:]))
+    assert right >= 0.98 * 800
+
+
 def labelled(spark, seed=3, n=500):
     rng = random.Random(seed)
     docs, labels = [], []

@@ -6,8 +6,10 @@ and the inner product of the factors of every pair of terms, so an insult togeth
 for more than the two apart, which additive weights can't say.
 
 Learning uses a bounded sample: ``max_labelled`` labelled documents (an even choice by digest of the id) of at most
-``max_chars`` characters each, never those of the held-out fold. Terms that the sample doesn't tie to either class are
-left out. The model is fitted inside one task and comes back as a few arrays; scoring covers every row.
+``max_chars`` characters each, never those of the held-out fold. Every term of the sample is fitted, also those that say
+nothing alone, as pairs of them may: first the terms tied to a class by themselves, then all together, where the others
+take steps shortened by the number of a text's terms, so long texts aren't learned by heart. The model is fitted inside
+one task and comes back as a few arrays (2^18 terms at most, 19 MB); scoring covers every row.
 
 Defined results: a null or empty text has no term and gets the bias's score; without labels of both classes every score
 is the share of label 1 (0 without labels); repeated rows are scored one by one; an empty table gives no rows; other
@@ -54,7 +56,7 @@ def term_buckets(text: str | None) -> np.ndarray:
 
 @dataclass
 class FactorizationMachine:
-    """bias, and by chosen term: bucket (ascending), weight, factors."""
+    """bias, and by term: bucket (ascending), weight, factors."""
 
     bias: float
     bucket: np.ndarray
@@ -85,34 +87,49 @@ def _chosen_terms(docs: list[np.ndarray], y: np.ndarray, min_docs: int, min_z: f
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4,
-        min_docs: int = 5, min_z: float = 4.0, seed: int = 7) -> FactorizationMachine:
-    """Stochastic gradient descent with per-parameter steps on the logistic loss; rarer labels weigh more."""
+        min_docs: int = 5, min_z: float = 4.0, seed: int = 7, full_steps: int = 5) -> FactorizationMachine:
+    """Stochastic gradient descent with per-parameter steps on the logistic loss; rarer labels weigh more.
+
+    ``epochs`` over the terms that are tied to a class alone, then as many over all terms of ``docs``. In these the other
+    terms take ``full_steps / terms of the document`` of a step, the whole one where that is more.
+    """
     ones = int(y.sum())
     if ones in (0, len(y)):
         share = np.clip(ones / max(1, len(y)), 1e-9, 1 - 1e-9)
         none = np.zeros(0, np.int32)
         return FactorizationMachine(float(np.log(share / (1 - share))), none, np.zeros(0), np.zeros((0, rank)))
-    bucket = _chosen_terms(docs, y, min_docs, min_z)
-    rows = [np.flatnonzero(np.isin(bucket, d)) for d in docs]
+    bucket = np.unique(np.concatenate(docs)).astype(np.int32)
+    alone = np.isin(bucket, _chosen_terms(docs, y, min_docs, min_z))
+    rows = [np.searchsorted(bucket, d) for d in docs]
     rng = np.random.default_rng(seed)
-    fm = FactorizationMachine(0.0, bucket, np.zeros(len(bucket)), rng.normal(0, 0.01, (len(bucket), rank)))
-    past_bias, past_weight, past_factors = 1.0, np.ones(len(bucket)), np.ones((len(bucket), rank))
+    bias, past_bias = 0.0, 1.0
+    held = np.hstack([np.zeros((len(bucket), 1)), rng.normal(0, 0.01, (len(bucket), rank))])  # weight, factors
+    past = np.ones_like(held)
     class_weight = (1.0, min(4.0, (len(y) - ones) / ones))
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            at, label = rows[i], int(y[i])
-            pull = (1 / (1 + np.exp(-np.clip(fm.margin(at), -30, 30))) - label) * class_weight[label]
-            past_bias += pull * pull
-            fm.bias -= rate * pull / np.sqrt(past_bias)
-            if len(at):
-                step = pull + decay * fm.weight[at]
-                past_weight[at] += step * step
-                fm.weight[at] -= rate * step / np.sqrt(past_weight[at])
-                v = fm.factors[at]
-                step = pull * (v.sum(0) - v) + decay * v
-                past_factors[at] += step * step
-                fm.factors[at] = v - rate * step / np.sqrt(past_factors[at])
-    return fm
+    for every_term in (False, True):
+        used = rows if every_term else [at[alone[at]] for at in rows]
+        for _ in range(epochs):
+            for i in rng.permutation(len(used)):
+                at, label = used[i], int(y[i])
+                own = held.take(at, 0)
+                total = own.sum(0)
+                margin = bias + total[0] + 0.5 * (total[1:] @ total[1:] - np.vdot(own[:, 1:], own[:, 1:]))
+                pull = (1 / (1 + np.exp(-min(30.0, max(-30.0, margin)))) - label) * class_weight[label]
+                past_bias += pull * pull
+                bias -= rate * pull / np.sqrt(past_bias)
+                if len(at):
+                    rates = np.where(alone.take(at), rate, rate * min(1.0, full_steps / len(at)))
+                    step = total - own
+                    step[:, 0] = 1.0
+                    step *= pull
+                    step += decay * own
+                    seen = past.take(at, 0)
+                    seen += step * step
+                    past[at] = seen
+                    step *= rates[:, None]
+                    step /= np.sqrt(seen)
+                    held[at] = own - step
+    return FactorizationMachine(float(bias), bucket, held[:, 0].copy(), held[:, 1:].copy())
 
 
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
