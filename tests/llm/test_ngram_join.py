@@ -117,3 +117,40 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_links(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    return {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))
+            if sets[i] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+
+
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_no_link_is_lost(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    rng = random.Random(8)
+    base = prose(rng, 200)
+    rows = [(i, " ".join(edited(rng, base, 0.008))) for i in range(30)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(corpus(9, groups=5))] + [(900, ""), (901, rows[3][1]), (902, rows[3][1])]
+    wanted = plain_links(rows)
+    assert len(wanted) > 2 * len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_link_counts(docs).collect()}
+    assert counted == {d: sum(i in pair for pair in wanted) for i, (d, _) in enumerate(rows)}
+    pairs, members = ngram_join.ngram_links(docs)
+    pairs = [tuple(r) for r in pairs.collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    of = {r["doc_id"]: (r["class_id"], r["n_shingles"]) for r in members.collect()}
+    ids = [d for d, _ in rows]
+    linked = {(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids))
+              if (min(of[ids[i]], of[ids[j]])[0], max(of[ids[i]], of[ids[j]])[0]) in set(pairs)
+              or of[ids[i]] == of[ids[j]] and of[ids[i]][1]}
+    assert linked == wanted
+
+
+def test_link_counts_of_edges(spark, documents, no_documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    wanted = plain_links(rows)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_links"]) for r in ngram_join.ngram_link_counts(documents).collect())
+    assert got == sorted((d is None, d or 0, sum(i in pair for pair in wanted)) for i, (d, _) in enumerate(rows))
+    assert ngram_join.ngram_link_counts(no_documents).count() == 0

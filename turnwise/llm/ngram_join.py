@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix trees.
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more. The join is exact on
-48-bit shingle digests and returns each document's connected component.
+48-bit shingle digests. ``ngram_components`` gives each document's connected component and needs no more links than span
+it; ``ngram_links`` gives every link, and ``ngram_link_counts`` each document's number of links.
 
 Digests are that short because nearly all that moves is one of them per shingle: sets of n and m shingles are told apart
 wrongly with a chance of n m / 2^48, about one in a billion for ordinary documents.
@@ -19,7 +20,8 @@ wrongly with a chance of n m / 2^48, about one in a billion for ordinary documen
 A block of more than ``CHUNK`` classes is dealt into chunks that are joined within themselves first. What is then in the
 block's main component is not joined with itself again: only the classes outside it meet all chunks. So a group of near
 copies of any size costs in proportion to its size; a block in which few classes are linked costs chunks x chunks, but
-never more memory.
+never more memory. Where every link is wanted nothing is left out: all pairs of a block's chunks are joined, one task
+each, so work and rows moved grow with chunks x chunks. Links are counted inside the tasks and not written for it.
 
 Defined results: a null or wordless text has an empty set and is its own component; a text with fewer than five words
 has its whole sequence as its one shingle; a null doc_id never becomes a component id of others; repeated rows are rows
@@ -267,6 +269,27 @@ class PrefixTree:
                     break
             node.uniform = roots.pop() if len(roots) == 1 else -1
 
+    def near(self, own: np.ndarray, n: int, marked: np.ndarray) -> list[int]:
+        """All sets of the tree that link with a set of ``n`` shingles and ranks ``own``; ``marked`` is all false."""
+        marked[own] = True
+        found: list[int] = []
+        stack = [(self.root, 0)]
+        while stack:
+            node, overlap = stack.pop()
+            if 5 * node.largest < 4 * n or 4 * node.smallest > 5 * n:
+                continue
+            if len(node.run):
+                overlap += int(np.count_nonzero(marked[node.run]))
+                left = min(node.longest - len(node.run), len(own) - int(np.searchsorted(own, node.run[-1], "right")))
+            else:
+                left = len(own)
+            if 9 * (overlap + left) < 4 * (n + max(node.smallest, (4 * n + 4) // 5)):
+                continue
+            found += [j for j in node.ends if 9 * overlap >= 4 * (n + self.sizes[j])]
+            stack.extend((c, overlap) for c in node.children.values())
+        marked[own] = False
+        return found
+
     def links(self) -> list[tuple[int, int]]:
         """Links that span every component of the sets."""
         found: list[tuple[int, int]] = []
@@ -300,17 +323,76 @@ class PrefixTree:
         return found
 
 
-def _tree_links(ids: list[int], sizes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links among the classes of one block; the order within it puts what most of them hold first, so they share more."""
+def _in_order(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets as ascending ranks, and how many ranks there are; what most sets hold is first, so they share more."""
     every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), np.int64)
     rank[np.lexsort((every, -count))] = np.arange(len(every))
     ranked = rank[place]
     bounds = np.cumsum([len(s) for s in sets])[:-1]
-    ordered = [np.sort(x) for x in np.split(ranked, bounds)]
+    return [np.sort(x) for x in np.split(ranked, bounds)], len(every)
+
+
+def _tree_links(ids: list[int], sizes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of the classes of one block."""
+    ordered, _ = _in_order(sets)
     return [(ids[i], ids[j]) for i, j in PrefixTree(ordered, sizes).links()]
 
 
+def _all_near(sizes: list[int], sets: list[np.ndarray], sides: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, linked sets) for every link of a task once: between its two sides, or within its only one."""
+    ordered, ranks = _in_order(sets)
+    marked = np.zeros(ranks, bool)
+    first = [i for i, side in enumerate(sides) if side == 0]
+    second = [i for i, side in enumerate(sides) if side == 1]
+    held = np.array(second or first, np.int64)
+    tree = PrefixTree([ordered[j] for j in held], [sizes[j] for j in held])
+    for i in first:
+        found = held[np.array(tree.near(ordered[i], sizes[i], marked), np.int64)]
+        if not second:
+            found = found[found > i]
+        if len(found):
+            yield i, found
+
+
+def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(ids, sizes, copies, sides, sets) of each task of rows (task, id, n, copies, side, shingles) sorted by task."""
+    task, rows, sets = None, [], []
+    for batch in batches:
+        values, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+        for row, (t, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+            if t != task:
+                if len(rows) > 1:
+                    yield (*zip(*rows), sets)
+                task, rows, sets = t, [], []
+            rows.append(own)
+            sets.append(values[offsets[row]:offsets[row + 1]].copy())
+    if len(rows) > 1:
+        yield (*zip(*rows), sets)
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every link (a, b) of each task."""
+    for ids, sizes, _, sides, sets in _whole_tasks(batches):
+        ids = np.array(ids, np.int64)
+        for i, found in _all_near(sizes, sets, sides):
+            a, b = np.full(len(found), ids[i]), ids[found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, rows linked with it) of each task, a linked class counting with its copies."""
+    for ids, sizes, copies, sides, sets in _whole_tasks(batches):
+        copies = np.array(copies, np.int64)
+        links = np.zeros(len(ids), np.int64)
+        for i, found in _all_near(sizes, sets, sides):
+            links[i] += copies[found].sum()
+            links[found] += copies[i]
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[some]), pa.array(links[some])],
+                                         names=["id", "links"])
+
+
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each task of rows (task, id, n, shingles) sorted by task."""
     def joined() -> pa.RecordBatch:
@@ -380,40 +462,90 @@ def _block_links(rows: DataFrame) -> DataFrame:
     return across.union(stored(_links_by_task(both, _task(F.col("block"), F.col("chunk"), F.col("part")))))
 
 
+def _chunk_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (task, id, n, copies, side, shingles) of (block, id, n, copies, shingles): a task for every pair of a block's
+    chunks and for each chunk by itself."""
+    dealt = rows.join(_chunks_of(rows), "block").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    return (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select(_task(F.col("block"), low, high).alias("task"), "id", "n", "copies",
+                    (F.col("chunk") > low).cast("int").alias("side"), "shingles")
+            .repartition("task").sortWithinPartitions("task", "side", "id"))
+
+
 def _distinct_keys(docs: DataFrame) -> tuple[int, DataFrame]:
-    """A seed under which no two word sequences share (k, n), and (doc_id, n, k) of every row under it."""
+    """A seed under which no two word sequences share k, and (doc_id, n, k) of every row under it."""
     kind = dict(docs.dtypes)["doc_id"]
     seed = 0
     while True:
         keyed = stored(docs.mapInArrow(_keys(seed), f"doc_id {kind}, n long, k long, check long"))
-        clash = keyed.groupBy("k", "n").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y")
+        clash = keyed.groupBy("k").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y")
         if clash.isEmpty():
             return seed, keyed.drop("check")
         seed += 1
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    docs = docs.select("doc_id", "text")
-    seed, keyed = _distinct_keys(docs)
-    classes = keyed.filter("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("id"))
+def _able(docs: DataFrame, seed: int) -> DataFrame:
+    """(k, n, prefix, shingles) of the classes that may link with another."""
     shared = (docs.select("text").mapInArrow(_entries(seed), "shingle long, k long, n long")
               .repartition("shingle").sortWithinPartitions("shingle", "k", "n")
               .mapInArrow(_shared, "k long, n long, token long"))
-    able = stored(shared.repartition("k", "n").sortWithinPartitions("k", "n", "token")
+    return stored(shared.repartition("k", "n").sortWithinPartitions("k", "n", "token")
                   .mapInArrow(_candidates, "k long, n long, prefix long, shingles array<long>"))
-    able = stored(able.join(classes.filter("id is not null"), ["k", "n"]).drop("k"))
+
+
+def _in_blocks(able: DataFrame) -> DataFrame:
+    """Those of ``able`` whose prefix shares a shingle, with their block."""
     prefixes = able.select("id", F.explode(F.expr("slice(shingles, 1, int(prefix))")).alias("shingle"))
     leads = prefixes.groupBy("shingle").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1")
     pairs = prefixes.join(leads.drop("c"), "shingle").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    blocks = components(pairs).withColumnRenamed("node", "id").withColumnRenamed("component", "block")
-    links = _block_links(able.join(blocks, "id"))
+    return able.join(components(pairs).withColumnRenamed("node", "id").withColumnRenamed("component", "block"), "id")
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    docs = docs.select("doc_id", "text")
+    seed, keyed = _distinct_keys(docs)
+    classes = keyed.filter("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("id"))
+    able = stored(_able(docs, seed).join(classes.filter("id is not null"), ["k", "n"]).drop("k"))
+    links = _block_links(_in_blocks(able))
     linked = components(links).withColumnRenamed("node", "id")
     of_class = classes.join(linked, "id", "left").select("k", "n", F.coalesce("component", "id").alias("component_id"))
     return keyed.join(of_class, ["k", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _pairs_to_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, k) of every row; (k, copies) of every class; the tasks of ``_chunk_pairs``, where k is the id."""
+    docs = docs.select("doc_id", "text")
+    seed, keyed = _distinct_keys(docs)
+    copies = keyed.filter("n > 0").groupBy("k").agg(F.count("*").alias("copies"))
+    able = stored(_able(docs, seed).join(copies, "k").withColumnRenamed("k", "id"))
+    return keyed, copies, _chunk_pairs(stored(_in_blocks(able)))
+
+
+def ngram_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every link: (a, b) of linked classes, once each with a < b, and (doc_id, n_shingles, class_id) of every row.
+
+    Rows of one class are linked with each other too, unless n_shingles is 0; a class stands for all its rows, also those
+    without doc_id. A group of m near copies with different texts has up to m (m - 1) / 2 rows here.
+    """
+    keyed, _, tasks = _pairs_to_join(docs)
+    return (tasks.mapInArrow(_join_all, "a long, b long"),
+            keyed.select("doc_id", F.col("n").alias("n_shingles"), F.col("k").alias("class_id")))
+
+
+def ngram_link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_links (other rows at similarity 0.8 or more, copies of the text included) of every row."""
+    keyed, copies, tasks = _pairs_to_join(docs)
+    counted = tasks.mapInArrow(_count_all, "id long, links long").groupBy(F.col("id").alias("k")) \
+        .agg(F.sum("links").alias("links"))
+    of_class = copies.join(counted, "k", "left") \
+        .select("k", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return keyed.join(of_class, "k", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row whose doc_id is the smallest stays.
 
@@ -458,3 +590,26 @@ FROM sizes LEFT JOIN reach ON x = doc_id
 @query("op3_ngram_trie_join", _SQL)
 def op3_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+_LINKS_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM d),
+sizes AS (SELECT r, doc_id, len(s)::BIGINT AS n FROM sets),
+entries AS (SELECT r, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM entries a JOIN entries b ON a.g = b.g AND a.r <> b.r
+  JOIN sizes p ON p.r = a.r JOIN sizes q ON q.r = b.r
+  GROUP BY a.r, b.r, p.n, q.n HAVING 9 * count(*) >= 4 * (p.n + q.n)),
+counts AS (SELECT x, count(*) AS c FROM links GROUP BY x)
+SELECT doc_id, n AS n_shingles, coalesce(c, 0)::BIGINT AS n_links FROM sizes LEFT JOIN counts ON x = r
+"""
+
+
+@query("op3_ngram_link_counts", _LINKS_SQL)
+def op3_ngram_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_link_counts(table(spark, sf_dir, "documents"))
