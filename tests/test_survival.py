@@ -1,3 +1,4 @@
+import hashlib
 import datetime as dt
 import math
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.operators import boot, cox, km
+from turnwise.operators import boot, cox, km, ranks
 from turnwise.operators import tables as tb
 from turnwise.plans import backtest as bt
 from turnwise.sources.calendar import calendar_for
@@ -122,13 +123,23 @@ def test_horizons(spark):
 
 
 def test_picks_are_draws_of_n():
-    whole = boot.picks(np.arange(1000), 1000, 3, 7, 11)
-    blocks = boot.picks(np.arange(1000), 1000, 3, 7, 11, block=64)
-    assert whole.sum() == blocks.sum() == 1000
-    part = boot.picks(np.array([5, 70, 999]), 1000, 3, 7, 11, block=64)
-    assert list(part) == list(blocks[[5, 70, 999]])
-    many = np.array([boot.picks(np.arange(50), 50, b, 0, 1, block=16) for b in range(2000)])
-    assert abs(many.mean() - 1) < 1e-9 and abs(many.var() - (1 - 1 / 50)) < 0.05
+    word = lambda seed, j, b: int(hashlib.md5(f"{seed}:{j}:{b // 4}".encode()).hexdigest()[b % 4 * 8:b % 4 * 8 + 8], 16)
+    found = boot.words(3, 5, 9, 10)
+    assert [[word(3, j, b) for b in range(10)] for j in range(5, 9)] == found.tolist()
+    many = boot.picks(50, 0, 2000)
+    assert (many.sum(axis=0) == 50).all()
+    assert abs(many.var() - (1 - 1 / 50)) < 0.05
+
+
+def test_drawn_counts_are_the_picks(spark):
+    rows = [(g, f"s{i}", 1.0, 1, 0) for g, n in (("a", 40), ("b", 7), ("c", 1), ("d", 40)) for i in range(n)]
+    counts = spark.createDataFrame(rows, "g string, section_id string, t double, n int, d int")
+    for block in (boot.BLOCK, 8):
+        got = boot.drawn(counts, ["g"], n_boot=30, seed=4, block=block).collect()
+        assert len(got) == 87
+        for g, n in (("a", 40), ("b", 7), ("d", 40)):
+            own = sorted((r["number"], r["picks"]) for r in got if r["g"] == g)
+            assert [k for k, _ in own] == list(range(n)) and [p for _, p in own] == boot.picks(n, 4, 30).tolist()
 
 
 def _bands(spark, c):
@@ -147,6 +158,22 @@ def test_bands_do_not_depend_on_the_ranges(spark):
     assert (plain["low"] < plain["high"]).all()
 
 
+def test_quantiles_by_rank(spark, tiny_chunks):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v), int(m)) for v, m in zip(rng.integers(0, 40, 200), rng.integers(1, 4, 200))]
+    rows += [("b", float(v), 1) for v in rng.random(31)] + [("c", 5.0, 9), ("d", None, 3), ("d", float("nan"), 1), (None, 1.0, 1), (None, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, m int")
+    at = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["g"]: r["q"] for r in ranks.quantiles(df, ["g"], "v", at, "m", "q").collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in got:
+        values = np.repeat([v for k, v, _ in rows if k == g], [m for k, _, m in rows if k == g])
+        assert got[g] == pytest.approx(np.quantile(values, at))
+    every = [v for _, v, _ in rows if v is not None and v == v]
+    assert ranks.quantiles(df, [], "v", at, name="q").first()["q"] == pytest.approx(np.quantile(every, at))
+    assert ranks.quantiles(df.limit(0), [], "v", at).count() == 0
+
+
 def test_gain_interval_matches_direct_resampling(spark):
     rng = np.random.default_rng(5)
     rows = [("m", str(int(rng.integers(0, 30))), float(rng.integers(0, 2)), 1.0, float(rng.random()), 0.5) for _ in range(400)]

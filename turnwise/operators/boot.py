@@ -1,55 +1,124 @@
-"""Resampling sections with replacement, n of n, without moving the draws.
-
-The sections of a group are numbered; numbers fall into blocks of fixed size.
-Draw ``b`` splits its n picks over the blocks by one multinomial and picks
-within a block by uniform integers, both from generators seeded by (seed,
-group, draw, block). Any task can therefore compute how often its own sections
-are picked in every draw from their numbers alone, and the result is exactly a
-draw of n sections out of n.
+"""Resampling sections with replacement, n of n, by counters instead of generator states.
+
+The sections of a group are numbered 0 to n - 1 in a seeded order. Pick j of draw b is a fixed 32-bit word, taken from the
+MD5 of (seed, j, b // 4), modulo n: any task and any engine can repeat it, in any order. Groups share the words, as paired
+comparisons should; each takes them modulo its own size.
+
+``drawn`` makes every pick once: blocks of picks are made and dealt by the block of sections they fall on, and each block
+counts how often each of its sections was picked in each draw. A section carries those counts as one array from then on,
+so neither ranges of a hot group nor several uses of the draws make them again.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.scalars import seeded_order
 from turnwise.operators.scans import CHUNK, Scan, plan_splits, scan, with_chunk
+from turnwise.session import materialize
 
 N_BOOT = 200
-BLOCK = 100_000
-
-
-def picks(numbers: np.ndarray, n: int, draw: int, seed: int, group: int, block: int = BLOCK) -> np.ndarray:
-    """How often draw ``draw`` picks each of the given section numbers (0-based) of ``n``."""
-    sizes = np.full(-(-n // block), block, np.int64)
-    sizes[-1] = n - block * (len(sizes) - 1)
-    key = (seed & 0xFFFFFFFF, group & 0xFFFFFFFFFFFFFFFF, draw)
-    if len(sizes) == 1:
-        shares = np.array([n])
-    else:
-        shares = np.random.default_rng((*key, 0)).multinomial(n, sizes / n)
-    out = np.zeros(len(numbers), np.int64)
-    home = numbers // block
-    for b in np.unique(home):
-        chosen = np.random.default_rng((*key, 1 + int(b))).integers(0, sizes[b], shares[b])
-        mine = home == b
-        out[mine] = np.bincount(chosen, minlength=sizes[b])[numbers[mine] - b * block]
-    return out
+#: Picks made at once, and sections counted at once: a task holds as many times ``n_boot`` numbers.
+BLOCK = 20_000
+#: (section, time) rows of a range that a task weighs, and the numbers it holds for a slice of the draws.
+RANGE_ROWS, HELD_NUMBERS = 500_000, 8_000_000
+_WORDS = 4  # of 32 bits in one digest
+
+
+def words(seed: int, first: int, last: int, n_boot: int = N_BOOT) -> np.ndarray:
+    """The words of picks ``first`` to ``last`` - 1 (rows) in every draw (columns)."""
+    digests = -(-n_boot // _WORDS)
+    raw = b"".join(hashlib.md5(b"%d:%d:%d" % (seed, j, q)).digest() for j in range(first, last) for q in range(digests))
+    return np.frombuffer(raw, ">u4").astype(np.int64).reshape(last - first, digests * _WORDS)[:, :n_boot]
+
+
+def picks(n: int, seed: int, n_boot: int = N_BOOT) -> np.ndarray:
+    """How often each of ``n`` sections (rows) is picked in every draw (columns)."""
+    codes = words(seed, 0, n, n_boot) % n * n_boot + np.arange(n_boot)
+    return np.bincount(codes.ravel(), minlength=n * n_boot).reshape(n, n_boot)
+
+
+def _dealt(seed: int, n_boot: int, block: int):
+    """Of rows (group, n, first) the picks from ``first`` on, one row per block of sections they fall on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (-1, np.zeros((0, n_boot), np.int64))
+        for batch in batches:
+            for group, n, first in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = min(block, n - first)
+                if held[0] != first or len(held[1]) < rows:
+                    held = (first, words(seed, first, first + rows, n_boot))
+                number = held[1][:rows] % n
+                home, codes = number // block, number % block * n_boot + np.arange(n_boot)
+                for h in np.unique(home) if n > block else (0,):
+                    mine = codes[home == h] if n > block else codes.ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([group]), pa.array([int(h)]), pa.array([min(block, n - int(h) * block)]),
+                         pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), pa.array(mine.astype(np.int32)))],
+                        names=["group", "home", "size", "codes"])
+
+    return run
+
+
+def _counted(n_boot: int, block: int):
+    """Of rows (group, home, size, codes) in order: one row per section, how often it was picked in each draw."""
+    def rows_of(group: int, home: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(counts), 2_000):
+            part = counts[at:at + 2_000].astype(np.int16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), group)), pa.array(np.arange(at, at + len(part)) + home * block),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, n_boot, dtype=np.int32)),
+                                          pa.array(part.ravel()))], names=["group", "number", "picks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts = None, None
+        for batch in batches:
+            codes = batch.column(3)
+            for i, (group, home, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if (group, home) != key:
+                    if key is not None:
+                        yield from rows_of(*key, counts)
+                    key, counts = (group, home), np.zeros((size, n_boot), np.int64)
+                counts += np.bincount(codes[i].values.to_numpy(), minlength=size * n_boot).reshape(size, n_boot)
+        if key is not None:
+            yield from rows_of(*key, counts)
+
+    return run
 
 
 def number_sections(rows: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
     """``number`` (0-based, in a seeded order) and the group's ``sections``."""
     by = list(by)
-    keyed = rows.select(*by, "section_id").distinct().withColumn("_h", seeded_order(seed, F.col("section_id")))
+    keyed = materialize(rows.select(*by, "section_id").distinct().withColumn("_h", seeded_order(seed, F.col("section_id"))))
     sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("sections"))
     numbered = scan(keyed, by, ["_h", "section_id"], [Scan("_j", F.lit(1), "sum")], plan_splits(keyed, by, "_h"))
     return numbered.join(sizes, by).select(*by, "section_id", (F.col("_j") - 1).cast("long").alias("number"), "sections")
 
 
+def drawn(rows: DataFrame, by: Sequence[str], *, n_boot: int = N_BOOT, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """``by``, section_id, number and ``picks``, the section's counts by draw, of groups with two sections or more."""
+    by = list(by)
+    numbered = materialize(number_sections(rows, by, seed).where("sections >= 2"))
+    # written before use, so the numbers of the groups stay what they are
+    groups = materialize(numbered.groupBy(*by).agg(F.max("sections").alias("n"))
+                         .withColumn("group", F.monotonically_increasing_id()))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = groups.select("group", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long")))
+                          .alias("first"))
+    # picks from the same place on make use of the same words, so the largest group of a place goes first
+    dealt = asked.repartition(tasks, F.xxhash64("group", "first")).sortWithinPartitions("first", F.desc("n")) \
+        .mapInArrow(_dealt(seed, n_boot, block), "group long, home long, size long, codes array<int>")
+    counted = dealt.repartition(tasks, F.xxhash64("group", "home")).sortWithinPartitions("group", "home") \
+        .mapInArrow(_counted(n_boot, block), "group long, number long, picks array<short>")
+    named = numbered.join(groups.drop("n"), by)
+    return materialize(named.join(counted, ["group", "number"]).select(*by, "section_id", "number", "picks"))
+
+
 def _types(df: DataFrame, by: Sequence[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
@@ -58,32 +127,19 @@ def bootstrap_gain(scored: DataFrame, by: Sequence[str], base: str, model: str,
                    seed: int = 0, block: int = BLOCK) -> DataFrame:
     """95 % interval of ``brier(base) - brier(model)`` over section resamples.
 
-    Rows shrink to sums per section first; each task then weighs one block of
-    sections in every draw, and only sums per draw are combined.
+    Rows shrink to sums per section first; a section adds them to every draw as often as it was picked there, map-side.
     """
     by = list(by)
     # a row without an answer or one of the predictions counts in neither sum
     known = (F.col("w") > 0) & F.col("y").isNotNull() & F.col(base).isNotNull() & F.col(model).isNotNull()
     sq = lambda p: F.sum(F.when(known, F.col("w") * (F.col("y") - F.col(p)) * (F.col("y") - F.col(p))).otherwise(0.0))
-    sums = scored.groupBy(*by, "section_id").agg(
-        sq(base).alias("_sb"), sq(model).alias("_sm"), F.sum(F.when(known, F.col("w")).otherwise(0.0)).alias("_sw"))
-    rows = sums.join(number_sections(scored, by, seed), [*by, "section_id"]).where("sections >= 2").select(
-        *by, F.xxhash64(*by).alias("_group"), (F.col("number") / block).cast("int").alias("_block"),
-        "number", "sections", "_sb", "_sm", "_sw")
-
-    def weigh(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame.iloc[0]
-        numbers, values = frame["number"].to_numpy(np.int64), frame[["_sb", "_sm", "_sw"]].to_numpy(float)
-        out = np.stack([picks(numbers, int(head["sections"]), b, seed, int(head["_group"]), block) @ values
-                        for b in range(n_boot)])
-        return pd.DataFrame({**{c: head[c] for c in by}, "_b": np.arange(n_boot), "_sb": out[:, 0], "_sm": out[:, 1],
-                             "_sw": out[:, 2]})
-
-    parts = rows.groupBy(*by, "_block").applyInPandas(
-        weigh, f"{_types(scored, by)}, _b int, _sb double, _sm double, _sw double")
-    draws = parts.groupBy(*by, "_b").agg(F.sum("_sb").alias("_sb"), F.sum("_sm").alias("_sm"), F.sum("_sw").alias("_sw"))
+    sums = materialize(scored.groupBy(*by, "section_id").agg(
+        sq(base).alias("_sb"), sq(model).alias("_sm"), F.sum(F.when(known, F.col("w")).otherwise(0.0)).alias("_sw")))
+    rows = sums.join(drawn(sums, by, n_boot=n_boot, seed=seed, block=block), [*by, "section_id"])
+    each = rows.select(*by, "_sb", "_sm", "_sw", F.posexplode("picks").alias("_b", "_times")).where("_times > 0")
+    draws = each.groupBy(*by, "_b").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in ("_sb", "_sm", "_sw")])
     gain = F.try_divide(F.col("_sb") - F.col("_sm"), F.col("_sw"))
-    band = F.percentile("_g", [0.025, 0.975])
+    band = F.percentile("_g", [0.025, 0.975])  # of n_boot values
     return draws.select(*by, gain.alias("_g")).groupBy(*by).agg(
         band[0].alias("gain_ci_low"), band[1].alias("gain_ci_high"))
 
@@ -94,72 +150,93 @@ def section_counts(cohort: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("event").alias("d"))
 
 
+def _slices(rows: int, n_boot: int) -> Iterator[slice]:
+    """The draws in slices whose numbers for ``rows`` rows fit what a task holds."""
+    step = max(1, min(n_boot, HELD_NUMBERS // max(1, rows)))
+    return (slice(b, min(b + step, n_boot)) for b in range(0, n_boot, step))
+
+
 def curve_bands(counts: DataFrame, by: Sequence[str], grid: DataFrame, *, n_boot: int = N_BOOT,
                 seed: int = 0, block: int = BLOCK) -> DataFrame:
     """2.5 and 97.5 percentiles of the clearing curve at each grid ``day``.
 
     ``counts`` comes from ``section_counts`` (written, since it is read three
-    times); ``grid`` has ``by`` and ``day``. A task holds one time range of one group and turns it into survival
-    factors per draw. Ranges combine through the numbers at risk after them and
+    times); ``grid`` has ``by`` and ``day``. A task holds one time range of one group with the pick counts of its
+    sections and turns it into survival factors per draw. Ranges combine through the numbers at risk after them and
     the product of their factors, so a group of any size is spread over tasks.
     Groups with one section have no band.
     """
     by = list(by)
-    splits = plan_splits(counts, by, "t")
-    numbered = number_sections(counts, by, seed).where("sections >= 2")
-    rows = with_chunk(counts, splits).join(numbered, [*by, "section_id"]).select(
-        *by, CHUNK, F.xxhash64(*by).alias("_group"), "number", "sections", "t", "n", "d")
+    splits = plan_splits(counts, by, "t", RANGE_ROWS)
+    sections = drawn(counts, by, n_boot=n_boot, seed=seed, block=block)
+    rows = with_chunk(counts, splits).join(sections.drop("picks"), [*by, "section_id"]).select(
+        *by, CHUNK, "number", "t", "n", "d")
     wanted = grid.groupBy(*by).agg(F.array_sort(F.collect_set("day")).alias("days"))
     keys = _types(counts, by)
     group = [*by, CHUNK]
-
-    def weights(frame: pd.DataFrame):
-        """Per draw: the pick count of each row's section."""
-        numbers, where = np.unique(frame["number"].to_numpy(np.int64), return_inverse=True)
-        n, key = int(frame["sections"].iat[0]), int(frame["_group"].iat[0])
-        for b in range(n_boot):
-            yield b, picks(numbers, n, b, seed, key, block)[where].astype(float)
-
-    def totals(frame: pd.DataFrame) -> pd.DataFrame:
-        n = frame["n"].to_numpy(float)
-        return pd.DataFrame({**{c: frame[c].iat[0] for c in group}, "_b": np.arange(n_boot),
-                             "n": [float(w @ n) for _, w in weights(frame)]})
+    if splits.hot:
+        held = rows.select(*group, "number").distinct().join(sections.drop("section_id"), [*by, "number"])
+    else:
+        held = sections.drop("section_id").withColumn(CHUNK, F.lit(0))
+    held = held.select(*group, "number", "picks")
+
+    def weights(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Pick counts by section of the range, and each row's section among them."""
+        numbers = right["number"].to_numpy(np.int64)
+        order = np.argsort(numbers)
+        return (np.stack(right["picks"].to_numpy())[order],
+                np.searchsorted(numbers[order], left["number"].to_numpy(np.int64)))
+
+    def totals(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0:
+            return pd.DataFrame(columns=[*group, "_b", "n"])
+        times, where = weights(left, right)
+        per_section = np.bincount(where, left["n"].to_numpy(float), minlength=len(times))
+        return pd.DataFrame({**{c: left[c].iat[0] for c in group}, "_b": np.arange(n_boot), "n": per_section @ times})
 
     def factors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [*group, "day", "s"]
-        if len(left) == 0 or len(right) == 0:
+        asked = right[right["days"].notna()]
+        if len(left) == 0 or len(asked) == 0:
             return pd.DataFrame(columns=names)
-        head = right.iloc[0]
+        head = asked.iloc[0]
         days = np.asarray(head["days"], float)
-        t, slot = np.unique(left["t"].to_numpy(float), return_inverse=True)
-        n, d = left["n"].to_numpy(float), left["d"].to_numpy(float)
+        times, where = weights(left, right[right["days"].isna()])
+        left = left.assign(_where=where).sort_values("t", kind="stable")
+        where = left["_where"].to_numpy()
+        t, edges = np.unique(left["t"].to_numpy(float), return_index=True)
+        n, d = left["n"].to_numpy(float)[:, None], left["d"].to_numpy(float)[:, None]
         after = np.zeros(n_boot)
         if head["later"] is not None:
             for b, value in dict(head["later"]).items():
                 after[int(b)] = value
         upto = np.searchsorted(t, days, side="right") - 1
         read = np.ones((len(days), n_boot))
-        for b, weight in weights(left):
-            at_t = np.bincount(slot, weight * n, minlength=len(t))
-            gone = np.bincount(slot, weight * d, minlength=len(t))
-            risk = np.cumsum(at_t[::-1])[::-1] + after[b]
-            surv = np.cumprod(np.where(risk > 0, 1.0 - gone / np.where(risk > 0, risk, 1.0), 1.0))
-            read[upto >= 0, b] = surv[upto[upto >= 0]]
+        for own in _slices(len(left), n_boot):
+            weight = times[:, own][where].astype(float)
+            at_t, gone = np.add.reduceat(weight * n, edges), np.add.reduceat(weight * d, edges)
+            risk = np.cumsum(at_t[::-1], axis=0)[::-1] + after[own]
+            surv = np.cumprod(np.where(risk > 0, 1.0 - gone / np.where(risk > 0, risk, 1.0), 1.0), axis=0)
+            read[upto >= 0, own] = surv[upto[upto >= 0]]
         return pd.DataFrame({**{c: head[c] for c in group}, "day": days, "s": list(read)})[names]
 
+    fresh = lambda df: df.toDF(*df.columns)  # noqa: E731 - both sides come from the same rows: new column ids
     if splits.hot:
-        risk = rows.groupBy(*group).applyInPandas(totals, f"{keys}, {CHUNK} int, _b int, n double")
+        risk = rows.groupBy(*group).cogroup(fresh(held).groupBy(*group)).applyInPandas(
+            totals, f"{keys}, {CHUNK} int, _b int, n double")
         risk = scan(risk, [*by, "_b"], [CHUNK], [Scan("_later", F.col("n"), "sum", inclusive=False, reverse=True)])
         later = risk.groupBy(*group).agg(F.map_from_entries(F.collect_list(
             F.struct("_b", F.coalesce("_later", F.lit(0.0))))).alias("later"))
         side = later.join(wanted, by)
     else:
         side = wanted.withColumn(CHUNK, F.lit(0)).withColumn("later", F.lit(None).cast("map<int,double>"))
-    side = side.toDF(*side.columns)  # fresh column ids: both sides come from the same rows
-    partial = rows.groupBy(*group).cogroup(side.groupBy(*group)).applyInPandas(
+    side = held.withColumns({"days": F.lit(None).cast("array<double>"), "later": F.lit(None).cast("map<int,double>")}) \
+        .unionByName(side.select(*group, F.lit(-1).cast("long").alias("number"),
+                                 F.lit(None).cast("array<short>").alias("picks"), "days", "later"))
+    partial = rows.groupBy(*group).cogroup(fresh(side).groupBy(*group)).applyInPandas(
         factors, f"{keys}, {CHUNK} int, day double, s array<double>")
     # one product per draw over the ranges, then the two percentiles over draws
     each = partial.select(*by, "day", F.posexplode("s").alias("_b", "_s")).groupBy(*by, "day", "_b").agg(
         F.product("_s").alias("_s"))
-    band = F.percentile(F.lit(1.0) - F.col("_s"), [0.025, 0.975])
+    band = F.percentile(F.lit(1.0) - F.col("_s"), [0.025, 0.975])  # of n_boot values
     return each.groupBy(*by, "day").agg(band[0].alias("low"), band[1].alias("high"))

@@ -5,8 +5,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.rules import classify, is_full, minutes_between
+from turnwise.operators.ranks import quantiles
 from turnwise.operators.scans import Scan, Splits, plan_splits, scan
 from turnwise.schema import CORE_COUNTS, FLOW_COLUMNS, FLOW_NAMES, TOMBSTONE
+from turnwise.session import materialize
 
 
 def observed_series(panel: DataFrame) -> DataFrame:
@@ -122,17 +124,20 @@ def flows_of_pairs(pairs: DataFrame, *, outages: DataFrame | None = None,
 
 
 def flow_summary(flows: DataFrame) -> DataFrame:
-    """One row of totals. Intervals are whole seconds, so the exact median holds
-    one counter per distinct length."""
+    """One row of totals; the median length is read by rank from the counts of each length."""
     empty_as = lambda c, v: F.coalesce(c, F.lit(v))
-    return flows.agg(
+    flows = materialize(flows.select("section_id", "ambiguous", "censored", "interval_min", *FLOW_NAMES))
+    median = quantiles(flows, [], "interval_min", [0.5], name="_q").select(F.lit(1).alias("_one"), "_q")
+    totals = flows.agg(
         F.count_distinct("section_id").alias("sections"),
         F.count(F.lit(1)).alias("intervals"),
         empty_as(F.round(F.avg(F.col("ambiguous").cast("int")), 4), 0.0).alias("share_ambiguous"),
         empty_as(F.round(F.avg(F.col("censored").cast("int")), 4), 0.0).alias("share_censored"),
-        empty_as(F.round(F.percentile("interval_min", 0.5), 1), 0.0).alias("median_interval_min"),
         *[empty_as(F.sum(c), 0).cast("long").alias(c) for c in FLOW_NAMES],
-    )
+    ).withColumn("_one", F.lit(1))
+    return totals.join(median, "_one", "left").select(
+        "sections", "intervals", "share_ambiguous", "share_censored",
+        empty_as(F.round(F.col("_q")[0], 1), 0.0).alias("median_interval_min"), *FLOW_NAMES)
 
 
 def daily_flows(flows: DataFrame) -> DataFrame:

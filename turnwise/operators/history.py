@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.operators.flows import interval_flows
+from turnwise.operators.ranks import quantiles
 from turnwise.operators.scans import Scan, Splits, plan_splits, scan
+from turnwise.session import materialize
 
 WIDE_MIN = 180.0
 _COUNTS = ("enrolled_count", "enroll_capacity", "waitlist_count", "waitlist_capacity",
@@ -105,13 +107,14 @@ def darkest_days(report: DataFrame, n: int = 10) -> DataFrame:
 
 
 def crossing_quantiles(crossing_rows: DataFrame, at: Sequence[float] = (0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Exact quantiles of the crossing length and the share above 45 minutes.
-
-    The percentile buffer holds one counter per distinct length.
-    """
-    q = F.percentile("minutes", [float(a) for a in at])
-    return crossing_rows.agg(
-        F.count(F.lit(1)).alias("crossings"), F.count_if("wide").alias("crossings_wide"),
-        *[F.round(q[i], 1).alias(f"q{int(a * 100)}") for i, a in enumerate(at)],
-        F.round(F.avg((F.col("minutes") > 45).cast("int")), 4).alias("share_over_45"),
-    )
+    """Exact quantiles of the crossing length and the share above 45 minutes, from the counts of each length."""
+    lengths = materialize(crossing_rows.groupBy("minutes", "wide").agg(F.count(F.lit(1)).alias("_m")))
+    over = F.sum(F.when(F.col("minutes") > 45, F.col("_m")).otherwise(0))
+    totals = lengths.agg(
+        F.coalesce(F.sum("_m"), F.lit(0)).alias("crossings"),
+        F.coalesce(F.sum(F.when(F.col("wide"), F.col("_m"))), F.lit(0)).alias("crossings_wide"),
+        F.round(over / F.sum("_m"), 4).alias("share_over_45")).withColumn("_one", F.lit(1))
+    read = quantiles(lengths, [], "minutes", at, "_m", "_q").withColumn("_one", F.lit(1))
+    return totals.join(read, "_one", "left").select(
+        "crossings", "crossings_wide", *[F.round(F.col("_q")[i], 1).alias(f"q{int(a * 100)}") for i, a in enumerate(at)],
+        "share_over_45")

@@ -6,9 +6,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.operators.ranks import quantiles
 from turnwise.operators.scans import Scan, plan_splits, scan
 from turnwise.operators.store import missing_count
 from turnwise.schema import CORE_COUNTS, NUMERIC_COUNTS, TOMBSTONE
+from turnwise.session import materialize
 
 GAP_TARGET_MIN = 45.0
 DRIFT_SEATS = 10
@@ -38,13 +40,17 @@ def cadence_report(runs: DataFrame, now: dt.datetime, since_hours: float = 24.0)
     rows = scan(rows, keys, ["run_started_at"], [Scan("_before", F.col("_at"), "prev")],
                 plan_splits(rows, keys, "run_started_at"))
     gap = _gap_minutes(F.col("_before.run_started_at"), F.col("run_started_at"))
-    return rows.withColumn("_gap", gap).groupBy(*keys).agg(
+    rows = materialize(rows.select(*keys, "run_started_at", gap.alias("_gap")))
+    p95 = quantiles(rows, keys, "_gap", [0.95], name="_q")
+    report = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_runs"), F.round(F.max("_gap"), 3).alias("largest_gap_min"),
-        F.round(F.percentile("_gap", 0.95), 3).alias("p95_gap_min"),
         F.round(F.avg((F.col("_gap") <= GAP_TARGET_MIN).cast("int")), 4).alias("share_gaps_le_45min"),
         F.min("run_started_at").alias("first"), F.max("run_started_at").alias("last"),
         F.round(_gap_minutes(F.max("run_started_at"), F.lit(now).cast("timestamp")), 3).alias("minutes_since_last"),
     )
+    return report.join(p95, keys, "left").select(
+        *keys, "n_runs", "largest_gap_min", F.round(F.col("_q")[0], 3).alias("p95_gap_min"), "share_gaps_le_45min",
+        "first", "last", "minutes_since_last")
 
 
 def run_counts(runs: DataFrame) -> DataFrame:
@@ -58,9 +64,10 @@ def missing_share(runs: DataFrame) -> DataFrame:
     """Median and largest per-run missing share; runs with nothing in scope are skipped."""
     missing = missing_count(runs)
     share = F.try_divide(missing, F.col("n_observed") + missing)
-    return runs.select("term_id", share.alias("_s")).groupBy("term_id").agg(
-        F.round(F.percentile("_s", 0.5), 4).alias("median_missing_share"),
-        F.round(F.max("_s"), 4).alias("max_missing_share"))
+    shares = materialize(runs.select("term_id", share.alias("_s")).groupBy("term_id", "_s").agg(F.count(F.lit(1)).alias("_m")))
+    most = shares.groupBy("term_id").agg(F.round(F.max("_s"), 4).alias("max_missing_share"))
+    return most.join(quantiles(shares, ["term_id"], "_s", [0.5], "_m", "_q"), "term_id", "left").select(
+        "term_id", F.round(F.col("_q")[0], 4).alias("median_missing_share"), "max_missing_share")
 
 
 def breaches(report: DataFrame, shares: DataFrame, *, gap_min: float | None = None,
@@ -102,11 +109,13 @@ def run_gap_summary(panel: DataFrame) -> DataFrame:
     gaps = scan(runs, ["_all"], ["run_started_at"], [Scan("_before", F.col("_at"), "prev")],
                 plan_splits(runs, ["_all"], "run_started_at"))
     gap = _gap_minutes(F.col("_before.run_started_at"), F.col("run_started_at"))
-    q = F.percentile("_gap", [0.25, 0.5, 0.75])
-    return gaps.select(gap.alias("_gap")).agg(
+    gaps = materialize(gaps.select(gap.alias("_gap")))
+    totals = gaps.agg(
         F.count("_gap").alias("count"), F.avg("_gap").alias("mean"), F.stddev_samp("_gap").alias("std"),
-        F.min("_gap").alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-        F.max("_gap").alias("max"))
+        F.min("_gap").alias("min"), F.max("_gap").alias("max")).withColumn("_one", F.lit(1))
+    quarters = quantiles(gaps, [], "_gap", [0.25, 0.5, 0.75], name="_q").withColumn("_one", F.lit(1))
+    return totals.join(quarters, "_one", "left").select(
+        "count", "mean", "std", "min", *[F.col("_q")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "max")
 
 
 # Upper bound and label of each histogram bin.

@@ -52,14 +52,14 @@ def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_ROWS_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
-def plan_splits(df: DataFrame, keys: Sequence[str], order: str) -> Splits:
-    """Find hot keys of ``df`` and cut each into ranges of ``order``.
+def plan_splits(df: DataFrame, keys: Sequence[str], order: str, most: int | None = None) -> Splits:
+    """Find hot keys of ``df`` and cut each into ranges of ``order``, of ``most`` rows where that is less than usual.
 
     One narrow count job. The cut points are approximate quantiles of the hot keys
     alone: rows / chunk size values per key, and as many keys at most.
     """
     keys = tuple(keys)
-    target = chunk_rows(df)
+    target = chunk_rows(df) if most is None else min(most, chunk_rows(df))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
     most, total = found["most"] or 0, found["all"] or 0

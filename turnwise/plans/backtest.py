@@ -18,6 +18,7 @@ from turnwise.functions.rules import days_between
 from turnwise.functions.scalars import horizon_days, seeded_order
 from turnwise.operators import cox, km
 from turnwise.operators.boot import bootstrap_gain
+from turnwise.operators.ranks import quantiles
 from turnwise.operators.scans import Scan, plan_splits, read_steps, scan, step_lookup
 from turnwise.session import checked_broadcast, lookup_side, materialize
 
@@ -114,7 +115,7 @@ def fit_curves(train: DataFrame, *, min_n: int = 30, folds: Sequence[int] | None
         F.count(F.lit(1)).alias("_m"))
     if folds is not None:
         lead = _expand(lead, folds).groupBy(*CURVE, "days_to_instruction").agg(F.sum("_m").alias("_m"))
-    lead = lead.groupBy(*CURVE).agg(F.percentile("days_to_instruction", F.lit(0.5), F.col("_m")).alias("lead"))
+    lead = quantiles(lead, CURVE, "days_to_instruction", [0.5], "_m", "_q").select(*CURVE, F.col("_q")[0].alias("lead"))
     sizes = events.groupBy(*CURVE).agg(F.sum("n").alias("n")).join(lead, CURVE, "left")
     enough = F.col("kind").isin("all", "bucket") | (F.col("n") >= min_n)
     # written before use, so the numbers stay what they are

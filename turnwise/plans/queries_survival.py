@@ -225,17 +225,45 @@ def grouped_folds(spark, d):
     return folded.groupBy("fold").agg(F.count_distinct("course_key").alias("courses"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("bootstrap_gain")
+@query("bootstrap_gain", f"""WITH {_SCORED}, gs AS (SELECT section_id, sum(w*(y-p_bucket)*(y-p_bucket)) AS sb, sum(w*(y-p_dept)*(y-p_dept)) AS sm, sum(w) AS sw FROM wt GROUP BY 1),
+ {s.draws('pk', 'gs')}, dr AS (SELECT draw, (sum(times*sb)-sum(times*sm))/sum(times*sw) AS g FROM pk JOIN pk_n USING (number) JOIN gs USING (section_id) GROUP BY 1)
+ SELECT 'dept' AS predictor, round(quantile_cont(g,0.025),6) AS gain_ci_low, round(quantile_cont(g,0.975),6) AS gain_ci_high FROM dr""")
 def bootstrap_gain(spark, d):
     scored = _scored(spark, d).withColumn("predictor", F.lit("dept"))
-    return boot.bootstrap_gain(scored, ["predictor"], "p_bucket", "p_dept")
+    return boot.bootstrap_gain(scored, ["predictor"], "p_bucket", "p_dept").select("predictor", r6("gain_ci_low"), r6("gain_ci_high"))
 
 
-@query("bootstrap_band")
+@query("bootstrap_band", f"""WITH {s.COHORT}, days AS (SELECT DISTINCT bucket, unnest([7.0::DOUBLE, 14.0, 28.0]) AS day FROM cohort), {s.bands('bd', 'cohort', 'bucket', 'days')}
+ SELECT bucket, day, round(low,6) AS low, round(high,6) AS high FROM bd""")
 def bootstrap_band(spark, d):
     c = cohort(spark, d).withColumnRenamed("position_bucket", "bucket")
     grid = c.select("bucket").distinct().select("bucket", F.explode(F.array(*[F.lit(float(x)) for x in (7, 14, 28)])).alias("day"))
-    return boot.curve_bands(boot.section_counts(c, ["bucket"]), ["bucket"], grid)
+    return boot.curve_bands(boot.section_counts(c, ["bucket"]), ["bucket"], grid).select("bucket", "day", r6("low"), r6("high"))
+
+
+@query("score_table", f"""WITH {_WEIGHTS.replace("{pred}", _predict_sql(_TEMPORAL))},
+ long AS (SELECT row_id, section_id, y, w, unnest([{{'predictor':'bucket','p':round(p_bucket,9),'fb':false}},{{'predictor':'dept','p':round(p_dept,9),'fb':false}},
+   {{'predictor':'course','p':round(p_course,9),'fb':false}},{{'predictor':'site','p':round(p_site,9),'fb':site_fallback}}], recursive := true) FROM wt),
+ base AS (SELECT predictor, count(*) AS n_test, count(*) FILTER (w>0) AS brier_rows, round(avg(CAST(w=0 AS INT)),4) AS share_unknown, sum(w*(y-p)*(y-p))/sum(w) AS brier,
+   round(avg(CAST(fb AS INT)),4) AS share_fallback FROM long GROUP BY 1),
+ pp AS (SELECT predictor, p, sum(CASE WHEN y=1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y=0 THEN w ELSE 0 END) AS neg FROM long WHERE w>0 GROUP BY ALL),
+ au AS (SELECT predictor, sum(pos*(below+0.5*neg))/(sum(pos)*sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY predictor ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM pp) GROUP BY 1),
+ gs AS (SELECT m.predictor, m.section_id, sum(m.w*(m.y-b.p)*(m.y-b.p)) AS sb, sum(m.w*(m.y-m.p)*(m.y-m.p)) AS sm, sum(m.w) AS sw FROM long m JOIN long b ON b.row_id=m.row_id AND b.predictor='bucket'
+   WHERE m.predictor<>'bucket' GROUP BY ALL),
+ zs AS (SELECT DISTINCT section_id FROM gs), {s.draws('pk', 'zs')},
+ dr AS (SELECT predictor, draw, (sum(times*sb)-sum(times*sm))/sum(times*sw) AS g FROM pk JOIN pk_n USING (number) JOIN gs USING (section_id) GROUP BY ALL),
+ ci AS (SELECT predictor, quantile_cont(g,0.025) AS lo, quantile_cont(g,0.975) AS hi FROM dr GROUP BY 1)
+ SELECT predictor, n_test, brier_rows, share_unknown, round(brier,6) AS brier, share_fallback, round(auc,6) AS auc, round((SELECT brier FROM base WHERE predictor='bucket'),6) AS brier_baseline,
+   round((SELECT brier FROM base WHERE predictor='bucket')-brier,6) AS gain, round(1-brier/(SELECT brier FROM base WHERE predictor='bucket'),6) AS skill,
+   round(CASE WHEN predictor='bucket' THEN 0 ELSE lo END,6) AS gain_ci_low, round(CASE WHEN predictor='bucket' THEN 0 ELSE hi END,6) AS gain_ci_high
+ FROM base JOIN au USING (predictor) LEFT JOIN ci USING (predictor)""")
+def score_table(spark, d):
+    """Every score of the curve predictors with its interval; predictions at a fixed precision, so engines see the same ties."""
+    pred = _predictions(spark, d, "temporal")
+    pred = pred.withColumns({f"p_{p}": F.round(f"p_{p}", 9) for p in ("bucket", "dept", "course", "site")})
+    out = bt.score(pred, predictors=bt.PREDICTORS[:4])["metrics"]
+    return out.select("predictor", "n_test", "brier_rows", "share_unknown", "share_fallback", *[
+        r6(c) for c in ("brier", "auc", "brier_baseline", "gain", "skill", "gain_ci_low", "gain_ci_high")])
 
 
 @query("backtest_scores")

@@ -45,7 +45,9 @@ def pooled_curves(spark, d):
     return tb.curve_points(tb.pool_cells(cohort(spark, d)), n_boot=0).drop("low", "high")
 
 
-@query("pooled_curves_with_bands")
+@query("pooled_curves_with_bands", f"""WITH {_POOLS}, big AS (SELECT kind, key, b AS bucket, section_id, dur, event FROM pooled JOIN pc_z USING (kind, key, b)),
+ days AS (SELECT kind, key, bucket, day FROM pc), {s.bands('bd', 'big', 'kind, key, bucket', 'days')}
+ SELECT pc.*, round(low,3) AS low, round(high,3) AS high FROM pc LEFT JOIN bd USING (kind, key, bucket, day)""")
 def pooled_curves_with_bands(spark, d):
     return tb.curve_points(tb.pool_cells(cohort(spark, d)))
 

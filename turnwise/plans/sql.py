@@ -99,3 +99,26 @@ def km(name: str, source: str, keys: str, time: str = "dur", event: str = "event
     return f"""{name}_e AS (SELECT {lead}{time} AS t, count(*) AS n, CAST(sum({event}) AS BIGINT) AS d FROM {source} GROUP BY ALL),
  {name}_r AS (SELECT *, CAST(sum(n) OVER ({part}ORDER BY t DESC) AS BIGINT) AS at_risk FROM {name}_e),
  {name} AS (SELECT *, product(1-CAST(d AS DOUBLE)/at_risk) OVER ({part}ORDER BY t) AS surv FROM {name}_r)"""
+
+
+def draws(name: str, sections: str, keys: str = "", n_boot: int = 200, seed: int = 0) -> str:
+    """CTEs with the numbered sections of each group (``{name}_n``) and how often each draw picks a number (``{name}``).
+
+    ``sections`` has the group's keys and section_id once each; groups of one section have no draws.
+    """
+    part, lead = (f"PARTITION BY {keys} ", f"{keys}, ") if keys else ("", "")
+    return f"""{name}_n AS (SELECT {lead}section_id, row_number() OVER ({part}ORDER BY CAST('0x'||substr(md5('{seed}:'||section_id),1,15) AS BIGINT), section_id)-1 AS number,
+   count(*) OVER ({part.strip()}) AS sections FROM {sections}),
+ {name}_h AS (SELECT j, q, md5('{seed}:'||j||':'||q) AS h FROM (SELECT unnest(range(max(sections))) AS j FROM {name}_n), range({-(-n_boot // 4)}) r(q)),
+ {name}_w AS (SELECT j, q*4+k AS draw, CAST('0x'||substr(h,CAST(k*8+1 AS INT),8) AS BIGINT) AS word FROM {name}_h, range(4) r(k) WHERE q*4+k<{n_boot}),
+ {name} AS (SELECT {lead}draw, word%sections AS number, count(*) AS times FROM {name}_n JOIN {name}_w ON j=number WHERE sections>=2 GROUP BY ALL)"""
+
+
+def bands(name: str, source: str, keys: str, grid: str) -> str:
+    """CTE with the 2.5 and 97.5 percentiles of the resampled clearing curve at each day of ``grid`` (keys, day)."""
+    return f"""{name}_c AS (SELECT {keys}, section_id, dur AS t, count(*) AS n, sum(event) AS d FROM {source} GROUP BY ALL),
+ {name}_z AS (SELECT DISTINCT {keys}, section_id FROM {name}_c), {draws(name + '_p', name + '_z', keys)},
+ {name}_t AS (SELECT {keys}, draw, t, sum(times*n) AS n, sum(times*d) AS d FROM {name}_c JOIN {name}_p_n USING ({keys}, section_id) JOIN {name}_p USING ({keys}, number) GROUP BY ALL),
+ {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, draw ORDER BY t DESC) AS risk FROM {name}_t),
+ {name}_s AS (SELECT {keys}, draw, day, coalesce(product(CASE WHEN t<=day THEN 1-CAST(d AS DOUBLE)/risk END),1) AS s FROM {name}_r JOIN {grid} USING ({keys}) GROUP BY ALL),
+ {name} AS (SELECT {keys}, day, quantile_cont(1-s,0.025) AS low, quantile_cont(1-s,0.975) AS high FROM {name}_s GROUP BY ALL)"""
