@@ -4,11 +4,16 @@ Times are rounded up to a fixed resolution, so the distinct times of a study
 are bounded by its length, not by its rows. Each Newton step makes two passes:
 
 1. sums per (stratum, time) of the risk weights and weighted covariates, reduced
-   map-side over rows spread by hash (a tied time is never one task);
-2. with the cumulative hazards those sums give, joined to the rows, the weighted
-   covariate products, reduced to one d x d matrix.
+   map-side over rows spread by hash (a tied time is never one task), and from them
+   the cumulative hazards of each stratum: one job, whose small result is written;
+2. with those hazards joined to the rows, the weighted covariate products, reduced
+   to one d x d matrix.
 
-The per-time tables stay in Spark: a task turns the times of one stratum into
+The models of several folds are fitted together: the model is a key of the sums, a
+row is read once a pass and counts in every model that trains on it. So a backtest
+needs as many passes as its slowest fold, and no row is copied to the folds.
+
+The per-time tables stay in Spark: a task turns the times of one model's stratum into
 hazards, and the driver holds d x d numbers only. Ties follow Efron in the
 likelihood, exactly for any number of ties; residuals use the tie-free (Breslow)
 form on the same sums.
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.special import chi2_1_p, digamma, trigamma
 from turnwise.operators.scans import step_lookup
-from turnwise.session import checked_broadcast, materialize
+from turnwise.session import checked_broadcast, counted_broadcast, materialize
 
 # Covariates, reference levels, time resolution, penalty.
 NUMERIC = ("log_position", "wl_ratio", "days_to_instruction", "reserved")
@@ -46,12 +51,19 @@ class NoFit(ValueError):
 
 @dataclass
 class Design:
-    """Compact rows: ``stratum, t, event, section_id``, one column per numeric covariate
-    and one code per categorical family (0 is the reference or an unused level)."""
+    """Compact rows: ``fold, stratum, t, event, section_id``, one column per numeric covariate
+    and one code per categorical family (0 is the reference or an unused level).
+
+    ``models`` are the folds that get a model, trained on the rows of all other folds; one model on all rows if None."""
 
     rows: DataFrame
     numeric: list[str]
     families: dict[str, list[str]]
+    models: list[int] | None = None
+
+    @property
+    def keys(self) -> list[int]:
+        return [0] if self.models is None else self.models
 
     @property
     def names(self) -> list[str]:
@@ -74,6 +86,12 @@ class CoxFit:
     design: Design | None = None
     times: DataFrame | None = None  # per (stratum, time): see ``_study_table``
     converged: bool = True
+    gradient: np.ndarray | None = None  # with the penalty's part, at ``beta``
+
+    @property
+    def step(self) -> np.ndarray:
+        """The Newton step from ``beta``."""
+        return self.variance @ self.gradient
 
     def summary(self, spark) -> DataFrame:
         """Coefficients with clustered errors, ratios and p-values."""
@@ -102,9 +120,10 @@ def _usable(names: Sequence[str] = NUMERIC) -> Column:
     return out
 
 
-def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS, strata: Sequence[str] = ()) -> Design:
+def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS, strata: Sequence[str] = (),
+                  models: Sequence[int] | None = None) -> Design:
     """Rows with every numeric covariate known, durations rounded up to the resolution;
-    constant columns and levels are left out. ``strata`` families become strata.
+    constant columns and levels are left out. ``strata`` families become strata. With ``models`` the cohort has ``fold``.
 
     The rows are written once, spread evenly, and every pass reads them back.
     """
@@ -113,8 +132,9 @@ def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS
     time = F.ceil(F.col("duration_days") / F.lit(resolution)) * F.lit(resolution)
     stratum = F.lit("") if not strata else F.concat_ws("|", *[
         F.when(ref(f), F.lit(f"{f}=ref")).otherwise(F.concat(F.lit(f"{f}="), F.col(f))) for f in strata])
+    fold = F.lit(0) if models is None else F.col("fold").cast("int")
     base = cohort.where(_usable()).select(
-        stratum.alias("stratum"), time.alias("t"), F.col("event").cast("int").alias("event"),
+        fold.alias("fold"), stratum.alias("stratum"), time.alias("t"), F.col("event").cast("int").alias("event"),
         F.col("section_id").cast("string").alias("section_id"), *[_numeric(c).alias(c) for c in NUMERIC],
         *[F.when(~ref(f), F.col(f)).alias(f) for f in families])
     parts = int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -126,8 +146,8 @@ def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS
     seen = base.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("f", "v").count().collect() if families else []
     levels = {f: sorted(r["v"] for r in seen if r["f"] == f and r["count"] < spread["n"]) for f in families}
     numeric = [c for c in NUMERIC if spread[f"lo_{c}"] is not None and spread[f"lo_{c}"] < spread[f"hi_{c}"]]
-    return Design(_coded(base, levels).select("stratum", "t", "event", "section_id", *numeric, *[f"_{f}" for f in levels]),
-                  numeric, levels)
+    rows = _coded(base, levels).select("fold", "stratum", "t", "event", "section_id", *numeric, *[f"_{f}" for f in levels])
+    return Design(rows, numeric, levels, None if models is None else list(models))
 
 
 def _coded(rows: DataFrame, families: dict[str, list[str]]) -> DataFrame:
@@ -152,12 +172,16 @@ class _Batch:
 
     def __init__(self, batch: pa.RecordBatch, numeric: Sequence[str], families: dict[str, list[str]], center: np.ndarray):
         get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-        self.stratum, self.t, self.died = get("stratum"), get("t"), get("event").astype(float)
+        self.stratum, self.t, self.died, self.fold = get("stratum"), get("t"), get("event").astype(float), get("fold")
         self.section = batch.column("section_id")
         self.x = np.column_stack([get(c) for c in numeric]) - center[:len(numeric)] if numeric else np.empty((batch.num_rows, 0))
         self.codes = [get(f"_{f}") for f in families]
         self.sizes = [len(v) for v in families.values()]
 
+    def trains(self, model: int, grouped: bool) -> np.ndarray:
+        """1 for the rows that the model is trained on, else 0."""
+        return (self.fold != model).astype(float) if grouped else np.ones(len(self.t))
+
     def linear(self, beta: np.ndarray) -> np.ndarray:
         k = self.x.shape[1]
         out = self.x @ beta[:k]
@@ -201,59 +225,79 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _merge_lists(pieces: DataFrame, keys: Sequence[str], types: str) -> DataFrame:
-    """Add up list columns ``v`` per key: rows of a key meet in one task and are summed there."""
+    """Add up list columns ``v`` per key: rows of a key meet in one task, in order, and are summed as they pass."""
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
+        held: pa.RecordBatch | None = None  # the last key so far
         for batch in batches:
-            values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
-                held[key] = held[key] + values[i] if key in held else values[i].copy()
-        if held:
-            columns = [pa.array([key[j] for key in held], type=batch.schema.field(k).type) for j, k in enumerate(keys)]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(np.stack(list(held.values())))], [*keys, "v"])
-
-    return pieces.repartition(n, *keys).mapInArrow(add, f"{types}, v array<double>")
-
-
-def _time_sums(design: Design, beta: np.ndarray, center: np.ndarray) -> DataFrame:
-    """Per (stratum, time), as list ``v``: rows, events, risk weights and covariate sums.
-
-    A task sends one row per time it holds, so what moves is tasks x times.
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            columns = [rows.column(k).to_numpy() for k in keys]
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            at = np.flatnonzero(new)
+            values = rows.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+            summed = pa.RecordBatch.from_arrays(
+                [*[rows.column(k).chunk(0).take(pa.array(at)) for k in keys], _lists(np.add.reduceat(values, at, axis=0))],
+                [*keys, "v"])
+            held = summed.slice(len(at) - 1)
+            if len(at) > 1:
+                yield summed.slice(0, len(at) - 1)
+        if held is not None:
+            yield held
+
+    return pieces.select(*keys, "v").repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(add, f"{types}, v array<double>")
+
+
+def _time_sums(design: Design, betas: dict[int, np.ndarray], center: np.ndarray) -> DataFrame:
+    """Per (model, stratum, time), as list ``v``: rows, events, risk weights and covariate sums.
+
+    A task sends one row per model and time it holds, so what moves is tasks x times.
     """
-    numeric, families = design.numeric, design.families
+    numeric, families, grouped = design.numeric, design.families, design.models is not None
+    width = 4 + 3 * len(center)
 
-    def packed(held: dict) -> pa.RecordBatch:
+    def packed(keys: dict, sums: np.ndarray) -> pa.RecordBatch:
+        n = len(keys)
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.float64()),
-             _lists(np.stack(list(held.values())))], ["stratum", "t", "v"])
+            [pa.array(np.repeat(np.array(list(betas), np.int32), n)), pa.array([k[0] for k in keys] * len(betas), pa.string()),
+             pa.array([k[1] for k in keys] * len(betas), pa.float64()), _lists(sums[:, :n].reshape(-1, width))],
+            ["model", "stratum", "t", "v"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        keys: dict = {}
+        held = np.zeros((len(betas), 1024, width))
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             b = _Batch(batch, numeric, families, center)
-            weight = np.exp(b.linear(beta))
             names, group = np.unique(b.stratum, return_inverse=True) if (b.stratum != b.stratum[0]).any() else (
                 b.stratum[:1], np.zeros(len(b.t), np.int64))
             t, at = np.unique(b.t, return_inverse=True)
             used, slot = np.unique(group * len(t) + at, return_inverse=True)
             n = len(used)
+            place = np.array([keys.setdefault((names[u // len(t)], t[u % len(t)]), len(keys)) for u in used])
+            while len(keys) > held.shape[1]:
+                held = np.concatenate([held, np.zeros_like(held)], axis=1)
             count = lambda w: np.bincount(slot, w, minlength=n)[:, None]
-            sums = np.concatenate([
-                count(np.ones(len(slot))), count(b.died), count(weight), count(weight * b.died),
-                b.sums_by(slot, n, weight), b.sums_by(slot, n, weight * b.died), b.sums_by(slot, n, b.died)], axis=1)
-            for i, place in enumerate(used):
-                key = (names[place // len(t)], t[place % len(t)])
-                held[key] = held[key] + sums[i] if key in held else sums[i]
-            if len(held) > _HELD_KEYS:
-                yield packed(held)
-                held = {}
-        if held:
-            yield packed(held)
-
-    pieces = design.rows.mapInArrow(partial, "stratum string, t double, v array<double>")
-    return materialize(_merge_lists(pieces, ["stratum", "t"], "stratum string, t double"))
+            for m, (model, beta) in enumerate(betas.items()):
+                own = b.trains(model, grouped)
+                weight, died = np.exp(b.linear(beta)) * own, b.died * own
+                held[m, place] += np.concatenate([
+                    count(own), count(died), count(weight), count(weight * died),
+                    b.sums_by(slot, n, weight), b.sums_by(slot, n, weight * died), b.sums_by(slot, n, died)], axis=1)
+            if len(keys) > _HELD_KEYS:
+                yield packed(keys, held)
+                keys, held = {}, np.zeros((len(betas), 1024, width))
+        if keys:
+            yield packed(keys, held)
+
+    pieces = design.rows.mapInArrow(partial, "model int, stratum string, t double, v array<double>")
+    return _merge_lists(pieces, ["model", "stratum", "t"], "model int, stratum string, t double")
 
 
 def _quadrature(f, slope, m: int) -> float:
@@ -320,21 +364,20 @@ def _hazards(sums: np.ndarray, d: int) -> dict[str, np.ndarray]:
 
 
 def _per_stratum(table: DataFrame, d: int, build, schema: str) -> DataFrame:
-    """``build(stratum, times, hazards)`` of every stratum. A task holds one stratum's times: at most the study's
+    """``build(model, stratum, times, hazards)`` of every stratum. A task holds one stratum's times: at most the study's
     length over the time resolution."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t", ignore_index=True)
-        return build(frame["stratum"].iloc[0], frame["t"].to_numpy(), _hazards(np.stack(frame["v"].to_numpy()), d))
-
-    return table.groupBy("stratum").applyInPandas(run, schema)
+        own = build(frame["model"].iloc[0], frame["t"].to_numpy(), _hazards(np.stack(frame["v"].to_numpy()), d))
+        return own.assign(model=frame["model"], stratum=frame["stratum"], t=frame["t"])
 
+    return materialize(table.groupBy("model", "stratum").applyInPandas(run, f"model int, stratum string, t double, {schema}"))
 
-def _newton_table(table: DataFrame, beta: np.ndarray) -> DataFrame:
-    """Per (stratum, time) the hazards ``total`` and ``own``; a stratum's first row also has, as list ``pieces``, its
-    log-likelihood, gradient and the second part of the information."""
-    d = len(beta)
 
-    def build(stratum: str, t: np.ndarray, h: dict) -> pd.DataFrame:
+def _newton_table(table: DataFrame, betas: dict[int, np.ndarray]) -> DataFrame:
+    """Per (model, stratum, time) the hazards ``total`` and ``own``; a stratum's first row also has, as list ``pieces``,
+    its log-likelihood, gradient and the second part of the information."""
+    def build(model: int, t: np.ndarray, h: dict) -> pd.DataFrame:
         logs = sum(_tie_log(int(h["deaths"][i]), float(h["s0"][i]), float(h["d0"][i]))
                    for i in np.flatnonzero(h["deaths"] > 0))
         s1, d1 = h["risk1"], h["d1"]
@@ -343,23 +386,22 @@ def _newton_table(table: DataFrame, beta: np.ndarray) -> DataFrame:
         q = [_tie_sums(h["deaths"], h["s0"], h["d0"], 2, k) for k in (0, 1, 2)]
         cross = (s1 * q[1][:, None]).T @ d1
         second = (s1 * q[0][:, None]).T @ s1 - cross - cross.T + (d1 * q[2][:, None]).T @ d1
-        pieces = np.concatenate([[float((h["e1"] @ beta).sum()) - logs], gradient, second.ravel()])
-        return pd.DataFrame({"stratum": stratum, "t": t, "total": h["total"], "own": h["own"],
-                             "pieces": [pieces, *[None] * (len(t) - 1)]})
+        pieces = np.concatenate([[float((h["e1"] @ betas[int(model)]).sum()) - logs], gradient, second.ravel()])
+        return pd.DataFrame({"total": h["total"], "own": h["own"], "pieces": [pieces, *[None] * (len(t) - 1)]})
 
-    return materialize(_per_stratum(table, d, build, "stratum string, t double, total double, own double, pieces array<double>"))
+    return _per_stratum(table, len(next(iter(betas.values()))), build, "total double, own double, pieces array<double>")
 
 
 def _study_table(table: DataFrame, d: int) -> DataFrame:
-    """Per (stratum, time), for errors, test and prediction: deaths, breslow hazard, and lists ``e1`` (covariate sums of
-    the dying), ``mean`` (of those at risk) and ``shift`` (cumulated hazard steps times means)."""
-    def build(stratum: str, t: np.ndarray, h: dict) -> pd.DataFrame:
+    """Per (model, stratum, time), for errors, test and prediction: deaths, breslow hazard, and lists ``e1`` (covariate sums
+    of the dying), ``mean`` (of those at risk) and ``shift`` (cumulated hazard steps times means)."""
+    def build(model: int, t: np.ndarray, h: dict) -> pd.DataFrame:
         shift = np.cumsum(h["step"][:, None] * h["mean"], axis=0)
-        return pd.DataFrame({"stratum": stratum, "t": t, "deaths": h["deaths"], "breslow": h["breslow"],
+        return pd.DataFrame({"deaths": h["deaths"], "breslow": h["breslow"],
                              "e1": list(h["e1"]), "mean": list(h["mean"]), "shift": list(shift)})
 
-    return materialize(_per_stratum(table, d, build, "stratum string, t double, deaths double, breslow double, "
-                                                     "e1 array<double>, mean array<double>, shift array<double>"))
+    return _per_stratum(table, d, build, "deaths double, breslow double, e1 array<double>, mean array<double>, "
+                                         "shift array<double>")
 
 
 def _summed(lists: DataFrame, column: str) -> np.ndarray:
@@ -371,53 +413,96 @@ def _summed(lists: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _with_times(design: Design, times: DataFrame, row_bytes: int) -> DataFrame:
-    """The design's rows with their time's columns; the per-time table is broadcast when counted small enough."""
-    return design.rows.join(checked_broadcast(times, row_bytes), ["stratum", "t"])
+def _weighted_products(design: Design, newton: DataFrame, betas: dict[int, np.ndarray], center: np.ndarray,
+                       points: int) -> dict[int, np.ndarray]:
+    """Per model the sum over rows of weight * x x' with weights from the cumulative hazards.
 
-
-def _weighted_products(design: Design, newton: DataFrame, beta: np.ndarray, center: np.ndarray) -> np.ndarray:
-    """Sum over rows of weight * x x' with weights from the cumulative hazards."""
-    d, numeric, families = len(beta), design.numeric, design.families
+    The hazards become one row per (stratum, time), ``points`` of them: that count decides on broadcasting them."""
+    d, numeric, families, grouped = len(center), design.numeric, design.families, design.models is not None
+    hazards = newton.groupBy("stratum", "t").agg(*[
+        F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{m}") for m in betas for c in ("total", "own")])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d, d))
+        totals = {m: np.zeros((d, d)) for m in betas}
         for batch in batches:
             b = _Batch(batch, numeric, families, center)
-            hazard, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("total", "own"))
-            total += b.products(np.exp(b.linear(beta)) * (hazard - b.died * own))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), _lists(total)], ["i", "v"])
+            for m, beta in betas.items():
+                hazard, own = (batch.column(f"{c}_{m}").to_numpy(zero_copy_only=False) for c in ("total", "own"))
+                weight = np.exp(b.linear(beta)) * (hazard - b.died * own)
+                totals[m] += b.products(np.where(b.trains(m, grouped) > 0, weight, 0.0))
+        for m, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, m, np.int32)), pa.array(np.arange(d, dtype=np.int32)),
+                                              _lists(total)], ["model", "i", "v"])
 
-    rows = _with_times(design, newton.drop("pieces"), 64)
-    return _square(rows.mapInArrow(partial, "i int, v array<double>"))
+    rows = design.rows.join(counted_broadcast(hazards, points, 64 + 16 * len(betas)), ["stratum", "t"])
+    return _squares(rows.mapInArrow(partial, "model int, i int, v array<double>"))
 
 
-def _square(pieces: DataFrame) -> np.ndarray:
-    """The summed d x d matrix of row pieces."""
-    merged = _merge_lists(pieces, ["i"], "i int").toPandas().sort_values("i")
-    return np.stack(merged["v"].to_numpy())
+def _squares(pieces: DataFrame) -> dict[int, np.ndarray]:
+    """The summed d x d matrix of row pieces, per model."""
+    merged = _merge_lists(pieces, ["model", "i"], "model int, i int").toPandas().sort_values(["model", "i"])
+    return {int(m): np.stack(own["v"].to_numpy()) for m, own in merged.groupby("model")}
 
 
-def _score(design: Design, beta: np.ndarray, center: np.ndarray, with_information: bool = True):
-    """Per-time sums, per-time hazards, log-likelihood and gradient at ``beta``, and a function for the information."""
-    d = len(beta)
-    table = _time_sums(design, beta, center)
-    newton = _newton_table(table, beta)
-    pieces = _summed(newton.where("pieces IS NOT NULL"), "pieces")
-    second = pieces[1 + d:].reshape(d, d)
-    return table, float(pieces[0]), pieces[1:1 + d], lambda: _weighted_products(design, newton, beta, center) - second
+def _score(design: Design, betas: dict[int, np.ndarray], center: np.ndarray):
+    """Per-time hazards, and per model log-likelihood, gradient and the second part of the information."""
+    d = len(center)
+    newton = _newton_table(_time_sums(design, betas, center), betas)
+    rows = newton.where("pieces IS NOT NULL").select("model", F.posexplode("pieces").alias("i", "x")) \
+        .groupBy("model", "i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")  # d x d numbers a model
+    out = {}
+    for m, own in rows.groupby("model"):
+        x = own["x"].to_numpy()
+        out[int(m)] = float(x[0]), x[1:1 + d], x[1 + d:].reshape(d, d)
+    return newton, out
 
 
 def score_at(cohort: DataFrame, beta: dict[str, float]) -> DataFrame:
     """Log-likelihood, gradient and information's diagonal at given coefficients, without penalty, one row per covariate."""
-    design = design_matrix(cohort)
-    center = _moments(design)[2]
-    values = np.array([beta.get(n, 0.0) for n in design.names])
-    _, value, gradient, information = _score(design, values, center)
-    rows = [(n, float(g), float(i), value) for n, g, i in zip(design.names, gradient, np.diag(information()))]
+    fitted = evaluate(cohort, beta, penalizer=0.0, robust=False)
+    information = np.diag(np.linalg.inv(fitted.variance))
+    rows = [(n, float(g), float(i), fitted.log_likelihood) for n, g, i in zip(fitted.names, fitted.gradient, information)]
     return cohort.sparkSession.createDataFrame(rows, "covariate string, gradient double, information double, log_likelihood double")
 
 
+def evaluate(cohort: DataFrame, beta: dict[str, float], *, strata: Sequence[str] = (), penalizer: float = PENALIZER,
+             robust: bool = True) -> CoxFit:
+    """The model at given coefficients (0 where none is given): everything that ``fit`` says of its last point."""
+    design = design_matrix(cohort, strata=strata)
+    if not design.names:
+        raise NoFit("no covariate varies in this cohort")
+    center, stats = _moments(design)
+    values = {0: np.array([beta.get(n, 0.0) for n in design.names])}
+    newton, found = _score(design, values, center)
+    value, gradient, second = found[0]
+    ridge = stats[0].n * penalizer * stats[0].scale**2
+    information = _weighted_products(design, newton, values, center, newton.count())[0] - second + np.diag(ridge)
+    state = _Model(values[0], at=values[0], information=information, gradient=gradient - ridge * values[0],
+                   best=value - 0.5 * float(ridge @ values[0]**2), steps=0)
+    return _described(design, {0: state}, center, stats, robust, strata)[0]
+
+
+@dataclass
+class _Model:
+    """Where one model's Newton iteration stands."""
+
+    beta: np.ndarray
+    at: np.ndarray | None = None  # the last accepted point, of which the following are known
+    information: np.ndarray | None = None
+    gradient: np.ndarray | None = None
+    best: float = -np.inf
+    step: np.ndarray | None = None
+    steps: int = 0
+    converged: bool = False
+
+
+@dataclass
+class _Stats:
+    n: int
+    events: int
+    scale: np.ndarray
+
+
 def fit(cohort: DataFrame, *, strata: Sequence[str] = (), penalizer: float = PENALIZER,
         max_rows: int | None = None, seed: int = 0, tolerance: float = 1e-7, max_steps: int = 30,
         robust: bool = True, keys: Sequence[str] = ("section_id", "join_time", "position")) -> CoxFit:
@@ -427,60 +512,105 @@ def fit(cohort: DataFrame, *, strata: Sequence[str] = (), penalizer: float = PEN
     if max_rows is not None:
         cohort = sample_rows(cohort, max_rows, seed, keys)
     design = design_matrix(cohort, strata=strata)
+    fitted = _fitted(design, penalizer, tolerance, max_steps, robust, strata)
+    if not fitted:
+        raise NoFit("no events to fit")
+    return fitted[0]
+
+
+def fit_folds(cohort: DataFrame, folds: Sequence[int], *, penalizer: float = PENALIZER, tolerance: float = 1e-7,
+              max_steps: int = 30) -> dict[int, CoxFit]:
+    """A model per fold, trained on the rows of all other folds (column ``fold``), in common passes over the rows.
+
+    All have the covariates of the whole cohort; one that a fold's rows lack has no effect there. Folds without a training
+    event have no model.
+    """
+    return _fitted(design_matrix(cohort, models=folds), penalizer, tolerance, max_steps, False, ())
+
+
+def _fitted(design: Design, penalizer: float, tolerance: float, max_steps: int, robust: bool,
+            strata: Sequence[str]) -> dict[int, CoxFit]:
     d = len(design.names)
     if d == 0:
         raise NoFit("no covariate varies in this cohort")
-    n, events, mean, scale = _moments(design)
-    if events == 0:
-        raise NoFit("no events to fit")
-    ridge = n * penalizer * scale**2
-    beta, best = np.zeros(d), -np.inf
-    step = np.zeros(d)
-    converged = False
-    for iteration in range(1, max_steps + 1):
-        table, value, gradient, information = _score(design, beta, mean)
-        value -= 0.5 * float(ridge @ beta**2)
-        if value < best - 1e-9 * abs(best) and np.abs(step).max() > 1e-12:
-            step = step / 2
-            beta = beta - step
-            continue
-        gain, best = value - best, value
-        information = information() + np.diag(ridge)
-        gradient = gradient - ridge * beta
-        at, step = beta, np.linalg.solve(information, gradient)
-        if float(gradient @ step) / 2 < tolerance * max(abs(best), 1.0) * 1e-3 or gain == 0.0:
-            converged = True
+    center, stats = _moments(design)
+    ridge = {m: s.n * penalizer * s.scale**2 for m, s in stats.items()}
+    models = {m: _Model(np.zeros(d), step=np.zeros(d)) for m in design.keys if stats[m].events}
+    points = None
+    for _ in range(max_steps):
+        betas = {m: s.beta for m, s in models.items() if not s.converged}
+        if not betas:
             break
-        beta = beta + step
-    if not converged:  # the last accepted point, whose information is at hand
-        beta = at
-        table = _time_sums(design, beta, mean)
-    variance = np.linalg.inv(information)
-    study = _study_table(table, d)
-    meat = _robust_meat(design, study, beta, mean) if robust else None
-    cover = variance @ meat @ variance if robust else variance
-    baseline = study.select("stratum", "t", F.exp(-F.col("breslow")).alias("survival"))
-    return CoxFit(design.names, beta, variance, cover, baseline, best, iteration, n, events, mean,
-                  list(strata), design, study, converged)
-
-
-def _moments(design: Design) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Rows, events, centres (numeric means, 0 for indicators) and spreads of the columns."""
-    stats = design.rows.agg(
+        newton, found = _score(design, betas, center)
+        risen = {}
+        for m, beta in betas.items():
+            s, value = models[m], found[m][0] - 0.5 * float(ridge[m] @ beta**2)
+            s.steps += 1
+            if value < s.best - 1e-9 * abs(s.best) and np.abs(s.step).max() > 1e-12:
+                s.step = s.step / 2
+                s.beta = beta - s.step
+            else:
+                risen[m] = (beta, value - s.best)
+                s.best = value
+        if not risen:
+            continue
+        points = newton.count() if points is None else points
+        products = _weighted_products(design, newton, {m: b for m, (b, _) in risen.items()}, center, points)
+        for m, (beta, gain) in risen.items():
+            s = models[m]
+            s.at, s.information = beta, products[m] - found[m][2] + np.diag(ridge[m])
+            s.gradient = found[m][1] - ridge[m] * beta
+            s.step = np.linalg.solve(s.information, s.gradient)
+            if float(s.gradient @ s.step) / 2 < tolerance * max(abs(s.best), 1.0) * 1e-3 or gain == 0.0:
+                s.converged = True
+            else:
+                s.beta = beta + s.step
+    return _described(design, models, center, stats, robust, strata) if models else {}
+
+
+def _described(design: Design, models: dict[int, _Model], center: np.ndarray, stats: dict[int, _Stats], robust: bool,
+               strata: Sequence[str]) -> dict[int, CoxFit]:
+    """The fits at the models' last accepted points."""
+    betas = {m: s.at for m, s in models.items()}
+    study = _study_table(_time_sums(design, betas, center), len(center))
+    out = {}
+    for m, s in models.items():
+        variance = np.linalg.inv(s.information)
+        times = study.where(F.col("model") == m).drop("model") if design.models is not None else study.drop("model")
+        cover = variance @ _robust_meat(design, times, s.at, center) @ variance if robust else variance
+        baseline = times.select("stratum", "t", F.exp(-F.col("breslow")).alias("survival"))
+        out[m] = CoxFit(design.names, s.at, variance, cover, baseline, s.best, s.steps, stats[m].n, stats[m].events, center,
+                        list(strata), design, times, s.converged, s.gradient)
+    return out
+
+
+def _moments(design: Design) -> tuple[np.ndarray, dict[int, _Stats]]:
+    """Centres (numeric means of all rows, 0 for indicators), and per model its rows, events and the columns' spreads."""
+    folds = {r["fold"]: r for r in design.rows.groupBy("fold").agg(  # one row per fold
         F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), *[F.avg(c).alias(f"m_{c}") for c in design.numeric],
-        *[F.stddev_samp(c).alias(f"s_{c}") for c in design.numeric]).first()
-    n = int(stats["n"])
+        *[F.var_pop(c).alias(f"v_{c}") for c in design.numeric]).collect()}
     pairs = [F.struct(F.lit(f).alias("f"), F.col(f"_{f}").alias("code")) for f in design.families]
-    counts = {(r["f"], r["code"]): r["count"] for r in design.rows.select(F.inline(F.array(*pairs)))
-              .groupBy("f", "code").count().collect()} if pairs else {}  # one row per level
-    mean = [stats[f"m_{c}"] for c in design.numeric]
-    scale = [stats[f"s_{c}"] or 1.0 for c in design.numeric]
-    for f, levels in design.families.items():
-        for i in range(len(levels)):
-            p = counts.get((f, i + 1), 0) / n
-            mean.append(0.0)
-            scale.append(float(np.sqrt(p * (1 - p) * n / max(n - 1, 1))) or 1.0)
-    return n, int(stats["e"] or 0), np.array(mean, float), np.array(scale, float)
+    counts = {(r["fold"], r["f"], r["code"]): r["count"] for r in design.rows.select("fold", F.inline(F.array(*pairs)))
+              .groupBy("fold", "f", "code").count().collect()} if pairs else {}  # one row per fold and level
+
+    def pooled(own: list) -> tuple[int, int, list[float], list[float]]:
+        n = sum(folds[k]["n"] for k in own)
+        mean = [sum(folds[k]["n"] * folds[k][f"m_{c}"] for k in own) / max(n, 1) for c in design.numeric]
+        scale = [math.sqrt(sum(folds[k]["n"] * (folds[k][f"v_{c}"] + (folds[k][f"m_{c}"] - m) ** 2) for k in own)
+                           / max(n - 1, 1)) or 1.0 for c, m in zip(design.numeric, mean)]
+        for f, levels in design.families.items():
+            for i in range(len(levels)):
+                p = sum(counts.get((k, f, i + 1), 0) for k in own) / max(n, 1)
+                scale.append(math.sqrt(p * (1 - p) * n / max(n - 1, 1)) or 1.0)
+        return n, sum(folds[k]["e"] or 0 for k in own), mean, scale
+
+    center = np.zeros(len(design.names))
+    center[:len(design.numeric)] = pooled(list(folds))[2]
+    stats = {}
+    for m in design.keys:
+        n, events, _, scale = pooled([k for k in folds if design.models is None or k != m])
+        stats[m] = _Stats(n, int(events), np.array(scale, float))
+    return center, stats
 
 
 def _robust_meat(design: Design, study: DataFrame, beta: np.ndarray, center: np.ndarray) -> np.ndarray:
@@ -501,7 +631,8 @@ def _robust_meat(design: Design, study: DataFrame, beta: np.ndarray, center: np.
             yield pa.RecordBatch.from_arrays(
                 [pa.array(section, pa.string()), _lists(np.add.reduceat(score[order], edges, axis=0))], ["section_id", "score"])
 
-    rows = _with_times(design, study.select("stratum", "t", "breslow", "shift", "mean"), 16 * d + 64)
+    rows = design.rows.join(checked_broadcast(study.select("stratum", "t", "breslow", "shift", "mean"), 16 * d + 64),
+                            ["stratum", "t"])
     pieces = rows.mapInArrow(scores, "section_id string, score array<double>")
     per_section = pieces.groupBy("section_id").agg(*[F.sum(F.col("score")[i]).alias(f"u{i}") for i in range(d)])
 
@@ -510,9 +641,10 @@ def _robust_meat(design: Design, study: DataFrame, beta: np.ndarray, center: np.
         for batch in batches:
             u = np.column_stack([batch.column(f"u{i}").to_numpy(zero_copy_only=False) for i in range(d)])
             total += u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), _lists(total)], ["i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(d, np.int32)), pa.array(np.arange(d, dtype=np.int32)),
+                                          _lists(total)], ["model", "i", "v"])
 
-    return _square(per_section.mapInArrow(outer, "i int, v array<double>"))
+    return _squares(per_section.mapInArrow(outer, "model int, i int, v array<double>"))[0]
 
 
 # ------------------------------------------------------------------ test and refit
@@ -562,32 +694,40 @@ def headline_effects(summary: DataFrame) -> DataFrame:
         place.select(F.lit("position_per_log_unit").alias("what"), *cols))
 
 
-def predict(test: DataFrame, fitted: CoxFit, horizon: str, fallback: str, name: str = "p_cox",
-            depts: Sequence[str] | None = None) -> DataFrame:
-    """Clearing chance ``1 - S0(h)^exp(x beta)``; rows with a missing covariate take
-    ``fallback`` and are flagged. Departments unknown to the fit count as OTHER."""
-    rows = test
-    if depts is not None:
-        rows = rows.withColumn("_dept", F.col("dept_group")).withColumn(
-            "dept_group", F.when(F.col("subject").isin(*depts), F.col("subject")).otherwise("OTHER"))
+def predict(test: DataFrame, fitted: CoxFit | dict[int, CoxFit], horizon: str, fallback: str, name: str = "p_cox",
+            by_subject: bool = False) -> DataFrame:
+    """Clearing chance ``1 - S0(h)^exp(x beta)``; rows with a missing covariate, or of a fold without a model, take
+    ``fallback`` and are flagged. ``fitted`` may hold a model for each value of the column ``fold``. With ``by_subject``
+    a row's department is its subject, where the models know it, and OTHER elsewhere."""
+    fits = fitted if isinstance(fitted, dict) else {0: fitted}
+    fold = F.col("fold") if isinstance(fitted, dict) else F.lit(0)
+    if not fits:
+        return test.withColumns({name: F.col(fallback), "cox_fallback": F.lit(True)})
+    of_fold = lambda values: F.element_at(F.create_map(*[c for f, v in values.items() for c in (F.lit(f), v)]), fold)
+    names, means = next((f.names, f.means) for f in fits.values())  # the same in all
+    rows = test.withColumn("_dept", F.col("dept_group"))
+    if by_subject:
+        rows = rows.withColumn("dept_group", F.col("subject"))
+    families: dict[str, list[int]] = {}
     linear = F.lit(0.0)
-    families: dict[str, list[float]] = {}
-    for column, beta, mean in zip(fitted.names, fitted.beta, fitted.means):
+    for k, column in enumerate(names):
         if "=" in column:
-            families.setdefault(column.split("=", 1)[0], []).append(float(beta))
+            families.setdefault(column.split("=", 1)[0], []).append(k)
         else:
-            linear = linear + (_numeric(column) - F.lit(float(mean))) * F.lit(float(beta))
-    codes = {f: [n.split("=", 1)[1] for n in fitted.names if n.startswith(f"{f}=")] for f in families}
-    rows = _coded(rows, codes)
-    for f, effects in families.items():
-        linear = linear + F.element_at(F.array(F.lit(0.0), *[F.lit(e) for e in effects]), F.col(f"_{f}") + 1)
-    rows = rows.withColumns({"_linear": linear, "_known": _usable(), "_h": F.greatest(F.col(horizon), F.lit(0.0)),
-                             "_stratum": F.lit("")}).drop(*[f"_{f}" for f in families])
-    steps = fitted.baseline.select(F.col("stratum").alias("_stratum"), "t", "survival")
-    rows = step_lookup(rows, steps, ["_stratum"], "_h", "t", "survival", "_s0")
-    out = rows.withColumns({
+            effect = of_fold({f: F.lit(float(fit.beta[k])) for f, fit in fits.items()})
+            linear = linear + (_numeric(column) - F.lit(float(means[k]))) * effect
+    rows = _coded(rows, {f: [names[k].split("=", 1)[1] for k in own] for f, own in families.items()})
+    for family, own in families.items():
+        effects = of_fold({f: F.array(F.lit(0.0), *[F.lit(float(fit.beta[k])) for k in own]) for f, fit in fits.items()})
+        linear = linear + F.element_at(effects, F.col(f"_{family}") + 1)
+    rows = rows.withColumns({"_linear": linear, "_known": _usable() & fold.isin(*fits), "_h": F.greatest(F.col(horizon), F.lit(0.0)),
+                             "_stratum": F.lit(""), "_model": fold}).drop(*[f"_{f}" for f in families])
+    steps = None
+    for f, fit in fits.items():
+        own = fit.baseline.select(F.lit(f).alias("_model"), F.col("stratum").alias("_stratum"), "t", "survival")
+        steps = own if steps is None else steps.unionByName(own)
+    rows = step_lookup(rows, steps, ["_model", "_stratum"], "_h", "t", "survival", "_s0")
+    return rows.withColumns({
         name: F.when(F.col("_known"), F.lit(1.0) - F.pow(F.col("_s0"), F.exp("_linear"))).otherwise(F.col(fallback)),
-        "cox_fallback": ~F.col("_known")})
-    if depts is not None:
-        out = out.withColumn("dept_group", F.col("_dept")).drop("_dept")
-    return out.drop("_linear", "_known", "_h", "_s0", "_stratum")
+        "cox_fallback": ~F.col("_known"), "dept_group": F.col("_dept")}).drop(
+            "_linear", "_known", "_h", "_s0", "_stratum", "_model", "_dept")

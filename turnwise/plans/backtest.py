@@ -379,20 +379,28 @@ def run_backtest(cohort: DataFrame, calendar, *, split: str = "temporal", which:
 
 def add_cox(train: DataFrame, pred: DataFrame, folds: Sequence[int], grouped: bool, max_rows: int | None,
             seed: int) -> tuple[DataFrame, list[str]]:
-    """Add ``p_cox`` per fold; a fit that fails repeats the bucket baseline with a note."""
-    out, notes = None, []
+    """Add ``p_cox``; the folds' models are fitted together, unless each is to have its own ``max_rows`` rows. A fold
+    without a model repeats the bucket baseline with a note."""
+    fits, notes = {}, []
+    try:
+        if grouped and max_rows is None:
+            fits = cox.fit_folds(train, folds)
+        else:
+            for fold in folds:
+                own = train.where(F.col("fold") != fold) if grouped else train
+                fits[fold] = cox.fit(own, max_rows=max_rows, seed=seed, robust=False)
+    except (cox.NoFit, np.linalg.LinAlgError) as problem:
+        notes.append(f"no proportional-hazards fit: {problem}")
+    notes += [f"no proportional-hazards fit for fold {fold}" for fold in folds if fold not in fits]
+    notes += [f"the hazards fit of fold {fold} had not converged after {fit.iterations} steps"
+              for fold, fit in fits.items() if not fit.converged]
+    shared = len({tuple(fit.names) for fit in fits.values()}) <= 1  # separate samples may lack covariates
+    if shared:
+        return materialize(cox.predict(pred, fits, "horizon_days", "p_bucket", by_subject=True)), notes
+    out = None
     for fold in folds:
-        own = train.where(F.col("fold") != fold) if grouped else train
-        part = pred.where(F.col("fold") == fold)
-        depts = [r[0] for r in own.where("dept_group IS NOT NULL").select("dept_group").distinct().collect()]
-        try:
-            fitted = cox.fit(own, max_rows=max_rows, seed=seed, robust=False)
-            part = cox.predict(part, fitted, "horizon_days", "p_bucket", depts=depts)
-            if not fitted.converged:
-                notes.append(f"the hazards fit of fold {fold} had not converged after {fitted.iterations} steps")
-        except (cox.NoFit, np.linalg.LinAlgError) as problem:
-            notes.append(f"no proportional-hazards fit for fold {fold}: {problem}")
-            part = part.withColumns({"p_cox": F.col("p_bucket"), "cox_fallback": F.lit(True)})
+        own = {fold: fits[fold]} if fold in fits else {}
+        part = cox.predict(pred.where(F.col("fold") == fold), own, "horizon_days", "p_bucket", by_subject=True)
         out = part if out is None else out.unionByName(part)
     return materialize(out), notes
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from turnwise.operators import boot, cox, km
@@ -27,11 +28,11 @@ def km_by_bucket(spark, d):
     return out.select("position_bucket", r6("t"), "n", "d", "at_risk", r6("survival"))
 
 
-_AT = ", ".join(f"round(1-coalesce(min(CASE WHEN t<={x} THEN surv END),1),6) AS p_clear_by_{x}d" for x in (1, 3, 7, 14, 30))
+_CLEAR_AT = ", ".join(f"round(1-coalesce(min(CASE WHEN t<={x} THEN surv END),1),6) AS p_clear_by_{x}d" for x in (1, 3, 7, 14, 30))
 
 
 @query("km_table", f"""WITH {s.COHORT}, {s.km('k', 'cohort', 'phase')} SELECT phase, CAST(sum(n) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS events,
-  round(min(CASE WHEN d>0 AND 1-surv>=0.5 THEN t END),6) AS median_days, {_AT} FROM k GROUP BY 1 HAVING sum(n)>=10""")
+  round(min(CASE WHEN d>0 AND 1-surv>=0.5 THEN t END),6) AS median_days, {_CLEAR_AT} FROM k GROUP BY 1 HAVING sum(n)>=10""")
 def km_table(spark, d):
     out = km.km_table(cohort(spark, d), ["phase"])
     return out.select("phase", "n", "events", r6("median_days"), *[r6(c) for c in out.columns if c.startswith("p_clear")])
@@ -297,6 +298,107 @@ def cox_score_at(spark, d):
     return out.select("covariate", *[F.round(c, 3).alias(c) for c in ("gradient", "information", "log_likelihood")])
 
 
+# The same model at fixed coefficients in SQL: one numeric covariate, two levels as indicators, phases as strata.
+_AT = {"log_position": 0.2, "level=grad": -0.3, "level=upper": 0.1}
+_AT_VALUES = {"log_position": "ln(position)", "level=grad": "CAST(level='grad' AS INT)", "level=upper": "CAST(level='upper' AS INT)"}
+_K = range(3)
+_HAZARD = " + ".join(f"x{k}*CAST({beta} AS DOUBLE)" for k, beta in enumerate(_AT.values()))
+
+
+def _each(pattern: str) -> str:
+    """``pattern`` for every covariate {k}, and for every pair {k} <= {j} where it names {j}."""
+    if "{j}" not in pattern:
+        return ", ".join(pattern.format(k=k) for k in _K)
+    return ", ".join(pattern.format(k=k, j=j) for k in _K for j in _K if k <= j)
+
+
+def _entry(name: str, k: int, j: int) -> str:
+    return f"{name}{min(k, j)}{max(k, j)}"
+
+
+def _cofactor(name: str, k: int, j: int) -> str:
+    r, c = [i for i in _K if i != k], [i for i in _K if i != j]
+    return (f"{'-' if (k + j) % 2 else ''}({_entry(name, r[0], c[0])}*{_entry(name, r[1], c[1])}"
+            f"-{_entry(name, r[0], c[1])}*{_entry(name, r[1], c[0])})")
+
+
+def _dot(left: str, right: str) -> str:
+    return "+".join(f"{left.format(i=i)}*{right.format(i=i)}" for i in _K)
+
+
+#: Rows; sums per stratum and time; sums over those at risk; Efron's terms; gradient and information; the inverse.
+_COX_AT = f"""{s.COHORT}, cx AS (SELECT row_id, section_id, CASE WHEN phase='phase1' THEN 'phase=ref' ELSE 'phase='||phase END AS g,
+   ceil(dur/CAST(0.01 AS DOUBLE))*CAST(0.01 AS DOUBLE) AS t, event, {", ".join(f"CAST({v} AS DOUBLE) AS x{k}" for k, v in enumerate(_AT_VALUES.values()))} FROM cohort),
+ hx AS (SELECT *, exp({_HAZARD}) AS h FROM cx),
+ gx AS (SELECT g, t, CAST(sum(event) AS BIGINT) AS m, sum(h) AS w, sum(h*event) AS d, {_each("sum(h*x{k}) AS w{k}, sum(h*event*x{k}) AS d{k}, sum(event*x{k}) AS e{k}")},
+   {_each("sum(h*x{k}*x{j}) AS w{k}{j}, sum(h*event*x{k}*x{j}) AS d{k}{j}")} FROM hx GROUP BY ALL),
+ rx AS (SELECT g, t, m, d, {_each("d{k}, e{k}")}, {_each("d{k}{j}")}, sum(w) OVER o AS s, {_each("sum(w{k}) OVER o AS s{k}")}, {_each("sum(w{k}{j}) OVER o AS s{k}{j}")}
+   FROM gx WINDOW o AS (PARTITION BY g ORDER BY t DESC)),
+ tx AS (SELECT {_each("(s{k}-u*d{k})/(s-u*d) AS y{k}")}, {_each("(s{k}{j}-u*d{k}{j})/(s-u*d) AS q{k}{j}")} FROM (SELECT *, unnest(generate_series(0, m-1))/CAST(m AS DOUBLE) AS u FROM rx WHERE m>0)),
+ ix AS (SELECT {_each("sum(y{k}) AS y{k}")}, {_each("sum(q{k}{j}-y{k}*y{j}) AS i{k}{j}")} FROM tx),
+ ex AS (SELECT {_each("sum(e{k}) AS e{k}")}, CAST(sum(m) AS DOUBLE) AS events FROM rx),
+ sx AS (SELECT {_each("count(*)*CAST(0.01 AS DOUBLE)*var_samp(x{k}) AS ridge{k}")} FROM cx),
+ nx AS (SELECT events, {", ".join(f"e{k}-y{k}-ridge{k}*CAST({beta} AS DOUBLE) AS g{k}" for k, beta in enumerate(_AT.values()))},
+   {", ".join(f"i{k}{j}" + (f"+ridge{k}" if k == j else "") + f" AS i{k}{j}" for k in _K for j in _K if k <= j)} FROM ix, ex, sx),
+ vx AS (SELECT *, {", ".join(f"{_cofactor('i', k, j)}/det AS v{k}{j}" for k in _K for j in _K if k <= j)} FROM (SELECT *, {"+".join(f"i0{j}*{_cofactor('i', 0, j)}" for j in _K)} AS det FROM nx)),
+ bx AS (SELECT g, t, m, {_each("s{k}/s AS a{k}, e{k}")}, sum(m/s) OVER o AS hz, {_each("sum(m/s*s{k}/s) OVER o AS z{k}")} FROM rx WINDOW o AS (PARTITION BY g ORDER BY t))"""
+
+
+def _unnested(columns: dict[str, str], source: str) -> str:
+    """One row per covariate from expressions in {k}."""
+    rows = ", ".join("{" + ", ".join([f"'covariate': '{n}'", *[f"'{c}': {e.format(k=k)}" for c, e in columns.items()]]) + "}"
+                     for k, n in enumerate(_AT))
+    return f"SELECT r.* FROM (SELECT unnest([{rows}]) AS r FROM {source})"
+
+
+def _at_fixed(spark, d, robust=False):
+    """The cohort with those covariates alone, and the model at ``_AT``."""
+    plain = cohort(spark, d).withColumns({
+        **{c: F.lit(0.0) for c in ("wl_ratio", "days_to_instruction")}, "reserved": F.lit(False), "dept_group": F.lit(None).cast("string")})
+    return plain, cox.evaluate(plain, _AT, strata=["phase"], robust=robust)
+
+
+@query("cox_step_at", f"WITH {_COX_AT} SELECT covariate, round(gradient,3) AS gradient, round(information,3) AS information, round(step,6) AS step FROM ({_unnested({
+    'gradient': 'g{k}', 'information': 'i{k}{k}', 'step': '+'.join('list_extract([' + ', '.join(_entry('v', k, i) for k in _K) + '], {k}+1)*g' + str(i) for i in _K)}, 'vx')})")
+def cox_step_at(spark, d):
+    _, fitted = _at_fixed(spark, d)
+    information = np.linalg.inv(fitted.variance)
+    rows = [(n, float(g), float(i), float(x)) for n, g, i, x in zip(fitted.names, fitted.gradient, np.diag(information), fitted.step)]
+    out = spark.createDataFrame(rows, "covariate string, gradient double, information double, step double")
+    return out.select("covariate", *[F.round(c, n).alias(c) for c, n in (("gradient", 3), ("information", 3), ("step", 6))])
+
+
+@query("cox_robust_at", f"""WITH {_COX_AT}, ux AS (SELECT section_id, {_each("sum(event*(x{k}-a{k})-h*(x{k}*hz-z{k})) AS u{k}")} FROM hx JOIN bx USING (g, t) GROUP BY 1),
+ mx AS (SELECT {_each("sum(u{k}*u{j}) AS m{k}{j}")} FROM ux),
+ cv AS (SELECT {", ".join("sqrt(" + "+".join(f"{_entry('v', k, i)}*{_entry('m', i, j)}*{_entry('v', j, k)}" for i in _K for j in _K) + f") AS r{k}, sqrt(v{k}{k}) AS o{k}" for k in _K)} FROM vx, mx)
+ SELECT covariate, round(robust_se,6) AS robust_se, round(model_se,6) AS model_se FROM ({_unnested({'robust_se': 'r{k}', 'model_se': 'o{k}'}, 'cv')})""")
+def cox_robust_at(spark, d):
+    _, fitted = _at_fixed(spark, d, robust=True)
+    return fitted.summary(spark).select("covariate", r6("robust_se"), r6("model_se"))
+
+
+@query("cox_ph_at", f"""WITH {_COX_AT}, dt AS (SELECT t, sum(m) AS m FROM rx GROUP BY 1),
+ rk AS (SELECT t, sum(m) OVER (ORDER BY t)-m+(m+1)/CAST(2 AS DOUBLE)-((SELECT events FROM ex)+1)/2 AS rank FROM dt),
+ px AS (SELECT sum(m*rank*rank) AS spread, {_each("sum(rank*(e{k}-m*a{k})) AS p{k}")} FROM bx JOIN rk USING (t)),
+ st AS (SELECT {", ".join(f"pow(({'+'.join(f'p{i}*' + _entry('v', i, k) for i in _K)})*events,2)/(events*v{k}{k}*spread) AS c{k}" for k in _K)} FROM vx, px)
+ SELECT covariate, round(statistic,6) AS statistic, (SELECT count(*) FROM cx) AS rows_tested FROM ({_unnested({'statistic': 'c{k}'}, 'st')})""")
+def cox_ph_at(spark, d):
+    _, fitted = _at_fixed(spark, d)
+    return cox.ph_table(fitted, spark).select("covariate", r6("statistic"), "rows_tested")
+
+
+@query("cox_predict_at", f"""WITH {_COX_AT.replace("CASE WHEN phase='phase1' THEN 'phase=ref' ELSE 'phase='||phase END", "''")},
+ q AS (SELECT row_id, h, CAST(row_id%40 AS DOUBLE) AS horizon FROM hx)
+ SELECT row_id, round(1-pow(exp(-coalesce(hz,0)), h),6) AS p_cox, false AS cox_fallback FROM q ASOF LEFT JOIN bx ON q.horizon>=bx.t""")
+def cox_predict_at(spark, d):
+    plain = cohort(spark, d).withColumns({
+        **{c: F.lit(0.0) for c in ("wl_ratio", "days_to_instruction")}, "reserved": F.lit(False),
+        **{c: F.lit(None).cast("string") for c in ("dept_group", "phase")}})
+    fitted = cox.evaluate(plain, _AT, robust=False)
+    test = plain.withColumns({"horizon": (F.col("row_id") % 40).cast("double"), "other": F.lit(0.0)})
+    return cox.predict(test, fitted, "horizon", "other").select("row_id", r6("p_cox"), "cox_fallback")
+
+
 @query("cox_fit")
 def cox_fit(spark, d):
     return cox.fit(cohort(spark, d)).summary(spark)

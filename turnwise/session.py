@@ -76,8 +76,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 def checked_broadcast(table: DataFrame, row_bytes: int = 256) -> DataFrame:
     """Broadcast a table only when its counted rows, of about ``row_bytes`` each, are within the limits."""
-    most = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
-    return F.broadcast(table) if table.count() <= most else table
+    return counted_broadcast(table, table.count(), row_bytes)
+
+
+def counted_broadcast(table: DataFrame, rows: int, row_bytes: int = 256) -> DataFrame:
+    """``checked_broadcast`` of a table whose ``rows`` were counted before."""
+    return F.broadcast(table) if rows <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes) else table
 
 
 def lookup_side(df: DataFrame) -> DataFrame:
