@@ -121,6 +121,19 @@ def test_hot_section_thinning(spark, tiny_chunks):
     assert len(hot) == 12
 
 
+def test_exit_maps_say_what_thinning_leaves():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        t = np.sort(rng.choice(500, rng.integers(1, 40), replace=False)) + 1000
+        gap = int(rng.integers(1, 300))
+        bounds, exits = co.exit_map(t, gap)
+        assert len(bounds) <= (t < t[0] + gap).sum() + 1
+        for entry in [*range(int(t[0]) - 350, int(t[0]), 7), int(t[0]) - 1]:
+            kept = co.keep_spaced(np.zeros(len(t), int), np.array([len(t)]), t, gap, np.array([float(entry)]))
+            at = np.searchsorted(bounds, entry)
+            assert (exits[at] if at < len(bounds) else entry) == (t[kept][-1] if kept.any() else entry)
+
+
 def test_levels_and_buckets(spark):
     numbers = ["61A", "C100", "H194", "200", "R1A", "N1", "298", None, "X"]
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n string")

@@ -188,8 +188,8 @@ def _walk_on(events_frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
 def thin_joins(flows: DataFrame, every_min: float = 240, splits: Splits | None = None) -> DataFrame:
     """Add ``kept``: the greedy thinning of each section's interval starts.
 
-    The rule depends on the last kept time, so the ranges of a hot section are
-    taken in order, each one task, passing on one time per section.
+    The rule depends on the last kept time alone, so a range of a hot section is
+    a function of it: see ``_thin_by_ranges``.
     """
     splits = splits or plan_splits(flows, ["section_id"], "t0")
     gap_us = int(round(every_min * 60_000_000))
@@ -207,39 +207,64 @@ def thin_joins(flows: DataFrame, every_min: float = 240, splits: Splits | None =
     if not splits.hot:
         kept = _with_group(rows, n).groupBy(GROUP).applyInPandas(first, schema)
     else:
-        kept = _thin_in_order(rows, gap_us, splits, n)
+        kept = _thin_by_ranges(rows, gap_us, n)
     kept = kept.select("section_id", F.timestamp_micros("t0_us").alias("t0"), F.lit(True).alias("kept"))
     return flows.join(kept, ["section_id", "t0"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-def _thin_in_order(rows: DataFrame, gap_us: int, splits: Splits, n: int) -> DataFrame:
-    def turn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def exit_map(t_us: np.ndarray, gap_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a range of sorted times does to the last kept time, as a step function.
+
+    An entry of at most ``bounds[i]`` (and above the bound before) leaves as ``exits[i]``; one above all bounds keeps
+    nothing here and leaves as it came. Entries lie before the range, so only times within one gap of its start, and the
+    next one, can be the first kept, and chains from there soon meet: the function has few steps.
+    """
+    n = len(t_us)
+    starts = min(n, np.searchsorted(t_us, t_us[0] + gap_us) + 1)
+    after = np.searchsorted(t_us, t_us + gap_us)
+    last = np.where(after < n, after, np.arange(n))
+    while (last != last[last]).any():  # twice as many kept times are followed in each round
+        last = last[last]
+    bounds, exits = t_us[:starts] - gap_us, t_us[last[:starts]]
+    step = np.append(exits[1:] != exits[:-1], True)
+    return bounds[step], exits[step]
+
+
+def _thin_by_ranges(rows: DataFrame, gap_us: int, n: int) -> DataFrame:
+    """Each range of a hot section as a function of the last kept time before it, all at once; the functions of a section
+    composed in order, one small row a range; then every range thinned from the entry it has, again all at once."""
+    rows = _with_group(materialize(rows), n)
+
+    def maps(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["section_id", CHUNK, "t0_us"], ignore_index=True)
+        block, ends = _blocks(frame)
+        starts, t = np.append(0, ends[:-1]), frame["t0_us"].to_numpy(np.int64)
+        steps = [exit_map(t[a:b], gap_us) for a, b in zip(starts, ends)]
+        return pd.DataFrame({"section_id": frame["section_id"].to_numpy()[starts], CHUNK: frame[CHUNK].to_numpy()[starts],
+                             "bounds": [b for b, _ in steps], "exits": [e for _, e in steps]})
+
+    def entries(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(CHUNK, ignore_index=True)
+        last, out = None, []
+        for bounds, exits in zip(frame["bounds"], frame["exits"]):
+            out.append(last)
+            at = 0 if last is None else int(np.searchsorted(bounds, last))
+            last = int(exits[at]) if at < len(bounds) else last
+        return frame[["section_id", CHUNK]].assign(last_us=pd.array(out, dtype="Int64"))
+
+    def thin(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0:
+            return left[["section_id", "t0_us"]]
         frame = left.sort_values(["section_id", CHUNK, "t0_us"], ignore_index=True)
-        if len(frame) == 0:
-            return frame[["section_id", "t0_us"]]
         block, ends = _blocks(frame)
-        sections = frame["section_id"].to_numpy()[np.append(0, ends[:-1])]
-        last = right.set_index("section_id")["last_us"].reindex(sections).to_numpy(float)
+        own = frame.iloc[np.append(0, ends[:-1])][["section_id", CHUNK]].merge(right, on=["section_id", CHUNK], how="left")
         # microseconds stay exact in a double for dates before the year 2255
-        kept = keep_spaced(block, ends, frame["t0_us"].to_numpy(np.int64), gap_us, last)
+        kept = keep_spaced(block, ends, frame["t0_us"].to_numpy(np.int64), gap_us, own["last_us"].to_numpy(float, na_value=np.nan))
         return frame.loc[kept, ["section_id", "t0_us"]]
 
-    rows = materialize(rows)
-    last = rows.select("section_id").limit(0).withColumn("last_us", F.lit(None).cast("long"))
-    out = None
-    for chunk in range(rows.agg(F.max(CHUNK)).first()[0] + 1):
-        part = rows.where(F.col(CHUNK) == chunk)
-        carried = last.withColumn(CHUNK, F.lit(chunk))
-        kept = materialize(
-            _with_group(part, n).groupBy(GROUP)
-            .cogroup(_with_group(carried, n).groupBy(GROUP))
-            .applyInPandas(turn, "section_id string, t0_us long")
-        )
-        latest = kept.groupBy("section_id").agg(F.max("t0_us").alias("last_us"))
-        last = materialize(last.unionByName(latest).groupBy("section_id").agg(F.max("last_us").alias("last_us"))
-                           .join(splits.bounds.select("section_id"), "section_id", "left_semi"))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    steps = rows.groupBy(GROUP).applyInPandas(maps, f"section_id string, {CHUNK} int, bounds array<long>, exits array<long>")
+    known = steps.groupBy("section_id").applyInPandas(entries, f"section_id string, {CHUNK} int, last_us long")
+    return rows.groupBy(GROUP).cogroup(_with_group(known, n).groupBy(GROUP)).applyInPandas(thin, "section_id string, t0_us long")
 
 
 def walk_positions(
@@ -329,7 +354,8 @@ def censoring_horizon(flows: DataFrame, joins: DataFrame, splits: Splits | None
 
 
 def _continue(rows: DataFrame, walked: DataFrame, n: int) -> DataFrame:
-    """Carry joiners that outlived their range into the next one until none waits."""
+    """Carry joiners that outlived their range into the next one until none waits. A round moves all of them at once and
+    reads the events of the ranges that some joiner has come to, no others."""
     last = rows.groupBy("section_id").agg(F.max(CHUNK).alias("_last"))
     done: list[DataFrame] = []
     events = rows.select(GROUP, *_EVENTS)
@@ -342,7 +368,9 @@ def _continue(rows: DataFrame, walked: DataFrame, n: int) -> DataFrame:
               (p.split()[0] for p in _STATE.split(", "))])
         if waiting.isEmpty():
             break
-        walked = events.groupBy(GROUP).cogroup(_with_group(waiting, n).groupBy(GROUP)).applyInPandas(
+        reached = lookup_side(waiting.select("section_id", CHUNK).distinct())
+        ahead = events.join(reached, ["section_id", CHUNK], "left_semi")
+        walked = ahead.groupBy(GROUP).cogroup(_with_group(waiting, n).groupBy(GROUP)).applyInPandas(
             lambda left, right: _walk_on(left, right), _WALKED)
     out = done[0]
     for piece in done[1:]:
