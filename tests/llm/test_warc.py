@@ -6,7 +6,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from turnwise.llm.warc import capture_plan, opened, read_bundles, read_payloads, seek_table, write_bundles
+from turnwise.llm.common import opened
+from turnwise.llm.warc import capture_plan, read_bundles, read_payloads, seek_table, write_bundles
 
 BODY = "<p>" + "shared " * 40 + "</p>"
 SCHEMA = "page_id long, url string, html string, digest string, kind int, bundle string"

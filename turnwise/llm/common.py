@@ -1,15 +1,15 @@
 """Helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import turnwise
-from turnwise.session import CHECKPOINT_CONF, ensure_checkpoint_dir
+from turnwise.session import materialize
 
 #: What separates words: the space and the controls tab to carriage return.
 GAP = "[ \\x09-\\x0D]+"
@@ -26,21 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names, else the session's own."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, columns stay prunable. The
+    folder is the application's own and goes when it exits."""
+    return materialize(df)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, columns stay prunable."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnwise-llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, so that columns of any name can't clash with an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,7 +9,8 @@ Learning uses a bounded sample: ``max_labelled`` labelled documents (an even cho
 ``max_chars`` characters each, never those of the held-out fold. Every term of the sample is fitted, also those that say
 nothing alone, as pairs of them may: first the terms tied to a class by themselves, then all together, where the others
 take steps shortened by the number of a text's terms, so long texts aren't learned by heart. The model is fitted inside
-one task and comes back as a few arrays (2^18 terms at most, 19 MB); scoring covers every row.
+one task, which writes it (2^18 terms at most, 10 MB) to the folder all executors share; scoring tasks read it there, so
+it never passes through the driver. Scoring covers every row.
 
 Defined results: a null or empty text has no term and gets the bias's score; without labels of both classes every score
 is the share of label 1 (0 without labels); repeated rows are scored one by one; an empty table gives no rows; other
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import fold_of, table
+from turnwise.llm.common import fold_of, opened, table
 from turnwise.llm.registry import query
 from turnwise.llm.rules import labelled_sample
+from turnwise.session import scratch_dir
 
 BUCKETS = 1 << 18
 PREFIX = 5
@@ -132,37 +135,58 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = 8, epochs: int = 12,
     return FactorizationMachine(float(bias), bucket, held[:, 0].copy(), held[:, 1:].copy())
 
 
-def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, labels = [], []
-    for batch in batches:
-        docs += [term_buckets(t) for t in batch.column(0).to_pylist()]
-        labels += batch.column(1).to_pylist()
-    fm = fit(docs, np.array(labels, np.int64))
-    out = io.BytesIO()
-    np.savez(out, bias=fm.bias, bucket=fm.bucket, weight=fm.weight, factors=fm.factors)
-    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+@dataclass(frozen=True)
+class StoredMachine:
+    """A fitted machine in the shared folder."""
+
+    path: str
+
+    def load(self) -> FactorizationMachine:
+        fs, local = opened(self.path)
+        with fs.open_input_file(local) as source, np.load(io.BytesIO(source.read())) as held:
+            return FactorizationMachine(float(held["bias"]), held["bucket"], held["weight"], held["factors"])
+
+
+def _fit_into(folder: str):
+    """Fit on (text, label) and write the machine, under a name of its own for each attempt; the name is what returns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, labels = [], []
+        for batch in batches:
+            docs += [term_buckets(t) for t in batch.column(0).to_pylist()]
+            labels += batch.column(1).to_pylist()
+        fm = fit(docs, np.array(labels, np.int64))
+        out = io.BytesIO()
+        np.savez(out, bias=fm.bias, bucket=fm.bucket, weight=fm.weight.astype(np.float32),
+                 factors=fm.factors.astype(np.float32))
+        path = f"{folder}/{uuid.uuid4().hex}.npz"
+        fs, local = opened(folder)
+        fs.create_dir(local, recursive=True)
+        with fs.open_output_stream(opened(path)[1], compression=None) as target:
+            target.write(out.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["model"])
+
+    return run
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_chars: int = 200_000,
-                   held_out_of: int = 5) -> FactorizationMachine:
+                   held_out_of: int = 5) -> FactorizationMachine | StoredMachine:
     """Fit on labelled documents outside the fold crc32(doc_id) mod ``held_out_of`` = 0."""
     usable = labels.select("doc_id", "toxic").filter(fold_of(F.col("doc_id"), held_out_of) != 0)
     sample = F.broadcast(labelled_sample(usable, "toxic", max_labelled, "toxicity"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id") \
         .filter(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
-    packed = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label") \
-        .mapInArrow(_fit_batches, "model binary").first()
-    if packed is None:  # nothing was labelled
-        return fit([], np.zeros(0, np.int64))
-    with np.load(io.BytesIO(packed["model"])) as held:
-        return FactorizationMachine(float(held["bias"]), held["bucket"], held["weight"], held["factors"])
+    written = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label") \
+        .mapInArrow(_fit_into(f"{scratch_dir(docs.sparkSession)}/models"), "model string").first()
+    return fit([], np.zeros(0, np.int64)) if written is None else StoredMachine(written["model"])  # none: no labels
 
 
-def toxicity_score(text: Column, model: FactorizationMachine) -> Column:
-    """Probability that the text is toxic."""
+def toxicity_score(text: Column, model: FactorizationMachine | StoredMachine) -> Column:
+    """Probability that the text is toxic. A task reads a stored machine once."""
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(term_buckets(t)) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fm = model.load() if isinstance(model, StoredMachine) else model
+        for texts in batches:
+            yield pd.Series([fm.score(term_buckets(t)) for t in texts], dtype="float64")
 
     return score(text)
 

@@ -29,14 +29,13 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import table
+from turnwise.llm.common import opened, table
 from turnwise.llm.registry import query
 from turnwise.session import materialize, scratch_dir
 
@@ -58,13 +57,6 @@ _RECORDS = ("record_id string, page_id long, url string, record_type string, ref
             "payload_digest string, bundle string, frame int, record_at long, record_bytes long")
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
-
-
 def _arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
