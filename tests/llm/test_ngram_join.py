@@ -5,6 +5,7 @@ import pytest
 from made_texts import prose
 
 from turnwise.llm import ngram_join
+from turnwise.llm import components as components_module
 from turnwise.llm.components import components
 
 
@@ -100,6 +101,39 @@ def test_one_of_each_keeps_the_smallest_id(spark, documents):
     assert ids == [0, 1, 2, 3, 4, 5, 7, 8]  # 6 has the words of 5; rows 1 and 4 were there again
 
 
+def near(words, *at):
+    return " ".join("new" + str(i) if i in at else w for i, w in enumerate(words))
+
+
+def test_links_pass_through_rows_without_id(spark):
+    """A - B - C, where A and C are too far apart to link and B has no doc_id."""
+    words = prose(random.Random(21), 103)
+    rows = [(1, near(words, 10, 20)), (None, near(words)), (2, near(words, 50, 60)), (3, "alone " * 3)]
+    assert joined(spark, rows[:1] + rows[2:]) == [(1, 99, 1), (2, 99, 2), (3, 1, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(docs).collect()) == [1, 3]
+
+
+def test_an_id_on_several_texts_takes_none_along(spark):
+    words, other = prose(random.Random(22), 60), prose(random.Random(23), 60)
+    rows = [(1, " ".join(words)), (5, near(words, 0)), (5, " ".join(other)), (5, " ".join(other).upper())]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"].lower()) for r in kept) == [(1, rows[0][1]), (5, rows[2][1])]
+    without = [(None, near(words, 0)), (None, " ".join(words)), (None, None), (None, "")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(without, "doc_id long, text string")).collect()
+    assert len(kept) == 3
+
+
+def test_columns_of_any_name(spark):
+    names = ["row", "id", "k", "gone_id", "gone_k", "_gone", "again_id", "component", "a.b", "_again"]
+    rows = [(i % 4, ["one two three four five six", "x y"][i % 2], *range(10)) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+
+
 def test_frequent_shingles_pass_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 5)
     rows = [(1, 10, 3)] + [(2, k, 9) for k in range(17)] + [(3, 1, 3), (3, 2, 3)]
@@ -112,7 +146,9 @@ def test_frequent_shingles_pass_in_bounded_memory(monkeypatch):
         assert out == sorted([(2, k, 9, 5) for k in range(17)] + [(3, 1, 3, 2), (3, 2, 3, 2)]), size
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, small):
+    monkeypatch.setattr(components_module, "SMALL_EDGES", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}

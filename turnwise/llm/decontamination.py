@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import let, lower_ascii, stored, table, words_of
+from turnwise.llm.common import let, lower_ascii, stored, table, whole_row, words_of
 from turnwise.llm.registry import query
 
 WIDTH = 5
@@ -26,8 +26,15 @@ WIDTH = 5
 BROADCAST_ROWS = 200_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+#: The same in bytes, where rows hold texts.
+BROADCAST_BYTES = 32 << 20
+
+
+def _small(df: DataFrame, texts: str | None = None) -> DataFrame:
+    """``df`` broadcast if few rows, and few bytes in its array of ``texts``, were counted."""
+    held = F.lit(0) if texts is None else F.aggregate(texts, F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s) + 16)
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def _runs(values: Column, width: Column | int, build) -> Column:
@@ -74,7 +81,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     flat = F.concat(F.lit(" "), F.array_join(words_of(lower_ascii(F.col("text"))), " "), F.lit(" "))
     held = let(flat, lambda t: F.size(F.filter("shingles", lambda s: F.contains(t, F.concat(F.lit(" "), s, F.lit(" "))))))
     where = found.withColumnRenamed("doc_id", "_found_in")
-    hits = docs.join(_small(where), F.col("doc_id").eqNullSafe(F.col("_found_in"))).join(_small(known), "item")
+    hits = docs.join(_small(where), F.col("doc_id").eqNullSafe(F.col("_found_in"))).join(_small(known, "shingles"), "item")
     return (hits.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item_shingles"),
                         held.cast("long").alias("n_found"))
             .filter("5 * n_found >= 4 * n_item_shingles").distinct()
@@ -83,8 +90,9 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; rows without doc_id stay unless a row without doc_id holds one."""
-    found = stored(contained_items(docs, items).select(F.col("doc_id").alias("_found_in")).distinct())
-    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("_found_in")), "left_anti")
+    found = stored(contained_items(docs, items).select(F.col("doc_id").alias("found_in")).distinct())
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(_small(found), F.col("id").eqNullSafe(F.col("found_in")), "left_anti").select("row.*")
 
 
 _SQL = """

@@ -5,7 +5,7 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 it; ``ngram_links`` gives every link, and ``ngram_link_counts`` each document's number of links.
 
 Digests are that short because nearly all that moves is one of them per shingle: sets of n and m shingles are told apart
-wrongly with a chance of n m / 2^48, about one in a billion for ordinary documents.
+wrongly with a chance of n m / 2^48, about one in a billion for ordinary documents. Set sizes are counted by 64 bits.
 
 1. Equal word sequences form one class; a class takes part once.
 2. A shuffle by shingle finds the shingles that several classes share, with their document frequency. An overlap holds
@@ -24,20 +24,21 @@ never more memory. Where every link is wanted nothing is left out: all pairs of
 each, so work and rows moved grow with chunks x chunks. Links are counted inside the tasks and not written for it.
 
 Defined results: a null or wordless text has an empty set and is its own component; a text with fewer than five words
-has its whole sequence as its one shingle; a null doc_id never becomes a component id of others; repeated rows are rows
-of one class; an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
+has its whole sequence as its one shingle; rows without doc_id link like others, but never name a component; repeated
+rows are rows of one class; an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import stored, table
+from turnwise.llm.common import stored, table, whole_row
 from turnwise.llm.components import components
 from turnwise.llm.registry import query
 
@@ -54,13 +55,13 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.uint64((1 << DIGEST_BITS) - 1)
 
 
-def shingles(text: bytes | None) -> tuple[np.ndarray, bytes]:
-    """Ascending distinct digests of a text's shingles, and its normalised word sequence."""
+def shingles(text: bytes | None) -> tuple[np.ndarray, int, bytes]:
+    """Ascending distinct digests of a text's shingles, their number by 64-bit digests, its normalised word sequence."""
     words = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space splits
     sequence = b" ".join(words)
     if len(words) < WIDTH:
         whole = [xxhash.xxh3_64_intdigest(sequence, seed=1 + len(words))] if words else []
-        return np.array(whole, np.uint64) & _MASK, sequence
+        return np.array(whole, np.uint64) & _MASK, len(whole), sequence
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     last = len(words) - WIDTH + 1
     gram = hashed[:last].copy()
@@ -68,7 +69,7 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, bytes]:
         gram ^= gram >> np.uint64(31)
         gram *= _MULTIPLIER
         gram += hashed[k:last + k]
-    return np.unique(gram & _MASK), sequence
+    return np.unique(gram & _MASK), len(np.unique(gram)), sequence
 
 
 def _class_key(sequence: bytes, seed: int) -> tuple[int, int]:
@@ -76,6 +77,15 @@ def _class_key(sequence: bytes, seed: int) -> tuple[int, int]:
     return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
 
 
+def _class_of(seed: int):
+    """A text's class k as a column function."""
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([_class_key(b" ".join(((t or "").encode()).lower().split()), seed)[0] for t in texts], dtype="int64")
+
+    return key
+
+
 def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -85,8 +95,8 @@ def _keys(seed: int):
         for batch in batches:
             rows = []
             for text in _texts(batch.column(1)):
-                found, sequence = shingles(text)
-                rows.append((len(found), *_class_key(sequence, seed)))
+                _, size, sequence = shingles(text)
+                rows.append((size, *_class_key(sequence, seed)))
             n, k, check = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(check, pa.int64())],
@@ -96,20 +106,20 @@ def _keys(seed: int):
 
 
 def _entries(seed: int):
-    def packed(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        sizes = [len(s) for s, _ in held]
+    def packed(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        rows = [len(s) for s, _, _ in held]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([s for s, _ in held]).view(np.int64)),
-             pa.array(np.repeat(np.array([k for _, k in held], np.int64), sizes)),
-             pa.array(np.repeat(np.array(sizes, np.int64), sizes))], names=["shingle", "k", "n"])
+            [pa.array(np.concatenate([s for s, _, _ in held]).view(np.int64)),
+             pa.array(np.repeat(np.array([k for _, k, _ in held], np.int64), rows)),
+             pa.array(np.repeat(np.array([n for _, _, n in held], np.int64), rows))], names=["shingle", "k", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             for text in _texts(batch.column(0)):
-                found, sequence = shingles(text)
+                found, size, sequence = shingles(text)
                 if len(found):
-                    held.append((found, _class_key(sequence, seed)[0]))
+                    held.append((found, _class_key(sequence, seed)[0], size))
                     rows += len(found)
                 if rows >= _ROWS:
                     yield packed(held)
@@ -505,14 +515,22 @@ def _in_blocks(able: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     docs = docs.select("doc_id", "text")
+    _, keyed, linked = _linked_classes(docs)
+    classes = keyed.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("first")) \
+        .join(linked, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    firsts = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = classes.select("k", "component").join(firsts, "component").select("k", "component_id")
+    return keyed.join(of_class, "k", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _linked_classes(docs: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+    """The keys' seed, (doc_id, n, k) of every row, and (k, component) of the classes that link with others. A component is named by its
+    smallest k: doc_ids may be null, or stand on several texts."""
     seed, keyed = _distinct_keys(docs)
-    classes = keyed.filter("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("id"))
-    able = stored(_able(docs, seed).join(classes.filter("id is not null"), ["k", "n"]).drop("k"))
+    able = _able(docs, seed).withColumnRenamed("k", "id")
     links = _block_links(_in_blocks(able))
-    linked = components(links).withColumnRenamed("node", "id")
-    of_class = classes.join(linked, "id", "left").select("k", "n", F.coalesce("component", "id").alias("component_id"))
-    return keyed.join(of_class, ["k", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return seed, keyed, stored(components(links).select(F.col("node").alias("k"), "component"))
 
 
 def _pairs_to_join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -547,23 +565,33 @@ def ngram_link_counts(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row whose doc_id is the smallest stays.
+    """The rows of ``docs`` without near duplicates: of each component one row stays, that with the smallest doc_id.
 
-    Rows of an equal doc_id and text are one row here; rows without doc_id stay. Ids are what is joined, never texts,
-    except for doc_ids that occur more than once.
+    A row is known by its doc_id and its class, so an id that stands on several texts takes none of them along; rows of
+    an equal doc_id and class are one row. Rows without doc_id come after all others; without words they link with
+    nothing and stay. Ids and classes are what is joined, never texts, except for rows that were there more than once.
     """
-    found = stored(ngram_components(docs))
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    slim = docs.select("doc_id", "text")
+    seed, keyed, linked = _linked_classes(slim)
+    keyed = keyed.join(linked, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    rows = stored(keyed.groupBy("component", "doc_id", "k").agg(F.count("*").alias("c"), F.max("n").alias("n")))
+    firsts = rows.filter("n > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"), F.count("*").alias("all"))
+    gone = rows.filter("n > 0").join(firsts.filter("all > 1"), "component").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k")))) \
+        .select(F.col("doc_id").alias("gone_id"), F.col("k").alias("gone_k"))
+    gone = stored(gone)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1") \
-        .select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return left
-    here = F.col("doc_id") == F.col("_again")
-    repeated = left.join(again, here, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, here, "left_anti").unionByName(repeated)
+    named = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), _class_of(seed)(F.col("text")).alias("k"))
+    left = named.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("k") == F.col("gone_k")), "left_anti")
+    again = rows.filter("c > 1 and (n > 0 or doc_id is not null)").select(F.col("doc_id").alias("again_id"),
+                                                                        F.col("k").alias("again_k"))
+    if not again.isEmpty():
+        here = F.col("id").eqNullSafe(F.col("again_id")) & (F.col("k") == F.col("again_k"))
+        left = left.join(again, here, "left_anti").unionByName(
+            left.join(again, here, "left_semi").dropDuplicates(["id", "k"]))
+    return left.select("row.*")
 
 
 _SQL = """
