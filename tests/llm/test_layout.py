@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.llm.curriculum import curriculum, mixed
-from turnwise.llm.shards import stratified_shards
+from turnwise.llm.shards import stratified_shards, training_shards
 
 
 def sourced(spark, seed=1, n=3000):
@@ -113,3 +114,52 @@ def test_sizes_are_words(spark, documents):
     want = sorted((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")))
                   for r in documents.collect() if r["doc_id"] is not None)
     assert got == want
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "w " * (i + 1), "s", 1, 2, 3) for i in range(9)],
+                                 ["doc_id", "text", "source", "a.b", "_doc", "_time"])
+    out = mixed(docs)
+    assert out.columns == docs.columns and out.count() > 9
+
+
+def test_places_match_plain_ranking(spark):
+    """Shard and slot from sorting, with no ranges: fractional ranks per source, then one sorted list that is cut."""
+    rows, docs = sourced(spark, 11, 700)
+    key = lambda i: hashlib.md5(f"shards:{i}".encode()).hexdigest()
+    by = defaultdict(list)
+    for i, _, s in rows:
+        by[s].append(i)
+    ranked = []
+    for s, ids in by.items():
+        for rank, i in enumerate(sorted(ids, key=key)):
+            ranked.append(((rank + 0.5) / len(ids), "" if s is None else "=" + s, key(i), i))
+    ranked.sort()
+    want, slots = {}, Counter()
+    for place, (*_, i) in enumerate(ranked):
+        shard = place * 24 // len(ranked)
+        want[i] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in stratified_shards(docs).collect()} == want
+
+
+def test_shards_of_a_mix_are_read_in_training_order(spark):
+    _, docs = sourced(spark, 5)
+    mix = mixed(docs)
+    times = {r["doc_id"]: r["times"][:r["passes"]] for r in curriculum(docs).collect() if r["passes"]}
+    got = training_shards(mix).collect()
+    assert len(got) == mix.count() == sum(map(len, times.values()))
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+        assert r["time"] == pytest.approx(times[r["doc_id"]][r["nth"] - 1], abs=0.01)
+    sizes = [len(v) for v in by.values()]
+    assert len(by) == 24 and max(sizes) - min(sizes) <= 1
+    for rows in by.values():
+        rows.sort(key=lambda r: r["slot"])
+        assert [r["slot"] for r in rows] == list(range(len(rows)))
+        assert all(a["time"] <= b["time"] for a, b in zip(rows, rows[1:]))
+    # Two passes over one document are placed independently: not in one shard more often than chance puts them.
+    both = [[r["shard"] for r in got if r["doc_id"] == d] for d, t in times.items() if len(t) == 2]
+    assert len(both) > 300 and sum(a == b for a, b in both) < 0.1 * len(both)
+    assert training_shards(mix.limit(0)).count() == 0

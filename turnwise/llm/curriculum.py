@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import order_bucket, order_key, stored, stratum, table, word_count
+from turnwise.llm.common import order_bucket, order_key, stored, stratum, table, whole_row, word_count
 from turnwise.llm.registry import query
 
 #: Weights of the sources in code point order, repeating, and for each its share of training time at start and end.
@@ -105,6 +105,26 @@ def _planned(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WE
                         "first_time", "last_time", "times", *kept)
 
 
+def training_times(rows: DataFrame, schedules: tuple[tuple[float, float], ...] = SCHEDULES) -> DataFrame:
+    """The training time of each row of a mix, from the rows (_stratum, source, nth, _bucket, _key, _words, ...) alone.
+
+    ``mixed`` takes a source's documents in the order of their keys, a whole pass before the next one; ``nth`` is the
+    pass. What lies before a row, inverted through the source's schedule, is the time at which training reaches it.
+    """
+    per_range = rows.groupBy("_stratum", "source", "nth", "_bucket").agg(F.sum("_words").alias("_in_range"))
+    along = Window.partitionBy("_stratum").orderBy("nth", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sources = per_range.groupBy("_stratum", "source").agg(F.sum("_in_range").alias("_all")).withColumn(
+        "_rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)  # one row per source
+    starts = per_range.withColumn("_before", F.coalesce(F.sum("_in_range").over(along), F.lit(0))).join(
+        sources.select("_stratum", "_all", _by_turn(tuple(s for s, _ in schedules), F.col("_rank")).alias("_start"),
+                       _by_turn(tuple(e for _, e in schedules), F.col("_rank")).alias("_end")), "_stratum")
+    in_range = Window.partitionBy("_stratum", "nth", "_bucket").orderBy("_key", "doc_id", "_words", "text_crc32")
+    own = F.coalesce(F.sum("_words").over(in_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = rows.withColumn("_own", own).join(starts.drop("_in_range", "source"), ["_stratum", "nth", "_bucket"])
+    time = _time_of(F.col("_before") + F.col("_own"), F.greatest("_all", F.lit(1)), F.col("_start"), F.col("_end"))
+    return laid.withColumn("time", time).drop("_own", "_before", "_all", "_start", "_end")
+
+
 def curriculum(docs: DataFrame, **options) -> DataFrame:
     """The plan of ``docs``, see ``_planned``, range-sorted by the time at which training first reaches a document."""
     order = [F.col("first_time").asc_nulls_last(), F.col("doc_id")]
@@ -116,7 +136,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words carry none and leave. All columns of ``docs`` stay; ``docs`` may hold any others.
     """
-    plan = _planned(docs, keep=F.struct(*docs.columns), **options)  # whole documents are range-sorted once, below
+    plan = _planned(docs, keep=whole_row(docs), **options)  # whole documents are range-sorted once, below
     copies = plan.select("_doc", F.explode(F.slice("times", 1, F.col("passes"))).alias("_time"))
     return copies.repartitionByRange("_time", "_doc.doc_id").sortWithinPartitions("_time", "_doc.doc_id") \
         .select("_doc.*")
@@ -130,27 +150,36 @@ WITH d AS (
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM d GROUP BY source),
-w AS (SELECT *, CASE r % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
+w AS (SELECT *, CASE r % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+             CASE r % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS a,
+             CASE r % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS b FROM s),
 v AS (
-  SELECT a.source, a.source_size, a.weight, 2.0::DOUBLE * a.source_size AS cap,
+  SELECT a.source, a.source_size, a.weight, a.a, a.b, 2.0::DOUBLE * a.source_size AS cap,
          (1.5::DOUBLE * (SELECT sum(source_size) FROM w)
           - coalesce(sum(2.0::DOUBLE * a.source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
          / sum(a.weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w a WINDOW o AS (ORDER BY 2.0::DOUBLE * a.source_size / a.weight, a.r)),
 t AS (
   SELECT source, source_size,
-         least(cap, coalesce((SELECT max(level) FROM v WHERE cap >= level * weight) * weight, cap)) AS target FROM v),
+         least(cap, coalesce((SELECT max(level) FROM v WHERE cap >= level * weight) * weight, cap)) AS target, a, b FROM v),
 o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b, floor(t.target)::BIGINT AS budget,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, budget - off)) + least(size, greatest(0, budget - off - source_size)))::BIGINT AS taken
-FROM o
+       (least(size, greatest(0, budget - off)) + least(size, greatest(0, budget - off - source_size)))::BIGINT AS taken,
+       CASE WHEN size > 0 AND off < budget THEN 2 * need / (a + sqrt(greatest(a * a + 2 * (b - a) * need, 0.0))) END
+         AS first_time,
+       CASE WHEN size > 0 AND off + source_size < budget
+            THEN 2 * again / (a + sqrt(greatest(a * a + 2 * (b - a) * again, 0.0)))
+            WHEN size > 0 AND off < budget THEN 2 * need / (a + sqrt(greatest(a * a + 2 * (b - a) * need, 0.0))) END
+         AS last_time
+FROM (SELECT *, off / target * (a + b) / 2 AS need, (off + source_size) / target * (a + b) / 2 AS again FROM o)
 """
 
 
 @query("op8_curriculum_mix", _SQL)
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_time", "last_time")
