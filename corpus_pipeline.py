@@ -14,7 +14,7 @@ from turnwise.llm.common import prepare, stored, table
 from turnwise.llm.curriculum import mixed
 from turnwise.llm.decontamination import without_items
 from turnwise.llm.ngram_join import one_of_each
-from turnwise.llm.shards import stratified_shards
+from turnwise.llm.shards import training_shards
 from turnwise.llm.toxicity import toxicity_score, train_toxicity
 
 TOXIC_FROM = 0.5
@@ -46,9 +46,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each row: doc_id, source, size, text_crc32, law, shard, slot, grown_shard, fraction."""
+    """The place of each row: doc_id, source, size, text_crc32, law, shard, slot, grown_shard, fraction, nth, time.
+
+    Every shard holds the mix in its own proportions and is read in order of training time."""
     prepare(spark)
-    return stratified_shards(docs)
+    return training_shards(docs)
 
 
 STAGES = [
