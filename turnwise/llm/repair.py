@@ -203,7 +203,7 @@ def parsed(facts: DataFrame, block: int = BLOCK) -> DataFrame:
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "symbol"))),
                                       lambda r: r["symbol"]), "").alias("symbols")))
     tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, each much work: don't gather
-    charts = materialize(blocks.select("symbols").distinct().repartition(tasks, "symbols")
+    charts = materialize(blocks.select("symbols").distinct().repartition(tasks, F.xxhash64("symbols"))
                          .mapInArrow(_chart_batches, f"symbols string, cells {_CELL}"))
     spans = blocks.join(charts, "symbols").select("conv_id", "span", "cells")
     last = blocks.agg(F.max("span")).first()[0]
