@@ -2,6 +2,7 @@
 import datetime as dt
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from turnwise.operators import activity as ac
 from turnwise.operators import flows as fl
 from turnwise.operators import history as hi
 from turnwise.operators import quality as qu
+from turnwise.functions import special
 from turnwise.operators import resolve as rs
 from turnwise.operators import store as st
 from turnwise.schema import SNAPSHOT
@@ -260,6 +262,43 @@ def test_typed_names(spark):
     near = rs.nearest_courses(asked.where("query IN ('compsci 999', 'zzz')"), index, vocabulary)
     assert {(r["query"], r["rank"]): r["course_key"] for r in near.collect()}["compsci 999", 1] == "COMPSCI 61A"
     assert near.where("query = 'zzz'").count() == 3
+    # a misspelt subject without such a number: the nearest subject's courses, not the most joined
+    near = rs.nearest_courses(spark.createDataFrame([("mtah 999",), ("stta 1",)], "query string"), index, vocabulary).collect()
+    assert sorted((r["query"], r["rank"], r["course_key"]) for r in near) == [("mtah 999", 1, "MATH 54"), ("stta 1", 1, "STAT 20")]
+
+
+def test_near_subjects_match_all_pairs(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ABC") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    keys = spark.createDataFrame([(w, w, "1", i) for i, w in enumerate(dict.fromkeys(words[:40]))],
+                                 "course_key string, subject string, number string, joins long")
+    none = rs.build_vocabulary(spark.createDataFrame([], "alias string, subject string"), spark.createDataFrame(
+        [], "subject string, name string, ordinal int"), spark.createDataFrame([], "nickname string, target string"))
+    tokens = spark.createDataFrame([(w,) for w in words], "token string")
+    got = {(r["token"], r["subject"]): r["d"] for r in rs.near_subjects(tokens, keys, none).collect()}
+    want = {(a, z): special._osa(a, z) for a in set(words) for z in set(words[:40])}
+    assert got == {k: d for k, d in want.items() if 0 < d <= (1 if len(k[0]) <= 5 else 2)} and len(got) > 50
+
+
+def test_suggestions(spark):
+    index = spark.createDataFrame(
+        [(f"{s} {n}", s, n, j) for s, n, j in (("MATH", "1", 1), ("MATH", "10", 9), ("MATH", "1A", 8), ("MATHX", "1", 50), ("MATH", "C10", 7),
+                                               ("MATH", "H53", 3), ("STAT", "20", 30), ("DATA", "C8", 80), ("STAT", "C20", 5))],
+        "course_key string, subject string, number string, joins long")
+    vocabulary = rs.build_vocabulary(
+        spark.createDataFrame([("STATS", "STAT")], "alias string, subject string"),
+        spark.createDataFrame([("STAT", "Statistics", 0)], "subject string, name string, ordinal int"),
+        spark.createDataFrame([("Data 8", "DATA C8")], "nickname string, target string"))
+    asked = ["math 1", "mat", "math h", "stats", "statistics", "20", "mtah 1", "data 8", "zzz", "math 7"]
+    rows = rs.suggest_courses(spark.createDataFrame([(q,) for q in asked], "query string"), index, vocabulary, n=5).collect()
+    got = {q: [r["course_key"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query"] == q] for q in asked}
+    assert got["math 1"] == ["MATH 1", "MATH 10", "MATH 1A", "MATH C10", "MATHX 1"]  # the course meant, whole subjects, then prefixes
+    assert got["mat"] == ["MATHX 1", "MATH 10", "MATH 1A", "MATH C10", "MATH H53"]
+    assert got["math h"] == ["MATH H53"]  # the key begins so
+    assert got["stats"] == got["statistics"] == ["STAT 20", "STAT C20"]
+    assert got["20"] == ["STAT 20", "STAT C20"]  # nothing begins so: what the matcher finds
+    assert got["mtah 1"] == ["MATH 1"] and got["data 8"][0] == "DATA C8"
+    assert got["zzz"] == [] and got["math 7"] == []
 
 
 def test_streams(spark, tmp_path):

@@ -18,9 +18,12 @@ from turnwise.functions.special import osa_distance
 LAYERS = ("exact", "alias", "name", "nickname", "filler", "split", "bare", "fuzzy", "title", "miss")
 FILLER = ("CLASS", "COURSE", "LEC", "LECTURE", "DIS", "DISCUSSION", "LAB", "SPRING", "FALL", "SUMMER")
 STOP_WORDS = ("THE", "AND", "OF", "TO", "IN", "A", "AN", "FOR", "WITH", "ON")
-# Fixed values, patterns: what parts a typed text, what a squashed one lacks, a year, a lone suffix, subject with
-# number, and a subject's cross-listing letter.
-_PARTING, _LOOSE, _YEAR, _SUFFIX = "[^A-Z0-9&]+", r"[\s&]+", r"\d{4}", r"(\d)\s+([A-Z])$"
+# Fixed values, patterns.
+_PARTING = "[^A-Z0-9&]+"  # parts a typed text
+_LOOSE = r"[\s&]+"  # what a squashed text lacks
+_YEAR = r"\d{4}"
+_SUFFIX = r"(\d)\s+([A-Z])$"  # a lone letter after a number
+#: Subject with number, and a subject's cross-listing letter.
 _PAIR = r"^([A-Z&][A-Z&\s]*?)\s*(\d+[A-Z]*)$"
 _CROSS = r"^(.*?)\s?([CHNRW])$"
 
@@ -165,41 +168,75 @@ def subject_spellings(keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
         named.select("token", "subject")).where("token <> ''").distinct()
 
 
+def _without(text: Column) -> Column:
+    """``text`` less one letter, for each of its letters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(
+        F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+
+
+def _thinned(rows: DataFrame, word: str) -> DataFrame:
+    """Add ``piece`` and ``gone``: the word less up to two letters, and how many."""
+    once = F.array_distinct(_without(F.col(word)))
+    twice = F.array_distinct(F.flatten(F.transform(F.filter(once, lambda t: t != ""), _without)))
+    each = lambda pieces, n: F.transform(pieces, lambda t: F.struct(t.alias("piece"), F.lit(n).alias("gone")))
+    return rows.select("*", F.inline(F.concat(F.array(F.struct(F.col(word).alias("piece"), F.lit(0).alias("gone"))),
+                                              each(once, 1), each(twice, 2))))
+
+
+def near_subjects(tokens: DataFrame, keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``token, subject, d, subject_joins`` of the subjects with a spelling one edit from ``token`` (two from six letters
+    on), d being the closest one's distance; equal spellings don't count.
+
+    Words at a distance of k share what is left after taking k letters from each. So both sides are written out without
+    up to two letters and meet by equality; the distance is measured on pairs that met.
+    """
+    joins = keys.groupBy("subject").agg(F.sum("joins").alias("subject_joins"))
+    spelled = subject_spellings(keys, vocabulary).select(F.col("token").alias("spelling"), "subject")
+    limit = F.when(F.length("token") <= 5, 1).otherwise(2)
+    asked = _thinned(tokens.select("token").where("token <> ''").distinct().withColumn("limit", limit), "token") \
+        .where(F.col("gone") <= F.col("limit")).drop("gone")
+    held = _thinned(spelled.select("spelling").distinct(), "spelling")
+    met = asked.join(held, "piece").where((F.col("gone") <= F.col("limit")) & (F.col("token") != F.col("spelling"))) \
+        .select("token", "spelling", "limit").distinct()
+    close = met.withColumn("d", osa_distance("token", "spelling")).where(F.col("d") <= F.col("limit"))
+    return close.join(spelled, "spelling").groupBy("token", "subject").agg(F.min("d").alias("d")).join(joins, "subject")
+
+
 def _fuzzy(rows: DataFrame, keys: DataFrame, vocabulary: DataFrame) -> DataFrame:
     token = squash(F.trim(F.regexp_extract("text", _PAIR, 1)))
     asked = rows.select("query", "step", "v", token.alias("token"), F.regexp_extract("text", _PAIR, 2).alias("_n")) \
         .where("_n <> ''")
-    asked = asked.select("query", "step", "v", "token", F.posexplode(
-        F.array(F.col("_n"), F.concat(F.lit("C"), "_n"))).alias("k", "number"))
-    joins = keys.groupBy("subject").agg(F.sum("joins").alias("subject_joins"))
-    spelled = subject_spellings(keys, vocabulary).withColumnRenamed("token", "spelling")
-    by_number = keys.select("number", "subject", "course_key").join(spelled, "subject").join(joins, "subject")
-    limit = F.when(F.length("token") <= 5, 1).otherwise(2)
-    close = asked.join(by_number, "number").where(
-        (F.abs(F.length("token") - F.length("spelling")) <= limit)
-        # an adjacent swap is one here and two plain edits, so twice the limit bounds it
-        & (F.levenshtein(F.col("token"), F.col("spelling"), 4).between(0, 4)))
-    close = close.withColumn("d", osa_distance("token", "spelling")).where((F.col("d") > 0) & (F.col("d") <= limit))
+    close = asked.join(near_subjects(asked, keys, vocabulary), "token").select(
+        "query", "step", "v", "subject", "d", "subject_joins",
+        F.posexplode(F.array(F.col("_n"), F.concat(F.lit("C"), "_n"))).alias("k", "number"))
+    close = close.join(keys.select("subject", "number", "course_key"), ["subject", "number"])
     close = close.withColumns({"layer": F.lit("fuzzy"), "filler": F.col("v") >= 2, "_j": -F.col("subject_joins")})
     return _best(close, ["v", "d", "_j", "subject", "k"])
 
 
 def nearest_courses(missed: DataFrame, index: DataFrame, vocabulary: DataFrame, n: int = 3) -> DataFrame:
-    """Up to three courses to offer for a miss: the subject's own, else the most joined."""
-    joins = F.coalesce("joins", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("_j"), "course_key"))
-    best = index.withColumn("_j", joins).select("subject", "course_key", rank.alias("rank"), "_j").where(F.col("rank") <= n)
-    rows = variants(missed).where("v = 0")
-    own = _readings(rows, vocabulary).groupBy("query", "subject").agg(F.min("o").alias("o"))
+    """Up to three courses to offer for a miss: the subject's own, else those of the nearest subjects by spelling, else the
+    most joined."""
+    keys = index.select("course_key", "subject", "number", F.coalesce("joins", F.lit(0)).alias("joins"))
+    by_joins = [F.desc("joins"), F.col("course_key")]
+    ranked = F.row_number().over(Window.partitionBy("subject").orderBy(*by_joins))
+    best = keys.withColumn("rank", ranked).where(F.col("rank") <= n).select("subject", "course_key", "joins", "rank")
+    typed = variants(missed).where("v = 0")
+    own = _readings(typed, vocabulary).groupBy("query", "subject").agg(F.min("o").alias("o"))
     own = own.join(best, "subject")
     first = own.groupBy("query").agg(F.min("o").alias("o"))
     own = own.join(first, ["query", "o"]).select("query", "rank", "course_key")
-    top = index.withColumn("_j", joins).orderBy(F.desc("_j"), "course_key").limit(n).select(
-        F.lit(1).alias("_one"), "course_key", F.row_number().over(
-            Window.partitionBy(F.lit(1)).orderBy(F.desc("_j"), "course_key")).alias("rank"))
-    rest = missed.select("query").distinct().join(own.select("query").distinct(), "query", "left_anti")
-    rest = rest.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").select("query", "rank", "course_key")
-    return own.unionByName(rest)
+    asked = typed.join(own.select("query").distinct(), "query", "left_anti").select(
+        "query", squash(F.trim(F.regexp_extract("text", _PAIR, 1))).alias("token")).where("token <> ''")
+    close = asked.join(near_subjects(asked, keys, vocabulary), "token").join(best.drop("rank"), "subject")
+    order = F.row_number().over(Window.partitionBy("query").orderBy("d", F.desc("subject_joins"), "subject", *by_joins))
+    close = close.withColumn("rank", order).where(F.col("rank") <= n).select("query", "rank", "course_key")
+    offered = own.unionByName(close)
+    top = keys.orderBy(*by_joins).limit(n).select(
+        F.lit(1).alias("_one"), "course_key", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by_joins)).alias("rank"))
+    rest = missed.select("query").distinct().join(offered.select("query").distinct(), "query", "left_anti")
+    rest = rest.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").select("query", "rank", "course_key")  # n rows
+    return offered.unionByName(rest)
 
 
 def match_titles(queries: DataFrame, titles: DataFrame, index: DataFrame, vocabulary: DataFrame,
@@ -237,29 +274,79 @@ def match_titles(queries: DataFrame, titles: DataFrame, index: DataFrame, vocabu
     return hit.groupBy("query").agg(F.min_by("course_key", order).alias("course_key")).withColumn("layer", F.lit("title"))
 
 
-def suggest_courses(queries: DataFrame, index: DataFrame, vocabulary: DataFrame, n: int = 8) -> DataFrame:
-    """Prefix suggestions: subject (whole, then prefix) and number prefix, most joined first.
+def _prefixes(text: Column, shortest: int = 1) -> Column:
+    return F.when(F.length(text) >= shortest, F.transform(
+        F.sequence(F.lit(shortest), F.length(text)), lambda i: F.substring(text, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+
 
-    Index prefixes are written out (subjects and numbers are short), so typing
-    meets the index by equality.
+def prefix_index(index: DataFrame, n: int = 8) -> DataFrame:
+    """What typing meets by equality: for every subject prefix with every number prefix, and for every prefix of a whole
+    key, the ``n`` courses that rank first there (``whole``: the prefix is the subject).
+
+    A course stands under a few dozen prefixes. Partial top lists are cut to ``n`` before they are shuffled, so a
+    one-letter prefix moves n rows a task, however many courses it has.
     """
-    base = normalise(F.col("query"))
-    asked = queries.select("query").distinct().withColumns({
-        "_s": F.trim(F.regexp_extract(base, r"^([A-Z&\s]*?)\s*(\d*[A-Z]*)$", 1)),
-        "_number": F.regexp_extract(base, _PAIR, 2), "_raw": base}).where("_raw <> ''")
-    subject = F.when(F.col("_number") != "", F.trim(F.regexp_extract("_raw", _PAIR, 1))).otherwise(F.col("_raw"))
-    asked = asked.select("query", "_number", F.explode(F.array_distinct(F.array(subject, squash(subject)))).alias("spelling"))
-    known = vocabulary.where(F.col("kind") == "alias").select("spelling", F.col("code").alias("_code"))
-    asked = asked.join(known, "spelling", "left").select(
-        "query", "_number", F.explode(F.array_distinct(F.array_compact(F.array("spelling", "_code")))).alias("prefix")).distinct()
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+    numbers = F.array_distinct(F.concat(_prefixes(F.col("number"), 0), F.when(
+        F.col("number").startswith("C"), _prefixes(F.expr("substring(number, 2)"), 1)).otherwise(F.array().cast("array<string>"))))
     rows = index.where(F.length("subject") > 0).select(
-        "course_key", "subject", "number", F.coalesce("joins", F.lit(0)).alias("joins"),
-        F.explode(prefixes(F.col("subject"))).alias("prefix"))
-    hit = asked.join(rows, "prefix").where(
-        (F.col("_number") == "") | F.expr("startswith(number, _number)") | F.expr("startswith(number, concat('C', _number))"))
-    score = F.when(F.col("prefix") == F.col("subject"), 2).otherwise(1) + F.when(
-        F.col("_number") == F.col("number"), 10).otherwise(0)
-    hit = hit.groupBy("query", "course_key").agg(F.max(score).alias("score"), F.max("joins").alias("joins"))
+        "course_key", "subject", F.coalesce("joins", F.lit(0)).alias("joins"), numbers.alias("_numbers"))
+    by_subject = rows.select("course_key", "joins", "subject", "_numbers", F.explode(_prefixes(F.col("subject"))).alias("prefix")) \
+        .select("course_key", "joins", F.lit("subject").alias("kind"), "prefix", F.explode("_numbers").alias("number"),
+                (F.col("prefix") == F.col("subject")).alias("whole"))
+    by_key = rows.select("course_key", "joins", F.lit("key").alias("kind"),
+                         F.explode(_prefixes(F.regexp_replace("course_key", r"\s+", ""))).alias("prefix"),
+                         F.lit("").alias("number"), F.lit(False).alias("whole"))
+    order = F.row_number().over(Window.partitionBy("kind", "prefix", "number").orderBy(
+        F.desc("whole"), F.desc("joins"), "course_key"))
+    return by_subject.unionByName(by_key).withColumn("rank", order).where(F.col("rank") <= n).drop("rank")
+
+
+def _typed_subjects(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """query and ``code``: every subject code that the typed subject could mean, as column ``subject``."""
+    tight = squash(F.col("subject"))
+    spelled = asked.select("query", F.explode(F.array_distinct(F.array(F.col("subject"), tight))).alias("spelling")).where("spelling <> ''")
+    known = vocabulary.where(F.col("kind").isin("alias", "name", "nick_subject")).select("spelling", "code")
+    return spelled.join(known, "spelling").select("query", "code").unionByName(
+        spelled.select("query", F.col("spelling").alias("code"))).distinct()
+
+
+def suggest_courses(queries: DataFrame, index: DataFrame, vocabulary: DataFrame, n: int = 8,
+                    prefixes: DataFrame | None = None, filler: Sequence[str] = FILLER) -> DataFrame:
+    """Suggestions while typing: the course that the text means, then subjects in whole, then by prefix, most joined first.
+
+    With a number only courses whose number begins so; without one a prefix of the whole key counts too. Where nothing
+    begins as typed, what the matcher finds is offered, for a bare number all its courses. ``prefixes`` is a written
+    ``prefix_index`` of ``n``.
+    """
+    prefixes = prefix_index(index, n) if prefixes is None else prefixes
+    keys = index.select("course_key", "subject", "number", F.coalesce("joins", F.lit(0)).alias("joins"))
+    pair = lambda i: F.regexp_extract("_raw", _PAIR, i)
+    asked = queries.select("query").distinct().withColumn("_raw", normalise(F.col("query"))).where("_raw <> ''") \
+        .withColumn("number", pair(2))
+    asked = asked.withColumn("subject", F.when(F.col("number") != "", F.trim(pair(1))).otherwise(F.col("_raw")))
+    crossed = asked.where("number <> ''").select("query", F.trim(F.regexp_extract("subject", _CROSS, 1)).alias("subject"))
+    codes = _typed_subjects(asked.select("query", "subject").unionByName(crossed), vocabulary)
+    codes = codes.join(asked.select("query", "number"), "query").select("query", F.lit("subject").alias("kind"), F.col("code").alias("prefix"), "number")
+    typed = codes.unionByName(asked.where("number = ''").select(
+        "query", F.lit("key").alias("kind"), squash(F.col("_raw")).alias("prefix"), "number"))
+    score = F.when(F.col("whole"), 2).otherwise(1)
+    begun = typed.join(prefixes, ["kind", "prefix", "number"]).select("query", "course_key", "joins", score.alias("score"))
+    found = match_courses(queries, index, vocabulary, filler).where("course_key IS NOT NULL")
+    meant = found.join(keys, "course_key").withColumnRenamed("number", "_number").join(typed, "query").where(
+        F.when(F.col("kind") == "key", F.expr("startswith(regexp_replace(course_key, '\\\\s+', ''), prefix)")).otherwise(
+            F.expr("startswith(subject, prefix) AND (startswith(_number, number) OR startswith(_number, concat('C', number)))")))
+    meant = meant.select("query", "course_key", "joins", (F.when(
+        (F.col("kind") == "subject") & (F.col("subject") == F.col("prefix")), 2).otherwise(1) + 10).alias("score"))
+    hits = begun.unionByName(meant)
+    left = found.join(hits.select("query").distinct(), "query", "left_anti")
+    by_number = Window.partitionBy("_n").orderBy(F.desc("joins"), "course_key")
+    plain = lambda c: F.regexp_replace(c, r"^C(?=\d)", "")  # noqa: E731 - a number and its C form go together
+    lists = keys.withColumn("_n", plain(F.col("number"))).withColumn("rank", F.row_number().over(by_number)).where(F.col("rank") <= n)
+    bare = left.where("layer = 'bare'").join(keys.select("course_key", plain(F.col("number")).alias("_n")), "course_key") \
+        .select("query", "_n").join(lists.select("_n", "course_key", "joins"), "_n")
+    other = left.where("layer <> 'bare'").join(keys.select("course_key", "joins"), "course_key")
+    hits = hits.unionByName(bare.select("query", "course_key", "joins", F.lit(0).alias("score"))) \
+        .unionByName(other.select("query", "course_key", "joins", F.lit(0).alias("score")))
+    hits = hits.groupBy("query", "course_key").agg(F.max("score").alias("score"), F.max("joins").alias("joins"))
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("joins"), "course_key"))
-    return hit.withColumn("rank", order).where(F.col("rank") <= n).select("query", "rank", "course_key")
+    return hits.withColumn("rank", order).where(F.col("rank") <= n).select("query", "rank", "course_key")

@@ -419,14 +419,46 @@ def title_matches(spark, d):
     return rs.match_titles(asked, tb.titles_table(index, entries), index, none)
 
 
-@query("nearest_courses")
+_NAMED = """ix AS (SELECT upper(replace(p_name,' ','')) AS subject, CAST(p_size AS VARCHAR) AS number, count(*) AS joins FROM part GROUP BY ALL),
+ ky AS (SELECT *, subject||' '||number AS course_key FROM ix)"""
+
+
+@query("nearest_courses", f"""WITH p AS (SELECT DISTINCT p_name, p_size FROM part), {_NAMED},
+ sw AS (SELECT *, substr(p_name,2,1)||substr(p_name,1,1)||substr(p_name,3) AS nm FROM p),
+ q AS (SELECT p_name||' '||p_size AS query, upper(replace(p_name,' ','')) AS token FROM p UNION SELECT replace(p_name,' ','')||p_size, upper(replace(p_name,' ','')) FROM p
+   UNION SELECT 'class '||p_name||' '||p_size||' lecture', NULL FROM p UNION SELECT nm||' '||p_size, upper(replace(nm,' ','')) FROM sw
+   UNION SELECT CAST(p_size AS VARCHAR), NULL FROM p UNION SELECT p_name||' 9999', upper(replace(p_name,' ','')) FROM p),
+ best AS (SELECT subject, course_key, joins, row_number() OVER (PARTITION BY subject ORDER BY joins DESC, course_key) AS rank FROM ky),
+ own AS (SELECT query, rank, course_key FROM q JOIN best ON token=subject WHERE rank<=3),
+ lost AS (SELECT DISTINCT token FROM q WHERE token IS NOT NULL AND query NOT IN (SELECT query FROM own)),
+ tot AS (SELECT subject, sum(joins) AS all_joins FROM ix GROUP BY 1),
+ near AS (SELECT token, subject, all_joins, damerau_levenshtein(token, subject) AS d FROM lost JOIN tot ON abs(length(token)-length(subject))<=2),
+ close AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY d, all_joins DESC, subject, joins DESC, course_key) AS rank, course_key
+   FROM q JOIN near USING (token) JOIN best USING (subject) WHERE best.rank<=3 AND d BETWEEN 1 AND CASE WHEN length(token)<=5 THEN 1 ELSE 2 END),
+ offered AS (SELECT * FROM own UNION ALL SELECT * FROM close WHERE rank<=3),
+ top AS (SELECT row_number() OVER (ORDER BY joins DESC, course_key) AS rank, course_key FROM ky)
+ SELECT query, CAST(rank AS INT) AS rank, course_key FROM offered UNION ALL
+ SELECT query, CAST(rank AS INT), course_key FROM (SELECT DISTINCT query FROM q WHERE query NOT IN (SELECT query FROM offered)) JOIN top ON rank<=3""")
 def nearest_courses(spark, d):
     return rs.nearest_courses(typed_queries(spark, d), name_index(spark, d), name_vocabulary(spark, d))
 
 
-@query("suggest_courses")
+@query("suggest_courses", f"""WITH {_NAMED}, al AS (SELECT upper(substr(p_name,1,1)||substr(split_part(p_name,' ',-1),1,3)) AS alias, min(upper(replace(p_name,' ',''))) AS subject FROM part GROUP BY 1),
+ q AS (SELECT DISTINCT substr(p_name,1,5) AS query, upper(replace(substr(p_name,1,5),' ','')) AS token, '' AS number FROM part
+   UNION SELECT p_name||' '||substr(CAST(p_size AS VARCHAR),1,1), upper(replace(p_name,' ','')), substr(CAST(p_size AS VARCHAR),1,1) FROM part
+   UNION SELECT 'class '||p_name||' '||p_size, NULL, NULL FROM part UNION SELECT CAST(p_size AS VARCHAR), NULL, CAST(p_size AS VARCHAR) FROM part),
+ c AS (SELECT query, token AS code, number FROM q WHERE token IS NOT NULL UNION SELECT query, al.subject, number FROM q JOIN al ON al.alias=token),
+ h AS (SELECT query, course_key, joins, max(CASE WHEN subject=code THEN 2 ELSE 1 END + CASE WHEN c.number<>'' AND subject=token AND ky.number=c.number THEN 10 ELSE 0 END) AS score
+   FROM (SELECT c.*, q.token FROM c JOIN q USING (query)) c JOIN ky ON starts_with(subject, code) AND starts_with(ky.number, c.number) GROUP BY ALL
+   UNION ALL SELECT query, course_key, joins, 0 FROM q JOIN ky ON token IS NULL AND ky.number=q.number
+   UNION ALL SELECT query, course_key, joins, 0 FROM (SELECT DISTINCT 'class '||p_name||' '||p_size AS query, upper(replace(p_name,' ',''))||' '||p_size AS course_key FROM part) JOIN ky USING (course_key))
+ SELECT query, CAST(rank AS INT) AS rank, course_key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, joins DESC, course_key) AS rank FROM h) WHERE rank<=8""")
 def suggest_courses(spark, d):
-    return rs.suggest_courses(b.table(spark, d, "part").select(F.substring("p_name", 1, 5).alias("query")),
+    """Beginnings of names, names with a first digit, names behind a filler word, and bare numbers."""
+    size = F.col("p_size").cast("string")
+    forms = F.array(F.substring("p_name", 1, 5), F.concat_ws(" ", "p_name", F.substring(size, 1, 1)),
+                    F.concat_ws(" ", F.lit("class"), "p_name", size), size)
+    return rs.suggest_courses(b.table(spark, d, "part").select(F.explode(forms).alias("query")),
                               name_index(spark, d), name_vocabulary(spark, d))
 
 
