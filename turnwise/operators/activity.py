@@ -24,10 +24,28 @@ def section_activity(flows: DataFrame, identity: DataFrame) -> DataFrame:
     return act.join(who, "section_id", "left")
 
 
+def activity_of_terms(flows: DataFrame, identity: DataFrame) -> DataFrame:
+    """Section activity of several terms, one row per term and section: what a ranking over terms takes.
+
+    A section id may come back in a later term, as another course: ``identity`` may have ``term_id``.
+    """
+    keys = ["term_id", "section_id"]
+    act = flows.groupBy(*keys).agg(
+        F.sum("wl_joins").alias("wl_joins"), F.sum("admits").alias("admits"),
+        F.max("waitlist0").alias("max_waitlist"),
+        F.round(F.avg((F.col("waitlist0") > 0).cast("int")), 4).alias("share_intervals_with_queue"))
+    on = [k for k in keys if k in identity.columns]
+    return act.join(identity.select(*on, "course_key", "subject", "catalog_number"), on, "left")
+
+
 def rank_courses(activity: DataFrame, *, top_sections: int = 900, min_course_joins: int = 0) -> DataFrame:
-    """Courses of the most-joined sections, plus courses above a joins floor (0 = off)."""
+    """Courses of the most-joined sections, plus courses above a joins floor (0 = off).
+
+    ``activity`` may hold several terms: a section ranks once a term, and a course's joins are those of all terms.
+    """
+    terms = ["term_id"] if "term_id" in activity.columns else []
     top = activity.where(F.col("wl_joins") > 0).orderBy(
-        F.desc("wl_joins"), F.desc("max_waitlist"), "section_id").limit(top_sections)
+        F.desc("wl_joins"), F.desc("max_waitlist"), "section_id", *terms).limit(top_sections)
     in_top = top.where(F.col("course_key").isNotNull()).groupBy("course_key").agg(
         F.count_distinct("section_id").alias("_top"))
     totals = activity.where(F.col("course_key").isNotNull()).groupBy("course_key").agg(

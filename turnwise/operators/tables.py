@@ -88,12 +88,36 @@ def course_attributes(cohort: DataFrame) -> DataFrame:
         *[F.min(c).alias(c) for c in names])
 
 
+def pool_keys(cohort: DataFrame, min_n: int = MIN_N) -> DataFrame:
+    """kind, key and bucket of the pools that have a curve, from row counts alone."""
+    bucket = F.col("position_bucket").alias("bucket")
+    dept = cohort.where(F.col("dept_group").isNotNull()).groupBy(F.lit("dept").alias("kind"), F.col("dept_group").alias("key"), bucket)
+    every = cohort.groupBy(F.lit("all").alias("kind"), F.lit("all").alias("key"), bucket)
+    counted = dept.agg(F.count(F.lit(1)).alias("n")).unionByName(every.agg(F.count(F.lit(1)).alias("n")))
+    return counted.where(F.col("n") >= min_n).drop("n")
+
+
 def course_tables(cohort: DataFrame, pools: DataFrame, *, min_n: int = MIN_N, n_boot: int = N_BOOT,
                   estimate_level: str = "course", seed: int = 0) -> DataFrame:
-    """Per course and bucket: its own curve, or a pointer to the pool standing in.
+    """Per course and bucket: its own curve, or a pointer to the pool standing in, see ``course_pointers``."""
+    named = cohort.where(F.col("course_key").isNotNull())
+    cells = course_pointers(cohort, pools.select("kind", "key", "bucket").distinct(), min_n=min_n, estimate_level=estimate_level)
+    if estimate_level == "course":
+        rows = pool_cells(named, {"course": F.col("course_key")})
+        curves = assemble(curve_points(rows, min_n, n_boot=n_boot, seed=seed)).drop("kind") \
+            .withColumnRenamed("key", "course_key")
+        return cells.join(curves, ["course_key", "bucket"], "left")
+    return cells.withColumns({
+        "curve": F.lit(None).cast("array<struct<day:double,p:double,low:double,high:double>>"),
+        **{c: F.lit(None).cast(k) for c, k in (("reach_days", "double"), ("median_days", "double"), ("n", "long"),
+                                               ("events", "long"), ("sections", "long"))}})
+
+
+def course_pointers(cohort: DataFrame, have: DataFrame, *, min_n: int = MIN_N, estimate_level: str = "course") -> DataFrame:
+    """Sizes per course and bucket, and what stands for it, without any curve.
 
     ``pooled`` is null for an own curve, else the department or ``all``; cells
-    without any pool are left out.
+    without any pool in ``have`` (kind, key, bucket) are left out.
     """
     if estimate_level not in ("dept", "course"):
         raise ValueError(f"estimate_level must be dept or course, got {estimate_level!r}")
@@ -101,23 +125,12 @@ def course_tables(cohort: DataFrame, pools: DataFrame, *, min_n: int = MIN_N, n_
     sizes = named.groupBy("course_key", F.col("position_bucket").alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_course"), F.count_distinct("section_id").alias("sections_course"))
     cells = sizes.join(course_attributes(named), "course_key")
-    have = pools.select("kind", "key", "bucket").distinct()
     dept = have.where("kind = 'dept'").select(F.col("key").alias("dept_group"), "bucket", F.lit(True).alias("_dept"))
     every = have.where("kind = 'all'").select("bucket", F.lit(True).alias("_all"))
     cells = cells.join(dept, ["dept_group", "bucket"], "left").join(every, "bucket", "left")
     own = F.lit(estimate_level == "course") & (F.col("n_course") >= min_n)
     pooled = F.when(own, F.lit(None)).when(F.col("_dept"), F.col("dept_group")).when(F.col("_all"), F.lit("all"))
     cells = cells.withColumn("own", own).withColumn("pooled", pooled).where(F.col("own") | F.col("pooled").isNotNull())
-    if estimate_level == "course":
-        rows = pool_cells(named, {"course": F.col("course_key")})
-        curves = assemble(curve_points(rows, min_n, n_boot=n_boot, seed=seed)).drop("kind") \
-            .withColumnRenamed("key", "course_key")
-        cells = cells.join(curves, ["course_key", "bucket"], "left")
-    else:
-        cells = cells.withColumns({
-            "curve": F.lit(None).cast("array<struct<day:double,p:double,low:double,high:double>>"),
-            **{c: F.lit(None).cast(k) for c, k in (("reach_days", "double"), ("median_days", "double"), ("n", "long"),
-                                                   ("events", "long"), ("sections", "long"))}})
     return cells.drop("_dept", "_all")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions.rules import days_between
@@ -322,10 +322,23 @@ class Backtest:
     notes: list[str] = field(default_factory=list)
 
 
+def with_horizon(test: DataFrame, calendar, which: str) -> DataFrame:
+    """Add each test row's horizon ``h`` in days, and a tie-break."""
+    return with_row_id(test).withColumn("h", horizon_days(F.col("join_time"), calendar, which))
+
+
+def test_counts(test: DataFrame) -> dict[str, int]:
+    """Scored rows, rows past their horizon when they joined, and rows whose follow-up ends before it."""
+    ahead = F.coalesce(F.col("h") > 0, F.lit(False))
+    row = test.agg(F.count_if(ahead & observability(test)).alias("n_test"), F.count_if(~ahead).alias("n_excluded"),
+                   F.count_if(ahead & ~observability(test)).alias("n_unobservable")).first()
+    return row.asDict()
+
+
 def predict_split(train: DataFrame, test: DataFrame, calendar, which: str, *, min_n: int = 30,
                   folds: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Curve predictions of every scorable test row, and the coverage table."""
-    test = with_row_id(test).withColumn("h", horizon_days(F.col("join_time"), calendar, which)).where("h > 0")
+    test = with_horizon(test, calendar, which).where("h > 0")
     covered = coverage(test)
     rows = test.where(observability(test))
     return predict_curves(rows, fit_curves(train, min_n=min_n, folds=folds)).withColumn("horizon_days", F.col("h")), covered
@@ -365,9 +378,9 @@ def run_backtest(cohort: DataFrame, calendar, *, split: str = "temporal", which:
     if not good:
         return Backtest(split, which, None, None, {}, counts, [*notes, "too few training rows"])
     test = test.where(F.col("fold").isin(good))
+    counts |= test_counts(with_horizon(test, calendar, which))
     pred, covered = predict_split(train, test, calendar, which, min_n=min_n, folds=fold_list)
     pred = materialize(pred)
-    counts["n_test"] = pred.count()
     if counts["n_test"] < MIN_TEST_ROWS:
         return Backtest(split, which, pred, covered, {}, counts, [*notes, f"too few scored rows ({counts['n_test']})"])
     if with_cox:
@@ -406,8 +419,11 @@ def add_cox(train: DataFrame, pred: DataFrame, folds: Sequence[int], grouped: bo
 
 
 def write_tables(run: Backtest, out_dir: str) -> None:
-    """metrics, by, calibration and coverage as CSV folders, predictions as Parquet."""
-    for name, table in {**run.tables, "coverage": run.coverage}.items():
+    """metrics, by, calibration, coverage and counts as CSV folders, predictions as Parquet."""
+    spark = SparkSession.active()
+    names = ("n_train", "n_test", "n_excluded", "n_unobservable")
+    counts = spark.createDataFrame([tuple(run.counts.get(n, 0) for n in names)], ", ".join(f"{n} long" for n in names))
+    for name, table in {**run.tables, "coverage": run.coverage, "counts": counts}.items():
         if table is not None:
             table.write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}")
     if run.predictions is not None:

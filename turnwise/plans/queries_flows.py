@@ -226,15 +226,21 @@ def panel_rebuild_terms(spark, d):
                                        F.col("waitlist_count").cast("long").alias("waitlist_count"), "observed")
 
 
-@query("interval_flows_terms", f"""WITH {s.PANEL}, terms AS (SELECT *, CASE WHEN event_id%2=1 THEN '2272' ELSE '2268' END AS term FROM panel),
+TERM_FLOWS = f"""{s.PANEL}, terms AS (SELECT *, CASE WHEN event_id%2=1 THEN '2272' ELSE '2268' END AS term FROM panel),
  tgone AS (SELECT section_id, term, min(ts) AS gone_at FROM terms WHERE gs='GONE' GROUP BY ALL),
  ts1 AS (SELECT p.* REPLACE (p.section_id||'/'||p.term AS section_id) FROM terms p LEFT JOIN tgone USING (section_id, term) WHERE observed AND (gone_at IS NULL OR ts<gone_at)),
- {s.flow_ctes('ts1')} SELECT split_part(section_id,'/',2) AS term_id, split_part(section_id,'/',1) AS section_id, epoch_us(t0) AS t0, epoch_us(t1) AS t1,
+ {s.flow_ctes('ts1')}"""
+
+
+def term_flows(spark, d):
+    """Interval flows of two terms in one panel."""
+    return fl.interval_flows(b.panel_from_events(spark, d, F.when(F.col("event_id") % 2 == 1, "2272").otherwise("2268")))
+
+
+@query("interval_flows_terms", f"""WITH {TERM_FLOWS} SELECT split_part(section_id,'/',2) AS term_id, split_part(section_id,'/',1) AS section_id, epoch_us(t0) AS t0, epoch_us(t1) AS t1,
   d_enrolled, d_waitlist, admits, wl_joins, wl_drops, rule FROM flows0""")
 def interval_flows_terms(spark, d):
-    term = F.when(F.col("event_id") % 2 == 1, "2272").otherwise("2268")
-    rows = fl.interval_flows(b.panel_from_events(spark, d, term))
-    return rows.select("term_id", "section_id", b.us("t0"), b.us("t1"), "d_enrolled", "d_waitlist", "admits", "wl_joins", "wl_drops", "rule")
+    return term_flows(spark, d).select("term_id", "section_id", b.us("t0"), b.us("t1"), "d_enrolled", "d_waitlist", "admits", "wl_joins", "wl_drops", "rule")
 
 
 @query("panel_warm_up", f"""WITH {_REBUILD} SELECT section_id, count(*) AS runs, CAST(sum(CAST(observed AS INT)) AS BIGINT) AS observed,

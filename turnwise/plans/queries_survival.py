@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from turnwise.plans import backtest as bt
 from turnwise.plans import bindings as b
 from turnwise.plans import sql as s
 from turnwise.plans.registry import query
+from turnwise.session import scratch_dir
+from turnwise.sources.tables_out import summarise_backtests
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
 WHICH = "days:20"
@@ -60,9 +63,15 @@ def logrank(spark, d):
     return km.logrank(cohort(spark, d), "level").drop("p").withColumn("statistic", F.round("statistic", 6))
 
 
-@query("logrank_p_values")
+#: The upper tail of chi-squared with one degree of freedom: 1 - erf(z), z*z = statistic/2, by erf's series of positive terms.
+_TAIL = """CASE WHEN statistic>80 THEN 0 WHEN statistic<=0 THEN 1 ELSE 1-2/sqrt(pi())*exp(-statistic/2)*list_sum(list_transform(range(200),
+   lambda n: exp((2*n+1)*ln(sqrt(statistic/2))-ln(2)-lgamma(n+CAST(1.5 AS DOUBLE))+ln(pi())/2))) END"""
+
+
+@query("logrank_p_values", f"""SELECT "by", a, b, n_a, n_b, round(statistic,4) AS statistic, round({_TAIL},6) AS p, comparisons FROM ({_logrank_sql("phase", "phase").replace("round(u*u/v,6)", "u*u/v")})""")
 def logrank_p_values(spark, d):
-    return km.logrank(cohort(spark, d), "position_bucket")
+    out = km.logrank(cohort(spark, d), "phase")
+    return out.withColumns({"statistic": F.round("statistic", 4), "p": F.round("p", 6)})
 
 
 @query("sensitivity", f"""WITH {s.COHORT}, cut AS (SELECT * FROM cohort WHERE position=12 AND level='lower' AND phase='phase1'), {s.km('k', 'cut', '')}
@@ -267,6 +276,51 @@ def score_table(spark, d):
         r6(c) for c in ("brier", "auc", "brier_baseline", "gain", "skill", "gain_ci_low", "gain_ci_high")])
 
 
+_PAST = """SELECT '{0}' AS split, (SELECT count(*) FROM train0) AS n_train, count(*) FILTER (h>0 AND follow_up+1e-9>=h) AS n_test, count(*) FILTER (NOT h>0) AS n_excluded,
+   count(*) FILTER (h>0 AND follow_up+1e-9<h) AS n_unobservable FROM test0"""
+
+
+def _counts_sql(split: str, ctes: str, train: str) -> str:
+    return f"(WITH {s.COHORT}, {ctes}, train0 AS ({train}) {_PAST.format(split)})"
+
+
+@query("backtest_counts", " UNION ALL ".join((
+    _counts_sql("temporal", _TEMPORAL, "SELECT * FROM train"), _counts_sql("cross_term", _CROSS, "SELECT * FROM train"),
+    _counts_sql("grouped", _GROUPED, "SELECT * FROM cohort"))))
+def backtest_counts(spark, d):
+    """What each split trains on, scores, and leaves out because the horizon was past or couldn't be observed."""
+    c = b.cohort_from_lineitem(spark, d, dealt_out=True)
+    rows = []
+    for split, (train, test), which in (
+            ("temporal", bt.temporal_split(c, SPLIT_AT), WHICH),
+            ("cross_term", (c.where("l_linestatus = 'F'"), c.where("l_linestatus = 'O'")), "days:14"), ("grouped", (c, c), "deadline")):
+        found = bt.test_counts(bt.with_horizon(test, b.CALENDAR, which))
+        rows.append((split, train.count(), found["n_test"], found["n_excluded"], found["n_unobservable"]))
+    return spark.createDataFrame(rows, "split string, n_train long, n_test long, n_excluded long, n_unobservable long")
+
+
+def _summary_sql(run: str, split: str, which: str, label: str, ctes: str) -> str:
+    return f"""(WITH {_WEIGHTS.replace("{pred}", _predict_sql(ctes))}, long AS (SELECT y, w, unnest([{{'predictor':'bucket','p':p_bucket}},{{'predictor':'dept','p':p_dept}},
+   {{'predictor':'course','p':p_course}},{{'predictor':'site','p':p_site}}], recursive := true) FROM wt), sc AS (SELECT predictor, sum(w*(y-p)*(y-p))/sum(w) AS brier FROM long GROUP BY 1),
+ n AS (SELECT (SELECT count(*) FROM train) AS n_train, count(*) FILTER (h>0 AND follow_up+1e-9>=h) AS n_test, count(*) FILTER (NOT h>0) AS n_excluded, count(*) FILTER (h>0 AND follow_up+1e-9<h) AS n_unobservable FROM test0)
+ SELECT '{run}' AS run, '{split}' AS split, '{which}' AS "which", '{label}' AS horizon_label, n.*, round(n_test/(n_test+n_unobservable),4) AS share_observable,
+   arg_min(predictor, (round(brier,4), predictor)) AS best_predictor, round(min(brier),4) AS best_brier, round(max(brier) FILTER (predictor='bucket')-min(brier),4) AS best_gain FROM sc, n GROUP BY ALL)"""
+
+
+@query("backtest_summary", _summary_sql("cross_term_days14", "cross_term", "days14", "within 14 days", _CROSS) + " UNION ALL " + _summary_sql(
+    "temporal_days20", "temporal", "days20", "within 20 days", _TEMPORAL))
+def backtest_summary(spark, d):
+    """Two runs of the curve predictors, written as reports and read back as one row each."""
+    c = b.cohort_from_lineitem(spark, d, dealt_out=True)
+    folder = f"{scratch_dir(spark)}/reports-{uuid.uuid4().hex}"
+    line = F.col("l_linestatus")
+    for name, cohort_rows, options in (
+            ("temporal_days20", c, {"split": "temporal", "which": WHICH, "split_at": SPLIT_AT}),
+            ("cross_term_days14", c.where(line == "O"), {"split": "cross_term", "which": "days:14", "train_cohort": c.where(line == "F")})):
+        bt.write_tables(bt.run_backtest(cohort_rows, b.CALENDAR, n_boot=0, with_cox=False, **options), f"{folder}/{name}")
+    return summarise_backtests(spark, folder).drop("best_auc")
+
+
 @query("backtest_scores")
 def backtest_scores(spark, d):
     run = bt.run_backtest(b.cohort_from_lineitem(spark, d, dealt_out=True), b.CALENDAR, split="temporal", which=WHICH, split_at=SPLIT_AT)

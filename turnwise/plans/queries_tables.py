@@ -11,7 +11,7 @@ from turnwise.operators import resolve as rs
 from turnwise.operators import tables as tb
 from turnwise.plans import bindings as b
 from turnwise.plans import sql as s
-from turnwise.plans.queries_flows import flows
+from turnwise.plans.queries_flows import TERM_FLOWS, flows, term_flows
 from turnwise.plans.registry import query
 from turnwise.schema import CURVE_DAYS, SELF_STUDY
 from turnwise.session import materialize
@@ -74,7 +74,8 @@ _CELLS = f"""{_POOLS}, {_OWN}, cs AS (SELECT course_key, any_value(dept) AS dept
 
 @query("course_cells", f"WITH {_CELLS} SELECT course_key, bucket, level, dept AS dept_group, own, pooled, n_course, sections_course FROM cell WHERE own OR pooled IS NOT NULL")
 def course_cells(spark, d):
-    return cells(spark, d).select("course_key", "bucket", "level", "dept_group", "own", "pooled", "n_course", "sections_course")
+    c = cohort(spark, d)
+    return tb.course_pointers(c, tb.pool_keys(c)).select("course_key", "bucket", "level", "dept_group", "own", "pooled", "n_course", "sections_course")
 
 
 def summaries(spark, d):
@@ -208,6 +209,18 @@ def course_rank(spark, d):
     return ac.rank_courses(activity(spark, d), top_sections=40, min_course_joins=90)
 
 
+@query("course_rank_terms", f"""WITH {TERM_FLOWS}, {s.IDENTITY}, act AS (SELECT split_part(section_id,'/',1) AS section_id, split_part(section_id,'/',2) AS term, CAST(sum(wl_joins) AS BIGINT) AS wl_joins,
+   max(waitlist0) AS max_waitlist FROM flows0 GROUP BY ALL), both_terms AS (SELECT * FROM act JOIN ident USING (section_id)),
+ top AS (SELECT * FROM both_terms WHERE wl_joins>0 ORDER BY wl_joins DESC, max_waitlist DESC, section_id, term LIMIT 40),
+ tot AS (SELECT course_key, min(subject) AS subject, CAST(sum(wl_joins) AS BIGINT) AS joins, count(DISTINCT section_id) AS sections FROM both_terms GROUP BY 1)
+ SELECT tot.*, (SELECT count(DISTINCT section_id) FROM top WHERE top.course_key=tot.course_key) AS top_sections FROM tot
+ WHERE course_key IN (SELECT course_key FROM top) OR joins>=90""")
+def course_rank_terms(spark, d):
+    """Two terms' activity in one ranking."""
+    both = ac.activity_of_terms(term_flows(spark, d), b.identity_from_events(spark, d))
+    return ac.rank_courses(both, top_sections=40, min_course_joins=90)
+
+
 PATTERNS = ["# ordered list", "s3", "S1 1*", "S2 25  # one course", "S[45] ?5", "S? *0"]
 
 

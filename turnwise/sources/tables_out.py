@@ -66,6 +66,30 @@ def read_backtests(spark: SparkSession, reports: str, table: str = "metrics") ->
     return tagged.where("run <> ''").withColumn("horizon_label", horizon_label(F.col("which")))
 
 
+def summarise_backtests(spark: SparkSession, reports: str) -> DataFrame:
+    """One row per run under ``reports``, whether it was scored or not: its counts, the observable share of its test rows
+    ahead of their horizon, its best predictor and what it gains over the bucket baseline."""
+    counts = read_backtests(spark, reports, "counts").select(
+        "run", "split", "which", "horizon_label", *[F.col(c).cast("long").alias(c) for c in (
+            "n_train", "n_test", "n_excluded", "n_unobservable")])
+    covered = F.try_divide(F.col("n_test"), F.col("n_test") + F.col("n_unobservable"))
+    out = counts.withColumn("share_observable", F.round(covered, 4))
+    if not _written(spark, reports, "metrics"):
+        return out.withColumns({**{c: F.lit(None).cast("string") for c in ("best_predictor",)},
+                                **{c: F.lit(None).cast("double") for c in ("best_brier", "best_gain", "best_auc")}})
+    scores = read_backtests(spark, reports, "metrics").where(F.col("brier").isNotNull())
+    best = scores.groupBy("run").agg(F.min(F.struct("brier", "predictor", "gain", "auc")).alias("m"))
+    return out.join(best, "run", "left").select(
+        *out.columns, F.col("m.predictor").alias("best_predictor"), F.col("m.brier").alias("best_brier"),
+        F.col("m.gain").alias("best_gain"), F.col("m.auc").alias("best_auc"))
+
+
+def _written(spark: SparkSession, reports: str, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{reports}/*/{table}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def report_counts(spark: SparkSession, reports: str) -> DataFrame:
     """Training, scored, past-horizon and unobservable rows from the report texts."""
     text = spark.read.text(f"{reports}/*/report.md", wholetext=True)
