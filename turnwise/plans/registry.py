@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from turnwise.plans import queries_flows, queries_survival, queries_tables  # noqa: F401
+    from turnwise.plans import queries_flows, queries_sources, queries_survival, queries_tables  # noqa: F401

@@ -70,6 +70,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_file_system(path: str):
+    """The file system of a path or URI for use inside a task, and the path in it."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 

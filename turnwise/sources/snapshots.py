@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import io
 import json
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.schema import RUNS, SNAPSHOT
+from turnwise.session import open_file_system
 
 
 def read_rows(spark: SparkSession, root: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
@@ -65,21 +65,23 @@ def append_run(root: str, rows: DataFrame, run: DataFrame) -> int:
 def import_footers(spark: SparkSession, path: str, key: str = "metadata") -> DataFrame:
     """Run metadata kept as JSON in the footer of existing Parquet files.
 
-    Each task reads the footers of its own files.
+    Spark lists the files without their contents; each task opens its own ones and reads the footer from a file's end.
     """
     def read(batches):
         import pyarrow.parquet as pq
 
         for frame in batches:
             found = []
-            for name, content in zip(frame["path"], frame["content"]):
-                values = pq.read_metadata(io.BytesIO(content)).metadata or {}
+            for name in frame["path"]:
+                fs, local = open_file_system(name)
+                with fs.open_input_file(local) as source:
+                    values = pq.read_metadata(source).metadata or {}
                 decoded = {k.decode(): v.decode() for k, v in values.items() if not k.startswith(b"ARROW")}
                 found.append((name, decoded.get(key) or json.dumps(decoded)))
             yield pd.DataFrame(found, columns=["path", "metadata"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet") \
-        .option("recursiveFileLookup", "true").load(path).select("path", "content")
+        .option("recursiveFileLookup", "true").load(path).select("path")
     raw = files.mapInPandas(read, "path string, metadata string")
     return raw.select("path", F.from_json("metadata", RUNS).alias("r")).select("path", "r.*")
 
