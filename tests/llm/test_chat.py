@@ -47,3 +47,22 @@ def test_digests_match_the_rows(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["formatted_chars"] == sum(len(render(a, b)) for _, a, b in own)
     assert chat_digests(format_messages(fold_events(log_of_turns(turns.limit(0))))).count() == 0
+
+
+def test_logs_hold_every_kind_of_event_and_fold_back(spark):
+    rng = random.Random(5)
+    rows = [(c, t if t < 9 else None, rng.choice(["user", "assistant", None]), "".join(rng.choice(NASTY) for _ in range(rng.randrange(12))), "x", 3)
+            for c in range(30) for t in range(10)] + [(1, 2, "user", "again", "x", 3)] * 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind string, seq int").repartition(3)
+    log = log_of_turns(turns)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"delta", "edit", "regenerate"} and kinds["delta"] > len(rows)
+    got = sorted((r["conv_id"], r["role"], r["text"]) for r in fold_events(log.repartition(4)).collect())
+    assert got == sorted((c, r or "", t) for c, _, r, t, *_ in rows)
+    assert fold_events(log_of_turns(turns.limit(0))).count() == 0
+
+
+def test_one_shuffle_does_it_all(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    plan = chat_digests(format_messages(fold_events(log_of_turns(turns))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(conv_id") == 1 and plan.count("Exchange") == 1

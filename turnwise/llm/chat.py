@@ -2,8 +2,8 @@
 
 A log row is an event of one conversation: ``delta`` adds text to a message (the first one opens it and sets its role),
 ``edit`` replaces the message's text, ``regenerate`` empties it so that deltas stream in anew, ``remove`` takes it back.
-The log is partitioned by conversation, sorted by sequence and folded as a stream: a task holds the open conversation's
-messages only as spilled rows, see ``fold_events``, and renders one message after another.
+The log is partitioned by conversation once; sorting by sequence, folding and rendering all happen there. A task holds the
+open conversation's messages only as spilled rows, see ``fold_events``, and renders one message after another.
 
 Folding needs no group in memory: within a message, what counts is every event after the last edit or regeneration, so
 windows over (conversation, message) find that event and the remaining texts are concatenated in sequence.
@@ -66,7 +66,8 @@ def fold_events(log: DataFrame) -> DataFrame:
     ``position`` is the sequence of a message's first event. A message that was removed last is left out.
     """
     events = log.select("conv_id", "seq", "message", F.coalesce("kind", F.lit("delta")).alias("kind"),
-                        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+                        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")) \
+        .repartition("conv_id")
     order = ["seq", "kind", "role", "text"]
     back = Window.partitionBy("conv_id", "message").orderBy(*[F.col(c).desc() for c in order])
     # Resets at or after an event; a reset itself counts with what follows it.
@@ -152,12 +153,28 @@ def chat_digests(segments: DataFrame) -> DataFrame:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """A log in which each row of (conv_id, turn, role, text) is one message of one delta."""
-    rows = turns.select("conv_id", "turn", "role", "text")
+    """The log of a chat whose final messages are the rows of (conv_id, turn, role, text), as a service would write it.
+
+    A digest of conversation and turn says how a message came about: sent at once; streamed in three deltas; begun wrong,
+    regenerated and streamed; or drafted and then edited. A message of a turn takes the sequence numbers from 8 * turn on;
+    one without a turn is sent at once. The log stays where its conversation is: partitioned by conv_id.
+    """
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
     in_turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return rows.select("conv_id", F.col("turn").alias("seq"),
-                       F.struct("turn", F.row_number().over(in_turn).alias("nth")).alias("message"),
-                       F.lit("delta").alias("kind"), "role", "text")
+    way = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary")) % 4
+    third = F.ceil(F.length("text") / 3).cast("int")
+    event = lambda i, kind, text: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), text.alias("text"))
+    whole, head = F.col("text"), F.substring(F.col("text"), F.lit(1), third)
+    pieces = [event(i, "delta", F.substring("text", 1 + (i - 4) * third, third)) for i in (4, 5, 6)]
+    started = [event(0, "delta", F.reverse(head)), event(1, "regenerate", F.lit("dropped"))]
+    events = F.when(F.col("turn").isNull() | (way == 0), F.array(event(0, "delta", whole))) \
+        .when(way == 1, F.array(event(0, "delta", F.lit("")), *pieces)) \
+        .when(way == 2, F.array(*started, *pieces)) \
+        .otherwise(F.array(event(0, "delta", head), event(1, "edit", whole)))
+    return rows.withColumn("nth", F.row_number().over(in_turn)) \
+        .select("conv_id", "turn", "nth", "role", F.explode(events).alias("e")) \
+        .select("conv_id", (F.col("turn") * 8 + F.col("e.i")).alias("seq"), F.struct("turn", "nth").alias("message"),
+                "e.kind", "role", "e.text")
 
 
 _SQL = """
