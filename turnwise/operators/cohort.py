@@ -30,6 +30,7 @@ from turnwise.session import lookup_side, materialize
 
 GROUP = "_group"
 _EVENTS = ("section_id", CHUNK, "t0_us", "t1_us", "admits", "wl_drops", "waitlist0", "censored")
+_WALKS_ON = ("section_id", "t0", "t1", "admits", "wl_drops", "waitlist0", "full0", "enrolled0", "capacity0", "reserved0", "censored")
 _PAYLOAD = ("capacity0", "reserved", "follow_us")
 _STATE = "section_id string, _chunk int, join_us long, position int, scenario string, k double, " \
          "waitlist0 long, capacity0 long, reserved boolean, follow_us long"
@@ -191,7 +192,9 @@ def thin_joins(flows: DataFrame, every_min: float = 240, splits: Splits | None =
     The rule depends on the last kept time alone, so a range of a hot section is
     a function of it: see ``_thin_by_ranges``.
     """
-    splits = splits or plan_splits(flows, ["section_id"], "t0")
+    if splits is None:
+        flows = materialize(flows)  # counted, thinned and joined
+        splits = plan_splits(flows, ["section_id"], "t0")
     gap_us = int(round(every_min * 60_000_000))
     rows = with_chunk(flows.select("section_id", "t0"), splits)
     rows = rows.withColumn("t0_us", F.unix_micros("t0")).drop("t0")
@@ -283,7 +286,9 @@ def walk_positions(
     for name in scenarios:
         if name not in SCENARIOS:
             raise ValueError(f"unknown scenario {name!r}; expected one of {SCENARIOS}")
-    splits = splits or plan_splits(flows, ["section_id"], "t0")
+    if splits is None:
+        flows = materialize(flows.select(*_WALKS_ON))  # counted, then walked
+        splits = plan_splits(flows, ["section_id"], "t0")
     n = _groups(flows, splits)
     can_join = joinable(F.col("waitlist0"), F.col("full0"), F.col("enrolled0"), F.col("capacity0"))
     gap_us = None if join_every_min is None else int(round(join_every_min * 60_000_000))

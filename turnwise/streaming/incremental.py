@@ -1,11 +1,15 @@
 """Incremental forms of the capture step on Structured Streaming.
 
 State is one small row per section (its last counts) or per term (its last
-run). Rows at or before the state's time are late and ignored.
+run). By default results come at once, and rows at or before the state's time are
+late and ignored. With ``wait`` a section's rows are held in its state, in order, until
+the watermark has passed them: a row that comes late, but within the watermark, is
+placed where it belongs, and results are the batch form's, later by the watermark.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +54,35 @@ def _after(frame: pd.DataFrame, state: tuple | None, names: list[str]) -> pd.Dat
     return pd.concat([before, frame[names].astype(object)], ignore_index=True)
 
 
+def _plain(frame: pd.DataFrame) -> list[list]:
+    """Rows as plain values, fit for JSON."""
+    plain = lambda v: None if pd.isna(v) else v if isinstance(v, str) else bool(v) if isinstance(v, (bool, np.bool_)) else int(v)
+    return [[plain(v) for v in row] for row in frame.astype(object).itertuples(index=False)]
+
+
+def _in_order(step: Callable, names: list[str], columns: list[str], key_names: list[str]):
+    """``step`` on a key's rows once the watermark has passed them. ``names`` (run_us first) are what a row holds; the rows
+    that wait, those of one watermark's length, are kept with the step's state, and an event-time timer wakes the key."""
+    def run(key, frames, state: GroupState):
+        held, rows = json.loads(state.get[0]) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for frame in frames:
+                rows += _plain(frame[names])
+        mark_ms = state.getCurrentWatermarkMs()
+        since = None if held is None else held[0]
+        ready = sorted((r for r in rows if r[0] <= mark_ms * 1000 and (since is None or r[0] > since)), key=lambda r: r[0])
+        rows = [r for r in rows if r[0] > mark_ms * 1000]
+        out = pd.DataFrame([], columns=columns)
+        if ready:
+            held, out = step(None if held is None else tuple(held), pd.DataFrame(ready, columns=names))
+        state.update((json.dumps([held, rows]),))
+        if rows:
+            state.setTimeoutTimestamp(max(min(r[0] for r in rows) // 1000 + 1, mark_ms + 1))
+        yield out.assign(**dict(zip(key_names, key)))[columns].astype(object)
+
+    return run
+
+
 def delta_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     """New state and the rows whose counts differ from the row before them (null-safe)."""
     rows = _after(frame, state, _ROW_NAMES)
@@ -60,8 +93,8 @@ def delta_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple, pd.Data
     return _state_of(rows, _ROW_NAMES), rows[~same]
 
 
-def delta_stream(rows: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """Rows whose counts differ from the section's previous row (null-safe)."""
+def delta_stream(rows: DataFrame, watermark: str = "2 hours", wait: bool = False) -> DataFrame:
+    """Rows whose counts differ from the section's previous row (null-safe); ``wait`` for the watermark, or at once."""
     def step(key, frames, state: GroupState):
         last = tuple(state.get) if state.exists else None
         frame = _sorted(frames, last[0] if last else None)
@@ -73,9 +106,15 @@ def delta_stream(rows: DataFrame, watermark: str = "2 hours") -> DataFrame:
         yield out.assign(section_id=key[0])[["section_id", *_ROW_NAMES]]
 
     keyed = rows.withWatermark("run_started_at", watermark).select(
-        "section_id", F.unix_micros("run_started_at").alias("run_us"), *COUNT_FIELDS)
-    out = keyed.groupBy("section_id").applyInPandasWithState(
-        step, f"section_id string, {_ROW}", _ROW, "append", GroupStateTimeout.NoTimeout)
+        "section_id", "run_started_at", F.unix_micros("run_started_at").alias("run_us"), *COUNT_FIELDS)
+    schema = f"section_id string, {_ROW}"
+    if wait:
+        step = _in_order(delta_step, _ROW_NAMES, ["section_id", *_ROW_NAMES], ["section_id"])
+        out = keyed.groupBy("section_id").applyInPandasWithState(
+            step, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    else:
+        out = keyed.drop("run_started_at").groupBy("section_id").applyInPandasWithState(
+            step, schema, _ROW, "append", GroupStateTimeout.NoTimeout)
     return out.select("section_id", F.timestamp_micros("run_us").alias("run_started_at"), *COUNT_FIELDS)
 
 
@@ -104,8 +143,9 @@ def flow_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple | None, p
 
 
 def flow_stream(panel: DataFrame, watermark: str = "2 hours", max_interval_min: float | None = None,
-                outages: DataFrame | None = None) -> DataFrame:
-    """Interval flows as observations arrive, cut at the first tombstone like the batch form.
+                outages: DataFrame | None = None, wait: bool = False) -> DataFrame:
+    """Interval flows as observations arrive, cut at the first tombstone like the batch form; ``wait`` for the watermark,
+    or at once.
 
     The state holds a section's last observed counts; the pairs it emits are classified by the same column rules as
     the batch form. ``outages`` is the log as a batch table; it travels whole with each batch.
@@ -129,10 +169,15 @@ def flow_stream(panel: DataFrame, watermark: str = "2 hours", max_interval_min:
     for c in CORE_COUNTS:
         seen = seen & F.col(c).isNotNull()
     keyed = panel.where(seen | gone).withWatermark("run_started_at", watermark).select(
-        "section_id", "term_id", F.unix_micros("run_started_at").alias("run_us"), *_OBS_NAMES[1:],
+        "section_id", "term_id", "run_started_at", F.unix_micros("run_started_at").alias("run_us"), *_OBS_NAMES[1:],
         seen.alias("seen"), gone.alias("gone"))
-    pairs = keyed.groupBy("section_id", "term_id").applyInPandasWithState(
-        step, schema, f"{_OBSERVED}, gone boolean", "append", GroupStateTimeout.NoTimeout)
+    if wait:
+        step = _in_order(flow_step, [*_OBS_NAMES, "seen", "gone"], list(empty.columns), ["section_id", "term_id"])
+        pairs = keyed.groupBy("section_id", "term_id").applyInPandasWithState(
+            step, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    else:
+        pairs = keyed.drop("run_started_at").groupBy("section_id", "term_id").applyInPandasWithState(
+            step, schema, f"{_OBSERVED}, gone boolean", "append", GroupStateTimeout.NoTimeout)
     pairs = pairs.withColumn("run_started_at", F.timestamp_micros("run_us")).withColumn("_next", F.struct(
         F.timestamp_micros("next_run_us").alias("run_started_at"),
         *[F.col(f"next_{c}").alias(c) for c in _OBS_NAMES[1:5]]))
@@ -173,11 +218,25 @@ def gap_alerts(runs: DataFrame, limit_min: float = 90.0, watermark: str = "0 sec
                       F.timestamp_micros("to_us").alias("next_run"), gap.alias("gap_min"), "silent")
 
 
+def _swap(spark, fresh: str, published: str) -> None:
+    """Put the finished folder in the published one's place by renames; a crash between them leaves the old one beside it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, here = path(fresh), path(f"{published}.old"), path(published)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    fs.rename(new, here)
+    fs.delete(old, True)
+
+
 def write_live(state_stream: DataFrame, out_dir: str, checkpoint: str, read_state):
     """Refresh the live view after every batch: ``read_state()`` gives the current
     section state as a batch table, which replaces the published one."""
     def publish(_batch: DataFrame, _epoch: int) -> None:
-        live_view(read_state()).write.mode("overwrite").parquet(out_dir)
+        view = live_view(read_state())
+        view.write.mode("overwrite").parquet(f"{out_dir}.next")
+        _swap(view.sparkSession, f"{out_dir}.next", out_dir)
 
     return state_stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
 
