@@ -84,12 +84,30 @@ def _wildcard_regex(pattern: Column) -> Column:
                                           F.lit("?"), F.lit(".")), F.lit("$"))
 
 
+GRAM = 3
+
+
+def _piece_of(pattern: Column) -> Column:
+    """The first letters, ``GRAM`` at most, of a pattern's longest literal piece; empty where it has none."""
+    pieces = F.split(F.regexp_replace(pattern, r"\[[^\]]*\]|[*?]", "\n"), "\n")
+    longest = F.array_max(F.transform(pieces, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))
+    return F.substring(longest["t"], 1, GRAM)
+
+
+def _grams(key: Column) -> Column:
+    """All runs of up to ``GRAM`` letters of a key, and the empty one."""
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[runs(n) for n in range(1, GRAM + 1)]))
+
+
 def course_ranks(course_keys: DataFrame, patterns: DataFrame) -> DataFrame:
     """Lowest matching pattern rank per distinct course (courses without a match are absent).
 
     Exact courses, bare subjects and wildcards behind a literal subject are
-    equi-joins; only a wildcard inside the subject compares with every course,
-    which is distinct courses times those few patterns.
+    equi-joins. A wildcard inside the subject meets, also by equality, the courses
+    that hold the first letters of its longest literal piece, and is tried on those.
     """
     keys = course_keys.select("course_key").where(F.col("course_key").isNotNull()).distinct()
     keys = keys.withColumn("_key", normalise_course(F.col("course_key")))
@@ -102,7 +120,10 @@ def course_ranks(course_keys: DataFrame, patterns: DataFrame) -> DataFrame:
                                    F.regexp_replace("pattern", " [^ ]+$", "").alias("_subject"))
     open_subject = F.col("_subject").rlike(r"[*?\[]")
     near = keys.join(wild.where(~open_subject), "_subject").where(F.expr("_key rlike _re"))
-    far = keys.join(wild.where(open_subject).drop("_subject"), F.expr("_key rlike _re"))
+    pieces = pick("wildcard").select("rank", "pattern", _wildcard_regex(F.col("pattern")).alias("_re"), _piece_of(F.col("pattern")).alias("_gram"))
+    pieces = pieces.where(F.regexp_replace("pattern", " [^ ]+$", "").rlike(r"[*?\[]")).drop("pattern")
+    held = keys.select("course_key", "_key", F.explode(_grams(F.col("_key"))).alias("_gram"))
+    far = held.join(pieces, "_gram").where(F.expr("_key rlike _re"))
     found = exact.select("course_key", "rank")
     for part in (bare, near, far):
         found = found.unionByName(part.select("course_key", "rank"))
