@@ -90,3 +90,30 @@ def test_query_columns(spark, tmp_path):
     assert (rows[5]["n_email"], rows[5]["n_ip"], rows[5]["n_card"], rows[5]["n_phone"]) == (1, 1, 0, 0)
     assert rows[5]["spans"] == listed and rows[5]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
     assert rows[6]["spans"] == "" and rows[6]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_recall_of_added_kinds(spark):
+    """Planted spans of each added kind among prose that uses the same words without any."""
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    run = lambda n, alphabet=letters: "".join(rng.choice(alphabet) for _ in range(n))
+    shapes = {
+        "keyed_secret": lambda: rng.choice(['password: {}', 'api_key="{}"', "token = {}", "the secret={}", "Authorization: Bearer {}"]).format(
+            rng.choice([lambda: "AKIA" + run(12, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: f"{run(6)}-{run(5)}_{run(4)}9a", lambda: run(9) + "7Qx",
+                        lambda: f"hunter{rng.randrange(100)}!Pass"])()),
+        "secret": lambda: f"token = {rng.getrandbits(160):040x}",
+        "national_id": lambda: f"SSN {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "local_phone": lambda: f"call ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"}
+    texts, planted = [], []
+    for i in range(240):
+        kind = list(shapes)[i % 4]
+        texts.append(f"some plain words here, {shapes[kind]()} and then some more of them.")
+        planted.append(kind)
+    plain = ["The secret ingredients were many.", "His password protection failed, she said.", "A token gesture: something else entirely.",
+             "The key differences remain unclear.", "Keep the credentials confidential please.", "bearer something nothing"] * 20
+    got = found(spark, texts + plain)
+    for kind in shapes:
+        own = [i for i, k in enumerate(planted) if k == kind]
+        hit = sum(any(s["kind"] == kind or (kind == "keyed_secret" and s["kind"] == "secret") for s in got[i]) for i in own)
+        assert hit >= 0.9 * len(own), (kind, hit, len(own))
+    assert not any(got[i] for i in range(len(texts), len(texts) + len(plain)))

@@ -33,6 +33,10 @@ PATTERNS = {
     "card": (r"[0-9](?:[ -]?[0-9]){15}", r"[0-9](?:[ -]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
     "secret": (r"[A-Za-z0-9]{24}", r"(?<![A-Za-z0-9])[A-Za-z0-9]{24,}+"),
+    # led by a cue word, of any shape and from eight characters on
+    "keyed_secret": (r"(?i)(?:token|secret|passw|key|credential|bearer|pwd)",
+                     r"(?i)(?<=(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|credential|credentials|bearer)[\"' \t:=]{1,6})"
+                     r"[A-Za-z0-9_+/=~!@#$%^&*-]{8,}+"),
     "national_id": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": (r"[0-9][ .-][0-9]{4}", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
@@ -45,6 +49,7 @@ KNOWN = {
     "local_phone": r"^\(?[2-9]",
     "national_id": r"^(?!000|666|9)",
     "secret": r"^(?=.*[0-9])(?=.*[A-Za-z])",
+    "keyed_secret": r"^(?=.*[0-9])(?=.*[A-Za-z])",
     "ip": r"^(?!0|127\.|255\.|22[4-9]\.|23[0-9]\.)",
 }
 CUES = {
@@ -55,6 +60,7 @@ CUES = {
     "local_phone": r"(?i)(?:phone|tel|call|mobile|fax|telefon)",
     "national_id": r"(?i)(?:ssn|social|insurance|\bid\b)",
     "secret": r"(?i)(?:token|secret|passw|api.?key|credential|bearer)",
+    "keyed_secret": r"(?i)(?:token|secret|passw|pwd|key|credential|bearer)",
 }
 LABELERS = ("form", "check", "gazetteer", "context", "alone")
 _BLOCK = 256
@@ -126,6 +132,8 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.length(_digits(hit)).between(8, 15)
     if kind == "secret":
         return F.length(_digits(hit)).between(4, F.length(hit) - 4)
+    if kind == "keyed_secret":
+        return hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
     if kind == "national_id":
         return ~hit.rlike(r"-00-|-0000$")
     return F.lit(True)
@@ -147,11 +155,12 @@ def _judged(kind: str, m: Column) -> Column:
     plain = hit.rlike({"card": r"^(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
                        "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}$",
                        "secret": r"^(?:[0-9a-f]+|[0-9A-F]+)$",
+                       "keyed_secret": r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])|[_+/=~!@#$%^&*-]|^(?:[A-Z0-9]+|[a-z]*[0-9]+[a-z0-9]*)$",
                        "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"}.get(kind, ".")).alias("plain")
     touches = left.rlike(r"[\p{L}0-9]") | right.rlike(r"[\p{L}0-9]")
     votes = F.array(
         _vote(plain, ~plain), _vote(valid, ~valid),
-        _vote(hit.rlike(KNOWN[kind]), F.lit(kind in ("secret", "ip", "national_id")) & ~hit.rlike(KNOWN[kind])),
+        _vote(hit.rlike(KNOWN[kind]), F.lit(kind in ("secret", "keyed_secret", "ip", "national_id")) & ~hit.rlike(KNOWN[kind])),
         _vote(m["before"].rlike(CUES[kind] + r"[^.\n]{0,20}$"), F.lit(False)), _vote(~touches, touches))
     length = F.least(F.floor(F.log2(F.length(hit))), F.lit(8)).cast("string")
     traits = F.array(F.concat(F.lit(f"{kind}:length:"), length), F.concat(F.lit(f"{kind}:left:"), _side(left)),
@@ -176,8 +185,11 @@ def proposed_spans(docs: DataFrame) -> DataFrame:
 
     def free(spans: Column) -> Column:
         base = F.filter(spans, lambda s: s["base"])
-        return let(base, lambda bs: F.filter(spans, lambda s: s["base"] | ~F.exists(
-            bs, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
+        meets = lambda s, b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
+        alone = let(base, lambda bs: F.filter(spans, lambda s: s["base"] | ~F.exists(bs, lambda b: meets(s, b))))
+        # a secret found as such isn't found once more for the cue before it
+        return let(alone, lambda held: F.filter(held, lambda s: (s["kind"] != "keyed_secret") | ~F.exists(
+            held, lambda b: (b["kind"] != "keyed_secret") & meets(s, b))))
 
     return raw.select("doc_id", F.when(F.size("all") > 0, let(F.col("all"), free)).otherwise(F.col("all")).alias("spans"))
 
@@ -277,7 +289,8 @@ def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.select("doc_id", spans.alias("spans"), F.filter(spans, lambda s: s["base"]).alias("base"))
     number = [F.size(_of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select("doc_id", *number, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        _listed(F.col("spans")).alias("spans"))
+                        _listed(F.col("spans")).alias("spans"),
+                        (F.size("spans") - F.size("base")).cast("long").alias("n_added"), (F.size("spans") > 0).alias("has_pii"))
 
 
 def _of_kind(kind: str) -> Column:
