@@ -156,8 +156,9 @@ def hero_curves(spark, d):
     return tb.hero_cells(cohort(spark, d), n_boot=0).select("bucket", "n", "events", F.element_at("curve", -1)["p"].alias("p_reach"))
 
 
-_CAT = """cat AS (SELECT p_brand||' '||p_size AS course_key, p_name AS title, CASE WHEN p_partkey%4=0 THEN 'LEC' ELSE 'DIS' END AS component,
-   s_name||', '||replace(s_name,'Supplier','Second') AS instructors, p_partkey FROM part JOIN supplier ON s_suppkey=p_partkey%(SELECT count(*) FROM supplier))"""
+_CAT = """sup AS (SELECT count(*) AS k FROM supplier), keyed AS (SELECT part.*, p_partkey%k AS sk FROM part, sup),
+ cat AS (SELECT p_brand||' '||p_size AS course_key, p_name AS title, CASE WHEN p_partkey%4=0 THEN 'LEC' ELSE 'DIS' END AS component,
+   s_name||', '||replace(s_name,'Supplier','Second') AS instructors, p_partkey FROM keyed JOIN supplier ON s_suppkey=sk)"""
 
 
 def catalog(spark, d):
