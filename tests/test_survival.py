@@ -148,6 +148,28 @@ def _bands(spark, c):
     return boot.curve_bands(counts, ["position_bucket"], grid, n_boot=40).orderBy("position_bucket", "day").toPandas()
 
 
+def test_picks_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Neither making the picks nor using them broadcasts a table with a row per section."""
+    seen = []
+
+    def noted(df, write=boot.materialize):
+        seen.append(df)
+        return write(df)
+
+    monkeypatch.setattr(boot, "materialize", noted)
+    rows = spark.range(300).select(F.lit("a").alias("g"), F.col("id").cast("string").alias("section_id"),
+                                   (F.col("id") % 7 + 1.0).alias("duration_days"), (F.col("id") % 2).cast("int").alias("event"))
+    counts = boot.section_counts(rows, ["g"])
+    grid = spark.createDataFrame([("a", 3.0), ("a", 7.0)], "g string, day double")
+    seen.append(boot.curve_bands(counts, ["g"], grid, n_boot=8))
+    scored = rows.withColumns({"w": F.lit(1.0), "y": F.col("event").cast("double"), "p": F.lit(0.5), "q": F.lit(0.4)})
+    seen.append(boot.bootstrap_gain(scored, ["g"], "p", "q", n_boot=8))
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if "number" in line or "section_id" in line], joins
+
+
 def test_bands_do_not_depend_on_the_ranges(spark):
     c = make_cohort(spark, 300)
     plain = _bands(spark, c)
