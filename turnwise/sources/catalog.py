@@ -18,7 +18,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/[^/]*$", 1)
     carried = F.try_element_at(F.filter(F.transform("sections", lambda s: s["term_id"]), lambda t: t.isNotNull()), F.lit(1))
     term = F.coalesce("term_id", carried, F.nullif(folder, F.lit("")))
-    rows = files.select(term.alias("catalog_term_id"), F.posexplode("sections").alias("ordinal", "s"))
+    # the term first: beside the explosion it would be worked out, and the whole file copied, once per entry
+    rows = files.select(term.alias("catalog_term_id"), "sections").select(
+        "catalog_term_id", F.posexplode("sections").alias("ordinal", "s"))
     return rows.select("catalog_term_id", "ordinal", "s.*")
 
 
