@@ -151,6 +151,44 @@ def test_dark_time(spark):
     assert got == [(2, 0, 0.0), (2, 1, 0.5), (2, 0, 0.0)]
 
 
+def test_dark_time_counts_days_without_copying_rows_to_them(spark):
+    """Against a loop over days, with stretches that overlap, touch midnight, are empty or share a day; and no row per day."""
+    rng = random.Random(5)
+    at = lambda: dt.datetime(2026, 11, 1) + dt.timedelta(hours=12 * rng.randrange(40), microseconds=rng.choice((0, 0, 1)))
+    gaps = [(rng.choice(("X", "Y", "Z", None)), at(), at(), 1.0, rng.random() < 0.8) for _ in range(60)]
+    ident = [(k, *sorted((at(), at()))) for k in "XYZ"]
+    inside = lambda a, z, d: (min(z, d + dt.timedelta(days=1)) - max(a, d)).total_seconds()
+    first, last = min(i[1] for i in ident), max(i[2] for i in ident) - dt.timedelta(microseconds=1)
+    day, want = dt.datetime(first.year, first.month, first.day), []
+    while day <= last:
+        own = [inside(a, z, day) for _, a, z in ident if z > a and inside(a, z, day) > 0]
+        dark = [(k, inside(a, z, day)) for k, a, z, _, wide in gaps if wide and z > a and inside(a, z, day) > 0]
+        share = round(sum(x for _, x in dark) / sum(own), 4) if own else 0.0
+        want.append((day.date(), len(own), len({k for k, _ in dark if k}), share))
+        day += dt.timedelta(days=1)
+    out = hi.dark_time(
+        spark.createDataFrame(gaps, "section_id string, t0 timestamp, t1 timestamp, minutes double, wide boolean"),
+        spark.createDataFrame(ident, "section_id string, first_seen timestamp, last_seen timestamp"))
+    got = [tuple(r) for r in out.orderBy("date").collect()]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) <= 1e-4 for g, w in zip(got, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(cast(first_seen" not in plan and "sequence(cast(t0" not in plan
+
+
+def test_catalog_entries_do_not_carry_the_file(spark, tmp_path):
+    """The term is worked out once per file, below the explosion, so an entry's row does not hold all entries."""
+    (tmp_path / "22681").mkdir()
+    entries = [{"section_id": str(i), "term_id": "2265" if i == 3 else None} for i in range(5)]
+    (tmp_path / "22681" / "a.json").write_text(json.dumps({"sections": entries}))
+    (tmp_path / "22681" / "b.json").write_text(json.dumps({"term_id": "2272", "sections": entries[:1]}))
+    rows = ca.read_catalog(spark, str(tmp_path / "*"))
+    assert sorted((r["catalog_term_id"], r["ordinal"], r["section_id"]) for r in rows.collect()) == [
+        *[("2265", i, str(i)) for i in range(5)], ("2272", 0, "0")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and plan.index("Generate posexplode") < plan.index("lambda")
+
+
 def test_cadence(spark):
     times = [(T0 + dt.timedelta(minutes=m), "2268", "full", n, k) for m, n, k in ((0, 10, 0), (30, 8, 2), (60, 1, 9), (150, 5, 5), (180, 0, 0))]
     runs = spark.createDataFrame(times, "run_started_at timestamp, term_id string, scope string, n_observed int, n_missing int")

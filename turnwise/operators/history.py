@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators.flows import interval_flows
@@ -71,22 +71,54 @@ def censor_crossings(flows: DataFrame, crossing_rows: DataFrame) -> DataFrame:
         .select(*flows.columns)
 
 
-def _per_day(rows: DataFrame, start: str, stop: str) -> DataFrame:
-    """One row per UTC day touched by [start, stop] with the seconds inside it."""
-    days = rows.withColumn("date", F.explode(F.sequence(F.to_date(start), F.to_date(stop))))
-    begin, end = F.col("date").cast("timestamp"), F.date_add("date", 1).cast("timestamp")
-    micros = F.unix_micros(F.least(F.col(stop), end)) - F.unix_micros(F.greatest(F.col(start), begin))
-    return days.withColumn("seconds", micros / F.lit(1_000_000.0)).where("seconds > 0")
+def _by_day(rows: DataFrame, start: str, stop: str) -> DataFrame:
+    """Per UTC day (``date``) the ``seconds`` of [start, stop] inside it, and ``n``, the rows with any.
+
+    A row gives its seconds on its first and last day and opens and closes the days that it touches; the days between
+    follow from running sums over days, so no row is copied to its days.
+    """
+    last = F.to_date(F.timestamp_micros(F.unix_micros(stop) - 1))  # an end at midnight touches no new day
+    rows = rows.where(F.col(stop) > F.col(start)).select(
+        start, stop, F.to_date(start).alias("_a"), last.alias("_z"))
+    seconds = lambda a, z: (F.unix_micros(z) - F.unix_micros(a)) / F.lit(1_000_000.0)
+    midnight = lambda c, more: F.date_add(c, more).cast("timestamp")
+    one = F.col("_a") == F.col("_z")
+    mark = lambda date, sec, full, own: F.struct(
+        date.alias("date"), sec.alias("sec"), F.lit(full).alias("full"), F.lit(own).alias("own"))
+    none = F.lit(0.0)
+    first = mark(F.col("_a"), F.when(one, seconds(F.col(start), F.col(stop))).otherwise(seconds(F.col(start), midnight("_a", 1))), 0, 1)
+    close = mark(F.date_add("_z", 1), none, 0, -1)
+    opened = mark(F.date_add("_a", 1), none, 1, 0)
+    final = mark(F.col("_z"), seconds(midnight("_z", 0), F.col(stop)), -1, 0)
+    each = rows.select(F.inline(F.when(one, F.array(first, close)).otherwise(F.array(first, opened, final, close))))
+    daily = each.groupBy("date").agg(F.sum("sec").alias("sec"), F.sum("full").alias("full"), F.sum("own").alias("own"))
+    span = daily.agg(F.min("date").alias("_from"), F.max("date").alias("_to")).where("_from IS NOT NULL")
+    days = span.select(F.explode(F.sequence("_from", "_to")).alias("date")).join(daily, "date", "left")
+    # one row per day of the whole history
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return days.select(
+        "date", (F.coalesce("sec", F.lit(0.0)) + F.sum(zero("full")).over(upto) * F.lit(86_400.0)).alias("seconds"),
+        F.sum(zero("own")).over(upto).alias("n")).where("seconds > 0")
+
+
+def _dark_sections(wide: DataFrame) -> DataFrame:
+    """Per day the sections with a second in one of their stretches: a section's days are cut so that none comes twice."""
+    rows = wide.where(F.col("section_id").isNotNull() & (F.col("t1") > F.col("t0"))).select(
+        "section_id", F.to_date("t0").alias("_a"), F.to_date(F.timestamp_micros(F.unix_micros("t1") - 1)).alias("_z"))
+    rows = scan(rows, ["section_id"], ["_a", "_z"], [Scan("_upto", F.col("_z"), "max", inclusive=False)],
+                plan_splits(rows, ["section_id"], "_a"))
+    rows = rows.select(F.greatest(F.col("_a"), F.date_add("_upto", 1)).alias("_a"), "_z").where("_a <= _z")
+    return _by_day(rows.select(F.col("_a").cast("timestamp").alias("t0"), F.date_add("_z", 1).cast("timestamp").alias("t1")), "t0", "t1")
 
 
 def dark_time(crossing_rows: DataFrame, identity: DataFrame) -> DataFrame:
     """Per UTC day: sections covered, sections dark, share of covered time in wide crossings."""
-    covered = _per_day(identity.select("section_id", "first_seen", "last_seen"), "first_seen", "last_seen")
-    covered = covered.groupBy("date").agg(F.sum("seconds").alias("_covered"),
-                                          F.count(F.lit(1)).alias("sections_covered"))
-    dark = _per_day(crossing_rows.where("wide"), "t0", "t1")
-    dark = dark.groupBy("date").agg(F.sum("seconds").alias("_dark"),
-                                    F.count_distinct("section_id").alias("sections_dark"))
+    covered = _by_day(identity.select("first_seen", "last_seen"), "first_seen", "last_seen").select(
+        "date", F.col("seconds").alias("_covered"), F.col("n").alias("sections_covered"))
+    wide = materialize(crossing_rows.where("wide").select("section_id", "t0", "t1"))  # read for its time and its sections
+    dark = _by_day(wide, "t0", "t1").select("date", F.col("seconds").alias("_dark"))
+    sections = _dark_sections(wide).select("date", F.col("n").alias("sections_dark"))
     span = identity.agg(
         F.to_date(F.min("first_seen")).alias("a"),
         # a history that ends exactly at midnight adds no day
@@ -95,7 +127,7 @@ def dark_time(crossing_rows: DataFrame, identity: DataFrame) -> DataFrame:
     )
     days = span.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("date"))
     share = F.when(F.coalesce("_covered", F.lit(0.0)) > 0, F.coalesce("_dark", F.lit(0.0)) / F.col("_covered"))
-    return days.join(covered, "date", "left").join(dark, "date", "left").select(
+    return days.join(covered, "date", "left").join(dark, "date", "left").join(sections, "date", "left").select(
         "date", F.coalesce("sections_covered", F.lit(0)).alias("sections_covered"),
         F.coalesce("sections_dark", F.lit(0)).alias("sections_dark"),
         F.round(F.coalesce(share, F.lit(0.0)), 4).alias("share_time_in_gap"),
