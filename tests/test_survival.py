@@ -328,6 +328,22 @@ def test_censor_at_undoes_later_events(spark):
 # ------------------------------------------------------------------------- lookup tables
 
 
+def test_cells_without_bands_count_no_section_times(spark, monkeypatch):
+    """The same cells as with bands, nulls included, but no table of sections and times is written for them."""
+    n = F.col("id")
+    rows = spark.range(700).select(
+        F.when(n % 9 > 0, (n % 40).cast("string")).alias("section_id"), (n % 11 * 1.0).alias("duration_days"),
+        F.when(n % 13 > 0, (n % 2).cast("int")).alias("event"), F.when(n % 17 > 0, F.concat(F.lit("1-"), (n % 3).cast("string"))).alias("position_bucket"),
+        F.when(n % 5 > 0, (n % 5).cast("string")).alias("dept_group"), F.when(n % 8 > 1, "lower").alias("level"))
+    plain = [*tb.CELL, "day", "p", "reach_days", "median_days", "n", "events", "sections"]
+    read = lambda df: sorted(map(repr, df.select(*plain).collect()))
+    want = read(tb.curve_points(tb.pool_cells(rows), n_boot=2))
+    monkeypatch.setattr(tb, "section_counts", lambda *_: pytest.fail("counts by section and time"))
+    got = read(tb.assemble(tb.pool_curves(rows, n_boot=0)).select("*", F.inline("curve")))
+    assert got == want and len(want) > 40
+    assert tb.pool_tables(rows, n_boot=0).count() == len({r.split(", day=")[0] for r in want})
+
+
 def test_cells_and_pointers(spark):
     c = make_cohort(spark, 700)
     pools = tb.pool_tables(c, n_boot=10)
