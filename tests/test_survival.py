@@ -377,3 +377,29 @@ def test_titles(spark):
     keys = spark.createDataFrame([(k,) for k in ("A 1", "B 1", "C 1", "D 1", "E 1")], "course_key string")
     got = {r["course_key"]: (r["title"], r["instructors"]) for r in tb.titles_table(keys, entries).collect()}
     assert got == {"A 1": ("Common", ["Ann B", "Cy D"]), "B 1": ("Zebra", []), "C 1": ("Alpha", []), "D 1": ("", ["Eve F"])}
+
+
+def test_tables_counted_as_large_are_not_broadcast(spark, monkeypatch):
+    from turnwise import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 5)
+    left = spark.createDataFrame([(i, i % 3) for i in range(40)], "k long, v long")
+    for rows, sent in ((5, True), (6, False)):
+        right = spark.createDataFrame([(i, "b") for i in range(rows)], "k long, name string")
+        joined = left.join(session.checked_broadcast(right), "k")
+        assert joined.count() == rows
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == sent
+
+
+def test_a_cohort_of_many_sections_is_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    from turnwise import session
+    from turnwise.plans import bindings as b
+
+    line = [(k, k % 7, 1 + k % 7, 5.0, 100.0 + k, 0.05, "N", "O") for k in range(30)]
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                "l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand{k}") for k in range(7)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 5)
+    cohort = b.cohort_from_lineitem(spark, str(tmp_path))
+    assert cohort.count() == 30
+    assert "Broadcast" not in cohort._jdf.queryExecution().executedPlan().toString()

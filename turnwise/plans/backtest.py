@@ -20,7 +20,7 @@ from turnwise.operators import cox, km
 from turnwise.operators.boot import bootstrap_gain
 from turnwise.operators.ranks import quantiles
 from turnwise.operators.scans import Scan, plan_splits, read_steps, scan, step_lookup
-from turnwise.session import checked_broadcast, lookup_side, materialize
+from turnwise.session import checked_broadcast, counted_broadcast, lookup_side, materialize
 
 # Predictors, gates, weight floor.
 PREDICTORS = ("bucket", "dept", "course", "site", "cox")
@@ -132,8 +132,8 @@ def predict_curves(test: DataFrame, curves: Curves) -> DataFrame:
     (course, department, bucket, all); the distinct (cell, time) pairs of all
     four predictors are then read in one ordered pass.
     """
-    cells = checked_broadcast(curves.cells)
-    hint = F.broadcast if cells is not curves.cells else (lambda df: df)
+    n = curves.cells.count()
+    hint = lambda df: counted_broadcast(df, n)
     of = lambda kind: curves.cells.where(F.col("kind") == kind)
     place = F.col("bucket").alias("position_bucket")
     depts = hint(of("dept").select("fold", F.col("key").alias("subject"), F.lit(True).alias("_known")).distinct())

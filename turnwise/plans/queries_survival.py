@@ -12,7 +12,7 @@ from turnwise.plans import backtest as bt
 from turnwise.plans import bindings as b
 from turnwise.plans import sql as s
 from turnwise.plans.registry import query
-from turnwise.session import scratch_dir
+from turnwise.session import materialize, scratch_dir
 from turnwise.sources.tables_out import summarise_backtests
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -136,8 +136,13 @@ _PRED_OUT = """SELECT row_id, round(p_bucket,6) AS p_bucket, round(p_dept,6) AS
   site_fallback, round(h,6) AS horizon_days FROM pred"""
 
 
+def written_cohort(spark, d):
+    """The cohort, written once: backtests pass over it several times."""
+    return materialize(b.cohort_from_lineitem(spark, d, dealt_out=True))
+
+
 def _predictions(spark, d, split: str):
-    c = b.cohort_from_lineitem(spark, d, dealt_out=True)
+    c = written_cohort(spark, d)
     if split == "temporal":
         train, test = bt.temporal_split(c, SPLIT_AT)
         return bt.predict_split(train.withColumn("fold", F.lit(0)), test.withColumn("fold", F.lit(0)), b.CALENDAR, WHICH)[0]
@@ -247,8 +252,9 @@ def bootstrap_gain(spark, d):
  SELECT bucket, day, round(low,6) AS low, round(high,6) AS high FROM bd""")
 def bootstrap_band(spark, d):
     c = cohort(spark, d).withColumnRenamed("position_bucket", "bucket")
-    grid = c.select("bucket").distinct().select("bucket", F.explode(F.array(*[F.lit(float(x)) for x in (7, 14, 28)])).alias("day"))
-    return boot.curve_bands(boot.section_counts(c, ["bucket"]), ["bucket"], grid).select("bucket", "day", r6("low"), r6("high"))
+    counts = materialize(boot.section_counts(c, ["bucket"]))  # read for the grid, the ranges, the picks and the bands
+    grid = counts.select("bucket").distinct().select("bucket", F.explode(F.array(*[F.lit(float(x)) for x in (7, 14, 28)])).alias("day"))
+    return boot.curve_bands(counts, ["bucket"], grid).select("bucket", "day", r6("low"), r6("high"))
 
 
 @query("score_table", f"""WITH {_WEIGHTS.replace("{pred}", _predict_sql(_TEMPORAL))},
@@ -311,7 +317,7 @@ def _summary_sql(run: str, split: str, which: str, label: str, ctes: str) -> str
     "temporal_days20", "temporal", "days20", "within 20 days", _TEMPORAL))
 def backtest_summary(spark, d):
     """Two runs of the curve predictors, written as reports and read back as one row each."""
-    c = b.cohort_from_lineitem(spark, d, dealt_out=True)
+    c = written_cohort(spark, d)
     folder = f"{scratch_dir(spark)}/reports-{uuid.uuid4().hex}"
     line = F.col("l_linestatus")
     for name, cohort_rows, options in (
