@@ -453,3 +453,21 @@ def test_terms_never_mix(spark):
     assert sorted((r["term_id"], r["waitlist_count"]) for r in out.collect()) == [("2268", 0), ("2268", 2), ("2272", 1), ("2272", 3)]
     flows = fl.interval_flows(out)
     assert sorted((r["term_id"], r["interval_min"]) for r in flows.collect()) == [("2268", 120.0), ("2272", 120.0)]
+
+
+def test_payload_files_are_not_a_folder_each(spark, tmp_path):
+    from turnwise.sources import history as hs
+
+    rows = [(f"{i}/{k}" if i % 7 else f"{i}-{k}", i, k) for i in range(200) for k in ("a", "b")]
+    payloads = spark.createDataFrame(rows, "key string, s long, k string").select(
+        "key", F.lit("2268").alias("term_id"), F.struct(F.col("s").cast("string").alias("sectionId"), F.array(F.struct(
+            F.lit("2026-01-01T00:00:00Z").alias("startTime"), F.lit(None).cast("string").alias("status"),
+            F.when(F.col("k") == "a", "5").otherwise("6").alias("enrolledCount"))).alias("history")).alias("enrollment"))
+    assert hs.write_payloads(payloads, str(tmp_path)) == 400
+    files = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert len([p for p in files if p.name.endswith(".json.gz")]) == 400
+    assert len([p for p in tmp_path.rglob("*") if p.is_dir()]) <= hs.FOLDERS
+    found = hs.first_payloads(hs.read_payloads(spark, f"{tmp_path}/*"))
+    assert {(r["section_id"], r["enrolled_count"], r["status"]) for r in hs.segments(found).collect()} == {(str(i), 5, "") for i in range(200)}
+    # the files are read by one scan
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

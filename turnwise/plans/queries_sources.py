@@ -65,11 +65,11 @@ def history_payloads(spark, d):
     keys = F.when(F.col("user_id") % 10 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a")))
     rows = rows.withColumn("k", F.explode(keys))
     payload = rows.select(
-        F.concat_ws("-", txt("user_id"), "k").alias("file"), F.concat_ws("-", txt("user_id"), "k").alias("key"), F.lit("2268").alias("term_id"),
+        F.concat_ws("-", txt("user_id"), "k").alias("key"), F.lit("2268").alias("term_id"),
         F.struct(txt("user_id").alias("sectionId"), F.when(F.col("k") == "b", F.slice("history", 1, 1)).otherwise(F.col("history")).alias("history")).alias("enrollment"))
     folder = _folder(spark, "history")
-    payload.write.partitionBy("file").option("compression", "gzip").json(folder)
-    found = history.segments(history.first_payloads(history.read_payloads(spark, f"{folder}/file=*")))
+    history.write_payloads(payload, folder)
+    found = history.segments(history.first_payloads(history.read_payloads(spark, f"{folder}/*")))
     return found.select("section_id", "ordinal", b.us("start", "start_us"), b.us("end", "end_us"), "enrolled_count", "waitlist_count", "status")
 
 
