@@ -403,3 +403,22 @@ def test_a_cohort_of_many_sections_is_joined_by_shuffle(spark, tmp_path, monkeyp
     cohort = b.cohort_from_lineitem(spark, str(tmp_path))
     assert cohort.count() == 30
     assert "Broadcast" not in cohort._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quadrature_nodes_are_made_once(monkeypatch):
+    def again(n):
+        raise AssertionError("made again")
+
+    monkeypatch.setattr(np.polynomial.legendre, "leggauss", again)
+    m, s0, d0 = 10_000, 30_000.0, 9_000.0
+    assert cox._tie_sum(m, s0, d0, 1, 0) == pytest.approx(sum(1 / (s0 - i / m * d0) for i in range(m)), rel=1e-12)
+
+
+def test_time_sums_of_mixed_strata(spark):
+    cohort = make_cohort(spark, 300)
+    design = cox.design_matrix(cohort, strata=["level"])
+    zero = np.zeros(len(design.names))
+    got = {(r["stratum"], round(r["t"], 6)): r["v"][:2] for r in cox._time_sums(design, {0: zero}, zero).collect()}
+    want = {(r["stratum"], round(r["t"], 6)): [float(r["n"]), float(r["e"])] for r in design.rows.groupBy("stratum", "t").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).collect()}
+    assert len({s for s, _ in want}) > 1 and got == want

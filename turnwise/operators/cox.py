@@ -43,6 +43,8 @@ PENALIZER = 0.01
 _TERM_BY_TERM = 4096
 #: (stratum, time) sums that a task holds before it sends them on.
 _HELD_KEYS = 20_000
+#: Of the quadrature over ties: worked out once, not for every time.
+_NODES, _NODE_WEIGHTS = np.polynomial.legendre.leggauss(64)
 
 
 class NoFit(ValueError):
@@ -172,7 +174,8 @@ class _Batch:
 
     def __init__(self, batch: pa.RecordBatch, numeric: Sequence[str], families: dict[str, list[str]], center: np.ndarray):
         get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-        self.stratum, self.t, self.died, self.fold = get("stratum"), get("t"), get("event").astype(float), get("fold")
+        self.t, self.died, self.fold = get("t"), get("event").astype(float), get("fold")
+        self.stratum = batch.column("stratum")
         self.section = batch.column("section_id")
         self.x = np.column_stack([get(c) for c in numeric]) - center[:len(numeric)] if numeric else np.empty((batch.num_rows, 0))
         self.codes = [get(f"_{f}") for f in families]
@@ -275,10 +278,10 @@ def _time_sums(design: Design, betas: dict[int, np.ndarray], center: np.ndarray)
             if batch.num_rows == 0:
                 continue
             b = _Batch(batch, numeric, families, center)
-            names, group = np.unique(b.stratum, return_inverse=True) if (b.stratum != b.stratum[0]).any() else (
-                b.stratum[:1], np.zeros(len(b.t), np.int64))
-            t, at = np.unique(b.t, return_inverse=True)
-            used, slot = np.unique(group * len(t) + at, return_inverse=True)
+            coded = b.stratum.dictionary_encode()
+            names, group = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            at, t = pd.factorize(b.t, use_na_sentinel=False)
+            slot, used = pd.factorize(group * len(t) + at)
             n = len(used)
             place = np.array([keys.setdefault((names[u // len(t)], t[u % len(t)]), len(keys)) for u in used])
             while len(keys) > held.shape[1]:
@@ -302,8 +305,7 @@ def _time_sums(design: Design, betas: dict[int, np.ndarray], center: np.ndarray)
 
 def _quadrature(f, slope, m: int) -> float:
     """Sum of f(l / m) over l < m for a smooth f and large m (Euler and Maclaurin)."""
-    nodes, weights = np.polynomial.legendre.leggauss(64)
-    return float(m * (weights / 2 * f((nodes + 1) / 2)).sum() + (f(0.0) - f(1.0)) / 2 + (slope(1.0) - slope(0.0)) / (12 * m))
+    return float(m * (_NODE_WEIGHTS / 2 * f((_NODES + 1) / 2)).sum() + (f(0.0) - f(1.0)) / 2 + (slope(1.0) - slope(0.0)) / (12 * m))
 
 
 def _tie_sum(m: int, s0: float, d0: float, power: int, degree: int) -> float:
