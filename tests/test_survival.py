@@ -422,3 +422,32 @@ def test_time_sums_of_mixed_strata(spark):
     want = {(r["stratum"], round(r["t"], 6)): [float(r["n"]), float(r["e"])] for r in design.rows.groupBy("stratum", "t").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).collect()}
     assert len({s for s, _ in want}) > 1 and got == want
+
+
+def test_calibration_ranks_only_predictions_that_an_edge_cuts(spark, monkeypatch):
+    # 100 rows over 20 predictions of 5 rows each, in 4 bins of 25 rows: edges at ranks 26, 51 and 76 meet predictions' ends
+    rows = [(i, "a", float(i % 2), (i // 5) / 20, 1.0 + i % 3, False) for i in range(100)]
+    rows += [(i, "b", float(i % 2), 0.1 if i < 40 else 0.9, 1.0, False) for i in range(100)]
+    long = spark.createDataFrame(rows, "row_id long, predictor string, y double, p double, w double, fallback boolean")
+    ranked = []
+    real = bt.scan
+
+    def seen(df, keys, order, *more):
+        if order == [bt.ROW_ID]:
+            ranked.append({(r["predictor"], r["p"]) for r in df.select("predictor", "p").distinct().collect()})
+        return real(df, keys, order, *more)
+
+    monkeypatch.setattr(bt, "scan", seen)
+    out = {(r["predictor"], r["decile"]): r for r in bt.calibration(long, deciles=4).collect()}
+    assert len(ranked[0]) <= 4  # three edges of 'a', one of 'b'
+    for predictor, bins in (("a", 4), ("b", 2)):
+        own = sorted(((r[3], r[0], r[4], r[2]) for r in rows if r[1] == predictor))
+        want = {}
+        for rank, (p, _, w, y) in enumerate(own):
+            want.setdefault(max(math.ceil(rank * bins / (len(own) - 1)), 1) - 1, []).append((p, w, y))
+        for d, part in want.items():
+            r, weight = out.pop((predictor, d)), sum(w for _, w, _ in part)
+            assert r["n"] == len(part) and r["weight"] == pytest.approx(weight)
+            assert r["predicted"] == pytest.approx(sum(w * p for p, w, _ in part) / weight)
+            assert r["observed"] == pytest.approx(sum(w * y for _, w, y in part) / weight)
+    assert not out

@@ -262,26 +262,34 @@ def calibration(long: DataFrame, by: Sequence[str] = ("predictor",), deciles: in
     """Weighted predicted and observed shares in equal-count bins of the prediction.
 
     A row's rank is the number of rows with smaller predictions plus its place
-    among equal predictions (by row id), so neither the order of predictions nor
-    a value shared by many rows needs one task.
+    among equal predictions (by row id). Most predictions lie in one bin with all
+    their rows, which then count without an order of their own; only the rows of the
+    predictions that an edge cuts, fewer than there are bins, are ranked, in ranges.
     """
     by = list(by)
     rows = long.where(_known())
-    per_p = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("_m"))
+    sums = {"_m": F.count(F.lit(1)), "_w": F.sum("w"), "_wp": F.sum(F.col("w") * F.col("p")), "_wy": F.sum(F.col("w") * F.col("y"))}
+    added = [c.alias(name) for name, c in sums.items()]
+    per_p = materialize(rows.groupBy(*by, "p").agg(*added))
     below = scan(per_p, by, ["p"], [Scan("_below", F.col("_m"), "sum", inclusive=False)],
-                 plan_splits(per_p, by, "p")).select(*by, "p", F.coalesce("_below", F.lit(0)).alias("_below"))
+                 plan_splits(per_p, by, "p")).withColumn("_below", F.coalesce("_below", F.lit(0)))
     totals = per_p.groupBy(*by).agg(F.sum("_m").alias("_n"), F.least(
         F.lit(deciles), F.greatest(F.lit(1), F.count(F.lit(1)))).alias("_bins"))
-    within = scan(rows, [*by, "p"], [ROW_ID], [Scan("_place", F.lit(1), "sum")],
-                  plan_splits(rows, [*by, "p"], ROW_ID))
-    ranked = within.join(below, [*by, "p"]).join(totals, by)
-    rank = F.col("_below") + F.col("_place")
-    position = F.try_divide((rank - 1) * F.col("_bins"), (F.col("_n") - 1).cast("double"))
-    decile = F.greatest(F.ceil(F.coalesce(position, F.lit(0.0))), F.lit(1)) - 1
-    return ranked.withColumn("decile", decile.cast("int")).groupBy(*by, "decile").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"),
-        (F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("predicted"),
-        (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("observed"))
+
+    def decile(rank: Column) -> Column:
+        position = F.try_divide((rank - 1) * F.col("_bins"), (F.col("_n") - 1).cast("double"))
+        return (F.greatest(F.ceil(F.coalesce(position, F.lit(0.0))), F.lit(1)) - 1).cast("int")
+
+    placed = below.join(totals, by).withColumns({
+        "decile": decile(F.col("_below") + 1), "_last": decile(F.col("_below") + F.col("_m"))})
+    whole = placed.where(F.col("decile") == F.col("_last")).select(*by, "decile", *sums)
+    cut = lookup_side(placed.where(F.col("decile") < F.col("_last")).select(*by, "p", "_below", "_n", "_bins"))
+    part = rows.select(*by, "p", ROW_ID, "w", "y").join(cut, [*by, "p"])
+    within = scan(part, [*by, "p"], [ROW_ID], [Scan("_place", F.lit(1), "sum")], plan_splits(part, [*by, "p"], ROW_ID))
+    ranked = within.withColumn("decile", decile(F.col("_below") + F.col("_place"))).groupBy(*by, "decile").agg(*added)
+    return whole.unionByName(ranked).groupBy(*by, "decile").agg(
+        F.sum("_m").alias("n"), F.sum("_w").alias("weight"), (F.sum("_wp") / F.sum("_w")).alias("predicted"),
+        (F.sum("_wy") / F.sum("_w")).alias("observed"))
 
 
 def score(pred: DataFrame, *, n_boot: int = 200, seed: int = 0, g_floor: float = G_FLOOR,

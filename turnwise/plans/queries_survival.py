@@ -192,9 +192,10 @@ def _scored(spark, d):
     return bt.with_weights(_predictions(spark, d, "cross"))
 
 
-def _long(spark, d):
+def _long(spark, d, written=False):
     # predictions are compared at a fixed precision so both engines see the same ties
-    rows = bt.long_predictions(_scored(spark, d))
+    scored = _scored(spark, d)
+    rows = bt.long_predictions(materialize(scored) if written else scored)
     return rows.withColumn("p", F.round("p", 9))
 
 
@@ -228,7 +229,7 @@ def weighted_auc(spark, d):
  SELECT predictor, CAST(greatest(ceil((rn-1)*bins/CAST(n-1 AS DOUBLE)),1)-1 AS INT) AS decile, count(*) AS n, round(sum(w),6) AS weight, round(sum(w*p)/sum(w),6) AS predicted,
   round(sum(w*y)/sum(w),6) AS observed FROM rk JOIN bn USING (predictor) GROUP BY ALL""")
 def calibration(spark, d):
-    out = bt.calibration(_long(spark, d))
+    out = bt.calibration(_long(spark, d, written=True))  # read for the ranks of predictions and of rows
     return out.select("predictor", "decile", "n", r6("weight"), r6("predicted"), r6("observed"))
 
 
