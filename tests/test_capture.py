@@ -471,3 +471,32 @@ def test_payload_files_are_not_a_folder_each(spark, tmp_path):
     assert {(r["section_id"], r["enrolled_count"], r["status"]) for r in hs.segments(found).collect()} == {(str(i), 5, "") for i in range(200)}
     # the files are read by one scan
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_flow_rows_go_on_from_the_state():
+    from turnwise.streaming import incremental as inc
+
+    row = lambda at, seen=True, gone=False: [at, at, 100, 1, 20, None, None, seen, gone]
+    rows = [row(1), row(2, seen=None), row(3), row(4), row(5, seen=False, gone=True), row(6)]
+    state, pairs = inc.flow_rows(None, rows)
+    assert [(p[0], p[7]) for p in pairs] == [(1, 3), (3, 4)] and state == (4, 4, 100, 1, 20, None, None, True)
+    assert inc.flow_rows(state, [row(7)]) == (state, [])
+    first, a = inc.flow_rows(None, rows[:2])
+    second, z = inc.flow_rows(first, rows[2:])
+    assert a + z == pairs and second == state
+    assert inc.flow_rows(None, [])[0] == (*[None] * 7, False)
+
+
+def test_flow_replay_makes_no_frame_per_section(spark, tmp_path):
+    from turnwise.plans import queries_sources as qs
+
+    events = [(i, dt.datetime(2024, 1, 1 + i % 31, i % 24), i % 5 if i % 9 else None, "error" if i % 6 == 0 else "view") for i in range(300)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    out = qs.flow_replay(spark, str(tmp_path))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    from turnwise.operators.flows import interval_flows
+    from turnwise.plans import bindings as b
+    want = interval_flows(b.panel_from_events(spark, str(tmp_path)).where("section_id IS NOT NULL"))
+    got = out.where("section_id IS NOT NULL")
+    assert sorted(map(tuple, got.select("section_id", "t0", "t1", "rule").collect())) == sorted(
+        map(tuple, want.select("section_id", b.us("t0"), b.us("t1"), "rule").collect()))

@@ -304,11 +304,37 @@ def flow_replay(spark, d):
     rows = panel.where(F.col("observed") | gone).select(
         "section_id", "term_id", F.unix_micros("run_started_at").alias("run_us"), *names[1:], F.col("observed").alias("seen"), gone.alias("gone"))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _in_halves(frame, inc.flow_step).assign(section_id=key[0], term_id=key[1])[["section_id", "term_id", *names, *following]]
-
-    pairs = rows.groupBy("section_id", "term_id").applyInPandas(run, f"section_id string, term_id string, {inc._OBSERVED}, " + ", ".join(
-        f"{n} {'long' if n == 'next_run_us' else 'int'}" for n in following))
+    keys = ["section_id", "term_id"]
+    schema = f"section_id string, term_id string, {inc._OBSERVED}, " + ", ".join(
+        f"{n} {'long' if n == 'next_run_us' else 'int'}" for n in following)
+    types = [pa.string(), pa.string()] + [pa.int64() if n in ("run_us", "next_run_us") else pa.int32() for n in (*names, *following)]
+
+    def run(batches):
+        # rows come in order; a half ends where the key or the half changes, and only the state goes on to the next
+        at, state, held = None, None, []
+        for batch in batches:
+            out = []
+            for key0, key1, late, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key0, key1, late) != at:
+                    if held:
+                        state, found = inc.flow_rows(state, held)
+                        out += [(*at[:2], *pair) for pair in found]
+                    if at is None or (key0, key1) != at[:2]:
+                        state = None
+                    at, held = (key0, key1, late), []
+                held.append(row)
+            yield packed(out)
+        if held:
+            yield packed([(*at[:2], *pair) for pair in inc.flow_rows(state, held)[1]])
+
+    def packed(out):
+        columns = zip(*out) if out else [[] for _ in types]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, *names, *following])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    halves = rows.where("run_us IS NOT NULL").withColumn("late", F.col("run_us") >= _HALF_US)
+    halves = halves.select(*keys, "late", *names, "seen", "gone").repartition(tasks, *keys).sortWithinPartitions(*keys, "run_us")
+    pairs = halves.mapInArrow(run, schema)
     pairs = pairs.withColumn("run_started_at", F.timestamp_micros("run_us")).withColumn("_next", F.struct(
         F.timestamp_micros("next_run_us").alias("run_started_at"), *[F.col(f"next_{c}").alias(c) for c in names[1:5]]))
     return _flow_columns(flows_of_pairs(pairs))

@@ -121,25 +121,26 @@ def delta_stream(rows: DataFrame, watermark: str = "2 hours", wait: bool = False
 _NEXT = [f"next_{c}" for c in _OBS_NAMES[:5]]
 
 
-def flow_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+def flow_rows(state: tuple | None, rows: list) -> tuple[tuple, list[tuple]]:
     """New state and the pairs of consecutive observed rows; nothing follows a section's first tombstone.
 
-    The state is the last observed row and whether the section is gone. ``frame`` also has ``seen`` and ``gone``.
+    ``rows`` are a section's new rows in order: the observed values, whether it was ``seen``, whether it is ``gone``. The
+    state is the last observed row and whether the section is gone.
     """
     if state is not None and state[-1]:
-        return state, pd.DataFrame([], columns=[*_OBS_NAMES, *_NEXT])
-    gone = frame["gone"].to_numpy(dtype=bool)
-    ends = bool(gone.any())
-    if ends:
-        frame = frame[frame["run_us"] < frame["run_us"].iloc[int(gone.argmax())]]
-    frame = frame[frame["seen"].astype(bool)]
-    known = None if state is None or state[0] is None else state[:-1]
-    rows = _after(frame, known, _OBS_NAMES).reset_index(drop=True)
-    pairs = rows.iloc[:-1].reset_index(drop=True)
-    for name, source in zip(_NEXT, _OBS_NAMES):
-        pairs[name] = rows[source].iloc[1:].to_numpy()
-    last = _state_of(rows, _OBS_NAMES) if len(rows) else (None,) * len(_OBS_NAMES)
-    return (*last, ends), pairs
+        return state, []
+    n = len(_OBS_NAMES)
+    end = next((r[0] for r in rows if r[-1]), None)
+    kept = [] if state is None or state[0] is None else [tuple(state[:-1])]
+    kept += [tuple(r[:n]) for r in rows if r[-2] and (end is None or r[0] < end)]
+    last = kept[-1] if kept else (None,) * n
+    return (*last, end is not None), [(*a, *b[:len(_NEXT)]) for a, b in zip(kept, kept[1:])]
+
+
+def flow_step(state: tuple | None, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """``flow_rows`` of a frame, which also has ``seen`` and ``gone``."""
+    after, pairs = flow_rows(state, _plain(frame[[*_OBS_NAMES, "seen", "gone"]]))
+    return after, pd.DataFrame(pairs, columns=[*_OBS_NAMES, *_NEXT], dtype=object)
 
 
 def flow_stream(panel: DataFrame, watermark: str = "2 hours", max_interval_min: float | None = None,
