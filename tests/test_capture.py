@@ -500,3 +500,20 @@ def test_flow_replay_makes_no_frame_per_section(spark, tmp_path):
     got = out.where("section_id IS NOT NULL")
     assert sorted(map(tuple, got.select("section_id", "t0", "t1", "rule").collect())) == sorted(
         map(tuple, want.select("section_id", b.us("t0"), b.us("t1"), "rule").collect()))
+
+
+def test_wide_crossings_read_the_segments_once(spark, tmp_path, monkeypatch):
+    from turnwise.plans import bindings as b
+    from turnwise.plans import queries_flows as qf
+
+    stamp = dt.datetime(2024, 1, 1)
+    line = [(k % 20, k, 1 + k % 7, float(5 + k % 9), 10.0 + k, stamp + dt.timedelta(days=k * 3)) for k in range(60)]
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                "l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 4) for k in range(20)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    out = qf.wide_crossing_censoring(spark, str(tmp_path))
+    assert "l_shipdate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    seg = b.history_segments(spark, str(tmp_path))
+    from turnwise.operators import history as hi
+    want = hi.history_flows(hi.history_panel(seg), hi.crossings(seg)).select("section_id", b.us("t0"), "rule", "censored")
+    assert out.count() > 0 and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))

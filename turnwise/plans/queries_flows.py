@@ -12,10 +12,12 @@ from turnwise.operators import flows as fl
 from turnwise.operators import history as hi
 from turnwise.operators import quality as qu
 from turnwise.operators import store as st
+from turnwise.operators.scans import plan_splits
 from turnwise.plans import bindings as b
 from turnwise.plans import sql as s
 from turnwise.plans.registry import query
 from turnwise.schema import FLOW_NAMES, POSITIONS, SCENARIOS
+from turnwise.session import materialize
 
 r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
 
@@ -146,8 +148,10 @@ _HIST_FLOWS = f"""{s.SEGMENTS}, hrows AS (SELECT *, NULL::BIGINT AS res, NULL::B
 @query("wide_crossing_censoring", f"""WITH {_HIST_FLOWS} SELECT f.section_id, epoch_us(f.t0) AS t0, f.rule,
   (SELECT count(*) FROM crossing x WHERE x.wide AND x.section_id=f.section_id AND x.t0=f.t0)>0 AS censored FROM flows0 f""")
 def wide_crossing_censoring(spark, d):
-    seg = b.history_segments(spark, d)
-    return hi.history_flows(hi.history_panel(seg), hi.crossings(seg)).select("section_id", b.us("t0"), "rule", "censored")
+    seg = materialize(b.history_segments(spark, d))  # a join, read for the ranges, the panel and the crossings
+    splits = plan_splits(seg, ["section_id"], "start")
+    out = hi.history_flows(hi.history_panel(seg, splits), hi.crossings(seg, splits=splits))
+    return out.select("section_id", b.us("t0"), "rule", "censored")
 
 
 _DARK = f"""{s.SEGMENTS}, idn AS (SELECT section_id, min(ts) AS fs, max(ts) AS ls FROM hist GROUP BY 1),
