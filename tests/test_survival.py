@@ -344,6 +344,56 @@ def test_cells_without_bands_count_no_section_times(spark, monkeypatch):
     assert tb.pool_tables(rows, n_boot=0).count() == len({r.split(", day=")[0] for r in want})
 
 
+def mixed_cohort(spark, n=700):
+    """Sections, courses, buckets and attributes with nulls; a section has several of each. Also a count of rows read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(_):
+        seen.add(1)
+        return True
+
+    k = F.col("id")
+    rows = spark.range(n).where(F.udf(read, "boolean").asNondeterministic()(k)).select(
+        F.when(k % 9 > 0, (k % 40).cast("string")).alias("section_id"), (k % 11 * 1.0).alias("duration_days"),
+        F.when(k % 13 > 0, (k % 2).cast("int")).alias("event"), F.when(k % 17 > 0, F.concat(F.lit("1-"), (k % 3).cast("string"))).alias("position_bucket"),
+        F.when(k % 5 > 0, (k % 5).cast("string")).alias("dept_group"), F.when(k % 8 > 1, "lower").alias("level"),
+        F.when(k % 7 > 0, F.concat(F.lit("c"), (k % 6).cast("string"))).alias("course_key"), F.lit("S").alias("subject"),
+        (k % 4).cast("string").alias("catalog_number"))
+    return rows, seen
+
+
+def test_pools_without_bands_read_the_cohort_once(spark):
+    rows, seen = mixed_cohort(spark)
+    cells = tb.pool_tables(rows, n_boot=0).collect()
+    assert seen.value == 700
+    raw = rows.collect()
+    for cell in cells:
+        mine = [r for r in raw if r["position_bucket"] == cell["bucket"]
+                and cell["key"] == {"all": "all", "dept": r["dept_group"], "level": r["level"]}[cell["kind"]]]
+        assert (cell["n"], cell["events"]) == (len(mine), sum(r["event"] or 0 for r in mine))
+        assert cell["sections"] == len({r["section_id"] for r in mine} - {None})
+    assert len(cells) > 10
+
+
+@pytest.mark.parametrize("min_n", [1, 30])
+def test_courses_from_a_counted_cohort(spark, min_n):
+    """Pools, course cells and index of a cohort counted once are those of its rows."""
+    rows, seen = mixed_cohort(spark)
+    counted = tb.counted(rows, tb.COURSE)
+    pools = tb.materialize(tb.pool_tables(counted, min_n=min_n, n_boot=0))
+    cells = tb.course_tables(counted, pools, min_n=min_n, n_boot=0)
+    index = sorted(map(repr, tb.index_rows(cells.where("bucket IS NOT NULL"), pools).withColumn("buckets", F.array_sort(F.map_entries("buckets"))).collect()))
+    got = sorted(map(repr, cells.collect()))
+    assert seen.value == 700
+    plain = tb.course_tables(rows, pools, min_n=min_n, n_boot=0)
+    assert got == sorted(map(repr, plain.select(cells.columns).collect())) and len(got) > 5
+    assert index == sorted(map(repr, tb.index_rows(plain.where("bucket IS NOT NULL"), pools).withColumn("buckets", F.array_sort(F.map_entries("buckets"))).collect()))
+    raw = rows.collect()
+    for r in cells.collect():
+        mine = [x for x in raw if (x["course_key"], x["position_bucket"]) == (r["course_key"], r["bucket"])]
+        assert (r["n_course"], r["sections_course"]) == (len(mine), len({x["section_id"] for x in mine} - {None}))
+
+
 def test_cells_and_pointers(spark):
     c = make_cohort(spark, 700)
     pools = tb.pool_tables(c, n_boot=10)
