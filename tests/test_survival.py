@@ -180,6 +180,69 @@ def test_bands_do_not_depend_on_the_ranges(spark):
     assert (plain["low"] < plain["high"]).all()
 
 
+def test_words_are_md5():
+    """Words made for many picks at once are those of the digests, whatever the digits of pick and seed."""
+    for seed, first, last in ((0, 0, 12), (7, 95, 105), (123456789, 8185, 10_003), (10**48, 9, 11)):
+        found = boot._words_of(seed, first, last, range(3, 9))
+        each = [[int(hashlib.md5(f"{seed}:{j}:{b // 4}".encode()).hexdigest()[b % 4 * 8:b % 4 * 8 + 8], 16) for b in range(3, 9)]
+                for j in range(first, last)]
+        assert found.T.tolist() == each
+
+
+def plain_bands(rows, day, n_boot, seed=0):
+    """Percentiles of a group's curve at a day, of rows (section, t, n, d)."""
+    order = lambda s: (int(hashlib.md5(f"{seed}:{s}".encode()).hexdigest()[:15], 16), s)
+    numbers = {s: i for i, s in enumerate(sorted({r[0] for r in rows}, key=order))}
+    times, out = boot.picks(len(numbers), seed, n_boot), []
+    for b in range(n_boot):
+        own = [(t, n * times[numbers[s], b], d * times[numbers[s], b]) for s, t, n, d in rows]
+        survival = 1.0
+        for at in sorted({t for t, _, _ in own if t is not None and t <= day}):
+            risk = sum(n for t, n, _ in own if t is None or t >= at)
+            survival *= 1.0 - sum(d for t, _, d in own if t == at) / risk if risk else 1.0
+        out.append(1.0 - survival)
+    return np.percentile(out, [2.5, 97.5])
+
+
+def test_bands_store_rows_but_no_picks(spark, monkeypatch):
+    """Bands read the rows past picks that each task makes: no table holds a section's picks, however rows and draws are cut."""
+    rng = np.random.default_rng(8)
+    rows = [(g, f"s{rng.integers(0, size)}", float(rng.integers(1, 9)), 1, int(rng.integers(0, 2)))
+            for g, size, n in (("a", 40, 150), ("b", 5, 30), ("c", 9, 20)) for _ in range(n)]
+    rows += [("a", "s1", None, 2, 0), ("d", "s1", 3.0, 1, 1), (None, "s1", 3.0, 1, 1), (None, "s2", 3.0, 1, 1)]
+    counts = spark.createDataFrame(rows, "g string, section_id string, t double, n int, d int")
+    grid = counts.select("g").distinct().select("g", F.explode(F.array(F.lit(0.5), F.lit(3.0), F.lit(6.5))).alias("day"))
+    written = []
+
+    def noted(df, write=boot.stored, **options):
+        written.append(df)
+        return write(df, **options)
+
+    monkeypatch.setattr(boot, "stored", noted)
+    monkeypatch.setattr(boot, "materialize", lambda df: spark.read.schema(df.schema).parquet(noted(df)))
+    for held, numbers, pairs, shelf in ((32_000_000, 500_000, 400_000_000, 50_000_000), (200, 60, 900, 160)):
+        for name, value in (("HELD_WORDS", held), ("HELD_NUMBERS", numbers), ("TASK_PAIRS", pairs), ("SHELF_ROWS", shelf), ("_GROUP_ROWS", 1)):
+            monkeypatch.setattr(boot, name, value)
+        found = {(r["g"], r["day"]): (r["low"], r["high"]) for r in boot.curve_bands(counts, ["g"], grid, n_boot=40).collect()}
+        assert set(found) == {(g, day) for g in "abc" for day in (0.5, 3.0, 6.5)}
+        for (g, day), band in found.items():
+            assert band == pytest.approx(plain_bands([r[1:] for r in rows if r[0] == g], day, 40))
+    assert not [c for df in written for c in df.columns if c in ("picks", "codes")]
+    assert sum(df.count() for df in written) < 3_000
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    from turnwise import session
+
+    before = spark.conf.get(session.CLEANUP_CONF, None)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    held = lambda: sum(1 for f in manager.diskBlockManager().getAllFiles().toList().mkString("\n").split("\n")
+                       if "/shuffle_" in f)
+    start = held()
+    out = session.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert held() == start and out.count() == 7 and spark.conf.get(session.CLEANUP_CONF, None) == before
+
+
 def test_quantiles_by_rank(spark, tiny_chunks):
     rng = np.random.default_rng(3)
     rows = [("a", float(v), int(m)) for v, m in zip(rng.integers(0, 40, 200), rng.integers(1, 4, 200))]
