@@ -231,6 +231,28 @@ def test_bands_store_rows_but_no_picks(spark, monkeypatch):
     assert sum(df.count() for df in written) < 3_000
 
 
+def test_bands_of_cells_keep_names_out_of_section_rows(spark, monkeypatch):
+    """A cell's names are in no written row per section, and bands leave the other columns as they are without them."""
+    written = []
+
+    def noted(df, write=tb.materialize):
+        written.append(df.columns)
+        return write(df)
+
+    monkeypatch.setattr(tb, "materialize", noted)
+    cells = make_cohort(spark, 200).select(F.lit("all").alias("kind"), F.col("dept_group").alias("key"), F.col("position_bucket").alias("bucket"),
+                                           "section_id", "duration_days", "event")
+    cells = cells.unionByName(cells.limit(3).withColumn("bucket", F.lit(None).cast("string")))
+    order = ["kind", "key", "bucket", "day"]
+    found = tb.curve_points(cells, 5, n_boot=20).orderBy(*order).toPandas()
+    assert [c for c in written if "section_id" in c] and not [c for c in written if "section_id" in c and "kind" in c]
+    events = cells.groupBy("kind", "key", "bucket", F.col("duration_days").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("d"))
+    sections = cells.groupBy("kind", "key", "bucket").agg(F.count_distinct("section_id").alias("sections"))
+    plain = tb.curve_points(events, 5, n_boot=0, sections=sections).orderBy(*order).toPandas()
+    assert len(found) and found.drop(columns=["low", "high"]).equals(plain.drop(columns=["low", "high"]))
+    assert (found["low"] <= found["high"]).any()
+
+
 def test_shuffle_files_go_with_their_query(spark):
     from turnwise import session
 
