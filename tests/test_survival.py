@@ -220,7 +220,7 @@ def test_bands_store_rows_but_no_picks(spark, monkeypatch):
 
     monkeypatch.setattr(boot, "stored", noted)
     monkeypatch.setattr(boot, "materialize", lambda df: spark.read.schema(df.schema).parquet(noted(df)))
-    for held, numbers, pairs, shelf in ((32_000_000, 500_000, 400_000_000, 50_000_000), (200, 60, 900, 160)):
+    for held, numbers, pairs, shelf in ((32_000_000, 500_000, 400_000_000, 50_000_000), (100, 60, 900, 160)):
         for name, value in (("HELD_WORDS", held), ("HELD_NUMBERS", numbers), ("TASK_PAIRS", pairs), ("SHELF_ROWS", shelf), ("_GROUP_ROWS", 1)):
             monkeypatch.setattr(boot, name, value)
         found = {(r["g"], r["day"]): (r["low"], r["high"]) for r in boot.curve_bands(counts, ["g"], grid, n_boot=40).collect()}
@@ -297,6 +297,19 @@ def test_gain_interval_matches_direct_resampling(spark):
 # ------------------------------------------------------------------------------ hazards
 
 
+def test_rows_of_a_section_lie_together(spark):
+    """Scores are added up where a section's rows are read; a section with most of the rows is still cut."""
+    c = make_cohort(spark, 900)
+    places = lambda rows: rows.withColumn("file", F.input_file_name()).groupBy("section_id").agg(F.count_distinct("file").alias("files")).toPandas()["files"]
+    spread = places(cox.design_matrix(c).rows)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(spread) == 40 and spread.sum() < 40 + parts
+    hot = c.withColumn("section_id", F.when(F.col("row_id") < 800, "hot").otherwise(F.col("section_id")))
+    assert places(cox.design_matrix(hot).rows).max() > 1
+    fitted = cox.fit(hot, max_steps=2)
+    assert np.isfinite(fitted.robust).all()
+
+
 def plain_cox(x, t, e, ridge, steps=25):
     """Newton's method on Efron's likelihood, written out."""
     b = np.zeros(x.shape[1])

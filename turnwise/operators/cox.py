@@ -127,7 +127,8 @@ def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS
     """Rows with every numeric covariate known, durations rounded up to the resolution;
     constant columns and levels are left out. ``strata`` families become strata. With ``models`` the cohort has ``fold``.
 
-    The rows are written once, spread evenly, and every pass reads them back.
+    The rows are written once, in even ranges of sections, and every pass reads them back. A section's rows lie together,
+    so its scores are added up where they are read; one with more rows than a range is cut by time.
     """
     families = [f for f in REFERENCES if f not in strata]
     ref = lambda f: F.col(f).isNull() | (F.col(f) == REFERENCES[f])
@@ -140,7 +141,7 @@ def design_matrix(cohort: DataFrame, *, resolution: float = TIME_RESOLUTION_DAYS
         F.col("section_id").cast("string").alias("section_id"), *[_numeric(c).alias(c) for c in NUMERIC],
         *[F.when(~ref(f), F.col(f)).alias(f) for f in families])
     parts = int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    base = materialize(base.repartition(parts, F.xxhash64("section_id", "t", *NUMERIC)))
+    base = materialize(base.repartitionByRange(parts, "section_id", "t", *NUMERIC).sortWithinPartitions("section_id"))
     spread = base.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in NUMERIC],
                       *[F.max(c).alias(f"hi_{c}") for c in NUMERIC]).first()
     pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in families]) if families else F.array()
