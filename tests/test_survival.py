@@ -253,6 +253,45 @@ def test_bands_of_cells_keep_names_out_of_section_rows(spark, monkeypatch):
     assert (found["low"] <= found["high"]).any()
 
 
+def test_gain_interval_is_that_of_the_picks(spark, monkeypatch):
+    """Sums per section are weighed by the picks of each draw; a value that is no number counts only where it was picked."""
+    rng = np.random.default_rng(6)
+    rows = [(g, f"s{i % size}", float(rng.integers(0, 2)), w, float(rng.random()), 0.4) for g, size in (("m", 25), ("k", 7))
+            for i in range(60) for w in (1.0,)] + [("m", "odd", 1.0, float("inf"), 0.5, 0.4)]
+    df = spark.createDataFrame(rows, "predictor string, section_id string, y double, w double, p_model double, p_base double")
+    monkeypatch.setattr(boot, "TASK_PAIRS", 100)
+    order = lambda s: (int(hashlib.md5(f"2:{s}".encode()).hexdigest()[:15], 16), s)
+    for g in ("m", "k"):
+        own = [r for r in rows if r[0] == g and math.isfinite(r[3])]
+        names = sorted({r[1] for r in rows if r[0] == g}, key=order)
+        times, draws = boot.picks(len(names), 2, 60), []
+        for b in range(60):
+            if g == "m" and times[names.index("odd"), b]:
+                continue  # infinity less infinity is no number
+            w = np.array([times[names.index(r[1]), b] * r[3] for r in own])
+            draws.append(sum(k * ((r[2] - r[5]) ** 2 - (r[2] - r[4]) ** 2) for k, r in zip(w, own)) / w.sum())
+        got = boot.bootstrap_gain(df.where(F.col("predictor") == g), ["predictor"], "p_base", "p_model", n_boot=60, seed=2).first()
+        if g == "k":
+            assert (got["gain_ci_low"], got["gain_ci_high"]) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])))
+        else:  # draws without the odd section are numbers still
+            assert 0 < len(draws) < 60 and got["gain_ci_low"] == pytest.approx(sorted(draws)[int(0.025 * 59)], abs=0.05)
+
+
+def test_scores_read_the_cohort_once(spark, tmp_path, monkeypatch):
+    """backtest_scores joins lines and parts once, not for each of the backtest's passes."""
+    from turnwise.plans import queries_survival as q
+
+    spark.range(40).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 5).alias("l_partkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
+        F.lit(3.0).alias("l_quantity"), F.lit(10.0).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), F.lit("N").alias("l_returnflag"),
+        F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5).select(F.col("id").alias("p_partkey"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    monkeypatch.setattr(q.bt, "run_backtest", lambda cohort, *a, **b: seen.append(cohort) or bt.Backtest("temporal", "x", None, None, {"metrics": cohort}))
+    assert q.backtest_scores(spark, str(tmp_path)).count() == 40
+    assert "Join" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shuffle_files_go_with_their_query(spark):
     from turnwise import session
 

@@ -330,7 +330,7 @@ def backtest_summary(spark, d):
 
 @query("backtest_scores")
 def backtest_scores(spark, d):
-    run = bt.run_backtest(b.cohort_from_lineitem(spark, d, dealt_out=True), b.CALENDAR, split="temporal", which=WHICH, split_at=SPLIT_AT)
+    run = bt.run_backtest(written_cohort(spark, d), b.CALENDAR, split="temporal", which=WHICH, split_at=SPLIT_AT)
     return run.tables["metrics"]
 
 
